@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import chat, mixing, secrets
+from quillmill.llm import ann, chat, decontaminate, langid, licenses, mixing, secrets
 from quillmill.llm.common import fresh_path
 
 
@@ -13,12 +13,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs, fresh_path(spark, "secret_ledger"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.spans_text().alias("spans"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.concat_ws(",", F.transform("findings", lambda f: F.concat_ws(":", f["template"], f["start"], f["end"])))
+    reduction = F.round(F.coalesce(F.array_max(F.transform("findings", lambda f: f["reduction"])), F.lit(0.0)), 6)
+    return found.select("doc_id", "n_candidates", "n_confirmed", "licenses", digest.alias("spans"), reduction.alias("best_reduction"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.decontaminate(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -48,9 +68,29 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS g
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+occ AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM d, (SELECT DISTINCT n FROM win) AS l, unnest(range(1, greatest(len(w) - n + 2, 1))) AS p(i) WHERE len(w) >= n),
+hit AS (SELECT DISTINCT doc_id, i, occ.n, item_id FROM occ JOIN win USING (g)),
+pos AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hit, unnest(range(i, i + n)) AS t(k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) AS x GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 QUERIES = {
+    "op1_nearest_vectors": op1_nearest_vectors,
     "op5_secret_scan": op5_secret_scan,
+    "op6_license_scan": op6_license_scan,
+    "op7_language_id": op7_language_id,
+    "op8_decontaminate": op8_decontaminate,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES = {"op10_chat_format": OP10_SQL}
+ORACLES = {"op8_decontaminate": OP8_SQL, "op10_chat_format": OP10_SQL}
