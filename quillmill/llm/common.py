@@ -1,10 +1,12 @@
-"""What several corpus operators share: tables in the shared folder and joins with small dimension tables."""
+"""What several corpus operators share: tables in the shared folder, joins with small tables and sums of arrays."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,26 @@ def join_dimension(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner"
     dim = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     match = rows[key].eqNullSafe(dim["_dim_key"]) & (rows["_salt"] == dim["_dim_salt"])
     return rows.join(dim, match, how).drop("_dim_key", "_dim_salt", "_salt")
+
+
+#: Partial arrays that meet in one task of a reduction.
+FANIN = 32
+
+
+def tree_sum(parts: DataFrame, kind: str, n_parts: int, fanin: int = FANIN) -> DataFrame:
+    """Sum arrays (columns: chunk int, part long, data binary holding numbers of that numpy kind) over parts, in a tree of `fanin` branches."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, dtype=kind).copy() for x in frame["data"])
+        return pd.DataFrame({"chunk": [frame["chunk"].iloc[0]], "part": [frame["part"].iloc[0] // fanin], "data": [np.asarray(total, dtype=kind).tobytes()]})
+
+    while True:
+        parts = parts.withColumn("up", F.floor(F.col("part") / fanin)).groupBy("chunk", "up").applyInPandas(add, "chunk int, part long, data binary")
+        n_parts = -(-n_parts // fanin)
+        if n_parts <= 1:
+            return parts.select("chunk", "data")
+
+
+def join_if_small(rows: DataFrame, table: DataFrame, keys: list[str], how: str, table_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """Join with a table of a measured size: broadcast up to `most` bytes, else shuffled by the keys."""
+    return rows.join(F.broadcast(table) if table_bytes <= most else table, keys, how)
