@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import ann, chat, decontaminate, langid, licenses, mixing, repeats, secrets
+from quillmill.llm import ann, chat, decontaminate, langid, licenses, mixing, neardup, repeats, secrets
 from quillmill.llm.common import fresh_path
 
 
@@ -22,6 +22,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs, fresh_path(spark, "secret_ledger"))
@@ -92,6 +96,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 QUERIES = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
