@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import ann, chat, decontaminate, langid, licenses, mixing, neardup, repeats, secrets
+from quillmill.llm import ann, chat, decontaminate, langid, licenses, lm, mixing, neardup, repeats, secrets
 from quillmill.llm.common import fresh_path
 
 
@@ -26,6 +26,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.log_likelihood(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs, fresh_path(spark, "secret_ledger"))
@@ -97,6 +101,7 @@ QUERIES = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_language_model": op4_language_model,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
