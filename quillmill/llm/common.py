@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,6 +78,15 @@ def tree_sum(parts: DataFrame, kind: str, n_parts: int, fanin: int = FANIN) -> D
             return parts.select("chunk", "data")
 
 
+def slices(frames: Iterator[pd.DataFrame], column: str = "text", most: int = 2 << 20) -> Iterator[pd.DataFrame]:
+    """The rows of frames in parts of about `most` bytes (characters) of a column, so what a task makes of a part stays small."""
+    for frame in frames:
+        part = (frame[column].str.len().fillna(0).cumsum() // most).to_numpy()
+        cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(frame)]):
+            yield frame.iloc[a:b].reset_index(drop=True)
+
+
 def join_if_small(rows: DataFrame, table: DataFrame, keys: list[str], how: str, table_bytes: int, most: int = 32 << 20) -> DataFrame:
     """Join with a table of a measured size: broadcast up to `most` bytes, else shuffled by the keys."""
     return rows.join(F.broadcast(table) if table_bytes <= most else table, keys, how)
