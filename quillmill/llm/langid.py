@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_RUN = 32
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -208,4 +208,18 @@ def identify(docs: DataFrame, train_docs: int = 6_000, train_words: int = 12_000
     return docs.select("doc_id", "text", held_out.alias("held_out")).mapInPandas(predict, ROW)
 
 
-__all__ = ["identify", "fit", "Lattice", "split_words", "predict_block", "load_pieces"]
+def keep_identified(docs: DataFrame, least_score: float = 0.5, train_docs: int = 6_000, train_words: int = 12_000, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The rows of docs(doc_id, text, lang, ...), with all their columns, in which a language is identified with that score."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    model = docs.sparkSession.sparkContext.broadcast(learn(known, train_docs, train_words, vocabulary))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            said = [x for a, b in blocks(texts) for x in predict_block(texts[a:b], *model.value)]
+            yield batch.filter(pa.array([lang != "und" and score >= least_score for lang, score in said], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+__all__ = ["identify", "keep_identified", "fit", "Lattice", "split_words", "predict_block", "load_pieces"]

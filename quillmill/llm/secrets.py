@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from quillmill.llm.common import path_exists
+from quillmill.llm.common import cut, join_if_small, path_exists
 
 #: The kinds in their order; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "forge", "chat")
@@ -81,6 +82,32 @@ def scan_secrets(versions: DataFrame, ledger: str, id_col: str = "doc_id", text_
     return out.select(id_col, F.lower(F.hex("blob")).alias("blob"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+@F.pandas_udf(StringType())
+def _masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for text, found in zip(texts, spans):
+        parts, at = [], 0
+        for s in found:
+            if s["end"] > at:  # else within the span before it
+                parts += [text[at : s["start"]], f"[{s['kind']}]" if s["start"] >= at else ""]
+                at = s["end"]
+        out.append("".join([*parts, text[at:]]))
+    return pd.Series(out, dtype=object)
+
+
+def redact(docs: DataFrame, ledger: str) -> DataFrame:
+    """The rows of docs(doc_id, text, n_chars, ...) with [kind] in place of each finding; n_chars follows the text."""
+    found = scan_secrets(docs, ledger).filter(F.size("spans") > 0)
+    found = cut(found.select(F.unhex("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"]), "findings")
+    size = found.agg(F.coalesce(F.sum(48 + 32 * F.size("_spans")), F.lit(0))).first()[0]
+    rows = join_if_small(docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))), found, ["_blob"], "left", size)
+    touched, rest = rows.filter(F.col("_spans").isNotNull()), rows.filter(F.col("_spans").isNull())
+    touched = touched.withColumn("text", _masked("text", "_spans"))
+    if "n_chars" in docs.columns:
+        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return touched.unionByName(rest).select(docs.columns)
+
+
 def spans_text(spans: str = "spans"):
     """The spans column as kind:start:end, comma-joined."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
