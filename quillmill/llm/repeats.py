@@ -227,7 +227,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, mark: int = 16,
-    range_bytes: int = 64 << 20, shard_bytes: int = 4 << 20, hot: int = 50_000, with_text: bool = False,
+    range_bytes: int = 64 << 20, shard_bytes: int = 2 << 20, hot: int = 50_000, with_text: bool = False,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the text that is left) for every row of docs."""
     spark = docs.sparkSession
