@@ -3,16 +3,16 @@
 A byte goes if a string of `width` bytes that covers it also starts in a document with a smaller id. Strings that
 are equal must meet in one shard, so shards are cut by content: each window of `width` bytes belongs to the
 smallest hash of its `mark`-byte substrings (its anchor), and the run of windows with one anchor is a piece of
-text. Four steps, all spread by content:
+text. Of identical texts only the one with the smallest id takes part; the others go whole. Then four steps:
 
 1. Anchors of all documents, packed as arrays by hash range, show which occur in two documents or more.
-2. Pieces under such anchors are cut from the texts. Equal pieces are merged, keeping the smallest id.
+2. Pieces under such anchors are cut from the texts, equal ones merged where they are cut, and packed by shard.
 3. Each shard of distinct pieces gets a suffix array by induced sorting and its permuted common prefixes;
    neighbours that agree on `width` bytes are one string, whose owner is the smallest id among them.
-4. Owners go back to all occurrences of their pieces; what a smaller id owns is removed.
+4. Owners go back to the places where pieces were cut; what a smaller id owns is removed.
 
-Anchors with more than `hot` distinct pieces (a short common phrase in many contexts) are dealt out again window by
-window, so no shard gathers them. Hashes only propose and place; every match is compared byte by byte.
+Anchors with more than `hot` pieces in many contexts (a short common phrase) are dealt out window by window, so
+no shard gathers them. Hashes only propose and place; every match is compared symbol by symbol.
 
 Defined cases: null text is empty; a null id takes part neither as owner nor as copy; rows of equal id
 don't remove each other's bytes; repeated rows are separate rows; texts shorter than `width` stay; an
@@ -22,6 +22,8 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +31,20 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from quillmill.llm.common import cut, join_if_small
+from quillmill.llm.common import cut, join_if_small, slices
 from quillmill.llm.suffixes import common_prefixes, suffix_array
 
 _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+SPANS = ArrayType(StructType().add("start", LongType()).add("end", LongType()))
 #: Texts are hashed in stretches of about so many bytes.
 STRETCH = 1 << 20
 #: A piece has at most so many windows.
 LONGEST = 64
-FOUND = np.dtype([("key", "<u4"), ("start", "<u4"), ("n", "u1")])
+FOUND = np.dtype([("key", "<u4"), ("start", "<u4"), ("n", "u1"), ("look", "u1")])
+#: Set in n where an anchor is to be dealt out window by window; looks are eight bits of a piece, so many kinds at least.
+CROWDED, LOOKS = 128, 32
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -73,8 +79,8 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(y[:n], y[size - length : size - length + n])
 
 
-def anchors(texts: list[bytes], width: int, mark: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, anchor, first window, windows) of all pieces."""
+def anchors(texts: list[bytes], width: int, mark: int) -> tuple[np.ndarray, ...]:
+    """(number of the text, anchor, first window, windows, look) of all pieces."""
     out, i = [], 0
     while i < len(texts):
         j, size = i, 0
@@ -85,7 +91,8 @@ def anchors(texts: list[bytes], width: int, mark: int) -> tuple[np.ndarray, np.n
         if len(data) >= width:
             lengths = np.fromiter(map(len, texts[i:j]), dtype=np.int64, count=j - i)
             begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            least = sliding_min(rolling(data, mark), width - mark + 1)
+            hashes = rolling(data, mark)
+            least = sliding_min(hashes, width - mark + 1)
             text = np.repeat(np.arange(j - i), lengths)[: len(least)]
             at = np.arange(len(least))
             inside = at - begin[text] + width <= lengths[text]
@@ -99,10 +106,11 @@ def anchors(texts: list[bytes], width: int, mark: int) -> tuple[np.ndarray, np.n
             nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
             start = first[which] + nth * LONGEST
             count = np.minimum(LONGEST, n[which] - nth * LONGEST)
-            out.append((text[start] + i, mixed(least[start]), start - begin[text[start]], count))
+            look = (hashes[start] + hashes[start + count - 1 + width - mark]) & np.uint64(255)
+            out.append((text[start] + i, mixed(least[start]), start - begin[text[start]], count, look))
         i = j
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -111,7 +119,7 @@ def _packed(ids: np.ndarray, found: np.ndarray) -> bytes:
     cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
     docs, counts = ids[cuts], np.diff(np.append(cuts, len(ids)))
     start = np.diff(found["start"].astype(np.int64), prepend=0).astype("<i4")
-    raw = np.array([len(docs), len(ids)], "<i8").tobytes() + docs.astype("<i8").tobytes() + counts.astype("<i4").tobytes() + start.tobytes() + found["n"].tobytes()
+    raw = np.array([len(docs), len(ids)], "<i8").tobytes() + docs.astype("<i8").tobytes() + counts.astype("<i4").tobytes() + start.tobytes() + found["n"].tobytes() + found["look"].tobytes()
     return zstandard.ZstdCompressor(level=1).compress(raw) + b"|" + found["key"].tobytes()
 
 
@@ -126,18 +134,19 @@ def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     start = np.frombuffer(raw, "<i4", n, at := at + 4 * n_docs)
     found = np.empty(n, FOUND)
     found["start"], found["n"], found["key"] = np.cumsum(start, dtype=np.int64), np.frombuffer(raw, "u1", n, at + 4 * n), np.frombuffer(keys, "<u4")
+    found["look"] = np.frombuffer(raw, "u1", n, at + 5 * n)
     return np.repeat(docs, counts), found
 
 
-def repeated_anchors(docs: DataFrame, width: int, mark: int, n_ranges: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, width: int, mark: int, n_ranges: int, hot: int) -> DataFrame:
     """doc_id, range, found (array of FOUND as binary): the pieces whose anchor is in two documents or more."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            text, anchor, start, n = anchors(list(frame["text"]), width, mark)
+            text, anchor, start, n, look = anchors(list(frame["text"]), width, mark)
             ids, part = frame["doc_id"].to_numpy()[text], ((anchor >> np.uint64(32)) % np.uint64(n_ranges)).astype(np.int64)
             found = np.empty(len(text), FOUND)
-            found["key"], found["start"], found["n"] = anchor & np.uint64(0xFFFFFFFF), start, n
+            found["key"], found["start"], found["n"], found["look"] = anchor & np.uint64(0xFFFFFFFF), start, n, look
             order = np.argsort(part, kind="stable")
             part, ids, found = part[order], ids[order], found[order]
             cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
@@ -151,6 +160,10 @@ def repeated_anchors(docs: DataFrame, width: int, mark: int, n_ranges: int) -> D
         ids, found = ids[order], found[order]
         cuts = np.concatenate([[0], np.flatnonzero(found["key"][1:] != found["key"][:-1]) + 1])
         shared = np.repeat(np.minimum.reduceat(ids, cuts) < np.maximum.reduceat(ids, cuts), np.diff(np.append(cuts, len(ids))))
+        size = np.diff(np.append(cuts, len(ids)))
+        for c in np.flatnonzero(size > hot):
+            if len(np.unique(found["look"][cuts[c] : cuts[c] + size[c]])) >= LOOKS:
+                found["n"][cuts[c] : cuts[c] + size[c]] |= CROWDED
         ids, found = ids[shared], found[shared]
         order = np.argsort(ids, kind="stable")
         ids, found = ids[order], found[order]
@@ -161,23 +174,64 @@ def repeated_anchors(docs: DataFrame, width: int, mark: int, n_ranges: int) -> D
     return packed.groupBy("range").applyInPandas(meet, "doc_id long, range long, found binary")
 
 
-def cut_pieces(docs: DataFrame, width: int) -> DataFrame:
-    """anchor, piece, doc_id, tx, start of docs(doc_id, tx, text, found: array of (range, found))."""
+def _pressed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _back(block: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(block)
+
+
+@F.pandas_udf(BinaryType())
+def _press(texts: pd.Series) -> pd.Series:
+    return texts.map(_pressed)
+
+
+def _shard_rows(pieces: list[bytes], shard: np.ndarray, doc: np.ndarray, start: np.ndarray, ids: np.ndarray, txs: np.ndarray) -> Iterator[tuple]:
+    """(shard, pieces, places): distinct pieces with smallest and largest id, and where each occurs."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        at, known = order[a:b], {}
+        of = np.fromiter((known.setdefault(pieces[i], len(known)) for i in at), dtype=np.int64, count=b - a)
+        least, most = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+        np.minimum.at(least, of, ids[doc[at]])
+        np.maximum.at(most, of, ids[doc[at]])
+        sizes = np.fromiter(map(len, known), dtype=np.uint8, count=len(known))
+        docs, local = np.unique(doc[at], return_inverse=True)
+        packed = np.array([len(known)], "<i8").tobytes() + least.tobytes() + most.tobytes() + sizes.tobytes() + b"".join(known)
+        head = np.array([len(docs), b - a], "<i8").tobytes() + ids[docs].tobytes() + txs[docs].tobytes()
+        places = head + of.astype("<u4").tobytes() + local.astype("<u4").tobytes() + start[at].astype("<u4").tobytes()
+        yield int(shard[order[a]]), _pressed(packed), _pressed(places)
+
+
+def cut_pieces(docs: DataFrame, width: int, n_shards: int) -> DataFrame:
+    """uid, shard, pieces, places of docs(doc_id, tx, text, found: array of (range, found)); text is compressed."""
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc, tx, text, groups in zip(frame["doc_id"], frame["tx"], frame["text"], frame["found"]):
+        for frame in slices(frames):
+            found, shards, doc, start = [], [], [], []
+            for i, (pressed, groups) in enumerate(zip(frame["text"], frame["found"])):
+                text = _back(pressed)
                 for g in groups:
-                    for key, start, n in np.frombuffer(g["found"], FOUND).tolist():
-                        if len(piece := text[start : start + n + width - 1]) >= width:
-                            rows.append((g["range"] << 32 | key, piece, doc, tx, start))
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["anchor", "piece", "doc_id", "tx", "start"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["anchor", "piece", "doc_id", "tx", "start"])
+                    rows = np.frombuffer(g["found"], FOUND)
+                    shard = (mixed(rows["key"].astype(np.uint64) | np.uint64(int(g["range"]) << 32)) % np.uint64(n_shards)).tolist()
+                    for at, first, n in zip(shard, rows["start"].tolist(), rows["n"].tolist()):
+                        single = n & CROWDED
+                        for k in range(n & ~CROWDED if single else 1):
+                            piece = text[first + k : first + k + width] if single else text[first : first + n + width - 1]
+                            if len(piece) >= width:
+                                found.append(piece)
+                                shards.append(zlib.crc32(piece) % n_shards if single else at)
+                                doc.append(i)
+                                start.append(first + k)
+            ids, txs = frame["doc_id"].to_numpy(np.int64), frame["tx"].to_numpy(np.int64)
+            rows = list(_shard_rows(found, np.array(shards, np.int64), np.array(doc, np.int64), np.array(start, np.int64), ids, txs)) if found else []
+            out = pd.DataFrame(rows, columns=["shard", "pieces", "places"])
+            out.insert(0, "uid", uuid.uuid4().hex)
+            yield out
 
-    return docs.mapInPandas(pieces, "anchor long, piece binary, doc_id long, tx long, start long")
+    return docs.mapInPandas(pieces, "uid string, shard long, pieces binary, places binary")
 
 
 def owners_of(pieces: list[bytes], least: np.ndarray, width: int) -> list[np.ndarray]:
@@ -198,21 +252,62 @@ def owners_of(pieces: list[bytes], least: np.ndarray, width: int) -> list[np.nda
     return [owner[stop - n : stop - width + 1] for stop, n in zip(stops, lengths)]
 
 
-def find_owners(strings: DataFrame, width: int, n_shards: int) -> DataFrame:
-    """anchor, piece_key, runs (array of first window, end, owner) of strings(anchor, piece, least, most) some of which a smaller id owns."""
+RUN = np.dtype([("piece", "<u4"), ("a", "u1"), ("b", "u1"), ("owner", "<i8")])
+
+
+def find_owners(packed: DataFrame, width: int) -> DataFrame:
+    """uid, shard, runs: windows a to b of pieces that a smaller id than the largest of their places owns."""
 
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
-        least = frame["least"].to_numpy(dtype=np.int64)
-        rows = []
-        for key, anchor, most, owner in zip(frame["piece_key"], frame["anchor"], frame["most"], owners_of(list(frame["piece"]), least, width)):
-            if owner.min() < most:
+        known: dict[bytes, int] = {}
+        parts = []
+        for block in frame["pieces"]:
+            raw = _back(block)
+            n = int(np.frombuffer(raw, "<i8", 1)[0])
+            least, most = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n)
+            ends = 8 + 17 * n + np.cumsum(np.frombuffer(raw, "u1", n, 8 + 16 * n), dtype=np.int64)
+            starts = np.concatenate([[8 + 17 * n], ends[:-1]])
+            of = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())), dtype=np.int64, count=n)
+            parts.append((of, least, most))
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        for of, low, _ in parts:
+            np.minimum.at(least, of, low)
+        owners = owners_of(list(known), least, width)
+        lowest = np.array([x.min() for x in owners])
+        replies = []
+        for of, _, most in parts:
+            runs = []
+            for i in np.flatnonzero(lowest[of] < most):
+                owner = owners[of[i]]
                 cuts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
-                ends = np.append(cuts[1:], len(owner))
-                rows.append((anchor, key, [{"a": int(a), "b": int(b), "owner": int(owner[a])} for a, b in zip(cuts, ends)]))
-        return pd.DataFrame(rows, columns=["anchor", "piece_key", "runs"])
+                runs += zip([i] * len(cuts), cuts.tolist(), [*cuts[1:].tolist(), len(owner)], owner[cuts].tolist())
+            replies.append(_pressed(np.array(runs, RUN).tobytes()))
+        return pd.DataFrame({"uid": frame["uid"], "shard": frame["shard"], "runs": replies})
+
+    return packed.select("uid", "shard", "pieces").groupBy("shard").applyInPandas(shard, "uid string, shard long, runs binary")
 
-    keyed = strings.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "anchor"), F.lit(n_shards)))
-    return keyed.groupBy("shard").applyInPandas(shard, "anchor long, piece_key long, runs array<struct<a:long,b:long,owner:long>>")
+
+def spans_of(answered: DataFrame, width: int) -> DataFrame:
+    """doc_id, tx, start, end of what is removed, from (places, runs)."""
+
+    def spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for places, runs in zip(frame["places"], frame["runs"]):
+                raw, runs = _back(places), np.frombuffer(_back(runs), RUN)
+                n_docs, n = (int(x) for x in np.frombuffer(raw, "<i8", 2))
+                ids, txs = np.frombuffer(raw, "<i8", n_docs, 16), np.frombuffer(raw, "<i8", n_docs, 16 + 8 * n_docs)
+                of, doc, start = (np.frombuffer(raw, "<u4", n, 16 + 16 * n_docs + 4 * n * k).astype(np.int64) for k in range(3))
+                order = np.argsort(of, kind="stable")
+                low, high = np.searchsorted(of[order], runs["piece"], side="left"), np.searchsorted(of[order], runs["piece"], side="right")
+                run = np.repeat(np.arange(len(runs)), high - low)
+                at = order[np.arange(len(run)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[run]]
+                gone = runs["owner"][run] < ids[doc[at]]
+                run, at = run[gone], at[gone]
+                out.append(pd.DataFrame({"doc_id": ids[doc[at]], "tx": txs[doc[at]], "start": start[at] + runs["a"][run], "end": start[at] + runs["b"][run] - 1 + width}))
+            yield pd.concat(out) if out else pd.DataFrame({"doc_id": [], "tx": [], "start": [], "end": []}, dtype="int64")
+
+    return answered.select("places", "runs").mapInPandas(spans, "doc_id long, tx long, start long, end long")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -225,45 +320,41 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@F.pandas_udf(SPANS)
+def _merge(spans: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for s in found])] for found in spans])
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, mark: int = 16,
-    range_bytes: int = 64 << 20, shard_bytes: int = 2 << 20, hot: int = 50_000, with_text: bool = False,
+    range_bytes: int = 64 << 20, shard_bytes: int = 4 << 20, hot: int = 100_000, with_text: bool = False,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the text that is left) for every row of docs."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).withColumn("tx", F.xxhash64("text"))
+    takes_part = texts.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
+    keys = cut(takes_part.select("doc_id", "tx", F.octet_length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("sha")), "keys")
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_ranges = max(tasks, -(-total // range_bytes))
-    takes_part = texts.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
 
-    found = cut(repeated_anchors(takes_part, width, mark, n_ranges), "found")
+    least = keys.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).filter("copies > 1")
+    copies = cut(keys.join(least, "sha").filter(F.col("doc_id") > F.col("least")).select("doc_id", "tx", "n").distinct(), "copies")
+    n_copies = copies.count()
+    first = join_if_small(takes_part, copies.select("doc_id", "tx"), ["doc_id", "tx"], "left_anti", 24 * n_copies)
+    found = cut(repeated_anchors(first, width, mark, n_ranges, hot), "found")
     size = found.agg(F.coalesce(F.sum(F.octet_length("found")), F.lit(0))).first()[0]
+    n_shards = max(tasks, -(-size // FOUND.itemsize * (width + 20) // shard_bytes))
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("range", "found")).alias("found"))
-    with_found = join_if_small(takes_part.withColumn("tx", F.xxhash64("text")), by_doc, ["doc_id"], "inner", 2 * size)
-    pieces = cut(cut_pieces(with_found, width), "pieces")
-
-    def distinct(pieces: DataFrame) -> DataFrame:
-        return pieces.groupBy("anchor", "piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).withColumn("piece_key", F.xxhash64("piece"))
-
-    strings = cut(distinct(pieces), "strings")
-    crowded = strings.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor")
-    if n_crowded := crowded.count():
-        one = F.explode(F.sequence(F.lit(0), F.octet_length("piece") - width)).alias("i")
-        windows = join_if_small(pieces, crowded, ["anchor"], "left_semi", 16 * n_crowded).select("*", one)
-        window = F.substring("piece", F.col("i") + 1, F.lit(width))
-        windows = windows.select(F.xxhash64(F.lit("window"), window).alias("anchor"), window.alias("piece"), "doc_id", "tx", (F.col("start") + F.col("i")).alias("start"))
-        pieces = cut(join_if_small(pieces, crowded, ["anchor"], "left_anti", 16 * n_crowded).unionByName(windows), "windows")
-        strings = cut(distinct(pieces), "strings")
-    n_shards = max(tasks, -(-strings.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0] // shard_bytes))
-    owners = find_owners(strings, width, n_shards)
-
-    placed = pieces.select("anchor", F.xxhash64("piece").alias("piece_key"), "doc_id", "tx", "start").join(owners, ["anchor", "piece_key"])
-    gone = placed.select("doc_id", "tx", "start", F.explode("runs").alias("r")).filter(F.col("r.owner") < F.col("doc_id"))
-    span = F.struct((F.col("start") + F.col("r.a")).alias("start"), (F.col("start") + F.col("r.b") - 1 + width).alias("end"))
-    gone = cut(gone.groupBy("doc_id", "tx").agg(F.collect_list(span).alias("gone")), "gone")
+    with_found = join_if_small(first.withColumn("text", _press("text")), by_doc, ["doc_id"], "inner", 2 * size)
+    packed = cut(cut_pieces(with_found, width, n_shards), "pieces")
+
+    answered = packed.select("uid", "shard", "places").join(find_owners(packed, width), ["uid", "shard"])
+    gone = spans_of(answered, width).groupBy("doc_id", "tx").agg(F.collect_list(F.struct("start", "end")).alias("gone")).withColumn("gone", _merge("gone"))
+    whole = copies.select("doc_id", "tx", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))).alias("gone"))
+    gone = cut(gone.unionByName(whole), "gone")
     size = gone.agg(F.coalesce(F.sum(24 + 16 * F.size("gone")), F.lit(0))).first()[0]
-    marked = join_if_small(texts.withColumn("tx", F.xxhash64("text")), gone, ["doc_id", "tx"], "left", size)
+    marked = join_if_small(texts, gone, ["doc_id", "tx"], "left", size)
 
     def strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
