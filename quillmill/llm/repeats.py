@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from quillmill.llm.common import cut, join_if_small, slices
+from quillmill.llm.common import cut, join_if_small
 from quillmill.llm.suffixes import common_prefixes, suffix_array
 
 _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -138,8 +138,8 @@ def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(docs, counts), found
 
 
-def repeated_anchors(docs: DataFrame, width: int, mark: int, n_ranges: int, hot: int) -> DataFrame:
-    """doc_id, range, found (array of FOUND as binary): the pieces whose anchor is in two documents or more."""
+def repeated_anchors(docs: DataFrame, width: int, mark: int, n_ranges: int, n_buckets: int, hot: int) -> DataFrame:
+    """bucket (of doc_id), range, n, found (packed): the pieces whose anchor is in two documents or more."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -165,13 +165,15 @@ def repeated_anchors(docs: DataFrame, width: int, mark: int, n_ranges: int, hot:
             if len(np.unique(found["look"][cuts[c] : cuts[c] + size[c]])) >= LOOKS:
                 found["n"][cuts[c] : cuts[c] + size[c]] |= CROWDED
         ids, found = ids[shared], found[shared]
-        order = np.argsort(ids, kind="stable")
-        ids, found = ids[order], found[order]
-        cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1]) if len(ids) else np.zeros(0, np.int64)
-        return pd.DataFrame({"doc_id": ids[cuts], "range": frame["range"].iloc[0], "found": [found[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(ids)))]})
+        bucket = ids % n_buckets
+        order = np.lexsort((ids, bucket))
+        ids, found, bucket = ids[order], found[order], bucket[order]
+        cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1]) if len(ids) else np.zeros(0, np.int64)
+        ends = np.append(cuts[1:], len(ids))[: len(cuts)]
+        return pd.DataFrame({"bucket": bucket[cuts], "range": frame["range"].iloc[0], "n": ends - cuts, "found": [_packed(ids[a:b], found[a:b]) for a, b in zip(cuts, ends)]})
 
     packed = docs.mapInPandas(pack, "range long, block binary")
-    return packed.groupBy("range").applyInPandas(meet, "doc_id long, range long, found binary")
+    return packed.groupBy("range").applyInPandas(meet, "bucket long, range long, n long, found binary")
 
 
 def _pressed(raw: bytes) -> bytes:
@@ -205,33 +207,36 @@ def _shard_rows(pieces: list[bytes], shard: np.ndarray, doc: np.ndarray, start:
         yield int(shard[order[a]]), _pressed(packed), _pressed(places)
 
 
-def cut_pieces(docs: DataFrame, width: int, n_shards: int) -> DataFrame:
-    """uid, shard, pieces, places of docs(doc_id, tx, text, found: array of (range, found)); text is compressed."""
-
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames):
-            found, shards, doc, start = [], [], [], []
-            for i, (pressed, groups) in enumerate(zip(frame["text"], frame["found"])):
-                text = _back(pressed)
-                for g in groups:
-                    rows = np.frombuffer(g["found"], FOUND)
-                    shard = (mixed(rows["key"].astype(np.uint64) | np.uint64(int(g["range"]) << 32)) % np.uint64(n_shards)).tolist()
-                    for at, first, n in zip(shard, rows["start"].tolist(), rows["n"].tolist()):
-                        single = n & CROWDED
-                        for k in range(n & ~CROWDED if single else 1):
-                            piece = text[first + k : first + k + width] if single else text[first : first + n + width - 1]
-                            if len(piece) >= width:
-                                found.append(piece)
-                                shards.append(zlib.crc32(piece) % n_shards if single else at)
-                                doc.append(i)
-                                start.append(first + k)
-            ids, txs = frame["doc_id"].to_numpy(np.int64), frame["tx"].to_numpy(np.int64)
-            rows = list(_shard_rows(found, np.array(shards, np.int64), np.array(doc, np.int64), np.array(start, np.int64), ids, txs)) if found else []
-            out = pd.DataFrame(rows, columns=["shard", "pieces", "places"])
-            out.insert(0, "uid", uuid.uuid4().hex)
-            yield out
-
-    return docs.mapInPandas(pieces, "uid string, shard long, pieces binary, places binary")
+def cut_pieces(docs: DataFrame, found: DataFrame, width: int, n_shards: int, n_buckets: int) -> DataFrame:
+    """uid, shard, pieces, places of docs(doc_id, tx, text), a bucket at a time; text is compressed."""
+
+    def pieces(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out, shards, doc, start = [], [], [], []
+        docs = docs.sort_values("doc_id", kind="stable").reset_index(drop=True)
+        ids, txs = docs["doc_id"].to_numpy(np.int64), docs["tx"].to_numpy(np.int64)
+        texts = [_back(x) for x in docs["text"]]
+        for which, block in zip(found["range"], found["found"]):
+            of, rows = _unpacked(block)
+            low, high = np.searchsorted(ids, of, side="left").tolist(), np.searchsorted(ids, of, side="right").tolist()
+            shard = (mixed(rows["key"].astype(np.uint64) | np.uint64(int(which) << 32)) % np.uint64(n_shards)).tolist()
+            for a, b, at, first, n in zip(low, high, shard, rows["start"].tolist(), rows["n"].tolist()):
+                single = n & CROWDED
+                for i in range(a, b):
+                    text = texts[i]
+                    for k in range(n & ~CROWDED if single else 1):
+                        piece = text[first + k : first + k + width] if single else text[first : first + n + width - 1]
+                        if len(piece) >= width:
+                            out.append(piece)
+                            shards.append(zlib.crc32(piece) % n_shards if single else at)
+                            doc.append(i)
+                            start.append(first + k)
+        rows = list(_shard_rows(out, np.array(shards, np.int64), np.array(doc, np.int64), np.array(start, np.int64), ids, txs)) if out else []
+        result = pd.DataFrame(rows, columns=["shard", "pieces", "places"])
+        result.insert(0, "uid", uuid.uuid4().hex)
+        return result
+
+    bucketed = docs.withColumn("bucket", F.pmod("doc_id", F.lit(n_buckets)))
+    return bucketed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(pieces, "uid string, shard long, pieces binary, places binary")
 
 
 def owners_of(pieces: list[bytes], least: np.ndarray, width: int) -> list[np.ndarray]:
@@ -242,7 +247,7 @@ def owners_of(pieces: list[bytes], least: np.ndarray, width: int) -> list[np.nda
     t[stops], t[-1] = 1, 0
     ends = np.append(np.repeat(stops, lengths + 1), len(t) - 1)
     array = suffix_array(t, 258, width).astype(np.int64)
-    agree = common_prefixes(t, array, ends)
+    agree = common_prefixes(t, array, ends, width)
     whole = array[ends[array] - array >= width]
     cuts = np.flatnonzero(agree[whole] < width)
     of = np.append(np.repeat(np.arange(len(pieces)), lengths + 1), 0)
@@ -342,12 +347,11 @@ def remove_repeats(
     copies = cut(keys.join(least, "sha").filter(F.col("doc_id") > F.col("least")).select("doc_id", "tx", "n").distinct(), "copies")
     n_copies = copies.count()
     first = join_if_small(takes_part, copies.select("doc_id", "tx"), ["doc_id", "tx"], "left_anti", 24 * n_copies)
-    found = cut(repeated_anchors(first, width, mark, n_ranges, hot), "found")
-    size = found.agg(F.coalesce(F.sum(F.octet_length("found")), F.lit(0))).first()[0]
-    n_shards = max(tasks, -(-size // FOUND.itemsize * (width + 20) // shard_bytes))
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("range", "found")).alias("found"))
-    with_found = join_if_small(first.withColumn("text", _press("text")), by_doc, ["doc_id"], "inner", 2 * size)
-    packed = cut(cut_pieces(with_found, width, n_shards), "pieces")
+    n_buckets = max(tasks, -(-total // shard_bytes)) | 1
+    found = cut(repeated_anchors(first, width, mark, n_ranges, n_buckets, hot), "found")
+    n_found = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_shards = max(tasks, -(-n_found * (width + 20) // shard_bytes))
+    packed = cut(cut_pieces(first.withColumn("text", _press("text")), found, width, n_shards, n_buckets), "pieces")
 
     answered = packed.select("uid", "shard", "places").join(find_owners(packed, width), ["uid", "shard"])
     gone = spans_of(answered, width).groupBy("doc_id", "tx").agg(F.collect_list(F.struct("start", "end")).alias("gone")).withColumn("gone", _merge("gone"))

@@ -120,11 +120,11 @@ def suffix_array(t: np.ndarray, n_symbols: int, depth: int) -> np.ndarray:
     return induce(t, found, n_symbols)
 
 
-def common_prefixes(t: np.ndarray, array: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def common_prefixes(t: np.ndarray, array: np.ndarray, ends: np.ndarray, least: int = 1) -> np.ndarray:
     """For each position of t, how far its suffix agrees with the one before it in the array, up to the end of either's string.
 
     A position whose neighbour follows its left position's neighbour has one symbol less than that; only where
-    such a chain begins are symbols compared, four at a time.
+    such a chain begins are symbols compared, four at a time. Where fewer than `least` symbols are left the result may be 0.
     """
     n = len(t)
     before = np.full(n, -1, dtype=np.int64)
@@ -136,7 +136,7 @@ def common_prefixes(t: np.ndarray, array: np.ndarray, ends: np.ndarray) -> np.nd
 
     def compare(at: np.ndarray) -> None:
         k = 0
-        left = at[room[at] > 0]
+        left = at[room[at] >= least]
         while len(left):
             x = words[left + k] ^ words[before[left] + k]
             equal = x == 0
