@@ -72,14 +72,13 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
-def suggested_name(text: Column, filename: Column) -> Column:
+def suggested_name(text: Column, filename: Column, first_category: Column | None = None, newest: Column | None = None) -> Column:
     """Category, company and month of the newest date; else the date that leads the file name, and Dokument."""
-    kinds, when = categories(text), dates(text)
-    month = F.when(F.size(when) > 0, F.date_format(when[0], "yyyy-MM"))
-    made = F.concat_ws(" ", F.when(F.size(kinds) > 0, capitalised(kinds[0])), company(text), month)
-    leading = F.regexp_extract(filename, r"^(\d{4}-\d{2}-\d{2})", 1)
-    plain = F.trim(F.concat_ws(" ", F.when(leading != "", leading), F.lit("Dokument")))
-    return F.regexp_replace(F.when(made != "", made).otherwise(plain), r'[<>:"/\\|?*]', "")
+    kind = F.get(categories(text), F.lit(0)) if first_category is None else first_category
+    day = F.get(dates(text), F.lit(0)) if newest is None else newest
+    made = F.nullif(F.concat_ws(" ", capitalised(kind), company(text), F.date_format(day, "yyyy-MM")), F.lit(""))
+    leading = F.nullif(F.regexp_extract(filename, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    return F.regexp_replace(F.coalesce(made, F.concat_ws(" ", leading, F.lit("Dokument"))), r'[<>:"/\\|?*]', "")
 
 
 def sanitised(name: Column) -> Column:

@@ -47,15 +47,15 @@ def merge_plan(lists: DataFrame, pages: DataFrame) -> DataFrame:
 
 def rename_candidates(docs: DataFrame, most: int = 6) -> DataFrame:
     """docs(doc_id, filename, text) with ranked names: by rule 0.6, category and number 0.4, date and category 0.5, date 0.3."""
-    kinds, when = T.categories(F.col("text")), T.dates(F.col("text"))
-    first, number = T.capitalised(kinds[0]), T.number_in_stem(F.col("filename"))
-    day = F.date_format(when[0], "yyyy-MM-dd")
+    # Columns of their own, so each rule runs once a document.
+    read = docs.select("doc_id", "text", "filename", F.get(T.categories(F.col("text")), F.lit(0)).alias("kind"), F.get(T.dates(F.col("text")), F.lit(0)).alias("newest"))
+    read = read.select("doc_id", T.capitalised(F.col("kind")).alias("kind"), F.date_format("newest", "yyyy-MM-dd").alias("day"), T.number_in_stem(F.col("filename")).alias("number"), T.with_pdf(T.suggested_name(F.col("text"), F.col("filename"), F.col("kind"), F.col("newest"))).alias("rule"))
     option = lambda no, name, c: F.struct(F.lit(no).alias("no"), name.alias("name"), F.lit(c).alias("confidence"))
     options = F.array(
-        option(0, T.with_pdf(T.suggested_name(F.col("text"), F.col("filename"))), 0.6), option(1, F.concat(day, F.lit(".pdf")), 0.3),
-        option(2, F.concat(day, F.lit(" "), first, F.lit(".pdf")), 0.5), option(3, F.concat(first, F.lit(" Nr"), number, F.lit(".pdf")), 0.4),
+        option(0, F.col("rule"), 0.6), option(1, F.concat("day", F.lit(".pdf")), 0.3),
+        option(2, F.concat("day", F.lit(" "), "kind", F.lit(".pdf")), 0.5), option(3, F.concat("kind", F.lit(" Nr"), "number", F.lit(".pdf")), 0.4),
     )
-    each = docs.withColumn("n_kinds", F.size(kinds)).select("doc_id", F.explode(options).alias("o")).select("doc_id", "o.*").filter("name IS NOT NULL")
+    each = read.select("doc_id", F.explode(options).alias("o")).select("doc_id", "o.*").filter("name IS NOT NULL")
     once = each.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", F.lower("name")).orderBy("no"))).filter("n = 1")
     order = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "no")
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("doc_id", "name", "confidence", "rank")

@@ -14,14 +14,14 @@ _L = """l AS (SELECT o_orderkey AS doc_id,
   CAST(o_orderdate AS DATE) AS day FROM orders JOIN customer ON o_custkey = c_custkey)"""
 _F = "f AS (SELECT '/akten/' || r_name AS path FROM region UNION ALL SELECT '/akten/' || r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
 _KIND = "CASE kind WHEN 'Rechnung' THEN 'rechnung' WHEN 'Vertrag' THEN 'vertrag' WHEN 'Police' THEN 'versicherung' WHEN 'Kontoauszug' THEN 'bank' WHEN 'Gehaltsabrechnung' THEN 'rechnung,gehalt' ELSE '' END"
-_COMPANY = "CASE sender WHEN 'Muster Bau GmbH' THEN 'Muster Bau' WHEN 'Firma: Nordlicht' THEN 'Nordlicht' END"
+_COMPANY = "CASE sender WHEN 'Muster Bau GmbH' THEN 'Muster Bau' WHEN 'Firma: Nordlicht' THEN 'Nordlicht' || chr(10) || 'Betrag' END"
 _STATS = "s AS (SELECT target_folder AS path, count(*) AS usage_count, max(created_at) AS last_used, min(created_at) AS created_at, arg_min(target_relative_path, (created_at, id)) FILTER (target_relative_path IS NOT NULL) AS relative_path FROM h GROUP BY 1)"
 _STOP = "['der','die','das','und','in','zu','den','von','ist','mit','sich','des','auf','für','nicht','ein','eine','als','auch','es','an','werden','aus','er','hat','dass','sie','nach','wird','bei','einer','um','am','sind','noch','wie','einem','über','so','zum','kann','nur','ihr','seine','ich','oder','aber','vor','zur','bis','mehr','durch','man','sehr','diese','wenn','war','haben','wurde','alle','können','diesem','dieser']"
 
 
 def _terms(source: str) -> str:
     """CTEs ending in tm(id, term, tf) of source(id, text)."""
-    return rf"""w AS (SELECT id, regexp_extract_all(array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), x -> length(x) > 2 AND NOT list_contains({_STOP}, x)), ' '), '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM {source}),
+    return rf"""w AS (SELECT id, regexp_extract_all(array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x)), ' '), '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM {source}),
 tm AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM w UNION ALL SELECT id, t[i] || ' ' || t[i + 1] FROM w, unnest(range(1, len(t))) AS r(i)) AS u GROUP BY 1, 2)"""
 
 

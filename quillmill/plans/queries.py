@@ -21,7 +21,7 @@ def query(f):
 
 def _each_letter(**columns):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tables.letters(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in columns.items()])
+        return tables.letters(spark, sf_dir).select("doc_id", *[c().alias(n) for n, c in columns.items()])
 
     return run
 
@@ -120,18 +120,18 @@ def index_upsert(spark, d):
 
 
 QUERIES |= {
-    "extract_dates": _each_letter(dates=F.array_join(F.transform(T.dates(F.col("text")), lambda x: x.cast("string")), ",")),
-    "extract_keywords": _each_letter(keywords=F.array_join(T.categories(F.col("text")), ",")),
-    "extract_company": _each_letter(company=T.company(F.col("text"))),
-    "suggest_filename_rule": _each_letter(name=T.suggested_name(F.col("text"), F.col("filename"))),
-    "sanitize_filename": _each_letter(name=T.sanitised(F.concat(F.lit("Größe: Müller/"), F.repeat(F.lit("x"), (F.col("doc_id") % 90).cast("int")), F.col("filename")))),
-    "truncate_text": _each_letter(text=T.truncated(F.col("text"), 60)),
-    "classification_prompt": _each_letter(prompt=T.classification_prompt(F.col("text"), F.array(F.lit("Bank"), F.lit("Strom")), 50)),
-    "stem_number": _each_letter(stem=T.stem(F.col("filename")), number=T.number_in_stem(F.col("filename"))),
-    "year_from_string": _each_letter(year=T.year_in(F.col("filename"))),
-    "title_from_name": _each_letter(title=T.title_of(F.col("filename"))),
-    "pdf_suffix": _each_letter(name=T.with_pdf(F.col("filename"))),
-    "tax_year": _each_letter(year=T.tax_year(F.substring("text", 18, 10))),
+    "extract_dates": _each_letter(dates=lambda: F.array_join(F.transform(T.dates(F.col("text")), lambda x: x.cast("string")), ",")),
+    "extract_keywords": _each_letter(keywords=lambda: F.array_join(T.categories(F.col("text")), ",")),
+    "extract_company": _each_letter(company=lambda: T.company(F.col("text"))),
+    "suggest_filename_rule": _each_letter(name=lambda: T.suggested_name(F.col("text"), F.col("filename"))),
+    "sanitize_filename": _each_letter(name=lambda: T.sanitised(F.concat(F.lit("Größe: Müller/"), F.repeat(F.lit("x"), (F.col("doc_id") % 90).cast("int")), F.col("filename")))),
+    "truncate_text": _each_letter(text=lambda: T.truncated(F.col("text"), 60)),
+    "classification_prompt": _each_letter(prompt=lambda: T.classification_prompt(F.col("text"), F.array(F.lit("Bank"), F.lit("Strom")), 50)),
+    "stem_number": _each_letter(stem=lambda: T.stem(F.col("filename")), number=lambda: T.number_in_stem(F.col("filename"))),
+    "year_from_string": _each_letter(year=lambda: T.year_in(F.col("filename"))),
+    "title_from_name": _each_letter(title=lambda: T.title_of(F.col("filename"))),
+    "pdf_suffix": _each_letter(name=lambda: T.with_pdf(F.col("filename"))),
+    "tax_year": _each_letter(year=lambda: T.tax_year(F.substring("text", 18, 10))),
 }
 
 

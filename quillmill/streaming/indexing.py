@@ -12,7 +12,7 @@ from quillmill.functions import text as T
 def analysed(docs: DataFrame) -> DataFrame:
     """doc_id, categories, newest date and company of docs(doc_id, text); works on batches and streams alike."""
     text = F.col("text")
-    return docs.select("doc_id", F.array_join(T.categories(text), ",").alias("keywords"), F.element_at(T.dates(text), 1).alias("newest"), T.company(text).alias("company"))
+    return docs.select("doc_id", F.array_join(T.categories(text), ",").alias("keywords"), F.get(T.dates(text), F.lit(0)).alias("newest"), T.company(text).alias("company"))
 
 
 def valid_entries(cache: DataFrame, files: DataFrame) -> DataFrame:
