@@ -13,8 +13,8 @@ A band is the hash of `rows` draws. Texts that share a band are candidates.
 Identical texts are one unit. Candidates of a band meet its leader, the smallest unit, and are verified on
 their whole texts. By the triangle inequality of the distance 1 - similarity, a unit that is not linked to the
 leader can only be linked to units at a distance close enough to its own; those go on to the next round, with
-the unit nearest to the old leader as leader, until no band holds units that may still be linked. Bands that
-stay large are split by the units' other bands. Links make classes by repeated exchange of least labels.
+the unit nearest to the old leader as leader, until no band holds units of two classes that may still be linked; what
+is left of a band after LEADERS rounds is compared pair by pair if it is small. Links make classes by repeated exchange of least labels.
 
 Defined cases: null text is empty; texts of fewer than five words are one shingle of all their words;
 texts without words are alike only if they are identical; a null id has no class; of repeated rows all have
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import cut, tree_sum
@@ -43,8 +43,8 @@ BANDS, ROWS = 12, 3
 STRETCH = 1 << 20
 #: Bits of a shingle's id, and texts that are hashed at once.
 BITS, TEXTS = 52, 1 << 12
-#: A band of at most so many units has all its pairs verified after LEADERS rounds.
-FEW, LEADERS = 16, 3
+#: After LEADERS rounds, bands of at most FEW open units have their open pairs verified one by one; after ALL rounds, all bands.
+FEW, LEADERS, ALL = 128, 2, 8
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -241,36 +241,37 @@ def verify(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
 def find_links(bands: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """a, b, similarity of verified links that connect all linked units; bands(unit, band), texts(unit, text)."""
     width = 1 - threshold
-    crowd = Window.partitionBy("band")
-    size = lambda g: g.join(g.groupBy("band").agg(F.min("unit").alias("first"), F.count("*").alias("n")).filter("n > 1"), "band")
-    groups = cut(size(bands.distinct()).select("band", "unit", F.col("first").alias("leader")), "groups")
-    seen = None
-    for turn in range(1, 1_000):
-        if not groups.limit(1).count():
-            break
-        pairs = groups.filter(F.col("unit") != F.col("leader")).select(F.least("leader", "unit").alias("a"), F.greatest("leader", "unit").alias("b")).distinct()
+    bands = bands.select("unit", "band").distinct()
+    first = bands.groupBy("band").agg(F.min("unit").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    groups = cut(bands.join(first, "band").select("band", "unit", "leader"), "groups")
+    seen, extra, turn = None, None, 0
+    a, b = F.least("leader", "unit"), F.greatest("leader", "unit")
+    while groups.limit(1).count() or (extra is not None and extra.limit(1).count()):
+        turn += 1
+        pairs = groups.select(a.alias("a"), b.alias("b")).filter("a != b")
+        pairs = (pairs if extra is None else pairs.unionByName(extra)).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         found = cut(verify(pairs, texts, weights), "verified")
-        seen = found if seen is None else seen.unionByName(found)
+        seen, extra = found if seen is None else seen.unionByName(found), None
 
         # What may still be linked: units that are not linked to the leader, and those at a distance near enough to theirs.
-        met = groups.withColumn("a", F.least("leader", "unit")).withColumn("b", F.greatest("leader", "unit")).filter("a != b").join(seen, ["a", "b"])
+        met = groups.select("band", "unit", a.alias("a"), b.alias("b")).filter("a != b").join(seen, ["a", "b"])
         apart = met.filter(F.col("similarity") < threshold).groupBy("band").agg(F.max("similarity").alias("nearest"))
-        left = met.join(apart, "band").filter((F.col("similarity") < threshold) | (1 - F.col("similarity") >= 1 - F.col("nearest") - width))
-        agg = left.groupBy("band").agg(F.count("*").alias("n"), F.max_by("unit", F.struct("similarity", -F.col("unit"))).alias("leader")).filter("n > 1")
-        left = cut(left.select("band", "unit").join(agg, "band"), "left")
-        if turn % LEADERS:
-            groups = left.select("band", "unit", "leader")
-            continue
-        few, many = left.filter(F.col("n") <= FEW), left.filter(F.col("n") > FEW)
-        others = few.select("band", F.col("unit").alias("leader"))
-        each = few.select("band", "unit").join(others, "band").filter(F.col("leader") < F.col("unit"))
-        each = each.select(F.xxhash64("band", "leader").alias("band"), "unit", "leader")
-        each = each.unionByName(each.select("band", F.col("leader").alias("unit"), "leader"))
-        split = many.select("band", "unit").join(bands.select("unit", F.col("band").alias("other")), "unit").filter(F.col("other") != F.col("band"))
-        split = size(split.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "unit").distinct()).select("band", "unit", F.col("first").alias("leader"))
-        groups = cut(each.select("band", "unit", "leader").unionByName(split), "groups")
+        left = met.join(apart, "band").filter((F.col("similarity") < threshold) | (1 - F.col("similarity") >= 1 - F.col("nearest") - width)).select("band", "unit", "similarity")
+        # Units of one class need no more links among themselves.
+        of = classes(seen.filter(F.col("similarity") >= threshold).select("a", "b"))
+        left = cut(left.join(of, "unit", "left").withColumn("class", F.coalesce("class", "unit")), "left")
+        nearest = F.max_by("unit", F.struct("similarity", -F.col("unit"))).alias("leader")
+        open_bands = left.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), nearest).filter("low != high").select("band", "n", "leader")
+        left = cut(left.select("band", "unit", "class").join(open_bands, "band"), "left")
+        groups = left
+        if turn >= LEADERS:
+            few = left if turn >= ALL else left.filter(F.col("n") <= FEW)
+            other = few.select("band", F.col("unit").alias("other"), F.col("class").alias("other_class"))
+            extra = cut(few.select("band", "unit", "class").join(other, "band").filter("unit < other AND class != other_class").select(F.col("unit").alias("a"), F.col("other").alias("b")).distinct(), "extra")
+            groups = left.filter(F.lit(False)) if turn >= ALL else left.filter(F.col("n") > FEW)
+        groups = groups.select("band", "unit", "leader")
     empty = bands.sparkSession.createDataFrame([], "a long, b long, similarity double")
     return seen.filter(F.col("similarity") >= threshold) if seen is not None else empty
 
