@@ -122,7 +122,7 @@ def test_secrets(spark, tmp_path):
     assert "hunter22" not in clean[1] and clean[3] == "token: abc" and clean[2] is None
 
 
-@pytest.mark.parametrize("block_words", [200_000, 60])
+@pytest.mark.parametrize("block_words", [200_000, 1_500])
 def test_decontamination(spark, block_words):
     docs, items = table(spark, "documents"), table(spark, "benchmark")
     text = items.first()["text"]
