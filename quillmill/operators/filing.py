@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 
+#: A list of at most so many folders is broadcast.
+FOLDERS = 50_000
+
 
 def resolve_folders(learned: DataFrame, folders: DataFrame) -> DataFrame:
     """learned(id, folder) with the path that exists: the same path, else the last path with that name; others are dropped."""
@@ -25,6 +28,23 @@ def lookup_correspondent(names: DataFrame, known: DataFrame) -> DataFrame:
     return hit.select("name", "kid", F.lit("exact").alias("how")).unionByName(fuzzy.select("name", "kid", F.lit("fuzzy").alias("how")))
 
 
+def match_answers(answers: DataFrame, folders: DataFrame) -> DataFrame:
+    """answers(id, answer) with the folder of folders(pos, name) that it equals, else equals in other case, else the first that contains it or that it contains; null if none.
+
+    Only distinct answers without an equal folder meet the list of folders.
+    """
+    same = folders.groupBy(F.col("name").alias("answer")).agg(F.min("pos").alias("pos0"))
+    lower = folders.groupBy(F.lower("name").alias("low")).agg(F.min_by("name", "pos").alias("by_case"))
+    asked = answers.withColumn("low", F.lower("answer")).join(same, "answer", "left").join(lower, "low", "left")
+    open_answers = asked.filter("pos0 IS NULL AND by_case IS NULL AND low IS NOT NULL").select("low").distinct()
+    listed = folders.select("pos", "name", F.lower("name").alias("n"))
+    listed = F.broadcast(listed) if listed.limit(FOLDERS + 1).count() <= FOLDERS else listed
+    partly = open_answers.join(listed, F.contains("n", "low") | F.contains("low", "n")).groupBy("low").agg(F.min_by("name", "pos").alias("by_part"))
+    found = F.when(F.col("pos0").isNotNull(), F.col("answer")).otherwise(F.coalesce("by_case", "by_part"))
+    how = F.when(F.col("pos0").isNotNull(), "exact").when(F.col("by_case").isNotNull(), "case").when(F.col("by_part").isNotNull(), "part")
+    return asked.join(partly, "low", "left").select("id", "answer", found.alias("folder"), how.alias("how"))
+
+
 def unique_paths(moves: DataFrame, existing: DataFrame) -> DataFrame:
     """moves(source, target) with a target of its own: ` (n)` is added where a file or an earlier source has it."""
     taken = existing.select(F.col("path").alias("target"), F.lit(1).alias("taken"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import folded_tokens
@@ -30,6 +30,21 @@ def parse(query: str) -> list[list[str]] | None:
     return out if all(out) else None
 
 
+def snippet(text: Column, query: str, words: int = 30) -> Column:
+    """The words around the first that starts with a term's first token, hits as >>>word<<<, what is cut as `...`; the first words if there is no hit.
+
+    Words are runs without white space and are joined by one space.
+    """
+    starts = [phrase[0] for phrase in parse(query) or []]
+    said = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    is_hit = lambda w: F.exists(folded_tokens(w), lambda t: F.exists(F.array(*[F.lit(s) for s in starts]), lambda s: F.startswith(t, s))) if starts else F.lit(False)
+    marked = F.transform(said, lambda w: F.struct(w.alias("w"), is_hit(w).alias("hit")))
+    first = F.greatest(F.array_position(F.transform(marked, lambda x: x["hit"]), F.lit(True)), F.lit(1))
+    begin = F.greatest(F.lit(1), first - F.lit(words // 2)).cast("int")
+    shown = F.array_join(F.transform(F.slice(marked, begin, F.lit(words)), lambda x: F.when(x["hit"], F.concat(F.lit(">>>"), x["w"], F.lit("<<<"))).otherwise(x["w"])), " ")
+    return F.concat(F.when(begin > 1, "...").otherwise(""), shown, F.when(F.size(said) >= begin + words, "...").otherwise(""))
+
+
 def search(docs: DataFrame, id_col: str, columns: list[str], query: str, limit: int = 50) -> DataFrame:
     """id, rank (smaller is better): phrases with a prefix at their end, joined by AND. Postings of other tokens never leave their task."""
     spark: SparkSession = docs.sparkSession

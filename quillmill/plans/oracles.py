@@ -122,4 +122,13 @@ SELECT output, output || '-' || ln AS source, CAST(g AS INTEGER) AS page, row_nu
     "fts_single": _search("documents", "doc_id", ["text"], ["tk LIKE 'licens%'"]),
     "fts_and": _search("pages", "page_id", ["url", "html"], ["tk LIKE 'div%'", "tk LIKE 'th%'"]),
     "fts_phrase_prefix": _search("documents", "doc_id", ["text"], ["tk = 'mit' AND nx LIKE 'li%'"]),
+    "match_folder_answer": """WITH a AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN substr(n_name, 2, 4) ELSE '?' END AS answer FROM customer JOIN nation ON c_nationkey = n_nationkey),
+m AS (SELECT id, answer, n_name, CASE WHEN n_name = answer THEN 0 WHEN lower(n_name) = lower(answer) THEN 1 WHEN contains(lower(n_name), lower(answer)) OR contains(lower(answer), lower(n_name)) THEN 2 END AS k, n_nationkey FROM a, nation)
+SELECT id, answer, CASE WHEN k IS NOT NULL THEN n_name END AS folder, ['exact', 'case', 'part'][k + 1] AS how FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY k NULLS LAST, n_nationkey) = 1""",
+    "metadata_precedence": """SELECT c_custkey AS id, CASE WHEN c_custkey % 10 <> 0 THEN c_mktsegment END AS korrespondent,
+  CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN '7' WHEN c_custkey % 2 = 0 THEN 'm' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS betrag,
+  CASE WHEN c_custkey % 10 = 0 THEN 'PDF' WHEN c_mktsegment = 'BUILDING' THEN 'gelernt' WHEN c_custkey % 2 = 0 THEN 'Modell' END AS subject,
+  CASE WHEN c_custkey % 10 = 0 THEN 'stored' ELSE 'merged' END AS origin FROM customer""",
+    "settings_folder_list": """WITH e AS (SELECT event_id AS seq, event_type || '/' || user_id AS folder, event_id % 4 = 0 AS gone FROM events)
+SELECT folder, min(seq) AS since FROM e WHERE NOT gone AND seq > coalesce((SELECT max(seq) FROM e AS r WHERE r.folder = e.folder AND r.gone), -1) GROUP BY folder""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import filing, history, search, similarity
+from quillmill.operators import filing, history, metadata, search, similarity
 from quillmill.sources import tables
 from quillmill.sources.tables import table
 from quillmill.streaming import indexing
@@ -331,3 +331,30 @@ def fts_and(spark, d):
 @query
 def fts_phrase_prefix(spark, d):
     return search.search(table(spark, d, "documents"), "doc_id", ["text"], "mit-li").select("id", F.round("rank", 6).alias("rank"))
+
+
+@query
+def match_folder_answer(spark, d):
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"))
+    k = F.col("c_custkey")
+    customer = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("pos"))
+    answer = F.when(k % 4 == 0, F.col("name")).when(k % 4 == 1, F.lower("name")).when(k % 4 == 2, F.substring("name", 2, 4)).otherwise(F.lit("?"))
+    return filing.match_answers(customer.select(k.alias("id"), answer.alias("answer")), nation)
+
+
+@query
+def metadata_precedence(spark, d):
+    k, names = F.col("c_custkey"), ["korrespondent", "betrag", "subject"]
+    c = table(spark, d, "customer")
+    analysis = c.select(k.alias("id"), F.col("c_mktsegment").alias("korrespondent"), k.cast("string").alias("betrag"), F.lit("").alias("subject"))
+    model = c.filter("c_custkey % 2 = 0").select(k.alias("id"), F.lit("").alias("korrespondent"), F.concat(F.lit("m"), k).alias("betrag"), F.lit("Modell").alias("subject"))
+    stored = c.filter("c_custkey % 5 = 0").select(k.alias("id"), F.lit("").alias("korrespondent"), F.lit("").alias("betrag"), F.when(k % 10 == 0, "PDF").otherwise("").alias("subject"))
+    learned = spark.createDataFrame([("BUILDING", "", "gelernt"), ("MACHINERY", "7", "")], "korrespondent string, betrag string, subject string")
+    return metadata.precedence(analysis, model, learned, stored, "id", names)
+
+
+@query
+def settings_folder_list(spark, d):
+    e = table(spark, d, "events")
+    action = F.when(F.col("event_id") % 4 == 0, "remove").otherwise("add")
+    return metadata.folder_list(e.select(F.col("event_id").alias("seq"), F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("folder"), action.alias("action")))
