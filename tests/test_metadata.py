@@ -59,3 +59,9 @@ def test_pdf_readers(spark):
     assert got == {"/x/a.pdf": ("a\nb", False), "/x/b.pdf": ("read 5", True), "/x/c.pdf": ("", False), "/x/d.pdf": ("read 5", True)}
     told = {r["filename"]: (r["title"], r["page_count"], r["file_size"]) for r in pdf.information(files, lambda c: {"title": "T", "page_count": len(pages(c))}).collect()}
     assert told == {"a.pdf": ("T", "2", 3), "b.pdf": ("T", "1", 1), "c.pdf": (None, None, 0), "d.pdf": (None, None, 2)}
+
+
+def test_with_learned(spark):
+    docs = spark.createDataFrame([(1, "A", "own"), (2, "B", "own"), (3, None, "own")], "id long, korrespondent string, kategorie string")
+    learned = spark.createDataFrame([("A", "learned"), ("B", "")], "korrespondent string, kategorie string")
+    assert {r["id"]: r["kategorie"] for r in metadata.with_learned(docs, learned, "korrespondent", ["kategorie"]).collect()} == {1: "learned", 2: "own", 3: "own"}
