@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 
-#: A list of at most so many folders is broadcast.
-FOLDERS = 50_000
+#: A list of at most so many folders or correspondents is broadcast.
+LISTED = 50_000
 
 
 def resolve_folders(learned: DataFrame, folders: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def lookup_correspondent(names: DataFrame, known: DataFrame) -> DataFrame:
     exact = names.join(known.select("kid", F.col("korrespondent").alias("name")).groupBy("name").agg(F.min("kid").alias("kid")), "name", "left")
     hit, miss = exact.filter("kid IS NOT NULL"), exact.filter("kid IS NULL").select("name")
     k, n = F.lower("korrespondent"), F.lower("name")
-    fuzzy = miss.join(F.broadcast(known), k.contains(n) | n.contains(k)).groupBy("name").agg(F.min("kid").alias("kid"))
+    listed = F.broadcast(known) if known.limit(LISTED + 1).count() <= LISTED else known
+    fuzzy = miss.join(listed, k.contains(n) | n.contains(k)).groupBy("name").agg(F.min("kid").alias("kid"))
     return hit.select("name", "kid", F.lit("exact").alias("how")).unionByName(fuzzy.select("name", "kid", F.lit("fuzzy").alias("how")))
 
 
@@ -38,7 +39,7 @@ def match_answers(answers: DataFrame, folders: DataFrame) -> DataFrame:
     asked = answers.withColumn("low", F.lower("answer")).join(same, "answer", "left").join(lower, "low", "left")
     open_answers = asked.filter("pos0 IS NULL AND by_case IS NULL AND low IS NOT NULL").select("low").distinct()
     listed = folders.select("pos", "name", F.lower("name").alias("n"))
-    listed = F.broadcast(listed) if listed.limit(FOLDERS + 1).count() <= FOLDERS else listed
+    listed = F.broadcast(listed) if listed.limit(LISTED + 1).count() <= LISTED else listed
     partly = open_answers.join(listed, F.contains("n", "low") | F.contains("low", "n")).groupBy("low").agg(F.min_by("name", "pos").alias("by_part"))
     found = F.when(F.col("pos0").isNotNull(), F.col("answer")).otherwise(F.coalesce("by_case", "by_part"))
     how = F.when(F.col("pos0").isNotNull(), "exact").when(F.col("by_case").isNotNull(), "case").when(F.col("by_part").isNotNull(), "part")
