@@ -4,9 +4,8 @@ Counts of every token of all training documents are gathered first. The commones
 vocabulary, in classes of equal size by frequency: the output is P(class) * P(word in class). All other words
 are one symbol of the network, and share its probability by their smoothed counts, so the score is a
 probability of the very text. Training is truncated backpropagation (windows of `window` steps; the state goes
-on from window to window) on a share of 1 / `train_every` of the training documents, drawn by hash, so it
-grows with the corpus: each task trains on its documents from common parameters, and the parameters are
-averaged, weighted by tokens, through a tree of sums; `rounds` times.
+on from window to window) on every training document: each task trains on its documents from common
+parameters, and the parameters are averaged, weighted by tokens, through a tree of sums; `rounds` times.
 
 Scoring carries each document's state across windows to its end, so length costs time but no memory. Counts
 of words beyond the `listed` commonest are joined by word; those words are rare, so no key is large.
@@ -220,7 +219,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def log_likelihood(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10, n_classes: int = 32, class_size: int = 32,
-    hidden: int = 16, window: int = 16, train_every: int = 32, rounds: int = 2, listed: int = 100_000,
+    hidden: int = 16, window: int = 16, rounds: int = 2, listed: int = 100_000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
@@ -255,8 +254,7 @@ def log_likelihood(
         words, index = tokens(text), shared.value[0]
         return words, np.fromiter((index.get(w, -1) for w in words), dtype=np.int64, count=len(words))
 
-    sampled = training.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(train_every)) == 0)
-    n_parts = max(1, sampled.rdd.getNumPartitions())
+    n_parts = max(1, training.rdd.getNumPartitions())
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(net.flat())
 
@@ -269,7 +267,7 @@ def log_likelihood(
                 parts = [data[a : a + 65_536].tobytes() for a in range(0, len(data), 65_536)]
                 yield pd.DataFrame({"chunk": np.arange(len(parts)), "part": TaskContext.get().partitionId(), "data": parts})
 
-        added = tree_sum(sampled.select("text").mapInPandas(fit, "chunk int, part long, data binary"), "<f8", n_parts).collect()  # the parameters
+        added = tree_sum(training.select("text").mapInPandas(fit, "chunk int, part long, data binary"), "<f8", n_parts).collect()  # the parameters
         if added:
             data = np.concatenate([np.frombuffer(r["data"], "<f8") for r in sorted(added, key=lambda r: r["chunk"])])
             net.load(data[:-1] / data[-1])

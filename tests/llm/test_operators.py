@@ -85,6 +85,20 @@ def test_language_model(spark):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_language_model_learns_from_every_training_document(spark, tmp_path, monkeypatch):
+    rows = [(i, f"w{i} " * 5) for i in range(40)]
+    seen, inner = str(tmp_path / "seen"), lm.train
+
+    def train(net, coded, end, steps):
+        with open(seen, "a") as out:
+            out.write("".join(f"{len(x)}\n" for x in coded))
+        return inner(net, coded, end, steps)
+
+    monkeypatch.setattr(lm, "train", train)
+    lm.log_likelihood(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1)
+    assert len(open(seen).read().split()) == sum(zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows)
+
+
 def test_language_id(spark):
     docs = table(spark, "documents").select("doc_id", "text", "lang")
     got = langid.identify(docs.unionByName(spark.createDataFrame([(9001, None, "en"), (9002, "12 34", None)], "doc_id long, text string, lang string")))
