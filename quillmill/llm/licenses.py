@@ -1,18 +1,20 @@
 """License scan by conditional compression.
 
-Candidate blocks are the lines, and paragraphs of several lines, that hold a word of license talk. A block is
-compressed alone and with each template as a raw zstandard dictionary; templates are ranked by how much of the
-compressed size they save. The leaders, best first, are then held against the block word by word: all of a
-template's words but a small share must follow one another in the block, in order, and what differs is listed.
+Candidates are windows about as long as a template around every mark of license talk, overlapping by more than
+a notice, whatever line or paragraph they lie in. A window is compressed alone and with the template as a raw
+zstandard dictionary; what that saves is measured against what the template saves on itself. Where it is enough, the
+window is held against the template word by word: all of its words but a small share must follow one another, in
+order, and what differs is listed. Every notice confirmed is reported; of overlapping ones that with the most words.
 
-Texts are read whole where they lie; nothing is shuffled. Equal blocks are judged once a task.
+Texts are read whole where they lie; nothing is shuffled. Equal windows are judged once a task.
 
-Defined cases: null and empty texts have no candidates; ties between templates go to the longer, then the
-first by name; repeated rows are separate; an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty texts have no candidates; ties between templates go to the greater
+saving, then the first by name; repeated rows are separate; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import functools
 import re
@@ -43,9 +45,11 @@ TEMPLATES = {
 CUES = ("license", "licence", "licensed", "spdx", "permission is hereby granted", "permission to use", "redistribution and use", "public domain", "free software")
 
 _WORD = re.compile(r"[^\W_]+")
-#: Of the ranked templates so many are held against the words; and a template may miss this share of its words.
-CONFIRM, MISSING = 4, 0.15
-#: The least share of compressed size that a template must save.
+#: The cues, whatever stands between their words (a line break, a comment mark).
+_CUE = re.compile("|".join(r"[\W_]+".join(c.split()) for c in CUES), re.I)
+#: A template may miss this share of its words.
+MISSING = 0.15
+#: The least saving, as a share of what the template saves on itself.
 REDUCTION = 0.10
 SCHEMA = "doc_id long, n_candidates long, n_confirmed long, licenses string, findings array<struct<start:long,end:long,template:string,reduction:double,missing:array<string>,extra:array<string>>>"
 
@@ -60,74 +64,87 @@ def _tools() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompress
     return zstandard.ZstdCompressor(level=6, write_content_size=False), with_template, {k: _words(v) for k, v in TEMPLATES.items()}
 
 
-def rank(block: str) -> list[tuple[float, str]]:
-    """(share of compressed size saved, template), best first."""
-    alone, with_template, words = _tools()
-    raw = block.encode("utf-8", "surrogatepass")
-    size = len(alone.compress(raw))
-    saved = [(1 - len(c.compress(raw)) / size, k) for k, c in with_template.items()]
-    return sorted(saved, key=lambda x: (-x[0], -len(words[x[1]]), x[1]))
+def _saved(text: str, name: str) -> int:
+    """Bytes that a template saves where it is the dictionary."""
+    alone, with_template, _ = _tools()
+    raw = text.encode("utf-8", "surrogatepass")
+    return len(alone.compress(raw)) - len(with_template[name].compress(raw))
 
 
-def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
-    """Template words that the block misses, and block words that stand between those it has."""
+@functools.cache
+def _own(name: str) -> int:
+    return _saved(TEMPLATES[name], name)
+
+
+def best_match(block: list[str], template: list[str]) -> tuple[int, int, list[str], list[str], tuple[int, int]] | None:
+    """(start, end) of the words that match best, template words they miss, words that stand between, and the longest run."""
     matches = [m for m in difflib.SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
     if not matches:
-        return template, []
+        return None
+    longest = max(matches, key=lambda m: m.size)
+    between = lambda ms: ms[-1].a + ms[-1].size - ms[0].a - sum(m.size for m in ms)
+    while len(matches) > 1 and between(matches) > max(1, MISSING * len(template)):  # a stray word far off is no part of the notice
+        ends = [i for i in (0, -1) if matches[i] is not longest]
+        gap = {0: matches[1].a - matches[0].a - matches[0].size, -1: matches[-1].a - matches[-2].a - matches[-2].size}
+        del matches[max(ends, key=lambda i: gap[i] / matches[i].size)]
     have = {i for m in matches for i in range(m.b, m.b + m.size)}
     used = {i for m in matches for i in range(m.a, m.a + m.size)}
-    inner = range(matches[0].a, matches[-1].a + matches[-1].size)
-    return [w for i, w in enumerate(template) if i not in have], [block[i] for i in inner if i not in used]
+    start, end = matches[0].a, matches[-1].a + matches[-1].size
+    return start, end, [w for i, w in enumerate(template) if i not in have], [block[i] for i in range(start, end) if i not in used], (longest.a, longest.a + longest.size)
 
 
 @functools.lru_cache(maxsize=4096)
-def judge(block: str) -> tuple[str, float, tuple[str, ...], tuple[str, ...]] | None:
-    """The template that a block words, with the saving and the differences."""
-    words, templates = _words(block), _tools()[2]
-    for saving, name in rank(block)[:CONFIRM]:
-        if saving < REDUCTION:
-            break
-        template = templates[name]
-        missing, extra = differences(words, template)
+def judge(block: str, name: str) -> tuple[tuple[int, int, tuple], ...]:
+    """Every place of a block that words the template: (start, end, (name, saving, missing, extra))."""
+    if _saved(block, name) < REDUCTION * _own(name):
+        return ()
+    spans, template, found = [m.span() for m in _WORD.finditer(block)], _tools()[2][name], []
+    words = [block[a:b].lower() for a, b in spans]
+    todo = [(0, len(words))]
+    while todo:
+        low, high = todo.pop()
+        match = best_match(words[low:high], template) if high - low >= (1 - MISSING) * len(template) else None
+        if not match:
+            continue
+        start, end, missing, extra, cut = match
         if len(missing) <= MISSING * len(template) and len(extra) <= max(1, MISSING * len(template)):
-            return name, saving, tuple(missing), tuple(extra)
-    return None
-
-
-def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of lines with a cue and of paragraphs of several lines around them."""
-    low = text.lower()
-    if len(low) != len(text):  # a letter whose lower case is longer
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    spans = set()
-    for cue in CUES:
-        at = low.find(cue)
-        while at >= 0:
-            start, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
-            spans.add((start, len(text) if end < 0 else end))
-            top, bottom = text.rfind("\n\n", 0, at), text.find("\n\n", at)
-            spans.add((top + 2 if top >= 0 else 0, len(text) if bottom < 0 else bottom))
-            at = low.find(cue, at + 1)
-    return sorted(spans)
-
-
-def pieces(text: str, start: int, end: int, longest: int = 4_000) -> Iterator[tuple[int, int]]:
-    """A block itself, or overlapping windows of it if it is longer than any license notice."""
-    if end - start <= longest:
-        yield start, end
-    else:
-        for a in range(start, end, longest // 2):
-            if any(c in text[a : a + longest].lower() for c in CUES):
-                yield a, min(end, a + longest)
+            a, b, cut = spans[low + start][0], spans[low + end - 1][1], (start, end)
+            saving = _saved(block[a:b], name) / _own(name)
+            if saving >= REDUCTION:
+                found.append((a, b, (name, saving, tuple(missing), tuple(extra))))
+        todo += [(low, low + cut[0]), (low + cut[1], high)]
+    return tuple(found)
+
+
+def windows(text: str, cues: list[int], name: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of windows such that a notice around any of the cues lies whole in one of them."""
+    reach, done = len(TEMPLATES[name]) * 3 // 2 + 40, -1
+    for at in cues:
+        if at > done:
+            start, end = max(0, at - reach), min(len(text), at + 3 * reach)
+            while start and not text[start - 1].isspace() and at - start < 2 * reach:
+                start -= 1
+            yield start, end
+            done = at + 2 * reach
 
 
 def scan_text(text: str | None) -> tuple[int, list[tuple[int, int, tuple]]]:
+    cues = [m.start() for m in _CUE.finditer(text or "")]
+    blocks, confirmed = set(), set()
+    for name in TEMPLATES if cues else ():
+        for a, b in windows(text, cues, name):
+            blocks.add((a, b))
+            confirmed |= {(a + x, a + y, verdict) for x, y, verdict in judge(text[a:b], name)}
+    words = _tools()[2]
+    size = lambda v: len(words[v[0]]) - 2 * len(v[2]) - len(v[3])
     found: list[tuple[int, int, tuple]] = []
-    blocks = sorted({p for s in candidates(text or "") for p in pieces(text, *s)}, key=lambda s: (s[1] - s[0], s))
-    for a, b in blocks:
-        verdict = judge(text[a:b])
-        if verdict and not any(v[0] == verdict[0] and a <= x and y <= b for x, y, v in found):
-            found.append((a, b, verdict))
+    taken: list[tuple[int, int]] = []  # disjoint, in order
+    for a, b, v in sorted(confirmed, key=lambda f: (-size(f[2]), -f[2][1], f[2][0], f[0])):
+        i = bisect.bisect(taken, (a, b))
+        if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b):
+            continue
+        taken.insert(i, (a, b))
+        found.append((a, b, v))
     return len(blocks), sorted(found)
 
 

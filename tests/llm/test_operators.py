@@ -12,7 +12,7 @@ pytest.importorskip("quillmill.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from quillmill.llm import ann, chat, decontaminate, langid, lm, mixing, neardup, queries, repeats, secrets, suffixes  # noqa: E402
+from quillmill.llm import ann, chat, decontaminate, langid, licenses, lm, mixing, neardup, queries, repeats, secrets, suffixes  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, extra string"
@@ -136,6 +136,19 @@ def test_secrets(spark, tmp_path):
     assert "hunter22" not in clean[1] and clean[3] == "token: abc" and clean[2] is None
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_license_inside_a_running_line(name):
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
+    notice = licenses.TEMPLATES[name]
+    for n in (0, 30, 250, 700):
+        before = prose(n) + " "
+        text = f"{before}{notice} {prose(n)}\n{prose(9)} {licenses.TEMPLATES['MIT-line']} {prose(60)} {notice} {prose(9)}"
+        found = licenses.scan_text(text)[1]
+        assert [v[0] for *_, v in found] == [name, "MIT-line", name]
+        assert found[0][0] == len(before) and not any(v[2] or v[3] for *_, v in found)
+
+
 @pytest.mark.parametrize("block_words", [200_000, 1_500])
 def test_decontamination(spark, block_words):
     docs, items = table(spark, "documents"), table(spark, "benchmark")
