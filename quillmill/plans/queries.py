@@ -12,6 +12,13 @@ from quillmill.sources.tables import table
 from quillmill.streaming import indexing
 
 QUERIES = {}
+#: Queries over the whole job that have no SQL beside them; tested by brute force.
+WHOLE = {}
+
+
+def whole(f):
+    WHOLE[f.__name__] = f
+    return f
 
 
 def query(f):
@@ -256,6 +263,31 @@ def suggest(spark, d):
     return found.select("query", "folder", F.round("confidence", 6).alias("confidence"), "rank")
 
 
+@whole
+def suggest_by_text_all(spark, d):
+    docs = table(spark, d, "documents").filter("source IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("source").alias("folder"), "text")
+    found = similarity.by_text_of_others(docs, docs.filter("id % 20 = 0").select(F.col("id").alias("query")))
+    return found.select("query", "folder", F.round("score", 6).alias("score"), "rank")
+
+
+@whole
+def suggest_by_keywords_all(spark, d):
+    h = tables.history(spark, d)
+    found = similarity.by_keywords_of_others(h, h.filter("id % 20 = 0").select(F.col("id").alias("query")))
+    return found.select("query", "folder", F.round("confidence", 6).alias("confidence"), "rank")
+
+
+@whole
+def suggest_all(spark, d):
+    h = tables.history(spark, d)
+    q = h.filter("id % 20 = 0").select(F.col("id").alias("query"))
+    text = similarity.by_text_of_others(h.select("id", F.col("target_folder").alias("folder"), F.col("extracted_text").alias("text")), q)
+    stats = history.folder_stats(h).orderBy(F.desc("usage_count"), "path").limit(5)
+    often = stats.select(F.col("path").alias("folder"), F.least(F.col("usage_count") / 100, F.lit(0.3)).alias("confidence"), F.row_number().over(Window.orderBy(F.desc("usage_count"), "path")).alias("place"))
+    found = similarity.suggested(q, text, similarity.by_keywords_of_others(h, q), often)
+    return found.select("query", "folder", F.round("confidence", 6).alias("confidence"), "rank")
+
+
 @query
 def merge_hybrid(spark, d):
     c = table(spark, d, "customer")
