@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def with_overlap(log: DataFrame, keywords: list[str]) -> DataFrame:
@@ -47,3 +48,10 @@ def learned_fields(events: DataFrame, key: str, fields: list[str], order: list[s
 def last_used(log: DataFrame, limit: int = 20) -> DataFrame:
     """Folders by latest use."""
     return log.groupBy("target_folder").agg(F.max(F.struct("created_at", "id")).alias("at")).orderBy(F.desc("at")).limit(limit).select("target_folder", F.col("at.created_at").alias("last_used"))
+
+
+def newest_first(log: DataFrame) -> DataFrame:
+    """Every entry with its number n in the order newest first; numbered across sorted partitions, never in one task."""
+    rows = log.orderBy(F.desc("created_at"), F.desc("id"))
+    schema = StructType([*log.schema.fields, StructField("n", LongType())])
+    return log.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)

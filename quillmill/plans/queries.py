@@ -39,6 +39,11 @@ def scan_newest_first(spark, d):
     return tables.history(spark, d).withColumn("n", F.row_number().over(order)).filter("n <= 10").select("target_folder", "id", "created_at", "n")
 
 
+@whole
+def scan_newest_first_all(spark, d):
+    return history.newest_first(tables.history(spark, d)).select("target_folder", "id", "created_at", "n")
+
+
 @query
 def entries_for_folder(spark, d):
     return tables.history(spark, d).filter(F.col("target_folder") == "/archiv/click/3").select("id", "original_filename")
@@ -233,6 +238,11 @@ def tfidf_vocabulary(spark, d):
     return similarity.vocabulary(similarity.terms(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))), 500)
 
 
+@whole
+def tfidf_vocabulary_documents(spark, d):
+    return similarity.vocabulary(similarity.terms(table(spark, d, "documents")))
+
+
 @query
 def suggest_by_text(spark, d):
     docs, training, counted, model = _model(spark, d)
