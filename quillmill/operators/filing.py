@@ -46,13 +46,29 @@ def match_answers(answers: DataFrame, folders: DataFrame) -> DataFrame:
     return asked.join(partly, "low", "left").select("id", "answer", found.alias("folder"), how.alias("how"))
 
 
+#: Suffix of a path's last name (none where the name begins with its only dot), and the number at the end of a stem.
+_SUFFIX, _NUMBER = r"((?<=[^/])\.[^./]+)?\z", r" \(([1-9][0-9]{0,8})\)\z"
+
+
 def unique_paths(moves: DataFrame, existing: DataFrame) -> DataFrame:
-    """moves(source, target) with a target of its own: ` (n)` is added where a file or an earlier source has it."""
-    taken = existing.select(F.col("path").alias("target"), F.lit(1).alias("taken"))
-    nth = F.row_number().over(Window.partitionBy("target").orderBy("source")) - 1
-    n = nth + F.coalesce("taken", F.lit(0))
-    stem = F.regexp_replace("target", r"\.[^.]*$", "")
-    return moves.join(taken, "target", "left").select("source", F.when(n == 0, F.col("target")).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), F.regexp_extract("target", r"(\.[^.]*)$", 1))).alias("target"))
+    """moves(source, target) with a target of its own: ` (n)` with the next free n where a file or an earlier source has it.
+
+    Numbered names that exist, or that are another move's own target, are not free.
+    """
+    files = existing.select(F.col("path").alias("target")).distinct()
+    names = files.union(moves.select("target")).distinct().withColumn("suffix", F.regexp_extract("target", _SUFFIX, 1))
+    names = names.withColumn("stem", F.expr("substring(target, 1, length(target) - length(suffix))")).withColumn("number", F.regexp_extract("stem", _NUMBER, 1))
+    used = names.filter("number != ''").select(F.concat(F.regexp_replace("stem", _NUMBER, ""), "suffix").alias("target"), F.col("number").cast("long").alias("number"))
+    # So many free numbers lie below each number used; the k-th free number is k and the used ones with fewer than k below.
+    by = Window.partitionBy("target")
+    used = used.select("target", F.lit(None).alias("source"), (F.col("number") - F.row_number().over(by.orderBy("number"))).alias("k"), F.lit(1).alias("used"))
+    nth = F.row_number().over(by.orderBy("source")) - 1 + F.coalesce("taken", F.lit(0))
+    asked = moves.join(files.withColumn("taken", F.lit(1)), "target", "left").select("target", "source", nth.cast("long").alias("k"), F.lit(0).alias("used"))
+    both = asked.unionByName(used.select("target", F.col("source").cast(moves.schema["source"].dataType).alias("source"), "k", "used"))
+    below = F.sum("used").over(by.orderBy("k", "used").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("n", F.col("k") + below).filter("used = 0").withColumn("suffix", F.regexp_extract("target", _SUFFIX, 1))
+    stem = F.expr("substring(target, 1, length(target) - length(suffix))")
+    return found.select("source", F.when(F.col("k") == 0, F.col("target")).otherwise(F.concat(stem, F.lit(" ("), F.col("n").cast("string"), F.lit(")"), "suffix")).alias("target"))
 
 
 def split_plan(files: DataFrame) -> DataFrame:

@@ -78,6 +78,14 @@ def test_unique_paths(spark):
     assert {r["source"]: r["target"] for r in got.collect()} == {"s1": "a (1).pdf", "s2": "a (2).pdf", "s3": "b.pdf"}
 
 
+def test_unique_paths_pass_over_numbered_names(spark):
+    moves = [(f"s{i:02}", t) for i, t in enumerate(["a.pdf", "a.pdf", "a.pdf", "b.pdf", "b.pdf", "b (1).pdf", "/x.y/c", "/x.y/c", "b (1).pdf", "d.pdf", "d.pdf"])]
+    files = ["a.pdf", "a (1).pdf", "a (3).pdf", "b (2).pdf", "d (1).pdf"]
+    got = filing.unique_paths(spark.createDataFrame(moves, "source string, target string"), spark.createDataFrame([(f,) for f in files], "path string"))
+    got = {r["source"]: r["target"] for r in got.collect()}
+    assert [got[s] for s, _ in moves] == ["a (2).pdf", "a (4).pdf", "a (5).pdf", "b.pdf", "b (3).pdf", "b (1).pdf", "/x.y/c", "/x.y/c (1)", "b (1) (1).pdf", "d.pdf", "d (2).pdf"]
+
+
 def test_stream_index(spark, tmp_path):
     rows = spark.createDataFrame([(1, "Rechnung vom 3.2.24 Muster GmbH"), (2, None)], "doc_id long, text string")
     rows.write.parquet(str(tmp_path / "in"))
