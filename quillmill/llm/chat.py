@@ -8,9 +8,12 @@ The template writes `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Inside
 becomes `\\\\` and `<|` becomes `<\\|` (and a line break in a role `\\n`), so no text can hold a control
 string and reading back gives the same turns.
 
-Defined cases: null text and null role are empty; a null conversation id is one conversation; turns are
+A conversation is (conv_id, conv_key): whole ids are conv_id; any other id is conv_key as it is; a record that
+holds a whole conversation and has no id gets a conv_key of its own.
+
+Defined cases: null text and null role are empty; rows without conversation id are one conversation; turns are
 ordered by turn (null first), then position within the record, role and text, so repeated rows and ties
-have one order; a record of no known layout gives no turn; an empty table gives an empty result.
+have one order; a record of no known layout gives no turn (see unmatched); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,7 @@ LAYOUTS = [
     {"name": "question", "needs": ["question", "answer"], "id": "id", "turns": [("system", "context"), ("user", "question"), ("assistant", "answer")]},
     {"name": "nested", "needs": ["data", "data.prompt", "data.response"], "id": "id", "turns": [("user", "data.prompt"), ("assistant", "data.response")]},
 ]
-TURNS = "conv_id long, turn long, part int, role string, text string, layout string"
+TURNS = "conv_id long, conv_key string, turn long, part int, role string, text string, layout string"
 
 
 def field_paths(value: object, at: str = "") -> set[str]:
@@ -73,6 +77,15 @@ def _whole(value: object) -> int | None:
     return int(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
 
 
+def _ids(value: object) -> tuple[int | None, str | None]:
+    """(conv_id, conv_key) of an id."""
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    if isinstance(value, int) and not isinstance(value, bool) and -(1 << 63) <= value < 1 << 63:
+        return value, None
+    return None, None if value is None else f"id {_string(value)}" if isinstance(value, str) else f"json {_string(value)}"
+
+
 def turns_of(record: dict, layout: dict) -> list[tuple[int | None, int, str, str]]:
     """(turn, part, role, text) of one record."""
     rename = layout.get("roles", {})
@@ -92,34 +105,50 @@ def turns_of(record: dict, layout: dict) -> list[tuple[int | None, int, str, str
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: list[dict] = LAYOUTS) -> DataFrame:
-    """conv_id, turn, part, role, text, layout from a column of JSON objects."""
+    """conv_id, conv_key, turn, part, role, text, layout from a column of JSON objects."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, dict | None] = {}
+        n, part = 0, TaskContext.get().partitionId()
         for frame in frames:
             rows = []
             for raw in frame[record_col]:
+                n += 1
                 record = json.loads(raw) if raw is not None else None
                 paths = field_paths(record)
                 if (key := fingerprint(paths)) not in known:
                     known[key] = layout_for(paths, layouts)
                 if layout := known[key]:
-                    rows += [(_whole(_at(record, layout["id"])), *t, layout["name"]) for t in turns_of(record, layout)]
-            out = pd.DataFrame(rows, columns=["conv_id", "turn", "part", "role", "text", "layout"])
+                    ids = _ids(_at(record, layout["id"]))
+                    if ids == (None, None) and "one" not in layout:
+                        ids = None, f"record {part} {n}"
+                    rows += [(*ids, *t, layout["name"]) for t in turns_of(record, layout)]
+            out = pd.DataFrame(rows, columns=["conv_id", "conv_key", "turn", "part", "role", "text", "layout"])
             yield out.astype({"conv_id": "Int64", "turn": "Int64"})
 
     return records.select(record_col).mapInPandas(read, TURNS)
 
 
+def unmatched(records: DataFrame, record_col: str = "record", layouts: list[dict] = LAYOUTS) -> DataFrame:
+    """record, fingerprint of the records of no known layout."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            paths = [(raw, field_paths(json.loads(raw) if raw is not None else None)) for raw in frame[record_col]]
+            yield pd.DataFrame([(raw, fingerprint(p)) for raw, p in paths if not layout_for(p, layouts)], columns=["record", "fingerprint"])
+
+    return records.select(record_col).mapInPandas(read, "record string, fingerprint string")
+
+
 def _escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted: one row a conversation."""
+    """conv_id, conv_key, formatted: one row a conversation."""
     ordered = F.sort_array(F.collect_list(F.struct("turn", "part", "role", "text")))
     piece = lambda t: F.concat(F.lit("<|im_start|>"), F.replace(_escaped(t["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"), _escaped(t["text"]), F.lit("<|im_end|>\n"))
-    return turns.groupBy("conv_id").agg(ordered.alias("turns")).select("conv_id", F.concat_ws("", F.transform("turns", piece)).alias("formatted"))
+    return turns.groupBy("conv_id", "conv_key").agg(ordered.alias("turns")).select("conv_id", "conv_key", F.concat_ws("", F.transform("turns", piece)).alias("formatted"))
 
 
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -157,4 +186,4 @@ def digests(formatted: DataFrame) -> DataFrame:
                 rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
             yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
-    return formatted.mapInPandas(read, DIGESTS)
+    return formatted.select("conv_id", "formatted").mapInPandas(read, DIGESTS)

@@ -180,6 +180,18 @@ def test_chat_round_trip(spark):
     assert back == {5: [("user", said), ("assistant", "ja")], 6: [("user", "p"), ("assistant", "r")]}
 
 
+def test_chat_ids_and_unknown_layouts(spark):
+    records = [
+        '{"id":"a","messages":[{"role":"user","content":"1"}]}', '{"id":"b","conversations":[{"from":"human","value":"2"}]}', '{"instruction":"3","output":"o"}', '{"instruction":"3","output":"o"}',
+        '{"id":null,"prompt":"4","completion":"o"}', '{"id":5.5,"question":"5","answer":"o"}', '{"id":"5","data":{"prompt":"6","response":"o"}}', '{"id":5,"prompt":"7","response":"o"}',
+        '{"conv_id":"r","turn":0,"role":"user","text":"8"}', '{"conv_id":"r","turn":1,"role":"assistant","text":"o"}', '{"unknown":1}',
+    ]
+    df = spark.createDataFrame([(r,) for r in records], "record string")
+    turns = [[text for text in (chat.unescape(r["formatted"][a:b]) for _, a, b in chat.read_back(r["formatted"]))] for r in chat.format_turns(chat.canonical_turns(df)).collect()]
+    assert sorted(turns) == [["1"], ["2"], ["3", "o"], ["3", "o"], ["4", "o"], ["5", "o"], ["6", "o"], ["7", "o"], ["8", "o"]]
+    assert [tuple(r) for r in chat.unmatched(df).collect()] == [('{"unknown":1}', chat.fingerprint({"unknown"}))]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert repeats.remove_repeats(docs).count() == neardup.near_duplicates(docs).count() == lm.log_likelihood(docs).count() == langid.identify(docs).count() == mixing.mix(docs).count() == 0
