@@ -82,8 +82,11 @@ def merge_plan(lists: DataFrame, pages: DataFrame) -> DataFrame:
     return each.select("output", "source", "page", F.row_number().over(Window.partitionBy("output").orderBy("pos", "page")).alias("new_page"))
 
 
-def rename_candidates(docs: DataFrame, most: int = 6) -> DataFrame:
-    """docs(doc_id, filename, text) with ranked names: by rule 0.6, category and number 0.4, date and category 0.5, date 0.3."""
+def rename_candidates(docs: DataFrame, most: int = 6, learned: DataFrame | None = None) -> DataFrame:
+    """docs(doc_id, filename, text) with ranked names: by rule 0.6, category and number 0.4, date and category 0.5, date 0.3.
+
+    Of learned(doc_id, name, place) the first three of each document join them at 0.7; of equal names the rule's stays.
+    """
     # Columns of their own, so each rule runs once a document.
     read = docs.select("doc_id", "text", "filename", F.get(T.categories(F.col("text")), F.lit(0)).alias("kind"), F.get(T.dates(F.col("text")), F.lit(0)).alias("newest"))
     read = read.select("doc_id", T.capitalised(F.col("kind")).alias("kind"), F.date_format("newest", "yyyy-MM-dd").alias("day"), T.number_in_stem(F.col("filename")).alias("number"), T.with_pdf(T.suggested_name(F.col("text"), F.col("filename"), F.col("kind"), F.col("newest"))).alias("rule"))
@@ -93,6 +96,9 @@ def rename_candidates(docs: DataFrame, most: int = 6) -> DataFrame:
         option(2, F.concat("day", F.lit(" "), "kind", F.lit(".pdf")), 0.5), option(3, F.concat("kind", F.lit(" Nr"), "number", F.lit(".pdf")), 0.4),
     )
     each = read.select("doc_id", F.explode(options).alias("o")).select("doc_id", "o.*").filter("name IS NOT NULL")
+    if learned is not None:
+        top = learned.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "name"))).filter("n <= 3")
+        each = each.unionByName(top.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", (F.col("n") + 3).alias("no"), "name", F.lit(0.7).alias("confidence")))
     once = each.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", F.lower("name")).orderBy("no"))).filter("n = 1")
     order = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "no")
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("doc_id", "name", "confidence", "rank")

@@ -86,6 +86,14 @@ def test_unique_paths_pass_over_numbered_names(spark):
     assert [got[s] for s, _ in moves] == ["a (2).pdf", "a (4).pdf", "a (5).pdf", "b.pdf", "b (3).pdf", "b (1).pdf", "/x.y/c", "/x.y/c (1)", "b (1) (1).pdf", "d.pdf", "d (2).pdf"]
 
 
+def test_learned_names_rank_first(spark):
+    docs = spark.createDataFrame([(1, "scan 123.pdf", "Rechnung Nr 123 vom 3.2.2024")], "doc_id long, filename string, text string")
+    learned = spark.createDataFrame([(1, f"gelernt {i}.pdf", i) for i in range(5)] + [(2, "fremd.pdf", 0)], "doc_id long, name string, place int")
+    rules = [r["name"] for r in filing.rename_candidates(docs).orderBy("rank").collect()]
+    got = [(r["name"], r["confidence"]) for r in filing.rename_candidates(docs, 6, learned).orderBy("rank").collect()]
+    assert got[:3] == [(f"gelernt {i}.pdf", 0.7) for i in range(3)] and [n for n, _ in got[3:]] == rules[:3]
+
+
 def test_stream_index(spark, tmp_path):
     rows = spark.createDataFrame([(1, "Rechnung vom 3.2.24 Muster GmbH"), (2, None)], "doc_id long, text string")
     rows.write.parquet(str(tmp_path / "in"))
