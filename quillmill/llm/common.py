@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A dimension table of at most this many (narrow) rows is broadcast; a larger one is joined by salted keys.
 BROADCAST_ROWS = 50_000
@@ -64,20 +66,56 @@ def join_dimension(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner"
 FANIN = 32
 
 
-def tree_sum(parts: DataFrame, kind: str, n_parts: int, fanin: int = FANIN) -> DataFrame:
-    """Sum arrays (columns: chunk int, part long, data binary holding numbers of that numpy kind) over parts, in a tree of `fanin` branches."""
+def tree_sum(parts: DataFrame, kind: str, fanin: int = FANIN) -> DataFrame:
+    """Sum arrays (columns: chunk int, part long, data binary holding numbers of that numpy kind) over parts, in a tree of `fanin` branches.
+
+    The parts are written first, so they are computed once and the depth of the tree follows from what was written.
+    """
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, dtype=kind).copy() for x in frame["data"])
         return pd.DataFrame({"chunk": [frame["chunk"].iloc[0]], "part": [frame["part"].iloc[0] // fanin], "data": [np.asarray(total, dtype=kind).tobytes()]})
 
+    parts = cut(parts, "parts")
+    n = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         parts = parts.withColumn("up", F.floor(F.col("part") / fanin)).groupBy("chunk", "up").applyInPandas(add, "chunk int, part long, data binary")
-        n_parts = -(-n_parts // fanin)
-        if n_parts <= 1:
+        n = -(-n // fanin)
+        if n <= 1:
             return parts.select("chunk", "data")
 
 
+def add_columns(rows: DataFrame, made: Callable[[dict[str, list]], dict[str, list]], added: str, used: list[str]) -> DataFrame:
+    """rows without the columns `used`, but with the columns `added` that `made` gives for lists of the used ones.
+
+    The other columns stay in Arrow as they are, so no id turns into a float where it stands beside a null.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kept = [f for f in rows.schema if f.name not in used]
+    more = StructType.fromDDL(added)
+    arrow = to_arrow_schema(more)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = made({c: batch.column(c).to_pylist() for c in used})
+            arrays = [batch.column(f.name) for f in kept] + [pa.array(new[f.name], arrow.field(f.name).type) for f in more]
+            yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in kept), *(f.name for f in more)])
+
+    return rows.mapInArrow(work, StructType([*kept, *more]))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns of df, none of which (case apart) it has."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def slices(frames: Iterator[pd.DataFrame], column: str = "text", most: int = 2 << 20) -> Iterator[pd.DataFrame]:
     """The rows of frames in parts of about `most` bytes (characters) of a column, so what a task makes of a part stays small."""
     for frame in frames:

@@ -5,34 +5,32 @@ must; so its rarest word, by document frequency over the whole corpus, is the on
 A document is scanned once; only words that are some window's prefix token give candidates. A candidate
 must leave room for the window before and after (position and length bounds) and is then compared word for word.
 
-The benchmark is taken in blocks of at most BLOCK_WORDS words; only one block, so a bounded table, is on an
-executor at a time. With one block its pass gives the result; with more, the findings of each block are
-gathered by text. Documents stay where they are read: no text is shuffled.
-
-Defined cases: a null or wordless text has no words, no hits and the digest of the empty string; null,
-empty and wordless items have no window; repeated documents are separate rows, repeated items count by their
-distinct item_id (null ids are left out of n_items and the digest); empty tables give no rows or no hits; other columns are ignored.
+The benchmark is taken in blocks of at most BLOCK_WORDS words, each a bounded table on the executors. A document goes
+through the blocks one after another where it was read, so no text is shuffled; only the counts of document frequency
+read the documents once more for each block.
+
+Defined cases: a null or wordless text has no words, no hits and the digest of the empty string; very long texts are
+scanned whole; null, empty and wordless items have no window; repeated documents are separate rows, repeated items
+count by their distinct item_id (null ids are left out of n_items and the digest); ties in rarity go to the first word
+by bytes, then by place; empty tables give no rows or no hits; ids pass as they are; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import cut
+from quillmill.llm.common import add_columns, cut
 
 #: At most so many item words are broadcast at once (items are whole: one of more words has a block of its own).
 BLOCK_WORDS = 200_000
 #: Bytes of words as they are, capitals in lower case, all others as a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ROW = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-FOUND = "blob binary, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -76,12 +74,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _summary(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> tuple:
-    hit = sum(b - a for a, b in spans)
-    named = sorted(x for x in items if x is not None)
-    return n_words, hit, len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), hit > 0
-
-
 def document_frequency(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     """In how many documents each word of a (bounded) vocabulary is; over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -97,56 +89,65 @@ def document_frequency(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, i
     return {bytes(r["word"]): r["n"] for r in counted.toLocalIterator()}
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs(doc_id, text) against benchmark(item_id, text)."""
-    docs = docs.select("doc_id", "text")
-    sized = benchmark.select(F.col("item_id").cast("string").alias("item"), "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("n")).filter("n > 0")
+def indexes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> Iterator[Index]:
+    """The windows of the benchmark, in blocks of items of at most block_words words (a longer item is a block of its own)."""
+
+    def read(batch: dict[str, list]) -> dict[str, list]:
+        return {"words": [b" ".join(words(x)) for x in batch["text"]], "n": [len(words(x)) for x in batch["text"]]}
+
+    sized = cut(add_columns(benchmark.select(F.col("item_id").cast("string").alias("item"), "text"), read, "words binary, n long", ["text"]).filter("n > 0").distinct(), "items")
     total, most = sized.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    n_blocks = max(1, -(-total // max(1, block_words - most))) if block_words > most else max(1, sized.count())
-    block_of = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
-    found = None
+    n_blocks = -(-total // max(1, block_words - most)) if block_words > most else sized.count()
+    block_of = F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks))
     for block in range(n_blocks):
-        items = [(r["item"], words(r["text"])) for r in sized.filter(block_of == block).toLocalIterator()]
-        index = Index(items, document_frequency(docs, {w for _, ws in items for w in ws}) if items else {}, window)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        items = [(r["item"], bytes(r["words"]).split()) for r in sized.filter(block_of == block).toLocalIterator()]
+        yield Index(items, document_frequency(docs, {w for _, ws in items for w in ws}), window)
 
-        if n_blocks == 1:
 
-            def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for frame in frames:
-                    rows = []
-                    for text in frame["text"]:
-                        ws = words(text)
-                        rows.append(_summary(len(ws), *shared.value.find(ws)))
-                    out = pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-                    out.insert(0, "doc_id", frame["doc_id"].astype("Int64"))
-                    yield out
+def _spans(found: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"start": a, "end": b} for a, b in found]
 
-            return docs.mapInPandas(scan, ROW)
 
-        def part(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                rows = []
-                for blob, text in zip(frame["blob"], frame["text"]):
-                    spans, items = shared.value.find(words(text))
-                    if spans:
-                        rows.append((blob, [{"start": a, "end": b} for a, b in spans], list(items)))
-                yield pd.DataFrame(rows, columns=["blob", "spans", "items"])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs(doc_id, text) against benchmark(item_id, text)."""
+    docs = docs.select("doc_id", "text")
+    found = None
+    for index in indexes(docs, benchmark, window, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        keyed = docs.select(F.unhex(F.sha2("text", 256)).alias("blob"), "text")
-        one = cut(keyed.mapInPandas(part, FOUND).dropDuplicates(["blob"]), f"block{block}")
-        found = one if found is None else found.unionByName(one)
+        def scan(batch: dict[str, list], shared=shared) -> dict[str, list]:
+            """Hits of this block, after those of the blocks before."""
+            out: dict[str, list] = {"n_words": [], "spans": [], "items": []}
+            before = zip(batch.get("spans") or [[]] * len(batch["text"]), batch.get("items") or [[]] * len(batch["text"]))
+            for text, (old_spans, old_items) in zip(batch["text"], before):
+                ws = words(text)
+                spans, items = shared.value.find(ws)
+                out["n_words"].append(len(ws))
+                out["spans"].append(_spans(merged([*spans, *((s["start"], s["end"]) for s in old_spans)])))
+                out["items"].append(sorted(items.union(old_items), key=lambda x: (x is None, x)))
+            return out
+
+        added = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+        if found is None:
+            found = add_columns(docs.withColumn("said", F.col("text")), scan, added, ["text"]).withColumnRenamed("said", "text")
+        else:
+            found = add_columns(found.withColumn("said", F.col("text")), scan, added, ["text", "n_words", "spans", "items"]).withColumnRenamed("said", "text")
+    if found is None:
+        count = lambda batch: {"n_words": [len(words(x)) for x in batch["text"]], "spans": [[]] * len(batch["text"]), "items": [[]] * len(batch["text"])}
+        found = add_columns(docs, count, "n_words long, spans array<struct<start:long,end:long>>, items array<string>", ["text"])
+    named = F.array_sort(F.filter("items", lambda x: x.isNotNull()))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.array_join(named, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs(text, ...), with all their columns, that hold no window of benchmark(item_id, text)."""
+    for index in indexes(docs.select("text"), benchmark, window, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    gathered = found.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not shared.value.find(words(x))[0] for x in batch.column("text").to_pylist()], pa.bool_()))
 
-    def summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for n, spans, items in zip(frame["n_words"], frame["spans"], frame["items"]):
-                rows.append(_summary(n, merged([(s["start"], s["end"]) for s in spans] if spans is not None else []), set(items if items is not None else ())))
-            out = pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-            out.insert(0, "doc_id", frame["doc_id"].astype("Int64"))
-            yield out
-
-    keyed = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("blob"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    return keyed.join(gathered, "blob", "left").select("doc_id", "n_words", "spans", "items").mapInPandas(summarise, ROW)
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

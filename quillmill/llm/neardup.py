@@ -6,19 +6,22 @@ fixed size, merged in a tree; a sketch blurs only frequencies relative to the co
 every size, and idf is capped at RARE for that reason. Weights depend on a shingle alone (and its tf), so
 sampling and similarity agree on them.
 
-Improved consistent weighted sampling draws, for each of bands * rows functions, one (shingle, level) of a
+Improved consistent weighted sampling draws, for each of BANDS * ROWS functions, one (shingle, level) of a
 document, such that two documents draw the same with a probability equal to their weighted Jaccard similarity.
-A band is the hash of `rows` draws. Texts that share a band are candidates.
+A band is the hash of ROWS draws. Texts are candidates if they share a band and at least LEAST of their draws; a pair at
+similarity 0.8 is one with a probability of 0.9997. Candidates are verified on their whole texts.
 
-Identical texts are one unit. Candidates of a band meet its leader, the smallest unit, and are verified on
-their whole texts. By the triangle inequality of the distance 1 - similarity, a unit that is not linked to the
-leader can only be linked to units at a distance close enough to its own; those go on to the next round, with
-the unit nearest to the old leader as leader, until no band holds units of two classes that may still be linked; what
-is left of a band after LEADERS rounds is compared pair by pair if it is small. Links make classes by repeated exchange of least labels.
+Identical texts are one unit. First, the units of a band meet its leader. Then, in bands that still hold units of
+two classes, all pairs of units of different classes are candidates, in blocks of at most BLOCK_UNITS units and
+BLOCK_BYTES of text: a task holds two blocks, passes over pairs that an earlier band has as well or that links have
+joined meanwhile, and returns only links. So no pair is lost, no group is gathered whole and no pairs are emitted; the
+comparisons of a band grow with the square of its units of other classes only, and most of them see the draws alone.
+Links make classes by repeated exchange of least labels.
 
 Defined cases: null text is empty; texts of fewer than five words are one shingle of all their words;
 texts without words are alike only if they are identical; a null id has no class; of repeated rows all have
-one class; an empty table gives an empty result; other columns are ignored.
+one class; rows of one id with different texts are different documents; very long texts are hashed in stretches and
+compared whole; ties (equal ids) have the same class_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,19 +35,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import cut, tree_sum
+from quillmill.llm.common import add_columns, cut, join_if_small, tree_sum
 from quillmill.llm.decontaminate import _TABLE
 
 _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 WORDS = 5
 #: Counters of the frequency sketch; an idf is at most that of a shingle in this share of the documents.
 SLOTS, RARE = 1 << 20, 1e-3
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 16, 4
+#: The least share of equal draws of a candidate pair: four standard deviations below 0.8.
+LEAST = 0.6
 STRETCH = 1 << 20
 #: Bits of a shingle's id, and texts that are hashed at once.
 BITS, TEXTS = 52, 1 << 12
-#: After LEADERS rounds, bands of at most FEW open units have their open pairs verified one by one; after ALL rounds, all bands.
-FEW, LEADERS, ALL = 128, 2, 8
+#: A block of a band's units, of which a task holds two.
+BLOCK_UNITS, BLOCK_BYTES = 256, 16 << 20
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +151,7 @@ def learn_weights(texts: DataFrame) -> Weights:
         yield pd.DataFrame({"chunk": np.arange(16), "part": TaskContext.get().partitionId(), "data": [c.tobytes() for c in chunks]})
 
     parts = texts.select("text").mapInPandas(count, "chunk int, part long, data binary")
-    total = tree_sum(parts, "<f4", max(1, texts.rdd.getNumPartitions()))
-    chunks = {r["chunk"]: np.frombuffer(r["data"], "<f4") for r in total.collect()}  # the sketch: SLOTS numbers
+    chunks = {r["chunk"]: np.frombuffer(r["data"], "<f4") for r in tree_sum(parts, "<f4").collect()}  # the sketch: SLOTS numbers
     counts = np.concatenate([chunks[k] for k in sorted(chunks)]).astype(np.float64) if chunks else np.zeros(SLOTS)
     return Weights(counts, texts.count())
 
@@ -165,13 +169,13 @@ _R = _gamma_quantiles(1 << 16).astype(np.float32)
 _LOG_C = np.log(_gamma_quantiles(1 << 16)).astype(np.float32)
 
 
-def signature(ids: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Bands of each text that has shingles: texts x BANDS."""
+def signature(ids: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bands (texts x BANDS) and draws (texts x BANDS * ROWS, 16 bits each) of each text that has shingles."""
     full = np.flatnonzero(np.diff(bounds))
     starts, counts = bounds[full], np.diff(bounds)[full]
     log_w = np.log(weight)
     odd = np.flatnonzero(log_w != 0)
-    out = np.zeros((len(full), BANDS), np.uint64)
+    bands, draws = np.zeros((len(full), BANDS), np.uint64), np.zeros((len(full), BANDS * ROWS), np.uint16)
     with np.errstate(over="ignore"):
         for k in range(BANDS * ROWS):
             x = mixed(ids + np.uint64(k + 1) * _B)
@@ -186,8 +190,10 @@ def signature(ids: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.nda
             at = np.searchsorted(odd, drawn)
             at[at == len(odd)] = 0
             lifted = np.where(odd[at] == drawn, level[at], 0) if len(odd) else np.zeros(len(drawn))
-            out[:, k // ROWS] = mixed(out[:, k // ROWS] + ids[drawn] * _C + lifted.astype(np.int64).astype(np.uint64) + np.uint64(k))
-    return out
+            draw = mixed(ids[drawn] * _C + lifted.astype(np.int64).astype(np.uint64) + np.uint64(k))
+            draws[:, k] = draw & np.uint64(0xFFFF)
+            bands[:, k // ROWS] = mixed(bands[:, k // ROWS] + draw)
+    return bands, draws
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -224,8 +230,18 @@ def classes(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("u", "unit")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """a, b, similarity of pairs(a, b); texts(unit, text)."""
+def _draws(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
+
+
+def verify(pairs: DataFrame, units: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """a, b, similarity of those pairs(a, b) that share LEAST of their draws; units(unit, draws), texts(unit, text)."""
+
+    def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                near = (_draws(frame["draws_a"]) == _draws(frame["draws_b"])).mean(axis=1) >= LEAST
+                yield frame.loc[near, ["a", "b"]]
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -233,79 +249,116 @@ def verify(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
             known = dict(zip(said, weighted(said, weights.value)))
             yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": [similarity(known[x], known[y]) for x, y in zip(frame["text_a"], frame["text_b"])]})
 
-    left = texts.select(F.col("unit").alias("b"), F.col("text").alias("text_b"))
-    right = texts.select(F.col("unit").alias("a"), F.col("text").alias("text_a"))
-    return pairs.select("a", "b").join(left, "b").join(right, "a").mapInPandas(compare, "a long, b long, similarity double")
-
-
-def find_links(bands: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """a, b, similarity of verified links that connect all linked units; bands(unit, band), texts(unit, text)."""
-    width = 1 - threshold
-    bands = bands.select("unit", "band").distinct()
-    first = bands.groupBy("band").agg(F.min("unit").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    groups = cut(bands.join(first, "band").select("band", "unit", "leader"), "groups")
-    seen, extra, turn = None, None, 0
-    a, b = F.least("leader", "unit"), F.greatest("leader", "unit")
-    while groups.limit(1).count() or (extra is not None and extra.limit(1).count()):
-        turn += 1
-        pairs = groups.select(a.alias("a"), b.alias("b")).filter("a != b")
-        pairs = (pairs if extra is None else pairs.unionByName(extra)).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        found = cut(verify(pairs, texts, weights), "verified")
-        seen, extra = found if seen is None else seen.unionByName(found), None
-
-        # What may still be linked: units that are not linked to the leader, and those at a distance near enough to theirs.
-        met = groups.select("band", "unit", a.alias("a"), b.alias("b")).filter("a != b").join(seen, ["a", "b"])
-        apart = met.filter(F.col("similarity") < threshold).groupBy("band").agg(F.max("similarity").alias("nearest"))
-        left = met.join(apart, "band").filter((F.col("similarity") < threshold) | (1 - F.col("similarity") >= 1 - F.col("nearest") - width)).select("band", "unit", "similarity")
-        # Units of one class need no more links among themselves.
-        of = classes(seen.filter(F.col("similarity") >= threshold).select("a", "b"))
-        left = cut(left.join(of, "unit", "left").withColumn("class", F.coalesce("class", "unit")), "left")
-        nearest = F.max_by("unit", F.struct("similarity", -F.col("unit"))).alias("leader")
-        open_bands = left.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), nearest).filter("low != high").select("band", "n", "leader")
-        left = cut(left.select("band", "unit", "class").join(open_bands, "band"), "left")
-        groups = left
-        if turn >= LEADERS:
-            few = left if turn >= ALL else left.filter(F.col("n") <= FEW)
-            other = few.select("band", F.col("unit").alias("other"), F.col("class").alias("other_class"))
-            extra = cut(few.select("band", "unit", "class").join(other, "band").filter("unit < other AND class != other_class").select(F.col("unit").alias("a"), F.col("other").alias("b")).distinct(), "extra")
-            groups = left.filter(F.lit(False)) if turn >= ALL else left.filter(F.col("n") > FEW)
-        groups = groups.select("band", "unit", "leader")
-    empty = bands.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    return seen.filter(F.col("similarity") >= threshold) if seen is not None else empty
+    of = lambda c: units.select(F.col("unit").alias(c), F.col("draws").alias(f"draws_{c}"))
+    said = lambda c: texts.select(F.col("unit").alias(c), F.col("text").alias(f"text_{c}"))
+    near = cut(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(likely, "a long, b long"), "likely")
+    return near.join(said("a"), "a").join(said("b"), "b").mapInPandas(compare, "a long, b long, similarity double")
+
+
+def links_of_block(frame: pd.DataFrame, known: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Links between units of different classes of one pair of blocks that are not joined by other links of it."""
+    unit, own, block = frame["unit"].to_numpy(), frame["class"].to_numpy(), frame["block"].to_numpy()
+    draws, bands = _draws(frame["draws"]), np.array(frame["bands"].tolist())
+    no, across = int(frame["no"].iloc[0]), frame["i"].iloc[0] != frame["j"].iloc[0]
+    names, of = np.unique(own, return_inverse=True)
+    top = np.arange(len(names))
+    out = []
+    for x in range(len(unit) - 1):
+        mine = top[of[x + 1 :]]
+        at = np.flatnonzero((mine != top[of[x]]) & ((block[x + 1 :] != block[x]) | (not across)))
+        if len(at):
+            share = (draws[x + 1 + at] == draws[x]).mean(axis=1)
+            at, share = at[share >= LEAST], share[share >= LEAST]
+        if len(at):
+            first = (bands[x + 1 + at] == bands[x]).argmax(axis=1) == no
+            at = at[first][np.argsort(-share[first], kind="stable")]
+        for y in at + x + 1:
+            if top[of[x]] != top[of[y]] and similarity(known[x], known[y]) >= threshold:
+                top[top == top[of[y]]] = top[of[x]]
+                out.append((int(unit[x]), int(unit[y])))
+    return out
+
+
+def block_links(rows: DataFrame, weights, threshold: float) -> DataFrame:
+    """a, b of the links within blocks; rows(band, no, unit, class, block, i, j, draws, bands, text), i and j being a pair of blocks."""
+    key = ["band", "i", "j"]
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def done(frame: pd.DataFrame) -> pd.DataFrame:
+            said = sorted(set(frame["text"]))
+            known = dict(zip(said, weighted(said, weights.value)))
+            found = [x for _, own in frame.groupby(key, sort=False) for x in links_of_block(own, [known[t] for t in own["text"]], threshold)]
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = (frame[key] == frame[key].iloc[-1]).all(axis=1)  # the last pair of blocks may go on in the next frame
+            if not last.all():
+                yield done(frame[~last])
+            held = frame[last]
+        if held is not None:
+            yield done(held)
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (the smallest id of its class), class_size for every row of docs."""
+    """doc_id, class_id (the smallest id of its class), class_size, text_sha256, is_first (one text of each class) for every row of docs."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     weights = spark.sparkContext.broadcast(learn_weights(texts))
 
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            said = list(frame["text"])
-            bands: list = [None] * len(said)
-            for i, _, bounds, ids, tf in shingles(said):
-                if len(ids):
-                    marks = signature(ids, weights.value.of(ids, tf), bounds).view(np.int64)
-                    for d, row in zip(np.flatnonzero(np.diff(bounds)), marks):
-                        bands[i + d] = row
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "tx": [hashlib.sha256(x).digest() for x in said], "bands": bands})
-
-    signed = cut(texts.mapInPandas(sign, "doc_id long, tx binary, bands array<long>"), "signed")
-    named = signed.filter(F.col("doc_id").isNotNull())
-    units = cut(named.groupBy("tx").agg(F.min("doc_id").alias("unit"), F.any_value("bands").alias("bands")), "units")
-    banded = units.select("unit", F.posexplode("bands").alias("no", "band")).select("unit", F.xxhash64("no", "band").alias("band"))
-    shared = banded.groupBy("band").agg(F.countDistinct("unit").alias("n")).filter("n > 1").select("band")
-    banded = cut(banded.join(shared, "band").select("unit", "band"), "banded")
-    wanted = banded.select("unit").distinct().join(units.select("unit", "tx"), "unit")
-    some = texts.withColumn("tx", F.unhex(F.sha2("text", 256))).join(wanted.select(F.col("unit").alias("doc_id"), "tx"), ["doc_id", "tx"])
-    some = cut(some.groupBy("doc_id", "tx").agg(F.any_value("text").alias("text")).select(F.col("doc_id").alias("unit"), "text"), "candidates")
-    links = find_links(banded, some, weights, threshold)
-    found = cut(classes(links.select("a", "b")), "classes")
-    of_text = units.join(found, "unit", "left").select("tx", F.coalesce("class", "unit").alias("class_id"))
-    classed = signed.select("doc_id", "tx").join(of_text, "tx", "left")
-    sizes = classed.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = classed.join(sizes, "class_id", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_size")).alias("class_size"))
+    def sign(batch: dict[str, list]) -> dict[str, list]:
+        said = batch["text"]
+        bands, draws = [None] * len(said), [None] * len(said)
+        for i, _, bounds, ids, tf in shingles(said):
+            if len(ids):
+                marks, drawn = signature(ids, weights.value.of(ids, tf), bounds)
+                for d, m, x in zip(np.flatnonzero(np.diff(bounds)) + i, marks.view(np.int64), drawn):
+                    bands[d], draws[d] = m, x.tobytes()
+        return {"tx": [hashlib.sha256(x).digest() for x in said], "n_bytes": [len(x) for x in said], "bands": bands, "draws": draws}
+
+    signed = cut(add_columns(texts, sign, "tx binary, n_bytes long, bands array<long>, draws binary", ["text"]), "signed")
+    named = signed.filter(F.col("doc_id").isNotNull()).groupBy("tx")
+    units = named.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("n_bytes", "bands", "draws")])
+    units = cut(units.withColumn("unit", F.monotonically_increasing_id()), "units")
+    banded = units.select("unit", "n_bytes", F.posexplode("bands").alias("no", "band")).select("unit", "n_bytes", "no", F.xxhash64("no", "band").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("unit").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader")
+    groups = cut(banded.join(shared, "band"), "groups")
+    wanted = groups.select("unit").distinct().join(units.select("unit", "tx", F.col("first_id").alias("doc_id")), "unit")
+    wanted = cut(wanted, "wanted")
+    n_wanted = wanted.count()
+    some = join_if_small(texts.withColumn("tx", F.unhex(F.sha2("text", 256))), wanted, ["doc_id", "tx"], "inner", 64 * n_wanted)
+    some = cut(some.groupBy("unit").agg(F.any_value("text").alias("text")), "candidates")
+    drawn = units.join(wanted.select("unit"), "unit", "left_semi").select("unit", "draws", "bands")
+
+    pairs = groups.filter("leader != unit").select(F.col("leader").alias("a"), F.col("unit").alias("b")).distinct()
+    links = verify(pairs, drawn, some, weights).filter(F.col("similarity") >= threshold).select("a", "b")
+    of = classes(links)
+    labelled = cut(groups.join(of, "unit", "left").withColumn("class", F.coalesce("class", "unit")), "labelled")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_UNITS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    still_open = labelled.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), blocks).filter("low != high").select("band", "blocks")
+    rows = labelled.join(still_open, "band").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = rows.select("band", "no", "unit", "class", "block", "i", "j").join(drawn, "unit").join(some, "unit")
+    more = cut(block_links(rows, weights, threshold), "more")
+
+    label = of.withColumnRenamed("unit", "u")
+    joined = more.join(label.select(F.col("u").alias("a"), F.col("class").alias("x")), "a", "left").join(label.select(F.col("u").alias("b"), F.col("class").alias("y")), "b", "left")
+    joined = joined.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    last = classes(joined).select(F.col("unit").alias("class"), F.col("class").alias("root"))
+    members = of.select("unit", "class").unionByName(last.select(F.col("class").alias("unit"), "class")).distinct()
+    root = members.join(last, "class", "left").select("unit", F.coalesce("root", "class").alias("root"))
+    # Only texts that are repeated or linked need an entry; every other document is a class of its own.
+    known = units.select("unit", "tx", "first_id", "n").join(root, "unit", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "unit"))
+    known = cut(known, "known")
+    first = known.groupBy("root").agg(F.min(F.struct("first_id", "tx")).alias("first"), F.sum("n").alias("class_size"))
+    entries = known.join(first, "root").select("tx", F.col("first.first_id").alias("class_id"), "class_size", (F.col("tx") == F.col("first.tx")).alias("is_first"))
+    entries = cut(entries, "entries")
+    out = join_if_small(signed.select("doc_id", "tx"), entries, ["tx"], "left", 64 * entries.count())
+    has_id = F.col("doc_id").isNotNull()
+    return out.select(
+        "doc_id", F.when(has_id, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(has_id, F.coalesce("class_size", F.lit(1))).alias("class_size"),
+        F.hex("tx").alias("text_sha256"), (has_id & F.coalesce(F.col("is_first") & (F.col("doc_id") == F.col("class_id")), F.lit(True))).alias("is_first"),
+    )
