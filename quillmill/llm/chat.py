@@ -13,7 +13,10 @@ holds a whole conversation and has no id gets a conv_key of its own.
 
 Defined cases: null text and null role are empty; rows without conversation id are one conversation; turns are
 ordered by turn (null first), then position within the record, role and text, so repeated rows and ties
-have one order; a record of no known layout gives no turn (see unmatched); an empty table gives an empty result.
+have one order; a record of no known layout, and one that is no JSON (or too deep to read), gives no turn and is
+listed by unmatched(); a null record likewise; numbers that aren't whole or don't fit 64 bits are no turn (null); a half of
+a surrogate pair becomes U+FFFD; texts of any length stay whole; an empty table gives an empty result; columns
+other than the record's are ignored. The turns of a conversation meet in one row, as its text does.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import add_columns
+
 #: The layouts. `turns` are (role, path) pairs; `list` is an array of turns with the keys given;
 #: `roles` renames roles.
 LAYOUTS = [
@@ -70,19 +75,34 @@ def _at(record: dict, path: str) -> object:
 
 
 def _string(value: object) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
 
 
 def _whole(value: object) -> int | None:
-    return int(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    return value if isinstance(value, int) and not isinstance(value, bool) and -(1 << 63) <= value < 1 << 63 else None
+
+
+def _read(raw: str | None) -> tuple[object, set[str], str]:
+    """The record, its field paths and their fingerprint; no paths where it can't be read."""
+    try:
+        record = json.loads(raw) if raw is not None else None
+        paths = field_paths(record)
+        return record, paths, fingerprint(paths)
+    except (ValueError, RecursionError):
+        return None, set(), "malformed"
 
 
 def _ids(value: object) -> tuple[int | None, str | None]:
     """(conv_id, conv_key) of an id."""
-    if isinstance(value, float) and value.is_integer():
-        value = int(value)
-    if isinstance(value, int) and not isinstance(value, bool) and -(1 << 63) <= value < 1 << 63:
-        return value, None
+    if (whole := _whole(value)) is not None:
+        return whole, None
     return None, None if value is None else f"id {_string(value)}" if isinstance(value, str) else f"json {_string(value)}"
 
 
@@ -114,17 +134,16 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts: lis
             rows = []
             for raw in frame[record_col]:
                 n += 1
-                record = json.loads(raw) if raw is not None else None
-                paths = field_paths(record)
-                if (key := fingerprint(paths)) not in known:
+                record, paths, key = _read(raw)
+                if key not in known:
                     known[key] = layout_for(paths, layouts)
                 if layout := known[key]:
                     ids = _ids(_at(record, layout["id"]))
                     if ids == (None, None) and "one" not in layout:
                         ids = None, f"record {part} {n}"
                     rows += [(*ids, *t, layout["name"]) for t in turns_of(record, layout)]
-            out = pd.DataFrame(rows, columns=["conv_id", "conv_key", "turn", "part", "role", "text", "layout"])
-            yield out.astype({"conv_id": "Int64", "turn": "Int64"})
+            out = pd.DataFrame(rows, columns=["conv_id", "conv_key", "turn", "part", "role", "text", "layout"], dtype=object)
+            yield out.assign(conv_id=pd.array(out["conv_id"].tolist(), "Int64"), turn=pd.array(out["turn"].tolist(), "Int64"), part=out["part"].astype("int32"))
 
     return records.select(record_col).mapInPandas(read, TURNS)
 
@@ -134,8 +153,8 @@ def unmatched(records: DataFrame, record_col: str = "record", layouts: list[dict
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            paths = [(raw, field_paths(json.loads(raw) if raw is not None else None)) for raw in frame[record_col]]
-            yield pd.DataFrame([(raw, fingerprint(p)) for raw, p in paths if not layout_for(p, layouts)], columns=["record", "fingerprint"])
+            found = [(raw, *_read(raw)[1:]) for raw in frame[record_col]]
+            yield pd.DataFrame([(raw, key) for raw, paths, key in found if not layout_for(paths, layouts)], columns=["record", "fingerprint"])
 
     return records.select(record_col).mapInPandas(read, "record string, fingerprint string")
 
@@ -170,20 +189,20 @@ def loss_mask(formatted: str) -> list[tuple[int, int]]:
     return [(a, b) for role, a, b in read_back(formatted) if role == "assistant"]
 
 
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What can be read back from the formatted text alone."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for frame in frames:
-            rows = []
-            for conv, text in zip(frame["conv_id"].astype("Int64"), frame["formatted"]):
-                turns = [(role, unescape(text[a:b])) for role, a, b in read_back(text)]
-                loss = "".join(unescape(text[a:b]) for a, b in loss_mask(text))
-                rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def read(batch: dict[str, list]) -> dict[str, list]:
+        rows = []
+        for text in batch["formatted"]:
+            turns = [(role, unescape(text[a:b])) for role, a, b in read_back(text)]
+            loss = "".join(unescape(text[a:b]) for a, b in loss_mask(text))
+            rows.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
+        return dict(zip(("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"), zip(*rows) if rows else [[]] * 5))
 
-    return formatted.select("conv_id", "formatted").mapInPandas(read, DIGESTS)
+    return add_columns(formatted.select("conv_id", "formatted"), read, DIGESTS, ["formatted"])

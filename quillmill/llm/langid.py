@@ -6,12 +6,12 @@ a text's is the product over its words (runs of letters, in lower case, marked a
 probabilities are learned by expectation maximisation over the same lattice.
 
 Learning uses a sample of labelled rows: a share drawn by a hash of doc_id so that about `train_docs` rows are
-expected, and of those the `train_words` commonest words of each language; both are bounds on the fit only.
-Prediction reads every text whole.
+expected, with all their words; that bounds the fit only. Prediction reads every text whole.
 
 Defined cases: a null text, and one without letters, is `und` with score 0; without labelled rows every
 text is; a null doc_id counts as held out; repeated rows are separate; words are cut after PIECE_RUN
-characters; an empty table gives an empty result; other columns are ignored.
+characters; ties go to the first language by name; very long texts are blocks of their own; an empty table gives an
+empty result; ids pass as they are; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import add_columns
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_RUN = 32
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -34,16 +36,18 @@ BLOCK_CHARS = 4_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: The probability of a character that is no piece of its own.
 FLOOR = 1e-7
-ROW = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def load_pieces(path: str = VOCABULARY, longest: int = 8) -> list[str]:
-    """The vocabulary's pieces of letters, in lower case; the mark of a word's start counts as a character."""
+def load_pieces(path: str = VOCABULARY) -> list[str]:
+    """The vocabulary's pieces of letters, in lower case; the mark of a word's start counts as a character.
+
+    Words are runs of letters, so a piece that holds anything else is in no segmentation.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.vocab_size())}
-    return sorted(p for p in pieces if len(p) <= longest and (p == "▁" or p.lstrip("▁").isalpha()) and "▁" not in p[1:])
+    return sorted(p for p in pieces if p and (p == "▁" or p.lstrip("▁").isalpha()) and "▁" not in p[1:])
 
 
 def piece_hash(piece: str) -> np.uint64:
@@ -139,7 +143,7 @@ def bucket(modulus: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
-def learn(docs: DataFrame, train_docs: int, train_words: int, vocabulary: str) -> tuple[list[str], Lattice | None, np.ndarray | None]:
+def learn(docs: DataFrame, train_docs: int, vocabulary: str) -> tuple[list[str], Lattice | None, np.ndarray | None]:
     labelled = docs.filter((bucket(5) != 0) & F.col("lang").isNotNull())
     n = labelled.select("doc_id").count()
     share = min(1.0, train_docs / max(1, n))
@@ -152,8 +156,7 @@ def learn(docs: DataFrame, train_docs: int, train_words: int, vocabulary: str) -
                 yield pd.DataFrame({"lang": lang, "word": words.index.astype(object), "n": words.to_numpy(dtype="int64")})
 
     counted = sample.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    top = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= train_words).toPandas()
+    top = counted.toPandas()  # of about train_docs texts
     if top.empty:
         return [], None, None
     langs = sorted(top["lang"].unique())
@@ -193,25 +196,23 @@ def blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> Iterator[tuple[i
         yield start, len(texts)
 
 
-def identify(docs: DataFrame, train_docs: int = 6_000, train_words: int = 12_000, vocabulary: str = VOCABULARY) -> DataFrame:
+def identify(docs: DataFrame, train_docs: int = 6_000, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs(doc_id, text, lang)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, train_docs, train_words, vocabulary))
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, train_docs, vocabulary))
 
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = list(frame["text"])
-            said = [x for a, b in blocks(texts) for x in predict_block(texts[a:b], *model.value)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "lang_pred": [x[0] for x in said], "score": [x[1] for x in said]})
+    def predict(batch: dict[str, list]) -> dict[str, list]:
+        said = [x for a, b in blocks(batch["text"]) for x in predict_block(batch["text"][a:b], *model.value)]
+        return {"lang_pred": [x[0] for x in said], "score": [x[1] for x in said]}
 
     held_out = F.coalesce(bucket(5) == 0, F.lit(True))
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInPandas(predict, ROW)
+    return add_columns(docs.select("doc_id", "text", held_out.alias("held_out")), predict, "lang_pred string, score double", ["text"])
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5, train_docs: int = 6_000, train_words: int = 12_000, vocabulary: str = VOCABULARY) -> DataFrame:
+def keep_identified(docs: DataFrame, least_score: float = 0.5, train_docs: int = 6_000, vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows of docs(doc_id, text, lang, ...), with all their columns, in which a language is identified with that score."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = docs.sparkSession.sparkContext.broadcast(learn(known, train_docs, train_words, vocabulary))
+    model = docs.sparkSession.sparkContext.broadcast(learn(known, train_docs, vocabulary))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

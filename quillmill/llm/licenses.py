@@ -9,7 +9,8 @@ order, and what differs is listed. Every notice confirmed is reported; of overla
 Texts are read whole where they lie; nothing is shuffled. Equal windows are judged once a task.
 
 Defined cases: null and empty texts have no candidates; ties between templates go to the greater
-saving, then the first by name; repeated rows are separate; an empty table gives an empty result; other columns are ignored.
+saving, then the first by name; very long texts are scanned whole, window by window; repeated rows are separate; ids,
+null ones too, pass as they are; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ import functools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
+from quillmill.llm.common import add_columns
+
 #: Notices and openings of common licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -51,7 +53,7 @@ _CUE = re.compile("|".join(r"[\W_]+".join(c.split()) for c in CUES), re.I)
 MISSING = 0.15
 #: The least saving, as a share of what the template saves on itself.
 REDUCTION = 0.10
-SCHEMA = "doc_id long, n_candidates long, n_confirmed long, licenses string, findings array<struct<start:long,end:long,template:string,reduction:double,missing:array<string>,extra:array<string>>>"
+SCHEMA = "n_candidates long, n_confirmed long, licenses string, findings array<struct<start:long,end:long,template:string,reduction:double,missing:array<string>,extra:array<string>>>"
 
 
 def _words(text: str) -> list[str]:
@@ -151,15 +153,12 @@ def scan_text(text: str | None) -> tuple[int, list[tuple[int, int, tuple]]]:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row for every row of docs(doc_id, text): licenses (comma-joined, sorted) and where and how they are worded."""
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                n, found = scan_text(text)
-                listed = [{"start": a, "end": b, "template": v[0], "reduction": v[1], "missing": list(v[2]), "extra": list(v[3])} for a, b, v in found]
-                rows.append((n, len(found), ",".join(sorted({v[0].removesuffix("-line") for _, _, v in found})), listed))
-            out = pd.DataFrame(rows, columns=["n_candidates", "n_confirmed", "licenses", "findings"])
-            out.insert(0, "doc_id", frame["doc_id"].astype("Int64"))
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(scan, SCHEMA)
+    def scan(batch: dict[str, list]) -> dict[str, list]:
+        rows = []
+        for text in batch["text"]:
+            n, found = scan_text(text)
+            listed = [{"start": a, "end": b, "template": v[0], "reduction": v[1], "missing": list(v[2]), "extra": list(v[3])} for a, b, v in found]
+            rows.append((n, len(found), ",".join(sorted({v[0].removesuffix("-line") for _, _, v in found})), listed))
+        return dict(zip(("n_candidates", "n_confirmed", "licenses", "findings"), zip(*rows) if rows else [[]] * 4))
+
+    return add_columns(docs.select("doc_id", "text"), scan, SCHEMA, ["text"])

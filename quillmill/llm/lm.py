@@ -4,19 +4,23 @@ Counts of every token of all training documents are gathered first. The commones
 vocabulary, in classes of equal size by frequency: the output is P(class) * P(word in class). All other words
 are one symbol of the network, and share its probability by their smoothed counts, so the score is a
 probability of the very text. Training is truncated backpropagation (windows of `window` steps; the state goes
-on from window to window) on every training document: each task trains on its documents from common
-parameters, and the parameters are averaged, weighted by tokens, through a tree of sums; `rounds` times.
+on from window to window, and starts anew with each document) on every training document: each task trains on its
+documents, one after another in parallel streams, from common parameters, and the parameters are averaged, weighted by
+tokens, through a tree of sums; `rounds` times.
 
 Scoring carries each document's state across windows to its end, so length costs time but no memory. Counts
-of words beyond the `listed` commonest are joined by word; those words are rare, so no key is large.
+of words beyond the `listed` commonest are joined by word. Words of more than LISTED_BYTES are listed by their
+hash, which bounds the table and lets no common long word (a ruled line) gather in one key.
 
 Defined cases: null text is empty (its only token is the end); documents without id are held out; repeated
-rows are separate rows; without training documents every word is unknown; an empty table gives an
+rows are separate rows; without training documents every word is unknown and the network untrained; very long texts
+are scored window by window; ties in frequency are ordered by the word's bytes; an empty table gives an
 empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,13 +36,17 @@ from quillmill.llm.common import cut, slices, tree_sum
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The end of a document as a token: no word holds white space.
 END = b"\n"
-#: A listed word has at most so many bytes, which bounds the table that tasks hold.
+#: Longer words are listed by a prefix and their digest, which bounds the table that tasks hold.
 LISTED_BYTES = 64
 LOG10 = float(np.log(10))
 
 
 def tokens(text: bytes) -> list[bytes]:
-    return text.translate(_LOWER).split()
+    """The words; one of more than LISTED_BYTES is named by its first bytes and its SHA-256, behind a byte that no word has."""
+    words = text.translate(_LOWER).split()
+    if max(map(len, words), default=0) > LISTED_BYTES:
+        words = [w if len(w) <= LISTED_BYTES else w[:24] + b"\n" + hashlib.sha256(w).digest() for w in words]
+    return words
 
 
 class Network:
@@ -67,13 +75,15 @@ class Network:
             at += n
         return self
 
-    def states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states (steps x columns x hidden) after each of the inputs (steps x columns)."""
+    def states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None, going_on: np.ndarray | None = None) -> np.ndarray:
+        """Hidden states (steps x columns x hidden) after each of the inputs (steps x columns); where going_on is 0 the state starts anew."""
         n, p = self.hidden, self.p
         table = p["embed"] @ p["in"] + p["bias"]
         x = table[inputs]
         out = np.empty((*inputs.shape, n), np.float32)
         for t in range(len(inputs)):
+            if going_on is not None:
+                h = h * going_on[t, :, None]
             u = h @ p["rec"]
             gates = 1 / (1 + np.exp(-(x[t, :, : 2 * n] + u[:, : 2 * n])))
             z, r = gates[:, :n], gates[:, n:]
@@ -108,20 +118,21 @@ class Network:
             if len(part):
                 yield int(of[part[0]]), part
 
-    def gradient(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradient of the mean loss over one window (backpropagation stops at its start), and the last state."""
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, going_on: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradient of the mean loss over one window (backpropagation stops at its start and where a document starts), and the last state."""
         n, p, kept = self.hidden, self.p, []
-        states = self.states(inputs, h0, kept)
+        states = self.states(inputs, h0, kept, going_on)
         g = {k: np.zeros(s, np.float32) for k, s in self.shapes.items()}
-        rows = np.flatnonzero(live.ravel())
-        h, y = states.reshape(-1, n)[rows], targets.ravel()[rows]
-        of, scale = y // self.size, np.float32(1 / max(1, len(rows)))
+        h, y = states.reshape(-1, n), targets.ravel()
+        of, scale = y // self.size, np.float32(1 / max(1, len(y)))
 
         def soft(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-            e = np.exp(scores - scores.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(at)), at] -= 1
-            return e * scale
+            if scores.max() > 80:  # else the exponentials can't overflow
+                scores = scores - scores.max(axis=1, keepdims=True)
+            e = np.exp(scores, out=scores)
+            e *= scale / (e @ np.ones(e.shape[1], np.float32))[:, None]
+            e[np.arange(len(at)), at] -= scale
+            return e
 
         d = soft(h @ p["class"] + p["class_bias"], of)
         g["class"], g["class_bias"], dh = h.T @ d, d.sum(axis=0), d @ p["class"].T
@@ -129,20 +140,21 @@ class Network:
             d = soft(h[at] @ p["word"][c] + p["word_bias"][c], y[at] % self.size)
             g["word"][c], g["word_bias"][c] = h[at].T @ d, d.sum(axis=0)
             dh[at] += d @ p["word"][c].T
-        d_states = np.zeros((states.shape[0] * states.shape[1], n), np.float32)
-        d_states[rows] = dh
-        d_states = d_states.reshape(states.shape)
-        d_x, carry = np.zeros((*inputs.shape, 3 * n), np.float32), np.zeros_like(h0)
+        d_states = dh.reshape(states.shape)
+        d_x, d_u, carry = np.empty((*inputs.shape, 3 * n), np.float32), np.empty((*inputs.shape, 3 * n), np.float32), np.zeros_like(h0)
+        rec = np.ascontiguousarray(p["rec"].T)
         for t in range(len(inputs) - 1, -1, -1):
             prev, z, r, new, un = kept[t]
             dh = d_states[t] + carry
-            d_new = dh * (1 - z) * (1 - new**2)
-            d_z = dh * (prev - new) * z * (1 - z)
-            d_r = d_new * un * r * (1 - r)
-            d_x[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            d_u = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            g["rec"] += prev.T @ d_u
-            carry = dh * z + d_u @ p["rec"].T
+            held = 1 - z
+            d_new = dh * held * (1 - new * new)
+            np.multiply(dh * (prev - new), z * held, out=d_x[t, :, :n])
+            np.multiply(d_new * un, r * (1 - r), out=d_x[t, :, n : 2 * n])
+            d_x[t, :, 2 * n :] = d_new
+            d_u[t, :, : 2 * n] = d_x[t, :, : 2 * n]
+            np.multiply(d_new, r, out=d_u[t, :, 2 * n :])
+            carry = (dh * z + d_u[t] @ rec) * going_on[t, :, None]
+        g["rec"] = np.concatenate([x[0] for x in kept]).T @ d_u.reshape(-1, 3 * n)
         flat, at = d_x.reshape(-1, 3 * n), inputs.ravel()
         g["bias"], g["in"] = flat.sum(axis=0), p["embed"][at].T @ flat
         order = np.argsort(at, kind="stable")
@@ -170,22 +182,39 @@ def windows(coded: list[np.ndarray], columns: int, steps: int, end: int) -> Iter
             yield docs[:n], inputs, targets, live, t == 0
 
 
-def train(net: Network, coded: list[np.ndarray], end: int, steps: int, columns: int = 128, rate: float = 0.02) -> int:
+def streams(coded: list[np.ndarray], columns: int, steps: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(inputs, targets, going_on, first) by windows: all documents one after another, in `columns` streams of equal length.
+
+    A stream's last window is as long as the others, filled up from the beginning of all documents.
+    """
+    flat = np.concatenate(coded)
+    starts = np.zeros(len(flat), bool)
+    starts[np.cumsum([0, *map(len, coded[:-1])])] = True
+    columns = max(1, min(columns, len(flat) // (4 * steps)))
+    length = -(-len(flat) // (columns * steps)) * steps
+    at = (np.arange(columns)[None, :] * length + np.arange(length)[:, None]) % len(flat)
+    for t in range(0, length, steps):
+        now = at[t : t + steps]
+        yield np.where(starts[now], end, flat[now - 1]), flat[now], (~starts[now]).astype(np.float32), t == 0
+
+
+def train(net: Network, coded: list[np.ndarray], end: int, steps: int, columns: int = 256, rate: float = 0.02) -> int:
     """One pass of Adam over the documents; the number of tokens."""
+    if not coded:
+        return 0
     m = {k: np.zeros(s, np.float32) for k, s in net.shapes.items()}
     v = {k: np.zeros(s, np.float32) for k, s in net.shapes.items()}
-    n, turn, state = 0, 0, np.zeros((0, net.hidden), np.float32)
-    for docs, inputs, targets, live, first in windows(coded, columns, steps, end):
-        state = np.zeros((len(docs), net.hidden), np.float32) if first else state[: len(docs)]
-        g, state = net.gradient(inputs, targets, live, state)
+    turn, state = 0, None
+    for inputs, targets, going_on, first in streams(coded, columns, steps, end):
+        state = np.zeros((inputs.shape[1], net.hidden), np.float32) if first else state
+        g, state = net.gradient(inputs, targets, going_on, state)
         turn += 1
-        n += int(live.sum())
         for k in net.shapes:
             x = np.clip(g[k], -1, 1)
             m[k] += 0.1 * (x - m[k])
             v[k] += 0.01 * (x * x - v[k])
-            net.p[k] -= rate / (1 + turn / 2000) * (m[k] / (1 - 0.9**turn)) / (np.sqrt(v[k] / (1 - 0.99**turn)) + 1e-6)
-    return n
+            net.p[k] -= (rate / (1 + turn / 2000) / (1 - 0.9**turn)) * m[k] / (np.sqrt(v[k] * (1 / (1 - 0.99**turn))) + 1e-6)
+    return sum(map(len, coded))
 
 
 def score_texts(net: Network, coded: list[np.ndarray], end: int, steps: int = 32, columns: int = 1024) -> np.ndarray:
@@ -219,7 +248,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def log_likelihood(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10, n_classes: int = 32, class_size: int = 32,
-    hidden: int = 16, window: int = 16, rounds: int = 2, listed: int = 100_000,
+    hidden: int = 16, window: int = 16, rounds: int = 1, listed: int = 100_000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
@@ -232,8 +261,17 @@ def log_likelihood(
     total, distinct = n_words + n_ends, n_distinct + (n_ends > 0)
 
     # The listed words, commonest first; the network's vocabulary are the first of them, the rest word and the end.
-    common = counts.filter(F.octet_length("word") <= LISTED_BYTES).orderBy(F.col("n").desc(), "word").limit(listed)
-    common = [(bytes(r["word"]), r["n"]) for r in common.collect()]  # at most `listed` words of LISTED_BYTES
+    # Frequencies in steps of 1/1024 octave: the lowest one from which on there are at most `listed` words.
+    step = F.floor(F.log2("n") * 1024)
+    steps = sorted(((r["step"], r["words"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)  # at most 65,536 rows
+    room, least = listed, 1 << 30
+    for at, n_here in steps:
+        room -= n_here
+        if room < 0:
+            break
+        least = at
+    common = [(bytes(r["word"]), r["n"]) for r in counts.filter(step >= least).collect()]  # at most `listed` words of LISTED_BYTES
+    common.sort(key=lambda x: (-x[1], x[0]))
     n_vocabulary = min(len(common), n_classes * class_size - 2)
     inside = sum(n for _, n in common[:n_vocabulary])
     ranked = sorted([*range(n_vocabulary), -1, -2], key=lambda i: -(common[i][1] if i >= 0 else n_words - inside if i == -1 else n_ends))
@@ -254,7 +292,6 @@ def log_likelihood(
         words, index = tokens(text), shared.value[0]
         return words, np.fromiter((index.get(w, -1) for w in words), dtype=np.int64, count=len(words))
 
-    n_parts = max(1, training.rdd.getNumPartitions())
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(net.flat())
 
@@ -267,7 +304,7 @@ def log_likelihood(
                 parts = [data[a : a + 65_536].tobytes() for a in range(0, len(data), 65_536)]
                 yield pd.DataFrame({"chunk": np.arange(len(parts)), "part": TaskContext.get().partitionId(), "data": parts})
 
-        added = tree_sum(training.select("text").mapInPandas(fit, "chunk int, part long, data binary"), "<f8", n_parts).collect()  # the parameters
+        added = tree_sum(training.select("text").mapInPandas(fit, "chunk int, part long, data binary"), "<f8").collect()  # the parameters
         if added:
             data = np.concatenate([np.frombuffer(r["data"], "<f8") for r in sorted(added, key=lambda r: r["chunk"])])
             net.load(data[:-1] / data[-1])

@@ -4,15 +4,18 @@ Every document has a fractional number of copies, the ratio of its source's targ
 The whole part is taken as it is. The fractional parts are rounded dependently: two documents at a time,
 word mass moves from one to the other, in a direction drawn so that each expectation stays, until one of
 them has all or none of its words. The one that is still fractional meets the next. Chunks of a source fold
-in parallel; what each leaves over meets again one level up, a tree of `fanin` branches, down to one
-leftover document a source, which is rounded to the nearer side. So a source's taken words differ from its
-target by at most half of one document.
+in parallel, the largest documents first; what each leaves over meets again one level up, a tree of `fanin` branches,
+down to one leftover document a source. That one is rounded to the nearer side, and what it misses is made up by
+rounding smaller documents of the last fold to the other side, the largest that fit first. So a source's taken words
+differ from its target by less than the smallest document that could be turned; for the few documents of this last
+step, rounded without a draw, the expectation isn't kept.
 
 Draws are hashes of the documents, so reruns agree.
 
 Defined cases: null text and texts without words have size 0 and take 0; a null source is a source of its
-own, ordered last; a null doc_id is an ordinary value; rows that repeat are separate documents; an empty
-table gives an empty result; columns other than the three that are named are ignored.
+own, ordered last; a null doc_id is an ordinary value, ids may be of any type; rows that repeat are separate documents, and
+ties in size are ordered by hash; texts of any length count whole; an empty table gives an empty result; columns other
+than the three that are named are ignored.
 """
 
 from __future__ import annotations
@@ -64,12 +67,30 @@ def _meet(seed: str):
         )
         moved = F.when(up & a_ends, b["mass"] - a_room).when(up, a["mass"] + b["mass"]).when(a_ends, b["mass"] + a["mass"]).otherwise(a["mass"] - b_room)
         stays = F.when(a_ends, b).otherwise(a)
-        rest = F.struct(stays["h"].alias("h"), stays["doc_id"].alias("doc_id"), stays["size"].alias("size"), moved.alias("mass"))
+        rest = F.struct(stays["less"].alias("less"), stays["h"].alias("h"), stays["doc_id"].alias("doc_id"), stays["size"].alias("size"), moved.alias("mass"))
         return F.struct(F.concat(acc["done"], F.array(ended)).alias("done"), rest.alias("rest"))
 
     return step
 
 
+def _closed(f: str) -> Column:
+    """All documents of the last fold: its leftover is rounded, and what that misses is made up by smaller documents, the largest first."""
+    rest = F.col(f"{f}.rest")
+    x = (rest["mass"] * 2 >= rest["size"]).cast("int")
+    last = F.struct(rest["doc_id"].alias("doc_id"), rest["size"].alias("size"), x.alias("x"))
+    ordered = F.sort_array(F.transform(F.col(f"{f}.done"), lambda d: F.struct((-d["size"]).alias("less"), d["doc_id"].alias("doc_id"), d["size"].alias("size"), d["x"].alias("x"))))
+    start = F.struct((x * rest["size"] - rest["mass"]).cast("double").alias("over"), F.array(last).alias("all"))
+
+    def step(acc: Column, d: Column) -> Column:
+        over = acc["over"]
+        flip = F.when(d["x"] == 1, over >= d["size"]).otherwise(-over >= d["size"])
+        moved = F.when(flip & (d["x"] == 1), over - d["size"]).when(flip, over + d["size"]).otherwise(over)
+        kept = F.struct(d["doc_id"].alias("doc_id"), d["size"].alias("size"), F.when(flip, 1 - d["x"]).otherwise(d["x"]).alias("x"))
+        return F.struct(moved.alias("over"), F.concat(acc["all"], F.array(kept)).alias("all"))
+
+    return F.aggregate(ordered, start, step)["all"]
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = (5, 2, 1), max_copies: int = 3, fanin: int = 256, seed: str = "mix",
@@ -87,24 +108,26 @@ def mix(
     fractional = (F.col("part") > 1e-12) & (F.col("size") > 0)
     out = rated.filter(~fractional).select(*same, "doc_id", "size", F.lit(0).alias("x"))
 
-    document = F.struct(F.xxhash64(F.lit(seed), "doc_id", "size").alias("h"), "doc_id", "size", (F.col("part") * F.col("size")).alias("mass"))
+    document = F.struct((-F.col("size")).alias("less"), F.xxhash64(F.lit(seed), "doc_id", "size").alias("h"), "doc_id", "size", (F.col("part") * F.col("size")).alias("mass"))
     chunks = F.greatest(F.ceil(F.col("n_docs") / fanin), F.lit(1))
     level = rated.filter(fractional).select(*same, document.alias("d"), F.pmod(F.xxhash64(F.lit(f"{seed} chunk"), "doc_id", "size"), chunks).alias("chunk"))
     most = targets.agg(F.max("n_docs")).first()[0] or 0
     n = max(1, math.ceil(most / fanin))
-    empty = F.array().cast("array<struct<doc_id:long,size:long,x:int>>")
+    # The last step needs ordinary documents besides what chunks leave over: each source's first chunk waits for it.
+    waiting = level.filter("chunk = 0") if n > 1 else None
+    level = level.filter("chunk > 0") if n > 1 else level
+    empty = F.array().cast(f"array<struct<doc_id:{sizes.schema['doc_id'].dataType.simpleString()},size:long,x:int>>")
     while True:
         met = level.groupBy(*same, "chunk").agg(F.sort_array(F.collect_list("d")).alias("ds"))
         first = F.struct(empty.alias("done"), F.element_at("ds", 1).alias("rest"))
         met = cut(met.select(*same, "chunk", F.aggregate(F.slice("ds", F.lit(2), F.size("ds")), first, _meet(seed)).alias("f")), "level")
-        done = F.col("f.done")
-        rest = F.struct("f.rest.doc_id", "f.rest.size", (F.col("f.rest.mass") * 2 >= F.col("f.rest.size")).cast("int").alias("x"))
-        if n == 1:
-            done = F.concat(done, F.array(rest))
+        done = _closed("f") if waiting is None and n == 1 else F.col("f.done")
         out = out.unionByName(met.select(*same, F.explode(done).alias("e")).select(*same, "e.*"))
-        if n == 1:
+        if waiting is None and n == 1:
             break
-        level = met.select(*same, F.col("f.rest").alias("d"), F.floor(F.col("chunk") / fanin).alias("chunk"))
         n = math.ceil(n / fanin)
+        level = met.select(*same, F.col("f.rest").alias("d"), F.floor(F.col("chunk") / fanin).alias("chunk"))
+        if n == 1:
+            level, waiting = level.unionByName(waiting), None
     copies = F.col("whole") + F.col("x")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

@@ -15,8 +15,8 @@ Anchors with more than `hot` pieces in many contexts (a short common phrase) are
 no shard gathers them. Hashes only propose and place; every match is compared symbol by symbol.
 
 Defined cases: null text is empty; a null id takes part neither as owner nor as copy; rows of equal id
-don't remove each other's bytes; repeated rows are separate rows; texts shorter than `width` stay; an
-empty table gives an empty result; other columns are ignored.
+don't remove each other's bytes; repeated rows are separate rows; texts shorter than `width` stay; very long texts
+are hashed in stretches and compared whole; ties in the hash of an anchor go to the same piece; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from quillmill.llm.common import cut, join_if_small
+from quillmill.llm.common import add_columns, cut, join_if_small
 from quillmill.llm.suffixes import common_prefixes, suffix_array
 
 _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -360,17 +360,17 @@ def remove_repeats(
     size = gone.agg(F.coalesce(F.sum(24 + 16 * F.size("gone")), F.lit(0))).first()[0]
     marked = join_if_small(texts, gone, ["doc_id", "tx"], "left", size)
 
-    def strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text, found in zip(frame["text"], frame["gone"]):
-                spans = merged([(s["start"], s["end"]) for s in found]) if found is not None else []
-                edges = [0, *(x for s in spans for x in s), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                row = (len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans])
-                rows.append((*row, kept) if with_text else row)
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * with_text)
-            out.insert(0, "doc_id", frame["doc_id"].astype("Int64"))
-            yield out
-
-    return marked.select("doc_id", "text", "gone").mapInPandas(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * with_text)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * with_text
+
+    def strip(batch: dict[str, list]) -> dict[str, list]:
+        rows = []
+        for text, found in zip(batch["text"], batch["gone"]):
+            spans = merged([(s["start"], s["end"]) for s in found]) if found is not None else []
+            edges = [0, *(x for s in spans for x in s), len(text)]
+            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            row = (len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans])
+            rows.append((*row, kept) if with_text else row)
+        return dict(zip(names, zip(*rows) if rows else [[]] * len(names)))
+
+    added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * with_text
+    return add_columns(marked.select("doc_id", "text", "gone"), strip, added, ["text", "gone"])

@@ -3,10 +3,13 @@
 Every version of every path is addressed by the SHA-256 of its bytes. The ledger is a Parquet table with one
 row for each blob that a version of the rules has scanned, and what was found in it. A call scans only blobs
 without such a row, once each however many paths hold them, appends them in one commit, and joins the
-ledger back to all paths. A run that dies before its commit leaves the ledger as it was.
+ledger back to all paths. A run that dies before its commit leaves the ledger as it was; where two runs have scanned
+the same blob at the same time it stands in the ledger twice, and is read once.
 
-Defined cases: null text is the empty blob; texts are scanned whole; equal texts share one blob; a
-null id is an ordinary value; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text is the empty blob; texts are scanned whole, however long; equal texts share one blob, and
+repeated rows are separate rows; findings that start together (ties) come in the order of KINDS; a
+null id is an ordinary value; an empty table gives an empty result; other columns are ignored, and redact() passes
+them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quillmill.llm.common import cut, join_if_small, path_exists
+from quillmill.llm.common import cut, join_if_small, path_exists, unused
 
 #: The kinds in their order; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "forge", "chat")
@@ -77,7 +80,7 @@ def scan_secrets(versions: DataFrame, ledger: str, id_col: str = "doc_id", text_
     if path_exists(spark, at):
         unseen = unseen.join(spark.read.schema(SCHEMA).parquet(at).select("blob"), "blob", "left_anti")
     unseen.dropDuplicates(["blob"]).mapInPandas(_scan, SCHEMA).write.mode("append").option("compression", "zstd").parquet(at)
-    found = spark.read.schema(SCHEMA).parquet(at)
+    found = spark.read.schema(SCHEMA).parquet(at).dropDuplicates(["blob"])
     out = keyed.select(id_col, "blob").join(found, "blob", "left")
     return out.select(id_col, F.lower(F.hex("blob")).alias("blob"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
@@ -98,11 +101,12 @@ def _masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
 def redact(docs: DataFrame, ledger: str) -> DataFrame:
     """The rows of docs(doc_id, text, n_chars, ...) with [kind] in place of each finding; n_chars follows the text."""
     found = scan_secrets(docs, ledger).filter(F.size("spans") > 0)
-    found = cut(found.select(F.unhex("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"]), "findings")
-    size = found.agg(F.coalesce(F.sum(48 + 32 * F.size("_spans")), F.lit(0))).first()[0]
-    rows = join_if_small(docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))), found, ["_blob"], "left", size)
-    touched, rest = rows.filter(F.col("_spans").isNotNull()), rows.filter(F.col("_spans").isNull())
-    touched = touched.withColumn("text", _masked("text", "_spans"))
+    blob, spans = unused(docs, "blob", "spans")
+    found = cut(found.select(F.unhex("blob").alias(blob), F.col("spans").alias(spans)).dropDuplicates([blob]), "findings")
+    size = found.agg(F.coalesce(F.sum(48 + 32 * F.size(spans)), F.lit(0))).first()[0]
+    rows = join_if_small(docs.withColumn(blob, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))), found, [blob], "left", size)
+    touched, rest = rows.filter(F.col(spans).isNotNull()), rows.filter(F.col(spans).isNull())
+    touched = touched.withColumn("text", _masked("text", spans))
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return touched.unionByName(rest).select(docs.columns)
