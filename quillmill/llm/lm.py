@@ -21,6 +21,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,6 +40,8 @@ END = b"\n"
 #: Longer words are listed by a prefix and their digest, which bounds the table that tasks hold.
 LISTED_BYTES = 64
 LOG10 = float(np.log(10))
+#: The columns of a scored part of a text.
+ROW = ["doc_id", "tx", "held_out", "word", "times", "rows", "tokens", "known", "base", "score"]
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -163,23 +166,27 @@ class Network:
         return g, states[-1]
 
 
-def windows(coded: list[np.ndarray], columns: int, steps: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """(which documents, inputs, targets, live, first) by windows; documents of like length run side by side, the long first."""
+def windows(coded: list[np.ndarray], columns: int, steps: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(which document, inputs, targets, going_on, live) by windows: whole documents one after another in columns of like length, the long first."""
     order = sorted(range(len(coded)), key=lambda i: -len(coded[i]))
-    for a in range(0, len(order), columns):
-        docs = np.array(order[a : a + columns])
-        lengths = np.array([len(coded[i]) for i in docs])
-        flat = np.concatenate([coded[i] for i in docs])
-        begin = np.cumsum(lengths) - lengths
-        for t in range(0, int(lengths[0]), steps):
-            n = int(np.searchsorted(-lengths, -t, side="left"))
-            step = t + np.arange(min(steps, int(lengths[0]) - t))[:, None]
-            live = step < lengths[:n]
-            at = np.where(live, begin[:n] + step, begin[:n])
-            targets, inputs = flat[at], flat[at - 1]
-            if not t:
-                inputs[0] = end
-            yield docs[:n], inputs, targets, live, t == 0
+    held = [(0, c, []) for c in range(min(columns, len(coded)))]
+    for i in order:
+        n, c, mine = held[0]
+        heapq.heapreplace(held, (n + len(coded[i]), c, [*mine, i]))
+    held.sort(key=lambda x: (-x[0], x[1]))
+    docs = [i for *_, mine in held for i in mine]
+    sizes = np.array([len(coded[i]) for i in docs])
+    flat, of = np.concatenate([coded[i] for i in docs]), np.repeat(docs, sizes)
+    starts = np.zeros(len(flat), bool)
+    starts[np.cumsum(sizes) - sizes] = True
+    lengths = np.array([n for n, *_ in held])
+    begin = np.cumsum(lengths) - lengths
+    for t in range(0, int(lengths[0]), steps):
+        n = int(np.searchsorted(-lengths, -t, side="left"))
+        step = t + np.arange(min(steps, int(lengths[0]) - t))[:, None]
+        live = step < lengths[:n]
+        at = np.where(live, begin[:n] + step, begin[:n])
+        yield of[at], np.where(starts[at], end, flat[at - 1]), flat[at], (~starts[at]).astype(np.float32), live
 
 
 def streams(coded: list[np.ndarray], columns: int, steps: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
@@ -217,15 +224,13 @@ def train(net: Network, coded: list[np.ndarray], end: int, steps: int, columns:
     return sum(map(len, coded))
 
 
-def score_texts(net: Network, coded: list[np.ndarray], end: int, steps: int = 32, columns: int = 1024) -> np.ndarray:
+def score_texts(net: Network, coded: list[np.ndarray], end: int, steps: int = 32, columns: int = 512) -> np.ndarray:
     """log10 probability of each sequence of symbols; the state goes on from window to window."""
-    out, state = np.zeros(len(coded)), np.zeros((0, net.hidden), np.float32)
-    for docs, inputs, targets, live, first in windows(coded, columns, steps, end):
-        state = np.zeros((len(docs), net.hidden), np.float32) if first else state[: len(docs)]
-        states = net.states(inputs, state)
+    out, state = np.zeros(len(coded)), np.zeros((min(columns, len(coded)), net.hidden), np.float32)
+    for docs, inputs, targets, going_on, live in windows(coded, columns, steps, end) if coded else ():
+        states = net.states(inputs, state[: inputs.shape[1]], None, going_on)
         state = states[-1]
-        t, j = np.nonzero(live)
-        np.add.at(out, docs[j], net.log_p(states[t, j], targets[t, j]))
+        out += np.bincount(docs[live], weights=net.log_p(states[live], targets[live]), minlength=len(out))
     return out / LOG10
 
 
@@ -253,7 +258,8 @@ def log_likelihood(
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(held_out_of)) == 0, F.lit(True))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    # An id travels as text: pandas makes floats of whole numbers beside nulls.
+    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     training = texts.filter(~F.col("held_out"))
     counts = cut(count_words(training), "counts")
     n_ends = training.select("doc_id").count()
@@ -312,27 +318,30 @@ def log_likelihood(
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Network(n_classes, class_size, hidden).load(model.value)
-        names = ["doc_id", "tx", "word", "times", "held_out", "rows", "tokens", "known", "base", "score"]
-        for frame in slices(frames):
+        for frame in slices(frames, most=6 << 20):
             said = [coded(x) for x in frame["text"]]
             of_rank, log_count = shared.value[1:]
             model_score = score_texts(net, [np.append(of_rank[at], end) for _, at in said], end)
-            rows = []
-            for i, (doc, tx, held, (words, at)) in enumerate(zip(frame["doc_id"], frame["tx"], frame["held_out"], said)):
-                listed_at = at[at >= 0]
+            head, word, times, row_of = [], [], [], []
+            for i, (tx, (words, at)) in enumerate(zip(frame["tx"], said)):
+                listed_at, unlisted = at[at >= 0], Counter([words[j] for j in np.flatnonzero(at < 0).tolist()])
                 base = float(log_count[listed_at].sum()) + float(np.log10(n_ends + 0.1)) - (len(words) + 1) * log_base
                 other = listed_at[listed_at >= n_vocabulary]
-                scored = float(model_score[i]) + float(log_count[other].sum()) - int((at < 0).sum() + len(other)) * log_rest
-                doc = None if pd.isna(doc) else int(doc)
-                rows.append((doc, tx, b"\n%d %d" % (tx, i), 0, held, 1, len(words) + 1, len(listed_at) + (n_ends > 0), base, scored))
-                unlisted = Counter(w for w, j in zip(words, at.tolist()) if j < 0)
-                rows += [(doc, tx, w, n, held, 0, 0, 0, 0.0, 0.0) for w, n in unlisted.items()]
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-                    rows = []
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    told = texts.withColumn("tx", F.xxhash64("text")).mapInPandas(score, "doc_id long, tx long, word binary, times long, held_out boolean, rows int, tokens long, known long, base double, score double")
+                scored = float(model_score[i]) + float(log_count[other].sum()) - (len(words) - len(listed_at) + len(other)) * log_rest
+                head.append((len(words) + 1, len(listed_at) + (n_ends > 0), base, scored))
+                word += [b"\n%d %d" % (tx, i), *unlisted.keys()]
+                times += [0, *unlisted.values()]
+                row_of += [i] * (len(unlisted) + 1)
+            for a in range(0, len(row_of), 100_000):
+                of = np.array(row_of[a : a + 100_000])
+                is_head = np.append(True, of[1:] != of[:-1]) if not a else np.append(of[0] != row_of[a - 1], of[1:] != of[:-1])
+                parts = np.where(is_head[:, None], np.array(head)[of], 0)
+                yield frame[["doc_id", "tx", "held_out"]].iloc[of].reset_index(drop=True).assign(
+                    word=word[a : a + 100_000], times=times[a : a + 100_000], rows=is_head.astype(np.int32), tokens=parts[:, 0].astype(np.int64),
+                    known=parts[:, 1].astype(np.int64), base=parts[:, 2], score=parts[:, 3],
+                )[ROW]
+
+    told = texts.withColumn("tx", F.xxhash64("text")).mapInPandas(score, "doc_id string, tx long, held_out boolean, word binary, times long, rows int, tokens long, known long, base double, score double")
     with_counts = told.join(counts, "word", "left")
     one = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)
     known = F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)
@@ -342,4 +351,4 @@ def log_likelihood(
     # Repeated rows were added up; they are dealt out again.
     each = of_doc.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     part = lambda c: (F.col(c) / F.col("rows")).cast("long")
-    return each.select("doc_id", "held_out", part("tokens").alias("n_tokens"), part("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
+    return each.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", part("tokens").alias("n_tokens"), part("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
