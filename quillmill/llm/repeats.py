@@ -7,7 +7,7 @@ text. Of identical texts only the one with the smallest id takes part; the other
 
 1. Anchors of all documents, packed as arrays by hash range, show which occur in two documents or more.
 2. Pieces under such anchors are cut from the texts, equal ones merged where they are cut, and packed by shard.
-3. Each shard of distinct pieces gets a suffix array by induced sorting and its permuted common prefixes;
+3. Each shard of distinct pieces gets a suffix array by induced sorting, to the depth of a window, and its permuted common prefixes;
    neighbours that agree on `width` bytes are one string, whose owner is the smallest id among them.
 4. Owners go back to the places where pieces were cut; what a smaller id owns is removed.
 

@@ -3,16 +3,16 @@
 `suffix_array` classifies suffixes as larger (L) or smaller (S) than their right neighbour, sorts the
 leftmost-smaller substrings by one round of inducing, names them, orders the string of names by recursion
 and induces the whole array from that order. Inducing goes bucket by bucket; within a bucket it handles all
-entries at once, so each symbol costs a constant number of vector steps. A string of names whose alphabet is
-too wide for buckets is ordered by doubling instead, to the depth asked for.
+entries at once, so each symbol costs a constant number of vector steps. Where the alphabet of names is wide, each name
+is written as two digits of a small alphabet, and the recursion goes on with the string of digits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets of up to so many symbols are induced bucket by bucket.
-WIDE = 2048
+#: Wider alphabets are written in two digits.
+WIDE = 1024
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -22,52 +22,57 @@ def classify(t: np.ndarray) -> np.ndarray:
     return np.repeat(smaller, np.diff(np.concatenate([[-1], ends, [len(t) - 1]])))
 
 
-def _push(pending: list[list[np.ndarray]], at: np.ndarray, symbols: np.ndarray) -> None:
-    if len(at):
-        order = np.argsort(symbols, kind="stable")
-        symbols, at = symbols[order], at[order]
-        cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-        for a, b in zip(np.concatenate([[0], cuts]), np.append(cuts, len(at))):
-            pending[symbols[a]].append(at[a:b])
-
-
 def induce(t: np.ndarray, leftmost: np.ndarray, n_symbols: int) -> np.ndarray:
-    """The suffix array that follows from an order of the leftmost-smaller suffixes (grouped by first symbol, ascending)."""
-    none = leftmost[:0]
+    """The suffix array that follows from an order of the leftmost-smaller suffixes (grouped by first symbol, ascending).
+
+    Larger suffixes fill their symbol's bucket from its start, smaller ones from its end.
+    """
+    counts = np.bincount(t, minlength=n_symbols)
+    ends = np.cumsum(counts)
+    starts = ends - counts
     edges = np.searchsorted(t[leftmost], np.arange(n_symbols + 1))
-    larger: list[np.ndarray] = []
-    pending: list[list[np.ndarray]] = [[] for _ in range(n_symbols)]
+    out = np.empty(len(t), dtype=np.int32)
+    head, tail = starts.copy(), ends.copy()
+
+    def place(at: np.ndarray, symbols: np.ndarray, down: bool) -> None:
+        """Each position behind those that its bucket holds already, in the order given."""
+        if len(at):
+            order = np.argsort(symbols, kind="stable")
+            symbols = symbols[order]
+            first = np.concatenate([[0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1])
+            size = np.diff(np.append(first, len(at)))
+            names = symbols[first]
+            nth = np.arange(len(at)) - np.repeat(first, size)
+            if down:
+                out[np.repeat(tail[names], size) - 1 - nth] = at[order]
+                tail[names] -= size
+            else:
+                out[np.repeat(head[names], size) + nth] = at[order]
+                head[names] += size
+
     for c in range(n_symbols):
-        mine, now = [], np.concatenate(pending[c]) if pending[c] else none
-        pending[c] = []
-        while len(now):
-            mine.append(now)
+        done = starts[c]
+        while done < head[c]:
+            now, done = out[done : head[c]], head[c]
             before = now[now > 0] - 1
             symbols = t[before]
-            _push(pending, before[symbols > c], symbols[symbols > c])
-            now = before[symbols == c]
-        larger.append(np.concatenate(mine) if mine else none)
+            place(before[symbols >= c], symbols[symbols >= c], False)
         before = leftmost[edges[c] : edges[c + 1]]
         before = before[before > 0] - 1
-        _push(pending, before, t[before])
-    out: list[np.ndarray] = []
-    pending = [[] for _ in range(n_symbols)]
-    pending[0].append(np.array([len(t) - 1], dtype=leftmost.dtype))
+        place(before, t[before], False)
+    place(np.array([len(t) - 1], dtype=np.int32), t[-1:], True)
     for c in range(n_symbols - 1, -1, -1):
-        mine, now = [], np.concatenate(pending[c]) if pending[c] else none
-        while len(now):
-            mine.append(now)
+        done = ends[c]
+        while done > tail[c]:
+            now, done = out[tail[c] : done][::-1], tail[c]
             before = now[now > 0] - 1
             symbols = t[before]
-            _push(pending, before[symbols < c], symbols[symbols < c])
-            now = before[symbols == c]
-        smaller = np.concatenate(mine) if mine else none
-        before = larger[c][::-1]
+            place(before[symbols <= c], symbols[symbols <= c], True)
+        before = out[starts[c] : head[c]][::-1]
         before = before[before > 0] - 1
         symbols = t[before]
-        _push(pending, before[symbols < c], symbols[symbols < c])
-        out += [smaller[::-1], larger[c]]
-    return np.concatenate(out[::-1])
+        place(before[symbols < c], symbols[symbols < c], True)
+    return out
 
 
 def name_substrings(t: np.ndarray, at: np.ndarray, sorted_at: np.ndarray) -> np.ndarray:
@@ -85,27 +90,30 @@ def name_substrings(t: np.ndarray, at: np.ndarray, sorted_at: np.ndarray) -> np.
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-def by_doubling(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first `depth` symbols (at least)."""
-    n = len(t)
-    rank, h = t.astype(np.int64), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - h] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
-        h *= 2
-        if h >= depth or h >= n or rank[order[-1]] == n - 1:
-            return order
-
-
-def suffix_array(t: np.ndarray, n_symbols: int, depth: int) -> np.ndarray:
-    """Suffixes of t in the order of their first `depth` symbols; t ends with its only 0."""
+def in_digits(names: np.ndarray, n_names: int) -> tuple[np.ndarray, int]:
+    """Each name but the last (the only 0) as two digits, then 0; and the number of symbols.
+
+    Digits are a pair for each name, so suffixes that start with a first digit are in the order of the names' suffixes.
+    """
+    base = int(np.ceil(np.sqrt(n_names)))
+    out = np.zeros(2 * len(names) - 1, dtype=np.int64)
+    out[:-1:2], out[1::2] = names[:-1] // base + 1, names[:-1] % base + 1
+    return out, base + 1
+
+
+def suffix_array(t: np.ndarray, n_symbols: int, depth: int | None = None, offset: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of t in order (of their first `depth` bytes at least); t ends with its only 0, its symbols are below n_symbols.
+
+    offset: where in the text of the first call each symbol starts. Recursion ends when all names are different, or when
+    those that are not stand for `depth` bytes or more.
+    """
     if len(t) < 3:
         return np.arange(len(t))[::-1]
+    offset = np.arange(len(t)) if offset is None else offset
     if n_symbols > WIDE:
-        return by_doubling(t, depth)
+        digits, n_digits = in_digits(t, n_symbols)
+        array = suffix_array(digits, n_digits, depth, np.repeat(offset, 2)[:-1])
+        return array[array % 2 == 0] // 2
     t = t.astype(np.uint16)
     is_smaller = classify(t)
     is_leftmost = np.concatenate([[False], is_smaller[1:] & ~is_smaller[:-1]])
@@ -113,10 +121,13 @@ def suffix_array(t: np.ndarray, n_symbols: int, depth: int) -> np.ndarray:
     first = induce(t, at[np.argsort(t[at], kind="stable")], n_symbols)
     found = first[is_leftmost[first]]
     names = name_substrings(t, at, found)
-    if names[-1] + 1 < len(at):
-        of = np.zeros(len(t), dtype=np.int64)
-        of[found] = names
-        found = at[suffix_array(of[at], int(names[-1]) + 1, depth)]
+    of = np.zeros(len(t), dtype=np.int64)
+    of[found] = names
+    of = of[at]
+    tied = np.bincount(names)[of] > 1
+    size = np.diff(offset[at], append=offset[-1] + 1)
+    if (tied if depth is None else tied & (size < depth)).any():
+        found = at[suffix_array(of, int(names[-1]) + 1, depth, offset[at])]
     return induce(t, found, n_symbols)
 
 
