@@ -4,7 +4,8 @@
 leftmost-smaller substrings by one round of inducing, names them, orders the string of names by recursion
 and induces the whole array from that order. Inducing goes bucket by bucket; within a bucket it handles all
 entries at once, so each symbol costs a constant number of vector steps. Where the alphabet of names is wide, each name
-is written as two digits of a small alphabet, and the recursion goes on with the string of digits.
+is written as two digits of a small alphabet, and the recursion goes on with the string of digits, down to strings
+so short that they are sorted directly.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import numpy as np
 
 #: Wider alphabets are written in two digits.
 WIDE = 1024
+#: The recursion ends with strings of up to so many symbols, which are sorted directly.
+SMALL = 1 << 16
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -32,22 +35,33 @@ def induce(t: np.ndarray, leftmost: np.ndarray, n_symbols: int) -> np.ndarray:
     starts = ends - counts
     edges = np.searchsorted(t[leftmost], np.arange(n_symbols + 1))
     out = np.empty(len(t), dtype=np.int32)
-    head, tail = starts.copy(), ends.copy()
+    head, tail, numbers = starts.copy(), ends.copy(), np.arange(len(t))
 
     def place(at: np.ndarray, symbols: np.ndarray, down: bool) -> None:
         """Each position behind those that its bucket holds already, in the order given."""
-        if len(at):
-            order = np.argsort(symbols, kind="stable")
+        n = len(at)
+        if n == 1:
+            c = symbols[0]
+            if down:
+                tail[c] -= 1
+                out[tail[c]] = at[0]
+            else:
+                out[head[c]] = at[0]
+                head[c] += 1
+        elif n:
+            order = symbols.argsort(kind="stable")
             symbols = symbols[order]
-            first = np.concatenate([[0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1])
-            size = np.diff(np.append(first, len(at)))
-            names = symbols[first]
-            nth = np.arange(len(at)) - np.repeat(first, size)
+            edge = np.empty(n + 1, dtype=bool)
+            edge[0] = edge[n] = True
+            np.not_equal(symbols[1:], symbols[:-1], out=edge[1:n])
+            first = edge.nonzero()[0]
+            size = first[1:] - first[:-1]
+            names = symbols[first[:-1]]
             if down:
-                out[np.repeat(tail[names], size) - 1 - nth] = at[order]
+                out[(tail[names] - 1 + first[:-1]).repeat(size) - numbers[:n]] = at[order]
                 tail[names] -= size
             else:
-                out[np.repeat(head[names], size) + nth] = at[order]
+                out[(head[names] - first[:-1]).repeat(size) + numbers[:n]] = at[order]
                 head[names] += size
 
     for c in range(n_symbols):
@@ -101,6 +115,13 @@ def in_digits(names: np.ndarray, n_names: int) -> tuple[np.ndarray, int]:
     return out, base + 1
 
 
+def directly(t: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes of a short string in the order of their first `depth` symbols, each of which stands for a byte or more."""
+    size = t.dtype.newbyteorder(">").itemsize
+    raw = np.concatenate([t, np.zeros(depth, t.dtype)]).astype(t.dtype.newbyteorder(">")).tobytes()
+    return np.array(sorted(range(len(t)), key=[raw[i * size : (i + depth) * size] for i in range(len(t))].__getitem__))
+
+
 def suffix_array(t: np.ndarray, n_symbols: int, depth: int | None = None, offset: np.ndarray | None = None) -> np.ndarray:
     """The suffixes of t in order (of their first `depth` bytes at least); t ends with its only 0, its symbols are below n_symbols.
 
@@ -109,6 +130,8 @@ def suffix_array(t: np.ndarray, n_symbols: int, depth: int | None = None, offset
     """
     if len(t) < 3:
         return np.arange(len(t))[::-1]
+    if offset is not None and depth is not None and len(t) <= SMALL:
+        return directly(t, depth)
     offset = np.arange(len(t)) if offset is None else offset
     if n_symbols > WIDE:
         digits, n_digits = in_digits(t, n_symbols)
