@@ -14,11 +14,12 @@ CATEGORIES = {
     "telefon": ["telefon", "mobilfunk", "internet", "tarif", "anschluss"],
 }
 #: Words that carry no topic.
-STOP_WORDS = (
-    "der die das und in zu den von ist mit sich des auf für nicht ein eine als auch es an werden aus er hat dass sie nach "
-    "wird bei einer um am sind noch wie einem über so zum kann nur ihr seine ich oder aber vor zur bis mehr durch man sehr diese "
-    "wenn war haben wurde alle können diesem dieser"
-).split()
+STOP_WORDS = [
+    "der", "die", "das", "und", "in", "zu", "den", "von", "ist", "mit", "sich", "des", "auf", "für", "nicht", "ein", "eine",
+    "als", "auch", "es", "an", "werden", "aus", "er", "hat", "dass", "sie", "nach", "wird", "bei", "einer", "um", "am", "sind",
+    "noch", "wie", "einem", "über", "so", "zum", "kann", "nur", "ihr", "seine", "ich", "oder", "aber", "vor", "zur", "bis",
+    "mehr", "durch", "man", "sehr", "diese", "wenn", "war", "haben", "wurde", "alle", "können", "diesem", "dieser",
+]
 #: Months in their order.
 MONTHS = ["januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"]
 #: Line marks of a model's answer and the metadata keys they fill.
@@ -27,4 +28,6 @@ ANSWER_FIELDS = {
     "MWST:": "mwst_satz", "STEUERJAHR:": "steuerjahr", "ZUSAMMENFASSUNG:": "description",
 }
 #: Answers that stand for no value.
-NO_VALUE = ["", "-", "KEINE", "N/A", "UNBEKANNT"]
+NO_VALUE = ["UNBEKANNT", "KEINE", "N/A", "-", ""]
+#: Characters that no name may hold.
+INVALID = '<>:"/\\|?*'

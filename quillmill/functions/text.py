@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmill.constants import ANSWER_FIELDS, CATEGORIES, MONTHS, NO_VALUE
+from quillmill.constants import INVALID, ANSWER_FIELDS, CATEGORIES, MONTHS, NO_VALUE
 
 NUMERIC_DATES = (r"\d{1,2}\.\d{1,2}\.\d{2,4}", r"\d{1,2}/\d{1,2}/\d{2,4}", r"\d{4}-\d{1,2}-\d{1,2}")
 WRITTEN_DATE = rf"(?iu)\d{{1,2}}\.\s*(?:{'|'.join(MONTHS)})\s*\d{{4}}"
@@ -148,11 +148,11 @@ def percent(confidence: Column) -> Column:
     return F.floor(confidence.cast("double") * 100).cast("int")
 
 
-def answer_field(answer: Column, mark: str) -> Column:
-    """The value of the last line that starts with the mark; null for words that stand for no value."""
+def answer_field(answer: Column, mark: str, any_word: bool = False) -> Column:
+    """The value of the last line that starts with the mark and has a value; with any_word, words that stand for no value count too."""
     lines = F.filter(F.transform(F.split(F.trim(answer), "\n"), lambda x: F.trim(x)), lambda x: x.startswith(mark))
-    value = F.trim(F.substring(F.element_at(lines, -1), len(mark) + 1, 1 << 20))
-    return F.when(F.size(lines) > 0, F.when(~F.upper(value).isin(NO_VALUE), value))
+    values = F.transform(lines, lambda x: F.trim(F.substring(x, len(mark) + 1, 1 << 20)))
+    return F.try_element_at(values if any_word else F.filter(values, lambda v: ~F.upper(v).isin(NO_VALUE)), F.lit(-1))
 
 
 def answer_confidence(answer: Column) -> Column:
@@ -172,6 +172,16 @@ def classification_prompt(text: Column, folders: Column, limit: int = 1500) -> C
     return F.concat(F.lit("Ordner:\n"), F.concat_ws("\n", F.transform(folders, lambda f: F.concat(F.lit("- "), f))), F.lit("\n\nText:\n"), truncated(text, limit))
 
 
+def without_invalid(name: Column) -> Column:
+    """A user's name without the characters that no name may hold."""
+    return F.translate(name, INVALID, "")
+
+
+def mtime_day(seconds: Column) -> Column:
+    """The day of a time in seconds, in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
+
+
 _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 

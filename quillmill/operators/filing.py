@@ -76,6 +76,55 @@ def split_plan(files: DataFrame) -> DataFrame:
     return files.select("stem", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("page")).withColumn("output", F.concat("stem", F.lit("_Seite_"), F.col("page").cast("string"), F.lit(".pdf")))
 
 
+def split_chosen(files: DataFrame) -> DataFrame:
+    """files(stem, pages, chosen): one output a chosen page (all if chosen is null), with an error where a page isn't there.
+
+    A file with an invalid page gives one row with the error and no output.
+    """
+    chosen = F.coalesce("chosen", F.sequence(F.lit(1), F.col("pages").cast("int")))
+    checked = files.select("stem", chosen.alias("chosen"), F.filter(chosen, lambda p: (p < 1) | (p > F.col("pages"))).alias("invalid"))
+    error = F.when(F.size("invalid") > 0, F.concat(F.lit("Ungültige Seitenzahlen: ["), F.array_join(F.col("invalid").cast("array<string>"), ", "), F.lit("]")))
+    each = checked.withColumn("error", error).select("stem", "error", F.explode(F.when(error.isNull(), F.col("chosen")).otherwise(F.array(F.lit(None).cast("int")))).alias("page"))
+    return each.withColumn("output", F.concat("stem", F.lit("_Seite_"), F.col("page").cast("string"), F.lit(".pdf")))
+
+
+def copy_plan(files: DataFrame, existing: DataFrame) -> DataFrame:
+    """files(source): a copy beside each, named _kopie, then _kopie_2 and on, with the first number that is free."""
+    parts = files.select("source", F.regexp_extract("source", _SUFFIX, 1).alias("suffix")).withColumn("stem", F.expr("substring(source, 1, length(source) - length(suffix))"))
+    told = existing.select("path", F.regexp_extract("path", _SUFFIX, 1).alias("suffix")).withColumn("rest", F.expr("substring(path, 1, length(path) - length(suffix))"))
+    number = F.regexp_extract("rest", r"_kopie(?:_([1-9][0-9]{0,8}))?\z", 1)
+    told = told.filter(F.col("rest").rlike(r"_kopie(_[1-9][0-9]{0,8})?\z")).select(F.regexp_replace("rest", r"_kopie(_[1-9][0-9]{0,8})?\z", "").alias("stem"), "suffix", F.when(number == "", 1).otherwise(number.cast("int")).alias("n")).distinct()
+    # The first gap: the least number k that isn't used, where 1 to k - 1 are.
+    run = told.withColumn("k", F.row_number().over(Window.partitionBy("stem", "suffix").orderBy("n"))).filter("n = k").groupBy("stem", "suffix").agg((F.max("k") + 1).alias("free"))
+    free = F.coalesce("free", F.lit(1))
+    name = F.concat("stem", F.lit("_kopie"), F.when(free > 1, F.concat(F.lit("_"), free.cast("string"))).otherwise(""), "suffix")
+    return parts.join(run, ["stem", "suffix"], "left").select("source", name.alias("target"))
+
+
+def hybrid_names(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """Ranked names of docs(doc_id, filename, day, kind): by date 0.7, date and category 0.75, else category 0.6, in this order.
+
+    The name of model(doc_id, name, confidence) comes first above 0.7, else last.
+    """
+    base = F.replace(F.replace("filename", F.lit(".pdf"), F.lit("")), F.lit(".PDF"), F.lit(""))
+    option = lambda no, name, c: F.struct(F.lit(no).alias("no"), name.alias("name"), F.lit(c).alias("confidence"), F.lit("local").alias("source"))
+    joined = F.when(F.col("day").isNull(), F.concat("kind", F.lit("_"), base, F.lit(".pdf")))
+    options = F.array(option(1, F.concat("day", F.lit("_"), base, F.lit(".pdf")), 0.7), option(2, F.concat("day", F.lit("_"), "kind", F.lit(".pdf")), 0.75), option(3, joined, 0.6))
+    local = docs.select("doc_id", F.explode(options).alias("o")).select("doc_id", "o.*").filter("name IS NOT NULL")
+    said = model.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").filter("name != ''")
+    said = said.select("doc_id", F.when(F.col("confidence") > 0.7, 0).otherwise(4).alias("no"), "name", "confidence", F.lit("llm").alias("source"))
+    both = local.unionByName(said)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("no"))).drop("no")
+
+
+def batch_renames(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """What a batch does to docs(doc_id, filename): the first model name above 0.5 that differs, else the document is skipped."""
+    first = names.filter("source = 'llm' AND confidence > 0.5").groupBy("doc_id").agg(F.min_by("name", "place").alias("new_name"))
+    joined = docs.join(first, "doc_id", "left")
+    renamed = F.col("new_name").isNotNull() & (F.col("new_name") != F.col("filename"))
+    return joined.select("doc_id", F.when(renamed, F.col("new_name")).alias("new_name"), F.when(renamed, "renamed").otherwise("skipped").alias("status"))
+
+
 def merge_plan(lists: DataFrame, pages: DataFrame) -> DataFrame:
     """lists(output, sources) and pages(source, page): the page numbers of each output, sources in their order."""
     each = lists.select("output", F.posexplode("sources").alias("pos", "source")).join(pages, "source")

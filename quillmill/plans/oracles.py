@@ -1,5 +1,7 @@
 """The same results in SQL, written apart from the DataFrame plans."""
 
+from quillmill.constants import STOP_WORDS
+
 _H = """h AS (SELECT event_id AS id, 'scan_' || event_id || '.pdf' AS original_filename, '/archiv/' || event_type || '/' || (user_id % 7) AS target_folder,
   event_type || '_' || (user_id % 7) AS target_folder_name, CASE WHEN event_id % 3 <> 0 THEN 'Archiv/' || event_type END AS target_relative_path,
   [event_type, 'K' || (event_id % 5)] AS keywords, CASE WHEN event_id % 4 <> 0 THEN props END AS extracted_text, ts AS created_at, value FROM events)"""
@@ -16,7 +18,7 @@ _F = "f AS (SELECT '/akten/' || r_name AS path FROM region UNION ALL SELECT '/ak
 _KIND = "CASE kind WHEN 'Rechnung' THEN 'rechnung' WHEN 'Vertrag' THEN 'vertrag' WHEN 'Police' THEN 'versicherung' WHEN 'Kontoauszug' THEN 'bank' WHEN 'Gehaltsabrechnung' THEN 'rechnung,gehalt' ELSE '' END"
 _COMPANY = "CASE sender WHEN 'Muster Bau GmbH' THEN 'Muster Bau' WHEN 'Firma: Nordlicht' THEN 'Nordlicht' || chr(10) || 'Betrag' END"
 _STATS = "s AS (SELECT target_folder AS path, count(*) AS usage_count, max(created_at) AS last_used, min(created_at) AS created_at, arg_min(target_relative_path, (created_at, id)) FILTER (target_relative_path IS NOT NULL) AS relative_path FROM h GROUP BY 1)"
-_STOP = "['der','die','das','und','in','zu','den','von','ist','mit','sich','des','auf','für','nicht','ein','eine','als','auch','es','an','werden','aus','er','hat','dass','sie','nach','wird','bei','einer','um','am','sind','noch','wie','einem','über','so','zum','kann','nur','ihr','seine','ich','oder','aber','vor','zur','bis','mehr','durch','man','sehr','diese','wenn','war','haben','wurde','alle','können','diesem','dieser']"
+_STOP = str(STOP_WORDS)
 
 
 def _terms(source: str) -> str:
@@ -36,7 +38,7 @@ SELECT id, round(r, 6) AS rank FROM (SELECT hit.id, -sum(w * f * 2.2 / (f + 1.2
 
 
 ORACLES = {
-    "scan_newest_first": f"WITH {_H} SELECT target_folder, id, created_at, row_number() OVER (PARTITION BY target_folder ORDER BY created_at DESC, id DESC) AS n FROM h QUALIFY n <= 10",
+    "scan_newest_first": f"WITH {_H} SELECT target_folder, id, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS n FROM h",
     "entries_for_folder": "SELECT event_id AS id, 'scan_' || event_id || '.pdf' AS original_filename FROM events WHERE event_type = 'click' AND user_id % 7 = 3",
     "entries_with_text": "SELECT event_id AS id, props AS extracted_text FROM events WHERE event_id % 4 <> 0 AND length(props) > 0",
     "keyword_overlap": f"WITH {_H} SELECT id, target_folder FROM h WHERE lower(keywords[1]) IN ('purchase', 'k2') OR lower(keywords[2]) IN ('purchase', 'k2')",
@@ -75,7 +77,7 @@ c AS (SELECT DISTINCT doc_id, TRY_CAST(printf('%04d-%02d-%02d', y, m, d) AS DATE
   UNION SELECT doc_id, TRY_CAST(printf('%s-%02d-%02d', right(s, 4), list_position(['januar', 'februar', 'märz', 'april', 'mai', 'juni', 'juli', 'august', 'september', 'oktober', 'november', 'dezember'], lower(regexp_extract(s, '\.\s*(\pL+)', 1))), CAST(regexp_extract(s, '^[0-9]+') AS INT)) AS DATE)
   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)[0-9]{1,2}\.\s*(?:januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember)\s*[0-9]{4}')) AS s FROM documents) AS z)
 SELECT doc_id, coalesce(x, '') AS dates FROM (SELECT doc_id FROM documents) AS a LEFT JOIN (SELECT doc_id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x DESC) AS x FROM c WHERE x IS NOT NULL GROUP BY 1) AS b USING (doc_id)""",
-    "parse_response": f"WITH {_L} SELECT doc_id, filename, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE (doc_id % 100) / 100.0 END AS confidence, CAST(doc_id AS VARCHAR) AS subject, CASE WHEN doc_id % 2 = 1 THEN '12,50' END AS betrag, 1 + doc_id % 2 AS n_fields FROM l",
+    "parse_response": f"WITH {_L} SELECT doc_id, filename, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE (doc_id % 100) / 100.0 END AS confidence, CAST(doc_id AS VARCHAR) AS subject, CASE WHEN doc_id % 2 = 1 THEN '12,50' ELSE '7' END AS betrag, 'KEINE' AS folder, 2 AS n_fields FROM l",
     "strip_fences": f"WITH {_L} SELECT doc_id, filename AS answer FROM l",
     "human_size": """WITH x AS (SELECT o_orderkey, o_orderkey * 1280 AS b FROM orders), u AS (SELECT o_orderkey, CASE WHEN b < 1024 THEN 0 WHEN b < 1048576 THEN 1 WHEN b < 1073741824 THEN 2 ELSE 3 END AS e, b FROM x)
 SELECT o_orderkey, printf('%.1f', round_even(b / pow(1024, e), 1)) || ' ' || ['B', 'KB', 'MB', 'GB'][e + 1] AS size FROM u""",
@@ -87,18 +89,18 @@ SELECT o_orderkey, printf('%.1f', round_even(b / pow(1024, e), 1)) || ' ' || ['B
     "root_prefix_join": "SELECT '/akten/' || r_name AS path, r_name AS relative, '/akten/' || r_name AS root FROM region UNION ALL SELECT '/akten/' || r_name || '/' || n_name, r_name || '/' || n_name, '/akten/' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "resolve_folder": f"WITH {_F} SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '/alt/' || lower(n_name) ELSE '/akten/ASIA' END AS folder, CASE WHEN c_custkey % 3 = 0 THEN (SELECT max(path) FROM f WHERE lower(split_part(path, '/', -1)) = lower(n_name)) ELSE '/akten/ASIA' END AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 < 2",
     "korrespondent_lookup": "WITH n AS (SELECT DISTINCT CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN lower(s_name) || ' GmbH' ELSE 'unbekannt ' || s_suppkey END AS name FROM supplier) SELECT name, coalesce((SELECT min(s_suppkey) FROM supplier WHERE s_name = name), (SELECT min(s_suppkey) FROM supplier WHERE contains(lower(s_name), lower(name)) OR contains(lower(name), lower(s_name)))) AS kid, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_name = name) THEN 'exact' ELSE 'fuzzy' END AS how FROM n WHERE EXISTS (SELECT 1 FROM supplier WHERE contains(lower(s_name), lower(name)) OR contains(lower(name), lower(s_name)))",
-    "tfidf_vocabulary": f"WITH src AS (SELECT conv_id AS id, string_agg(text, ' ' ORDER BY text) AS text FROM conversations GROUP BY 1), {_terms('src')} SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM tm GROUP BY 1 ORDER BY total DESC, term LIMIT 500",
+    "tfidf_vocabulary": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_terms('src')} SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM tm GROUP BY 1 ORDER BY total DESC, term LIMIT 5000",
     "suggest_by_text": f"""WITH src AS (SELECT doc_id AS id, text FROM documents WHERE source IS NOT NULL), {_terms('src')},
-voc AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT id) FROM tm WHERE id % 10 <> 0)) / (1 + count(*))) + 1 AS idf FROM tm WHERE id % 10 <> 0 GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000),
+voc AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT id) FROM tm WHERE id % 20 <> 0)) / (1 + count(*))) + 1 AS idf FROM tm WHERE id % 20 <> 0 GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000),
 raw AS (SELECT id, term, tf * idf AS x FROM tm JOIN voc USING (term)), nrm AS (SELECT id, sqrt(sum(x * x)) AS n FROM raw GROUP BY 1), v AS (SELECT id, term, x / n AS w FROM raw JOIN nrm USING (id)),
-cs AS (SELECT q.id AS query, t.id AS id, sum(q.w * t.w) AS c FROM v AS q JOIN v AS t USING (term) WHERE q.id % 10 = 0 AND t.id % 10 <> 0 GROUP BY 1, 2 HAVING c > 0.1),
+cs AS (SELECT q.id AS query, t.id AS id, sum(q.w * t.w) AS c FROM v AS q JOIN v AS t USING (term) WHERE q.id % 20 = 0 AND t.id % 20 <> 0 GROUP BY 1, 2 HAVING c > 0.1),
 fs AS (SELECT query, source AS folder, 0.7 * max(c) + 0.3 * avg(c) AS score FROM cs JOIN documents ON doc_id = cs.id GROUP BY 1, 2)
 SELECT query, folder, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, folder) AS rank FROM fs QUALIFY rank <= 5""",
-    "suggest_by_keywords": f"""WITH {_H}, q AS (SELECT DISTINCT id AS query, lower(unnest(keywords)) AS k FROM h WHERE id % 500 = 0), e AS (SELECT id, target_folder AS folder, lower(unnest(keywords)) AS k FROM h WHERE id % 500 <> 0),
+    "suggest_by_keywords": f"""WITH {_H}, q AS (SELECT DISTINCT id AS query, lower(unnest(keywords)) AS k FROM h WHERE id % 20 = 0), e AS (SELECT id, target_folder AS folder, lower(unnest(keywords)) AS k FROM h WHERE id % 20 <> 0),
 n AS (SELECT query, folder, count(DISTINCT id) AS n FROM q JOIN e USING (k) GROUP BY 1, 2), c AS (SELECT query, folder, least(n / sum(n) OVER (PARTITION BY query) * 0.8, 0.8) AS c FROM n)
 SELECT query, folder, round(c, 6) AS confidence, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, folder) AS rank FROM c QUALIFY rank <= 5""",
     "suggest_by_frequency": f"WITH {_H}, {_STATS} SELECT path AS folder, least(usage_count / 100.0, 0.3) AS confidence FROM s ORDER BY usage_count DESC, path LIMIT 10",
-    "suggest": f"""WITH {_H}, {_STATS}, q AS (SELECT DISTINCT id AS query, lower(unnest(keywords)) AS k FROM h WHERE id % 500 = 0), e AS (SELECT id, target_folder AS folder, lower(unnest(keywords)) AS k FROM h WHERE id % 500 <> 0),
+    "suggest": f"""WITH {_H}, {_STATS}, q AS (SELECT DISTINCT id AS query, lower(unnest(keywords)) AS k FROM h WHERE id % 20 = 0), e AS (SELECT id, target_folder AS folder, lower(unnest(keywords)) AS k FROM h WHERE id % 20 <> 0),
 n AS (SELECT query, folder, count(DISTINCT id) AS n FROM q JOIN e USING (k) GROUP BY 1, 2), c AS (SELECT query, folder, least(n / sum(n) OVER (PARTITION BY query) * 0.8, 0.8) AS c FROM n),
 k AS (SELECT query, folder, c, 0 AS st FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, folder) <= 3),
 o AS (SELECT path AS folder, least(usage_count / 100.0, 0.3) AS c FROM s ORDER BY usage_count DESC, path LIMIT 10),
@@ -132,3 +134,42 @@ SELECT id, answer, CASE WHEN k IS NOT NULL THEN n_name END AS folder, ['exact',
     "settings_folder_list": """WITH e AS (SELECT event_id AS seq, event_type || '/' || user_id AS folder, event_id % 4 = 0 AS gone FROM events)
 SELECT folder, min(seq) AS since FROM e WHERE NOT gone AND seq > coalesce((SELECT max(seq) FROM e AS r WHERE r.folder = e.folder AND r.gone), -1) GROUP BY folder""",
 }
+
+_O = "o AS (SELECT o_orderkey AS path, CAST(epoch(o_orderdate) AS BIGINT) AS mtime, o_orderpriority AS answer, o_orderkey % 4 <> 1 AS analysed FROM orders)"
+_HYBRID = f"""{_L}, k AS (SELECT doc_id, filename, nullif(split_part({_KIND}, ',', 1), '') AS kind, CASE WHEN doc_id % 2 = 0 THEN strftime(day, '%Y-%m-%d') END AS day,
+  replace(replace(filename, '.pdf', ''), '.PDF', '') AS base FROM l),
+o AS (SELECT doc_id, 1 AS no, day || '_' || base || '.pdf' AS name, 0.7 AS confidence, 'local' AS source FROM k UNION ALL SELECT doc_id, 2, day || '_' || kind || '.pdf', 0.75, 'local' FROM k
+  UNION ALL SELECT doc_id, 3, kind || '_' || base || '.pdf', 0.6, 'local' FROM k WHERE day IS NULL
+  UNION ALL SELECT doc_id, CASE WHEN doc_id % 100 > 70 THEN 0 ELSE 4 END, CASE WHEN doc_id % 9 = 0 THEN filename ELSE 'modell_' || doc_id || '.pdf' END, doc_id % 100 / 100.0, 'llm' FROM k WHERE doc_id % 3 = 0),
+y AS (SELECT doc_id, name, confidence, source, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS place FROM o WHERE name IS NOT NULL),
+b AS (SELECT k.doc_id, CASE WHEN new_name <> filename THEN new_name END AS new_name, CASE WHEN new_name <> filename THEN 'renamed' ELSE 'skipped' END AS status
+  FROM k LEFT JOIN (SELECT doc_id, arg_min(name, place) AS new_name FROM y WHERE source = 'llm' AND confidence > 0.5 GROUP BY 1) AS z USING (doc_id))"""
+ORACLES |= {
+    "children_by_usage": f"WITH {_H}, {_STATS} SELECT path, usage_count FROM s WHERE path LIKE '/archiv/click/%'",
+    "rename_history_by_folder": f"WITH {_H} SELECT id, original_filename, created_at FROM h WHERE target_folder = '/archiv/view/2' ORDER BY created_at DESC, id DESC LIMIT 5",
+    "correspondents_by_usage": "SELECT 'user ' || (user_id % 50) AS korrespondent, count(*) AS usage_count FROM events GROUP BY 1",
+    "task_order": "SELECT event_id, CAST(length(event_type) AS INTEGER) AS priority, ts FROM events",
+    "subfolders_by_name": "SELECT '/akten/ASIA/' || n_name AS path, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
+    "existing_roots": f"WITH {_F} SELECT '/akten/' || r_name AS path FROM region WHERE '/akten/' || r_name IN (SELECT path FROM f)",
+    "cache_get": f"WITH {_O} SELECT path, answer FROM o WHERE path % 7 = 0 OR path % 5 <> 0",
+    "cache_stats": f"WITH {_O} SELECT count(*) FILTER (analysed) AS cached, count(*) FILTER (NOT analysed) AS pending, count(*) FILTER (analysed AND answer LIKE '1%') AS with_model FROM o",
+    "cache_with_model_answers": f"WITH {_O} SELECT path, answer FROM o WHERE analysed AND answer LIKE '1%'",
+    "cache_replace": f"""WITH {_O}, r AS (SELECT l_orderkey AS path, arg_max(l_returnflag, l_linenumber) AS answer, CAST(max(l_linenumber) AS BIGINT) AS seq FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
+SELECT path, answer, seq FROM r UNION ALL SELECT path, answer, 0 FROM o WHERE path NOT IN (SELECT path FROM r)""",
+    "cache_clear_entries": f"WITH {_O} SELECT path FROM o WHERE answer NOT LIKE '5%'",
+    "cache_move": f"""WITH {_O} SELECT path + 1 AS path, mtime + 60 AS mtime, answer FROM o WHERE path % 4 = 0
+UNION ALL SELECT path, mtime, answer FROM o WHERE path % 4 <> 0 AND path NOT IN (SELECT path + 1 FROM o WHERE path % 4 = 0)""",
+    "undo_plan": "SELECT o_orderkey AS seq, '/aus/' || o_orderkey AS path, '/ein/' || o_orderkey AS back_to, o_orderkey % 3 = 0 AS missing FROM orders ORDER BY o_orderkey DESC LIMIT 20",
+    "split_invalid": """WITH f AS (SELECT p_name AS stem, p_size % 5 + 1 AS pages, CASE p_partkey % 3 WHEN 0 THEN [2, 1] WHEN 1 THEN [0, 1, 9] ELSE range(1, p_size % 5 + 2) END AS chosen FROM part),
+g AS (SELECT stem, chosen, list_filter(chosen, lambda p: p < 1 OR p > pages) AS bad FROM f)
+SELECT stem, CAST(NULL AS VARCHAR) AS error, CAST(p AS INTEGER) AS page, stem || '_Seite_' || p || '.pdf' AS output FROM g, unnest(chosen) AS u(p) WHERE len(bad) = 0
+UNION ALL SELECT stem, 'Ungültige Seitenzahlen: [' || array_to_string(bad, ', ') || ']', NULL, NULL FROM g WHERE len(bad) > 0""",
+    "copy_names": "SELECT '/ziel/' || p_partkey || '.pdf' AS source, '/ziel/' || p_partkey || ['_kopie', '_kopie_2', '_kopie_4', '_kopie'][p_partkey % 4 + 1] || '.pdf' AS target FROM part",
+    "hybrid_filenames": f"WITH {_HYBRID} SELECT * FROM y",
+    "batch_rename": f"WITH {_HYBRID} SELECT * FROM b",
+    "batch_outcome": f"WITH {_HYBRID} SELECT status, count(*) AS n FROM b GROUP BY 1",
+    "model_gate": """WITH b AS (SELECT c_custkey % 40 AS query, max(c_custkey % 100) / 100.0 AS top FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1)
+SELECT query, top IS NULL OR top < 0.6 AS needs_model FROM (SELECT DISTINCT c_custkey % 60 AS query FROM customer) AS a LEFT JOIN b USING (query)""",
+    "remove_invalid": f"WITH {_L} SELECT doc_id, 'abc' || filename || 'd' AS name FROM l",
+    "mtime_day": "SELECT o_orderkey, strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y-%m-%d') AS day FROM orders",
+}

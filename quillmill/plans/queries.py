@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import filing, history, metadata, search, similarity
+from quillmill.operators import filing, history, metadata, search, similarity, store
 from quillmill.sources import tables
 from quillmill.sources.tables import table
 from quillmill.streaming import indexing
@@ -35,13 +35,10 @@ def _each_letter(**columns):
 
 @query
 def scan_newest_first(spark, d):
-    order = Window.partitionBy("target_folder").orderBy(F.desc("created_at"), F.desc("id"))
-    return tables.history(spark, d).withColumn("n", F.row_number().over(order)).filter("n <= 10").select("target_folder", "id", "created_at", "n")
+    return history.newest_first(tables.history(spark, d)).select("target_folder", "id", "created_at", "n")
 
 
-@whole
-def scan_newest_first_all(spark, d):
-    return history.newest_first(tables.history(spark, d)).select("target_folder", "id", "created_at", "n")
+WHOLE["scan_newest_first_all"] = scan_newest_first
 
 
 @query
@@ -154,9 +151,9 @@ def extract_dates_documents(spark, d):
 
 @query
 def parse_response(spark, d):
-    answer = F.concat(F.lit("DATEINAME: "), F.col("filename"), F.lit("\nKONFIDENZ: "), F.when(F.col("doc_id") % 3 == 0, "hoch").otherwise(F.concat((F.col("doc_id") % 100).cast("string"), F.lit("%"))), F.lit("\nKATEGORIE: Bank\n BETRAG: "), F.when(F.col("doc_id") % 2 == 0, "UNBEKANNT").otherwise("12,50"), F.lit("\nKATEGORIE: "), F.col("doc_id").cast("string"))
+    answer = F.concat(F.lit("DATEINAME: "), F.col("filename"), F.lit("\nKONFIDENZ: "), F.when(F.col("doc_id") % 3 == 0, "hoch").otherwise(F.concat((F.col("doc_id") % 100).cast("string"), F.lit("%"))), F.lit("\nKATEGORIE: Bank\n BETRAG: 7\nORDNER: KEINE\nBETRAG: "), F.when(F.col("doc_id") % 2 == 0, "UNBEKANNT").otherwise("12,50"), F.lit("\nKATEGORIE: "), F.col("doc_id").cast("string"))
     a = tables.letters(spark, d).select("doc_id", answer.alias("a"))
-    return a.select("doc_id", T.answer_field(F.col("a"), "DATEINAME:").alias("filename"), T.answer_confidence(F.col("a")).alias("confidence"), T.answer_field(F.col("a"), "KATEGORIE:").alias("subject"), T.answer_field(F.col("a"), "BETRAG:").alias("betrag"), F.size(T.answer_metadata(F.col("a"))).cast("long").alias("n_fields"))
+    return a.select("doc_id", T.answer_field(F.col("a"), "DATEINAME:", True).alias("filename"), T.answer_confidence(F.col("a")).alias("confidence"), T.answer_field(F.col("a"), "KATEGORIE:").alias("subject"), T.answer_field(F.col("a"), "BETRAG:").alias("betrag"), T.answer_field(F.col("a"), "ORDNER:", True).alias("folder"), F.size(T.answer_metadata(F.col("a"))).cast("long").alias("n_fields"))
 
 
 @query
@@ -227,7 +224,7 @@ def korrespondent_lookup(spark, d):
 
 def _model(spark, d):
     docs = table(spark, d, "documents").filter("source IS NOT NULL").select("doc_id", "text", F.col("source").alias("folder"))
-    training = docs.filter(F.col("doc_id") % 10 != 0)
+    training = docs.filter(F.col("doc_id") % 20 != 0)
     counted = similarity.terms(training)
     model = similarity.fit(counted)
     return docs, training, counted, model
@@ -235,19 +232,17 @@ def _model(spark, d):
 
 @query
 def tfidf_vocabulary(spark, d):
-    return similarity.vocabulary(similarity.terms(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))), 500)
+    return similarity.vocabulary(similarity.terms(table(spark, d, "documents")))
 
 
-@whole
-def tfidf_vocabulary_documents(spark, d):
-    return similarity.vocabulary(similarity.terms(table(spark, d, "documents")))
+WHOLE["tfidf_vocabulary_documents"] = tfidf_vocabulary
 
 
 @query
 def suggest_by_text(spark, d):
     docs, training, counted, model = _model(spark, d)
     trained = similarity.weights(counted, model)
-    asked = similarity.weights(similarity.terms(docs.filter(F.col("doc_id") % 10 == 0)), model)
+    asked = similarity.weights(similarity.terms(docs.filter(F.col("doc_id") % 20 == 0)), model)
     found = similarity.by_text(similarity.cosine(asked, trained), training.select(F.col("doc_id").alias("id"), "folder"))
     return found.select("query", "folder", F.round("score", 6).alias("score"), "rank")
 
@@ -255,8 +250,8 @@ def suggest_by_text(spark, d):
 @query
 def suggest_by_keywords(spark, d):
     h = tables.history(spark, d)
-    q = h.filter("id % 500 = 0").select(F.col("id").alias("query"), "keywords")
-    return similarity.by_keywords(q, h.filter("id % 500 != 0")).select("query", "folder", F.round("confidence", 6).alias("confidence"), "rank")
+    q = h.filter("id % 20 = 0").select(F.col("id").alias("query"), "keywords")
+    return similarity.by_keywords(q, h.filter("id % 20 != 0")).select("query", "folder", F.round("confidence", 6).alias("confidence"), "rank")
 
 
 @query
@@ -267,9 +262,9 @@ def suggest_by_frequency(spark, d):
 @query
 def suggest(spark, d):
     h = tables.history(spark, d)
-    q = h.filter("id % 500 = 0").select(F.col("id").alias("query"), "keywords")
+    q = h.filter("id % 20 = 0").select(F.col("id").alias("query"), "keywords")
     often = similarity.by_frequency(history.folder_stats(h), 10)
-    found = similarity.combined([similarity.by_keywords(q, h.filter("id % 500 != 0"), 3), q.select("query").crossJoin(F.broadcast(often))])
+    found = similarity.combined([similarity.by_keywords(q, h.filter("id % 20 != 0"), 3), q.select("query").crossJoin(F.broadcast(often))])
     return found.select("query", "folder", F.round("confidence", 6).alias("confidence"), "rank")
 
 
@@ -400,3 +395,140 @@ def settings_folder_list(spark, d):
     e = table(spark, d, "events")
     action = F.when(F.col("event_id") % 4 == 0, "remove").otherwise("add")
     return metadata.folder_list(e.select(F.col("event_id").alias("seq"), F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("folder"), action.alias("action")))
+
+
+def _orders(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("path"), F.unix_timestamp("o_orderdate").alias("mtime"), F.col("o_orderpriority").alias("answer"), (F.col("o_orderkey") % 4 != 1).alias("analysed"))
+
+
+@query
+def children_by_usage(spark, d):
+    stats = history.folder_stats(tables.history(spark, d)).withColumn("parent", T.parent(F.col("path")))
+    return stats.filter("parent = '/archiv/click'").orderBy(F.desc("usage_count"), "path").select("path", "usage_count")
+
+
+@query
+def rename_history_by_folder(spark, d):
+    return tables.history(spark, d).filter("target_folder = '/archiv/view/2'").orderBy(F.desc("created_at"), F.desc("id")).limit(5).select("id", "original_filename", "created_at")
+
+
+@query
+def correspondents_by_usage(spark, d):
+    e = table(spark, d, "events").select(F.concat(F.lit("user "), (F.col("user_id") % 50).cast("string")).alias("korrespondent"), F.col("event_type").alias("kategorie"), "ts", "event_id")
+    return history.learned_fields(e, "korrespondent", ["kategorie"], ["ts", "event_id"]).orderBy(F.desc("usage_count"), "korrespondent").select("korrespondent", "usage_count")
+
+
+@query
+def task_order(spark, d):
+    return table(spark, d, "events").select("event_id", F.length("event_type").alias("priority"), "ts").orderBy("priority", "ts", "event_id")
+
+
+@query
+def subfolders_by_name(spark, d):
+    f = tables.folders(spark, d).withColumn("parent", T.parent(F.col("path")))
+    return f.filter("parent = '/akten/ASIA'").select("path", T.basename(F.col("path")).alias("name")).orderBy("name")
+
+
+@query
+def existing_roots(spark, d):
+    named = table(spark, d, "nation").select(F.concat(F.lit("/akten/"), F.col("n_name")).alias("path")).unionByName(table(spark, d, "region").select(F.concat(F.lit("/akten/"), F.col("r_name")).alias("path")))
+    return named.join(tables.folders(spark, d), "path", "left_semi")
+
+
+@query
+def cache_get(spark, d):
+    cache = _orders(spark, d)
+    files = cache.filter("path % 7 != 0").select("path", (F.col("mtime") + F.when(F.col("path") % 5 == 0, 1).otherwise(0)).alias("mtime"))
+    return store.readable(cache, files).select("path", "answer")
+
+
+@query
+def cache_stats(spark, d):
+    return store.states(_orders(spark, d), F.col("answer").startswith("1"))
+
+
+@query
+def cache_with_model_answers(spark, d):
+    return _orders(spark, d).filter("analysed AND answer LIKE '1%'").select("path", "answer")
+
+
+@query
+def cache_replace(spark, d):
+    cache = _orders(spark, d).select("path", "answer", F.lit(0).cast("long").alias("seq"))
+    rows = table(spark, d, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("answer"), F.col("l_linenumber").cast("long").alias("seq"))
+    return store.replaced(cache, rows, "path")
+
+
+@query
+def cache_clear_entries(spark, d):
+    cache = _orders(spark, d)
+    return store.without(cache, cache.filter("answer LIKE '5%'"), "path").select("path")
+
+
+@query
+def cache_move(spark, d):
+    cache = _orders(spark, d).select("path", "mtime", "answer")
+    renames = cache.filter("path % 4 = 0").select("path", (F.col("path") + 1).alias("new_path"), (F.col("mtime") + 60).alias("new_mtime"))
+    return indexing.moved(cache, renames)
+
+
+@query
+def undo_plan(spark, d):
+    o = table(spark, d, "orders")
+    name = F.col("o_orderkey").cast("string")
+    actions = o.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("/ein/"), name).alias("source"), F.concat(F.lit("/aus/"), name).alias("target"))
+    return store.undo_plan(actions, actions.filter("seq % 3 != 0").select(F.col("target").alias("path")))
+
+
+@query
+def split_invalid(spark, d):
+    size = F.col("p_size") % 5 + 1
+    chosen = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit(2), F.lit(1))).when(F.col("p_partkey") % 3 == 1, F.array(F.lit(0), F.lit(1), F.lit(9)))
+    files = table(spark, d, "part").select(F.col("p_name").alias("stem"), size.alias("pages"), chosen.alias("chosen"))
+    return filing.split_chosen(files)
+
+
+@query
+def copy_names(spark, d):
+    p = table(spark, d, "part")
+    source = F.concat(F.lit("/ziel/"), F.col("p_partkey").cast("string"), F.lit(".pdf"))
+    k = F.col("p_partkey")
+    copies = p.select(k, F.explode(F.when(k % 4 == 1, F.array(F.lit(1))).when(k % 4 == 2, F.array(F.lit(1), F.lit(2), F.lit(3))).when(k % 4 == 3, F.array(F.lit(2)))).alias("n"))
+    existing = copies.select(F.concat(F.lit("/ziel/"), F.col("p_partkey").cast("string"), F.lit("_kopie"), F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise(""), F.lit(".pdf")).alias("path"))
+    return filing.copy_plan(p.select(source.alias("source")), existing)
+
+
+def _hybrid(spark, d):
+    docs = tables.letters(spark, d).select("doc_id", "filename", F.get(T.categories(F.col("text")), F.lit(0)).alias("kind"), F.when(F.col("doc_id") % 2 == 0, F.date_format(F.get(T.dates(F.col("text")), F.lit(0)), "yyyy-MM-dd")).alias("day"))
+    name = F.when(F.col("doc_id") % 9 == 0, F.col("filename")).otherwise(F.concat(F.lit("modell_"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    model = docs.filter("doc_id % 3 = 0").select("doc_id", name.alias("name"), (F.col("doc_id") % 100 / 100).alias("confidence"))
+    return docs, filing.hybrid_names(docs, model)
+
+
+@query
+def hybrid_filenames(spark, d):
+    return _hybrid(spark, d)[1]
+
+
+@query
+def batch_rename(spark, d):
+    return filing.batch_renames(*_hybrid(spark, d))
+
+
+@query
+def batch_outcome(spark, d):
+    return filing.batch_renames(*_hybrid(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def model_gate(spark, d):
+    best = table(spark, d, "customer").filter("c_custkey % 3 != 0").groupBy((F.col("c_custkey") % 40).alias("query")).agg(F.max(F.col("c_custkey") % 100 / 100).alias("top"))
+    asked = table(spark, d, "customer").select((F.col("c_custkey") % 60).alias("query")).distinct()
+    return asked.join(best, "query", "left").select("query", (F.col("top").isNull() | (F.col("top") < 0.6)).alias("needs_model"))
+
+
+QUERIES |= {
+    "remove_invalid": _each_letter(name=lambda: T.without_invalid(F.concat(F.lit('a<b>:"/c'), F.col("filename"), F.lit("|?*\\d")))),
+    "mtime_day": lambda spark, d: table(spark, d, "orders").select("o_orderkey", T.mtime_day(F.unix_timestamp("o_orderdate") + F.col("o_orderkey") % 86400).alias("day")),
+}

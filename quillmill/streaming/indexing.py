@@ -26,8 +26,16 @@ def to_analyse(files: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def moved(cache: DataFrame, renames: DataFrame) -> DataFrame:
-    """Entries under their new path after renames(path, new_path)."""
-    return cache.join(renames, "path", "left").withColumn("path", F.coalesce("new_path", "path")).drop("new_path")
+    """Entries under their new path after renames(path, new_path) or renames(path, new_path, new_mtime), with the mtime of the moved file.
+
+    An entry that was under the new path before gives way, as its file does, unless it moves itself.
+    """
+    joined = cache.join(renames, "path", "left")
+    if "new_mtime" in renames.columns:
+        joined = joined.withColumn("mtime", F.coalesce("new_mtime", "mtime")).drop("new_mtime")
+    arrived = joined.filter("new_path IS NOT NULL").withColumn("path", F.col("new_path")).drop("new_path")
+    stayed = joined.filter("new_path IS NULL").drop("new_path").join(renames.select(F.col("new_path").alias("path")).distinct(), "path", "left_anti")
+    return stayed.unionByName(arrived)
 
 
 def index_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
