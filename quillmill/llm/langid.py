@@ -33,6 +33,8 @@ PIECE_RUN = 32
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Texts are scored in blocks of about so many characters.
 BLOCK_CHARS = 4_000_000
+#: Words that go through the lattice at once.
+GROUP = 4_096
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: The probability of a character that is no piece of its own.
 FLOOR = 1e-7
@@ -77,8 +79,8 @@ class Lattice:
         """(positions in words, matrix of code points) by length."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         for n in np.unique(lengths):
-            where = np.flatnonzero(lengths == n)
-            yield where, np.frombuffer("".join([words[i] for i in where]).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(where), n).astype(np.uint64)
+            for where in np.array_split(np.flatnonzero(lengths == n), 1 + (lengths == n).sum() // GROUP):
+                yield where, np.frombuffer("".join([words[i] for i in where]).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(where), n).astype(np.uint64)
 
     def arcs(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(start, end, piece of each word) over all stretches of up to `longest` characters."""
@@ -160,9 +162,12 @@ def learn(docs: DataFrame, train_docs: int, vocabulary: str) -> tuple[list[str],
     if top.empty:
         return [], None, None
     langs = sorted(top["lang"].unique())
-    table = top.pivot_table(index="word", columns="lang", values="n", fill_value=0).reindex(columns=langs)
+    of, words = pd.factorize(top["word"])
+    counts = np.zeros((len(words), len(langs)))
+    counts[of, np.searchsorted(langs, top["lang"])] = top["n"]
+    del top
     pieces = load_pieces(vocabulary)
-    return langs, *fit(list(table.index), table.to_numpy(dtype=float), pieces)
+    return langs, *fit(list(words), counts, pieces)
 
 
 def predict_block(texts: list[str | None], langs: list[str], lattice: Lattice, p: np.ndarray) -> list[tuple[str, float]]:
