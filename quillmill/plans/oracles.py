@@ -77,7 +77,7 @@ c AS (SELECT DISTINCT doc_id, TRY_CAST(printf('%04d-%02d-%02d', y, m, d) AS DATE
   UNION SELECT doc_id, TRY_CAST(printf('%s-%02d-%02d', right(s, 4), list_position(['januar', 'februar', 'märz', 'april', 'mai', 'juni', 'juli', 'august', 'september', 'oktober', 'november', 'dezember'], lower(regexp_extract(s, '\.\s*(\pL+)', 1))), CAST(regexp_extract(s, '^[0-9]+') AS INT)) AS DATE)
   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)[0-9]{1,2}\.\s*(?:januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember)\s*[0-9]{4}')) AS s FROM documents) AS z)
 SELECT doc_id, coalesce(x, '') AS dates FROM (SELECT doc_id FROM documents) AS a LEFT JOIN (SELECT doc_id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x DESC) AS x FROM c WHERE x IS NOT NULL GROUP BY 1) AS b USING (doc_id)""",
-    "parse_response": f"WITH {_L} SELECT doc_id, filename, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE (doc_id % 100) / 100.0 END AS confidence, CAST(doc_id AS VARCHAR) AS subject, CASE WHEN doc_id % 2 = 1 THEN '12,50' ELSE '7' END AS betrag, 'KEINE' AS folder, 2 AS n_fields FROM l",
+    "parse_response": f"WITH {_L} SELECT doc_id, filename, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE (doc_id % 100) / 100.0 END AS confidence, CAST(doc_id AS VARCHAR) AS subject, CASE WHEN doc_id % 2 = 1 THEN '12,50' ELSE '7' END AS betrag, 'KEINE' AS folder, CAST(2 AS BIGINT) AS n_fields FROM l",
     "strip_fences": f"WITH {_L} SELECT doc_id, filename AS answer FROM l",
     "human_size": """WITH x AS (SELECT o_orderkey, o_orderkey * 1280 AS b FROM orders), u AS (SELECT o_orderkey, CASE WHEN b < 1024 THEN 0 WHEN b < 1048576 THEN 1 WHEN b < 1073741824 THEN 2 ELSE 3 END AS e, b FROM x)
 SELECT o_orderkey, printf('%.1f', round_even(b / pow(1024, e), 1)) || ' ' || ['B', 'KB', 'MB', 'GB'][e + 1] AS size FROM u""",
