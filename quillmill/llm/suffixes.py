@@ -68,24 +68,27 @@ def induce(t: np.ndarray, leftmost: np.ndarray, n_symbols: int) -> np.ndarray:
         done = starts[c]
         while done < head[c]:
             now, done = out[done : head[c]], head[c]
-            before = now[now > 0] - 1
-            symbols = t[before]
-            place(before[symbols >= c], symbols[symbols >= c], False)
+            before = now - 1  # of the first suffix, the last symbol, which is smaller than any other
+            symbols = t.take(before)
+            kept = (symbols >= c).nonzero()[0]
+            place(before.take(kept), symbols.take(kept), False)
         before = leftmost[edges[c] : edges[c + 1]]
         before = before[before > 0] - 1
-        place(before, t[before], False)
+        place(before, t.take(before), False)
     place(np.array([len(t) - 1], dtype=np.int32), t[-1:], True)
     for c in range(n_symbols - 1, -1, -1):
         done = ends[c]
         while done > tail[c]:
             now, done = out[tail[c] : done][::-1], tail[c]
             before = now[now > 0] - 1
-            symbols = t[before]
-            place(before[symbols <= c], symbols[symbols <= c], True)
+            symbols = t.take(before)
+            kept = (symbols <= c).nonzero()[0]
+            place(before.take(kept), symbols.take(kept), True)
         before = out[starts[c] : head[c]][::-1]
         before = before[before > 0] - 1
-        symbols = t[before]
-        place(before[symbols < c], symbols[symbols < c], True)
+        symbols = t.take(before)
+        kept = (symbols < c).nonzero()[0]
+        place(before.take(kept), symbols.take(kept), True)
     return out
 
 
@@ -96,11 +99,18 @@ def name_substrings(t: np.ndarray, at: np.ndarray, sorted_at: np.ndarray) -> np.
     a, b = sorted_at[:-1], sorted_at[1:]
     same = length[a] == length[b]
     left, k = np.flatnonzero(same), 0
+    words = t.astype(np.uint64)
+    for i in range(1, min(4, len(t))):
+        words[:-i] |= t[i:].astype(np.uint64) << np.uint64(16 * i)
+    a, b, length = a[left], b[left], length[a[left]]
     while len(left):
-        differ = t[a[left] + k] != t[b[left] + k]
-        same[left[differ]] = False
-        left, k = left[~differ], k + 1
-        left = left[length[a[left]] > k]
+        # Four symbols at a time; those beyond the end are shifted out.
+        beyond = np.maximum(4 - (length - k), 0).astype(np.uint64) * np.uint64(16)
+        equal = (words[a + k] ^ words[b + k]) << beyond == 0
+        same[left[~equal]] = False
+        k += 4
+        on = (equal & (length > k)).nonzero()[0]
+        left, a, b, length = left[on], a[on], b[on], length[on]
     return np.concatenate([[0], np.cumsum(~same)])
 
 
@@ -125,8 +135,8 @@ def directly(t: np.ndarray, depth: int) -> np.ndarray:
 def suffix_array(t: np.ndarray, n_symbols: int, depth: int | None = None, offset: np.ndarray | None = None) -> np.ndarray:
     """The suffixes of t in order (of their first `depth` bytes at least); t ends with its only 0, its symbols are below n_symbols.
 
-    offset: where in the text of the first call each symbol starts. Recursion ends when all names are different, or when
-    those that are not stand for `depth` bytes or more.
+    offset: where in the text of the first call each symbol starts. Names are open if they occur twice or more and stand for
+    less than `depth` bytes; recursion goes on with the open names and the one behind each run of them.
     """
     if len(t) < 3:
         return np.arange(len(t))[::-1]
@@ -147,10 +157,24 @@ def suffix_array(t: np.ndarray, n_symbols: int, depth: int | None = None, offset
     of = np.zeros(len(t), dtype=np.int64)
     of[found] = names
     of = of[at]
-    tied = np.bincount(names)[of] > 1
-    size = np.diff(offset[at], append=offset[-1] + 1)
-    if (tied if depth is None else tied & (size < depth)).any():
-        found = at[suffix_array(of, int(names[-1]) + 1, depth, offset[at])]
+    is_open = np.bincount(names)[of] > 1
+    if depth is not None:
+        is_open &= np.diff(offset[at], append=offset[-1] + 1) < depth
+    if is_open.any():
+        # A comparison ends at the first name that is not open; names behind it are left out of the recursion.
+        inside = is_open.copy()
+        inside[1:] |= is_open[:-1]
+        inside[-1] = True
+        kept = np.flatnonzero(inside)
+        number = np.zeros(int(names[-1]) + 1, dtype=np.int64)
+        number[of[kept]] = 1
+        number = np.cumsum(number) - 1
+        ordered = kept[suffix_array(number[of[kept]], int(number[-1]) + 1, depth, offset[at[kept]])]
+        left_out = np.zeros(len(t), dtype=bool)
+        left_out[at[~inside]] = True
+        is_left_out = left_out[found]
+        found, place = np.concatenate([at[ordered], found[is_left_out]]), np.concatenate([of[ordered], names[is_left_out]])
+        found = found[np.argsort(place, kind="stable")]
     return induce(t, found, n_symbols)
 
 

@@ -60,6 +60,19 @@ def test_near_duplicates_against_all_pairs(spark, block, monkeypatch):
     assert len({got[9000 + i] for i in range(24) if i % 4}) < 18 and got[9999] == got[10000]
 
 
+@pytest.mark.parametrize("symbols", [2, 6, 900])
+def test_suffix_order_of_shortened_recursion(monkeypatch, symbols):
+    monkeypatch.setattr(suffixes, "SMALL", 8)
+    rng = np.random.default_rng(symbols)
+    for n in (3, 20, 60, 300):
+        for t in (rng.integers(1, symbols + 1, n), np.tile(rng.integers(1, symbols + 1, n // 3), 4)):
+            t = np.append(t, 0)
+            assert suffixes.suffix_array(t, symbols + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+            for depth in (4, 20):
+                shown = [t[i : i + depth].tolist() for i in suffixes.suffix_array(t, symbols + 1, depth)]
+                assert shown == sorted(shown) and len(shown) == len(t)
+
+
 def test_suffix_recursion_over_many_names(monkeypatch):
     widths, inner = [], suffixes.in_digits
     monkeypatch.setattr(suffixes, "in_digits", lambda t, n: widths.append(n) or inner(t, n))
