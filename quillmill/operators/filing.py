@@ -131,6 +131,17 @@ def merge_plan(lists: DataFrame, pages: DataFrame) -> DataFrame:
     return each.select("output", "source", "page", F.row_number().over(Window.partitionBy("output").orderBy("pos", "page")).alias("new_page"))
 
 
+def merge_checked(lists: DataFrame, pages: DataFrame) -> DataFrame:
+    """merge_plan with an error, and no pages, for each output without sources or with one (the first is named) that isn't there."""
+    wanted = lists.select("output", F.posexplode("sources").alias("pos", "source"))
+    gone = wanted.join(pages.select("source").distinct(), "source", "left_anti").groupBy("output").agg(F.min_by("source", "pos").alias("gone"))
+    empty = F.coalesce(F.size("sources"), F.lit(0)) <= 0
+    error = F.when(empty, F.lit("Es müssen mindestens zwei PDF-Quelldateien angegeben werden.")).when(F.col("gone").isNotNull(), F.concat(F.lit("Quelldatei nicht gefunden: "), "gone"))
+    told = lists.join(gone, "output", "left").select("output", "sources", error.alias("error"))
+    plan = merge_plan(told.filter("error IS NULL"), pages).withColumn("error", F.lit(None).cast("string"))
+    return plan.unionByName(told.filter("error IS NOT NULL").select("output", "error"), allowMissingColumns=True)
+
+
 def rename_candidates(docs: DataFrame, most: int = 6, learned: DataFrame | None = None) -> DataFrame:
     """docs(doc_id, filename, text) with ranked names: by rule 0.6, category and number 0.4, date and category 0.5, date 0.3.
 

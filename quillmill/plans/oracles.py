@@ -1,6 +1,6 @@
 """The same results in SQL, written apart from the DataFrame plans."""
 
-from quillmill.constants import STOP_WORDS
+from quillmill.constants import ANSWER_FIELDS, STOP_WORDS
 
 _H = """h AS (SELECT event_id AS id, 'scan_' || event_id || '.pdf' AS original_filename, '/archiv/' || event_type || '/' || (user_id % 7) AS target_folder,
   event_type || '_' || (user_id % 7) AS target_folder_name, CASE WHEN event_id % 3 <> 0 THEN 'Archiv/' || event_type END AS target_relative_path,
@@ -144,7 +144,21 @@ o AS (SELECT doc_id, 1 AS no, day || '_' || base || '.pdf' AS name, 0.7 AS confi
 y AS (SELECT doc_id, name, confidence, source, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS place FROM o WHERE name IS NOT NULL),
 b AS (SELECT k.doc_id, CASE WHEN new_name <> filename THEN new_name END AS new_name, CASE WHEN new_name <> filename THEN 'renamed' ELSE 'skipped' END AS status
   FROM k LEFT JOIN (SELECT doc_id, arg_min(name, place) AS new_name FROM y WHERE source = 'llm' AND confidence > 0.5 GROUP BY 1) AS z USING (doc_id))"""
+_MARKS = "".join(f" || chr(10) || '{m} ...'" for m in ANSWER_FIELDS)
+_PROMPT = f"""{_L}, p AS (SELECT doc_id, 'Schlage einen Dateinamen für das Dokument vor.' || chr(10) || 'Besitzer der Dokumente, nie der Korrespondent: "Ada Muster", "A. Muster", "Muster GmbH"' || chr(10) || 'Datei: ' || filename || chr(10) || 'Text:' || chr(10)
+  || CASE WHEN length(text) <= 50 THEN text ELSE left(text, 50) || chr(10) || '[... Text gekürzt ...]' END || chr(10) || CASE WHEN {_KIND} = '' THEN '' ELSE 'Schlüsselwörter: ' || replace({_KIND}, ',', ', ') || chr(10) END
+  || CASE WHEN doc_id % 2 = 0 THEN 'Datum im Dokument: ' || day || chr(10) ELSE '' END || 'Zielordner: /akten' || chr(10) || 'Antworte so:' || chr(10) || 'DATEINAME: ...' || chr(10) || 'KONFIDENZ: 0-100'{_MARKS} AS prompt FROM l)"""
 ORACLES |= {
+    "filename_prompt": f"WITH {_PROMPT} SELECT doc_id, prompt FROM p",
+    "model_filenames": f"WITH {_PROMPT} SELECT doc_id, 'dokument_' || left(sha256(prompt), 8) || '.pdf' AS name, CAST(0.75 AS DOUBLE) AS confidence FROM p",
+    "merge_errors": """WITH p AS (SELECT p_partkey AS k FROM part), g AS (SELECT k, s, pos FROM p, (VALUES (0), (1)) AS v(pos), LATERAL (SELECT CASE WHEN pos = 0 THEN 'q' || k ELSE 'q1' END AS s) AS w WHERE k % 3 = 2)
+SELECT k AS output, s AS source, CAST(i AS INTEGER) AS page, CAST(2 * pos + i AS INTEGER) AS new_page, CAST(NULL AS VARCHAR) AS error FROM g, unnest([1, 2]) AS u(i)
+UNION ALL SELECT k, NULL, NULL, NULL, CASE WHEN k % 3 = 0 THEN 'Es müssen mindestens zwei PDF-Quelldateien angegeben werden.' ELSE 'Quelldatei nicht gefunden: weg' END FROM p WHERE k % 3 <> 2""",
+    "suggest_subfolder_for_parent": """WITH r AS (SELECT '/akten/' || r_name AS parent, '/akten/' || r_name || '/' || n_name AS folder, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey),
+u AS (SELECT parent, folder, count(*) AS n FROM r JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 3 = 0 GROUP BY 1, 2), l AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY n DESC, folder) AS place FROM u QUALIFY place <= 3),
+e AS (SELECT parent, folder, row_number() OVER (PARTITION BY parent ORDER BY folder) AS nth FROM r), h AS (SELECT parent, count(*) AS has FROM l GROUP BY 1)
+SELECT parent, folder, round(least(n / 50.0, 0.8), 6) AS confidence, 'Gelernt (' || n || 'x verwendet)' AS reason, CAST(place AS INTEGER) AS place FROM l
+UNION ALL SELECT parent, folder, 0.2, 'Existierender Unterordner', CAST(coalesce(has, 0) + row_number() OVER (PARTITION BY parent ORDER BY nth) AS INTEGER) FROM e LEFT JOIN h USING (parent) WHERE nth <= 3 - coalesce(has, 0) AND folder NOT IN (SELECT folder FROM l)""",
     "children_by_usage": f"WITH {_H}, {_STATS} SELECT path, usage_count FROM s WHERE path LIKE '/archiv/click/%'",
     "rename_history_by_folder": f"WITH {_H} SELECT id, original_filename, created_at FROM h WHERE target_folder = '/archiv/view/2' ORDER BY created_at DESC, id DESC LIMIT 5",
     "correspondents_by_usage": "SELECT 'user ' || (user_id % 50) AS korrespondent, count(*) AS usage_count FROM events GROUP BY 1",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import filing, history, metadata, search, similarity, store
+from quillmill.operators import filing, history, metadata, models, search, similarity, store, subfolders
 from quillmill.sources import tables
 from quillmill.sources.tables import table
 from quillmill.streaming import indexing
@@ -489,6 +489,40 @@ def split_invalid(spark, d):
     return filing.split_chosen(files)
 
 
+@query
+def merge_errors(spark, d):
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("q"), k.cast("string"))
+    lists = table(spark, d, "part").select(k.alias("output"), F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(name, F.lit("weg"), F.lit("fort"))).otherwise(F.array(name, F.lit("q1"))).alias("sources"))
+    pages = table(spark, d, "part").select(name.alias("source"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page"))
+    return filing.merge_checked(lists, pages).select("output", "source", "page", "new_page", "error")
+
+
+@query
+def suggest_subfolder_for_parent(spark, d):
+    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    stats = c.filter("n_nationkey % 3 = 0").groupBy(F.concat_ws("/", F.lit("/akten"), "r_name", "n_name").alias("path")).agg(F.count("*").alias("usage_count"))
+    parents = table(spark, d, "region").select(F.concat(F.lit("/akten/"), "r_name").alias("parent"))
+    return subfolders.for_parents(parents, stats, tables.folders(spark, d)).select("parent", "folder", F.round("confidence", 6).alias("confidence"), "reason", "place")
+
+
+def _prompted(spark, d):
+    day = F.when(F.col("doc_id") % 2 == 0, F.date_format(F.get(T.dates(F.col("text")), F.lit(0)), "yyyy-MM-dd"))
+    prompt = models.filename_prompt(F.col("text"), F.col("filename"), T.categories(F.col("text")), day, F.lit("/akten"), None, models.owner_section("Ada Muster", "A. Muster, ", "Muster GmbH"), 50)
+    return tables.letters(spark, d).select("doc_id", prompt.alias("prompt"))
+
+
+@query
+def filename_prompt(spark, d):
+    return _prompted(spark, d)
+
+
+@query
+def model_filenames(spark, d):
+    said = models.answered(_prompted(spark, d), "prompt", models.Stub(75))
+    return said.select("doc_id", T.answer_field(F.col("answer"), "DATEINAME:", True).alias("name"), T.answer_confidence(F.col("answer")).alias("confidence"))
+
+
 @query
 def copy_names(spark, d):
     p = table(spark, d, "part")
