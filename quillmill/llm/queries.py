@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import ann, chat, decontaminate, langid, licenses, lm, mixing, neardup, repeats, secrets
+from quillmill.llm import ann, chat, decontaminate, langid, licenses, lloyd, lm, mixing, neardup, prefix_trie, repeats, secrets, simhash
 from quillmill.llm.common import fresh_path
 
 
@@ -66,6 +66,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.canonical_turns(records)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -98,6 +110,49 @@ SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: crc32 bit by bit: for every digit its byte, then eight steps.
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END), CAST(4294967295 AS BIGINT))"""
+
+OP11_SQL = f"""
+WITH own AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS v
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, v, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM own),
+rebuilt AS (SELECT h.conv_id, list_concat(coalesce(list_slice(b.v, 1, h), []), coalesce(list_slice(h.v, h + 1, len(h.v)), [])) AS v FROM h LEFT JOIN own AS b ON b.conv_id = h.base),
+prefixes AS (SELECT conv_id, len(v) AS n, d, list_slice(v, 1, d) AS p FROM rebuilt, unnest(range(0, len(v) + 1)) AS u(d)),
+nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].x) END AS saved,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM prefixes GROUP BY p, d),
+kids AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+all_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+above AS (SELECT list_slice(p, 1, k) AS p, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM all_nodes, unnest(range(0, d + 1)) AS u(k) GROUP BY 1)
+SELECT a.conv_id, a.d AS depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM all_nodes AS a JOIN above USING (p) LEFT JOIN nodes AS b ON a.d > 0 AND b.d = a.d - 1 AND b.p = list_slice(a.p, 1, a.d - 1)
+"""
+
+
+def _lloyd_sql(k: int = lloyd.K, rounds: int = lloyd.ROUNDS, dims: int = lloyd.DIMS, grid: int = lloyd.GRID) -> str:
+    """One pair of subqueries a round: nearest centroids, then the floors of the means."""
+    near = "SELECT i, arg_min(c, (x, c)) AS c, min(x) AS x FROM (SELECT i, c, list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS x FROM rows, c{}) AS p GROUP BY i"
+    steps = "".join(
+        f""", a{r} AS MATERIALIZED ({near.format(r)}),
+sums{r} AS (SELECT c, j, sum(v[j]) AS s, count(*) AS n FROM rows JOIN a{r} USING (i), unnest(range(1, {dims + 1})) AS u(j) GROUP BY c, j),
+new{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS w FROM sums{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(new{r}.w, c{r}.w) AS w FROM c{r} LEFT JOIN new{r} USING (c))"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH rows AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * {grid}) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: isfinite(e))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS w FROM rows ORDER BY sha256('2:' || vec_id), v LIMIT {k}){steps},
+last AS MATERIALIZED ({near.format(rounds)})
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(x AS BIGINT) AS distance, CAST(sum(x) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(x) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM rows JOIN last USING (i) JOIN c{rounds} USING (c)
+"""
+
+
+OP12_SQL = _lloyd_sql()
+
 QUERIES = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -109,5 +164,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_simhash": op13_simhash,
 }
-ORACLES = {"op8_decontaminate": OP8_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op8_decontaminate": OP8_SQL, "op10_chat_format": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_centroid_clusters": OP12_SQL}
