@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -182,9 +185,23 @@ def mtime_day(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
 
 
-_ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+def _folding() -> dict[str, str]:
+    """Letters of Latin-1, Latin Extended-A and B and Extended Additional that decompose, with the letter they begin with."""
+    letters = (chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))
+    return {c: base for c in letters if c == c.lower() and (base := unicodedata.normalize("NFD", c)[0]) != c}
+
+
+FOLDED = _folding()
+#: Combining marks go before tokens are cut.
+MARKS = "[\u0300-\u036f]"
+
+
+def folded(text: str) -> str:
+    """The same for a Python string: lower case, without accents and combining marks."""
+    return re.sub(MARKS, "", text.lower().translate(str.maketrans(FOLDED)))
 
 
 def folded_tokens(text: Column) -> Column:
     """Runs of letters and digits in lower case without accents."""
-    return _all(F.translate(F.lower(text), *_ACCENTS), r"[\p{L}\p{N}]+")
+    plain = F.translate(F.lower(text), "".join(FOLDED), "".join(FOLDED.values()))
+    return _all(F.regexp_replace(plain, MARKS, ""), r"[\p{L}\p{N}]+")

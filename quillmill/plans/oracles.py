@@ -1,6 +1,7 @@
 """The same results in SQL, written apart from the DataFrame plans."""
 
 from quillmill.constants import ANSWER_FIELDS, STOP_WORDS
+from quillmill.functions.text import FOLDED, MARKS
 
 _H = """h AS (SELECT event_id AS id, 'scan_' || event_id || '.pdf' AS original_filename, '/archiv/' || event_type || '/' || (user_id % 7) AS target_folder,
   event_type || '_' || (user_id % 7) AS target_folder_name, CASE WHEN event_id % 3 <> 0 THEN 'Archiv/' || event_type END AS target_relative_path,
@@ -27,11 +28,15 @@ def _terms(source: str) -> str:
 tm AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM w UNION ALL SELECT id, t[i] || ' ' || t[i + 1] FROM w, unnest(range(1, len(t))) AS r(i)) AS u GROUP BY 1, 2)"""
 
 
-def _search(table: str, key: str, columns: list[str], match: list[str]) -> str:
-    """match: for each phrase a condition on tk(token) and nx(next token)."""
-    tokens = " UNION ALL ".join(rf"SELECT {key} AS id, '{c}' AS col, regexp_extract_all(translate(lower(coalesce({c}, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{{L}}\p{{N}}]+') AS t FROM {table}" for c in columns)
+def _folded(column: str) -> str:
+    return f"regexp_replace(translate(lower(coalesce({column}, '')), '{''.join(FOLDED)}', '{''.join(FOLDED.values())}'), '{MARKS}', '', 'g')"
+
+
+def _search(table: str, key: str, columns: list[str], match: list[str], source: str = "") -> str:
+    """match: for each phrase a condition on tk(token) and nx(next token); source: a CTE for the table, if it isn't one of the given ones."""
+    tokens = " UNION ALL ".join(rf"SELECT {key} AS id, '{c}' AS col, regexp_extract_all({_folded(c)}, '[\p{{L}}\p{{N}}]+') AS t FROM {table}" for c in columns)
     parts = " UNION ALL ".join(f"SELECT id, {i} AS ph, count(*) AS f FROM p WHERE {m} GROUP BY id" for i, m in enumerate(match))
-    return f"""WITH tk AS ({tokens}), p AS (SELECT id, t[i] AS tk, t[i + 1] AS nx FROM tk, unnest(range(1, len(t) + 1)) AS r(i)),
+    return f"""WITH {source} tk AS ({tokens}), p AS (SELECT id, t[i] AS tk, t[i + 1] AS nx FROM tk, unnest(range(1, len(t) + 1)) AS r(i)),
 dl AS (SELECT id, sum(len(t)) AS l FROM tk GROUP BY id), st AS (SELECT count(*) AS n, avg(l) AS m FROM dl), hit AS ({parts}),
 idf AS (SELECT ph, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS w FROM (SELECT ph, count(*) AS df FROM hit GROUP BY ph) AS x, st)
 SELECT id, round(r, 6) AS rank FROM (SELECT hit.id, -sum(w * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / m))) AS r FROM hit JOIN idf USING (ph) JOIN dl USING (id), st GROUP BY hit.id HAVING count(*) = {len(match)}) AS y ORDER BY r, id LIMIT 50"""
@@ -148,7 +153,14 @@ _MARKS = "".join(f" || chr(10) || '{m} ...'" for m in ANSWER_FIELDS)
 _PROMPT = f"""{_L}, p AS (SELECT doc_id, 'Schlage einen Dateinamen für das Dokument vor.' || chr(10) || 'Besitzer der Dokumente, nie der Korrespondent: "Ada Muster", "A. Muster", "Muster GmbH"' || chr(10) || 'Datei: ' || filename || chr(10) || 'Text:' || chr(10)
   || CASE WHEN length(text) <= 50 THEN text ELSE left(text, 50) || chr(10) || '[... Text gekürzt ...]' END || chr(10) || CASE WHEN {_KIND} = '' THEN '' ELSE 'Schlüsselwörter: ' || replace({_KIND}, ',', ', ') || chr(10) END
   || CASE WHEN doc_id % 2 = 0 THEN 'Datum im Dokument: ' || day || chr(10) ELSE '' END || 'Zielordner: /akten' || chr(10) || 'Antworte so:' || chr(10) || 'DATEINAME: ...' || chr(10) || 'KONFIDENZ: 0-100'{_MARKS} AS prompt FROM l)"""
+#: What an index holds after the changes of `_indexed`.
+_LIVE = """live AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'Lizenz alt ' || coalesce(text, '') END AS text, coalesce(lang, '') || ' ' || coalesce(source, '') AS about
+  FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 4 = 0),"""
 ORACLES |= {
+    "index_search": _search("live", "doc_id", ["text", "about"], ["tk LIKE 'licens%'"], _LIVE),
+    "index_search_terms": _search("live", "doc_id", ["text", "about"], ["tk LIKE 'lizenz%'", "tk LIKE 'web%'"], _LIVE),
+    "index_phrase": _search("live", "doc_id", ["text", "about"], ["tk = 'lizenz' AND nx LIKE 'al%'"], _LIVE),
+    "index_count": f"WITH {_LIVE[:-1]} SELECT count(*) AS n FROM live",
     "filename_prompt": f"WITH {_PROMPT} SELECT doc_id, prompt FROM p",
     "model_filenames": f"WITH {_PROMPT} SELECT doc_id, 'dokument_' || left(sha256(prompt), 8) || '.pdf' AS name, CAST(0.75 AS DOUBLE) AS confidence FROM p",
     "merge_errors": """WITH p AS (SELECT p_partkey AS k FROM part), g AS (SELECT k, s, pos FROM p, (VALUES (0), (1)) AS v(pos), LATERAL (SELECT CASE WHEN pos = 0 THEN 'q' || k ELSE 'q1' END AS s) AS w WHERE k % 3 = 2)

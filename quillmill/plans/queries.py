@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import filing, history, metadata, models, search, similarity, store, subfolders
-from quillmill.sources import tables
+from quillmill.operators import filing, history, metadata, models, search, search_index, similarity, store, subfolders
+from quillmill.sources import tables, versions
 from quillmill.sources.tables import table
 from quillmill.streaming import indexing
 
@@ -370,6 +370,39 @@ def fts_phrase_prefix(spark, d):
     return search.search(table(spark, d, "documents"), "doc_id", ["text"], "mit-li").select("id", F.round("rank", 6).alias("rank"))
 
 
+def _indexed(spark, d):
+    """An index of all documents: written, half of it replaced, a seventh deleted, some of that put back, merged."""
+    root = versions.shared_folder(spark, "index")
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("source", F.lit(""))).alias("about"))
+    key = F.col("doc_id")
+    search_index.upsert(spark, root, docs.withColumn("text", F.concat(F.lit("Lizenz alt "), F.coalesce("text", F.lit("")))), "doc_id", ["text", "about"])
+    search_index.upsert(spark, root, docs.filter(key % 2 == 0), "doc_id", ["text", "about"])
+    search_index.delete(spark, root, docs.filter(key % 7 == 0), "doc_id")
+    search_index.upsert(spark, root, docs.filter(key % 28 == 0), "doc_id", ["text", "about"])
+    search_index.merge(spark, root)
+    return root
+
+
+@query
+def index_search(spark, d):
+    return search_index.find(spark, _indexed(spark, d), "licens").select("id", F.round("rank", 6).alias("rank"))
+
+
+@query
+def index_search_terms(spark, d):
+    return search_index.find(spark, _indexed(spark, d), "lizenz web").select("id", F.round("rank", 6).alias("rank"))
+
+
+@query
+def index_phrase(spark, d):
+    return search_index.find(spark, _indexed(spark, d), "lizenz-al").select("id", F.round("rank", 6).alias("rank"))
+
+
+@query
+def index_count(spark, d):
+    return spark.range(1).select(F.lit(search_index.count(spark, _indexed(spark, d))).cast("long").alias("n"))
+
+
 @query
 def match_folder_answer(spark, d):
     nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"))
