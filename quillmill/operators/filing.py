@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-
-#: A list of at most so many folders or correspondents is broadcast.
-LISTED = 50_000
+from quillmill.operators import containment
 
 
 def resolve_folders(learned: DataFrame, folders: DataFrame) -> DataFrame:
@@ -19,31 +17,41 @@ def resolve_folders(learned: DataFrame, folders: DataFrame) -> DataFrame:
     return joined.select("id", "folder", F.coalesce("same", "named").alias("path")).filter(F.col("path").isNotNull())
 
 
+def resolve_learned(learned: DataFrame, folders: DataFrame) -> DataFrame:
+    """learned(name, path) with the folder that exists now: the same path, else the last path whose own name is `name` in any case; others go."""
+    by_path = folders.select("path", F.col("path").alias("same")).distinct()
+    by_name = folders.groupBy(F.lower(T.basename(F.col("path"))).alias("low")).agg(F.max("path").alias("named"))
+    joined = learned.withColumn("low", F.lower("name")).join(by_path, "path", "left").join(by_name, "low", "left")
+    return joined.select("name", "path", F.coalesce("same", "named").alias("resolved")).filter("resolved IS NOT NULL")
+
+
 def lookup_correspondent(names: DataFrame, known: DataFrame) -> DataFrame:
-    """names(name) with the known(kid, korrespondent) it equals, else the first that contains it or that it contains."""
-    exact = names.join(known.select("kid", F.col("korrespondent").alias("name")).groupBy("name").agg(F.min("kid").alias("kid")), "name", "left")
-    hit, miss = exact.filter("kid IS NOT NULL"), exact.filter("kid IS NULL").select("name")
-    k, n = F.lower("korrespondent"), F.lower("name")
-    listed = F.broadcast(known) if known.limit(LISTED + 1).count() <= LISTED else known
-    fuzzy = miss.join(listed, k.contains(n) | n.contains(k)).groupBy("name").agg(F.min("kid").alias("kid"))
-    return hit.select("name", "kid", F.lit("exact").alias("how")).unionByName(fuzzy.select("name", "kid", F.lit("fuzzy").alias("how")))
+    """names(name) with the known(kid, korrespondent) that they equal without blanks around, else the first that contains them or that they contain, in any case; blank names have none."""
+    asked = names.select("name", F.trim("name").alias("text")).filter("text != ''")
+    first = known.filter("korrespondent != ''").groupBy("korrespondent").agg(F.min("kid").alias("kid"))
+    same = asked.join(first.withColumnRenamed("korrespondent", "text"), "text", "left")
+    hit, miss = same.filter("kid IS NOT NULL"), same.filter("kid IS NULL").select("name", F.lower("text").alias("text"))
+    fuzzy = miss.join(containment.first_match(miss, first.select(F.col("kid").alias("pos"), F.lower("korrespondent").alias("name"))), "text")
+    return hit.select("name", "kid", F.lit("exact").alias("how")).unionByName(fuzzy.select("name", F.col("pos").alias("kid"), F.lit("fuzzy").alias("how")))
 
 
 def match_answers(answers: DataFrame, folders: DataFrame) -> DataFrame:
     """answers(id, answer) with the folder of folders(pos, name) that it equals, else equals in other case, else the first that contains it or that it contains; null if none.
 
-    Only distinct answers without an equal folder meet the list of folders.
+    Where folders have a path, it is that of the first folder with the name found. A blank answer has no folder.
     """
     same = folders.groupBy(F.col("name").alias("answer")).agg(F.min("pos").alias("pos0"))
     lower = folders.groupBy(F.lower("name").alias("low")).agg(F.min_by("name", "pos").alias("by_case"))
-    asked = answers.withColumn("low", F.lower("answer")).join(same, "answer", "left").join(lower, "low", "left")
-    open_answers = asked.filter("pos0 IS NULL AND by_case IS NULL AND low IS NOT NULL").select("low").distinct()
-    listed = folders.select("pos", "name", F.lower("name").alias("n"))
-    listed = F.broadcast(listed) if listed.limit(LISTED + 1).count() <= LISTED else listed
-    partly = open_answers.join(listed, F.contains("n", "low") | F.contains("low", "n")).groupBy("low").agg(F.min_by("name", "pos").alias("by_part"))
+    asked = answers.withColumn("low", F.lower("answer")).join(same.filter("answer != ''"), "answer", "left").join(lower.filter("low != ''"), "low", "left")
+    open_answers = asked.filter("pos0 IS NULL AND by_case IS NULL AND trim(low) != ''").select(F.col("low").alias("text")).distinct()
+    partly = containment.first_match(open_answers, folders.select("pos", F.lower("name").alias("name")))
+    partly = partly.join(folders.groupBy("pos").agg(F.min("name").alias("by_part")), "pos").select(F.col("text").alias("low"), "by_part")
     found = F.when(F.col("pos0").isNotNull(), F.col("answer")).otherwise(F.coalesce("by_case", "by_part"))
     how = F.when(F.col("pos0").isNotNull(), "exact").when(F.col("by_case").isNotNull(), "case").when(F.col("by_part").isNotNull(), "part")
-    return asked.join(partly, "low", "left").select("id", "answer", found.alias("folder"), how.alias("how"))
+    out = asked.join(partly, "low", "left").select("id", "answer", found.alias("folder"), how.alias("how"))
+    if "path" not in folders.columns:
+        return out
+    return out.join(folders.groupBy(F.col("name").alias("folder")).agg(F.min_by("path", "pos").alias("path")), "folder", "left").select("id", "answer", "folder", "how", "path")
 
 
 #: Suffix of a path's last name (none where the name begins with its only dot), and the number at the end of a stem.

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+
+from quillmill.sources import versions
 
 
 def with_overlap(log: DataFrame, keywords: list[str]) -> DataFrame:
@@ -22,6 +23,11 @@ def folder_stats(log: DataFrame) -> DataFrame:
     return log.groupBy(F.col("target_folder").alias("path")).agg(F.count("*").alias("usage_count"), F.max("created_at").alias("last_used"), F.min("created_at").alias("created_at"), first.alias("relative_path"))
 
 
+def named_stats(log: DataFrame) -> DataFrame:
+    """path, name (the first that was logged) and usage_count of every folder."""
+    return log.groupBy(F.col("target_folder").alias("path")).agg(F.min_by("target_folder_name", "id").alias("name"), F.count("*").alias("usage_count"))
+
+
 def folder_keywords(log: DataFrame) -> DataFrame:
     """The set of keywords of each folder name, lower-cased and sorted."""
     each = log.select("target_folder_name", F.explode("keywords").alias("k")).select("target_folder_name", F.lower(F.trim("k")).alias("k")).filter("k != ''")
@@ -51,7 +57,13 @@ def last_used(log: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def newest_first(log: DataFrame) -> DataFrame:
-    """Every entry with its number n in the order newest first; numbered across sorted partitions, never in one task."""
-    rows = log.orderBy(F.desc("created_at"), F.desc("id"))
-    schema = StructType([*log.schema.fields, StructField("n", LongType())])
-    return log.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+    """Every entry with its number n in the order newest first: ranges of the order are written once, numbered apart, and start after what the ranges before them hold."""
+    spark = log.sparkSession
+    newest, last = F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), F.lit((1 << 63) - 1)), -F.col("id")
+    path = versions.shared_folder(spark, "ordered")  # a range partitioning that is computed twice may cut elsewhere
+    log.repartitionByRange(newest, last).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))  # one row a range
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(newest, last))
+    return rows.join(F.broadcast(starts), "_part").withColumn("n", F.col("_start") + at).drop("_part", "_start")

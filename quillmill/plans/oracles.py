@@ -16,6 +16,11 @@ _L = """l AS (SELECT o_orderkey AS doc_id,
   || ' an ' || c_name || chr(10) || ['Muster Bau GmbH', 'Firma: Nordlicht', 'Stadtwerke'][o_orderkey % 3 + 1] || chr(10) || 'Betrag ' || o_orderpriority AS text,
   CAST(o_orderdate AS DATE) AS day FROM orders JOIN customer ON o_custkey = c_custkey)"""
 _F = "f AS (SELECT '/akten/' || r_name AS path FROM region UNION ALL SELECT '/akten/' || r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
+#: d(path, clean), t(pos, root) and first(path, clean, root): the first root that is a path or above it.
+_PATHS = f"""{_F}, d AS (SELECT path, rtrim(replace(path, '//', '/'), '/') AS clean FROM (SELECT path FROM f UNION ALL SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN '/weg/' ELSE '/akten/' END || r_name || '/' || n_name
+    || CASE WHEN c_custkey % 9 = 0 THEN '/.alt/' WHEN c_custkey % 5 = 0 THEN '//' ELSE '/' END || c_mktsegment || CASE WHEN c_custkey % 4 = 0 THEN '/' ELSE '' END FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) AS x),
+t AS (SELECT n_nationkey AS pos, '/akten/' || r_name || '/' || n_name AS root FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0 UNION ALL SELECT r_regionkey * 6 + 10, '/akten/' || r_name FROM region),
+first AS (SELECT path, clean, arg_min(root, pos) AS root FROM d LEFT JOIN t ON clean = root OR starts_with(clean, root || '/') GROUP BY 1, 2)"""
 _KIND = "CASE kind WHEN 'Rechnung' THEN 'rechnung' WHEN 'Vertrag' THEN 'vertrag' WHEN 'Police' THEN 'versicherung' WHEN 'Kontoauszug' THEN 'bank' WHEN 'Gehaltsabrechnung' THEN 'rechnung,gehalt' ELSE '' END"
 _COMPANY = "CASE sender WHEN 'Muster Bau GmbH' THEN 'Muster Bau' WHEN 'Firma: Nordlicht' THEN 'Nordlicht' || chr(10) || 'Betrag' END"
 _STATS = "s AS (SELECT target_folder AS path, count(*) AS usage_count, max(created_at) AS last_used, min(created_at) AS created_at, arg_min(target_relative_path, (created_at, id)) FILTER (target_relative_path IS NOT NULL) AS relative_path FROM h GROUP BY 1)"
@@ -32,6 +37,36 @@ def _folded(column: str) -> str:
     return f"regexp_replace(translate(lower(coalesce({column}, '')), '{''.join(FOLDED)}', '{''.join(FOLDED.values())}'), '{MARKS}', '', 'g')"
 
 
+#: cs(query, id, c): cosines above 0.1 of every id divisible by 20 with all others, from tm(id, term, tf).
+_VECTORS = """voc AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT id) FROM tm)) / (1 + count(*))) + 1 AS idf FROM tm GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000),
+raw AS (SELECT id, term, tf * idf AS x FROM tm JOIN voc USING (term)), nrm AS (SELECT id, sqrt(sum(x * x)) AS n FROM raw GROUP BY 1), v AS (SELECT id, term, x / n AS w FROM raw JOIN nrm USING (id)),
+cs AS (SELECT q.id AS query, t.id AS id, sum(q.w * t.w) AS c FROM v AS q JOIN v AS t USING (term) WHERE q.id % 20 = 0 AND t.id <> q.id GROUP BY 1, 2 HAVING c > 0.1)"""
+#: The folders that exist, and where a learned (name, path) is now.
+_ARCHIVE = f"""{_H}, a AS (SELECT DISTINCT '/archiv/' || event_type || '/' || (user_id % 7) AS path FROM events WHERE user_id % 7 < 5
+  UNION SELECT '/neu/' || event_type || '_5' FROM events WHERE user_id % 7 = 5 UNION SELECT '/neu/alt/' || event_type || '_5' FROM events WHERE user_id % 7 = 5 UNION SELECT '/neu/Click_6' FROM events WHERE user_id % 7 = 6 AND event_type = 'click'),
+ln AS (SELECT DISTINCT target_folder_name AS name, target_folder AS path FROM h),
+res AS (SELECT name, ln.path, coalesce(a.path, (SELECT max(a2.path) FROM a AS a2 WHERE lower(split_part(a2.path, '/', -1)) = lower(name))) AS folder FROM ln LEFT JOIN a ON a.path = ln.path)"""
+_KEYWORDS = f"""{_ARCHIVE}, q AS (SELECT DISTINCT id AS query, lower(unnest(keywords)) AS k FROM h WHERE id % 20 = 0), e AS (SELECT DISTINCT id, target_folder_name AS name, lower(unnest(keywords)) AS k FROM h),
+n AS (SELECT query, name, count(DISTINCT id) AS n, min(id) AS first FROM q JOIN e USING (k) WHERE id <> query GROUP BY 1, 2), c AS (SELECT *, least(n / sum(n) OVER (PARTITION BY query) * 0.8, 0.8) AS c FROM n),
+k AS (SELECT query, res.folder, c.name, c, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, res.folder) AS rank FROM c JOIN h ON h.id = first JOIN res ON res.name = c.name AND res.path = h.target_folder WHERE res.folder IS NOT NULL)"""
+_OFTEN_CTES = """u AS (SELECT target_folder AS path, arg_min(target_folder_name, id) AS name, count(*) AS n FROM h GROUP BY 1),
+p AS (SELECT *, row_number() OVER (ORDER BY n DESC, path) AS place FROM u),
+o AS (SELECT res.folder, least(n / 100.0, 0.3) AS c, 'Häufig verwendet (' || n || 'x)' AS reason, place, row_number() OVER (ORDER BY place) AS nth FROM p JOIN res ON res.name = p.name AND res.path = p.path WHERE res.folder IS NOT NULL)"""
+_OFTEN = f"{_ARCHIVE}, {_OFTEN_CTES}"
+#: x(query, folder, c, reason, rank): all stages for k suggestions.
+_SUGGEST = (
+    f"""{_KEYWORDS}, {_OFTEN_CTES}, src AS (SELECT id, extracted_text AS text FROM h WHERE extracted_text <> ''), TERMS, {_VECTORS},"""
+    """fs AS (SELECT query, target_folder_name AS name, 0.7 * max(c) + 0.3 * avg(c) AS s, min(cs.id) AS first FROM cs JOIN h ON h.id = cs.id GROUP BY 1, 2),
+tx AS (SELECT query, res.folder, least(s, 0.95) AS c, 'Ähnlicher Inhalt (' || CAST(floor(round(s, 9) * 100) AS BIGINT) || '%)' AS reason, row_number() OVER (PARTITION BY query ORDER BY round(least(s, 0.95), 9) DESC, res.folder) AS rank
+  FROM fs JOIN h ON h.id = first JOIN res ON res.name = fs.name AND res.path = h.target_folder WHERE res.folder IS NOT NULL QUALIFY rank <= {k}),
+st AS (SELECT query, folder, c, reason, 0 AS st FROM tx UNION ALL SELECT query, folder, c, 'Ähnliche Schlüsselwörter', 1 FROM k WHERE rank <= {k}),
+sh AS (SELECT id AS query, {k} - (SELECT count(DISTINCT folder) FROM st WHERE st.query = h.id) AS short FROM h WHERE id % 20 = 0),
+al AS (SELECT * FROM st UNION ALL SELECT query, folder, c, reason, 2 FROM sh JOIN o ON nth <= short AND place <= 2 * short),
+y AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY query, folder ORDER BY st) = 1),
+x AS (SELECT query, folder, c, reason, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, st, folder) AS rank FROM y QUALIFY rank <= {k})"""
+)
+
+
 def _search(table: str, key: str, columns: list[str], match: list[str], source: str = "") -> str:
     """match: for each phrase a condition on tk(token) and nx(next token); source: a CTE for the table, if it isn't one of the given ones."""
     tokens = " UNION ALL ".join(rf"SELECT {key} AS id, '{c}' AS col, regexp_extract_all({_folded(c)}, '[\p{{L}}\p{{N}}]+') AS t FROM {table}" for c in columns)
@@ -42,6 +77,8 @@ idf AS (SELECT ph, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df
 SELECT id, round(r, 6) AS rank FROM (SELECT hit.id, -sum(w * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / m))) AS r FROM hit JOIN idf USING (ph) JOIN dl USING (id), st GROUP BY hit.id HAVING count(*) = {len(match)}) AS y ORDER BY r, id LIMIT 50"""
 
 
+_SUGGEST = _SUGGEST.replace("{", "{{").replace("}", "}}").replace("{{k}}", "{k}").replace("TERMS", _terms("src").replace("{", "{{").replace("}", "}}"))
+
 ORACLES = {
     "scan_newest_first": f"WITH {_H} SELECT target_folder, id, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS n FROM h",
     "entries_for_folder": "SELECT event_id AS id, 'scan_' || event_id || '.pdf' AS original_filename FROM events WHERE event_type = 'click' AND user_id % 7 = 3",
@@ -91,26 +128,24 @@ SELECT o_orderkey, printf('%.1f', round_even(b / pow(1024, e), 1)) || ' ' || ['B
     "json_roundtrip": f"WITH {_H} SELECT id, '{{\"k\":' || CAST(extracted_text->>'$.k' AS BIGINT) || '}}' AS json, CAST(extracted_text->>'$.k' AS BIGINT) AS k FROM h",
     "pdfs_per_folder": f"WITH {_F} SELECT path, count(c_custkey) AS n FROM f LEFT JOIN (SELECT '/akten/' || r_name || '/' || n_name AS path, c_custkey FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey) AS c USING (path) GROUP BY path",
     "folder_depth": "SELECT '/akten/' || r_name AS path, 0 AS depth, r_name AS name, '/akten' AS parent FROM region UNION ALL SELECT '/akten/' || r_name || '/' || n_name, 1, n_name, '/akten/' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "root_prefix_join": "SELECT '/akten/' || r_name AS path, r_name AS relative, '/akten/' || r_name AS root FROM region UNION ALL SELECT '/akten/' || r_name || '/' || n_name, r_name || '/' || n_name, '/akten/' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "root_prefix_join": f"""WITH {_PATHS} SELECT path, CASE WHEN root IS NULL THEN split_part(clean, '/', -1) ELSE split_part(root, '/', -1) || clean[length(root) + 1:] END AS relative, root FROM first""",
+    "relative_to_root_parent": f"""WITH {_PATHS}, above AS (SELECT clean, arg_min(regexp_replace(root, '/[^/]*$', ''), pos) AS up FROM (SELECT DISTINCT clean FROM d) AS x JOIN t ON clean = regexp_replace(root, '/[^/]*$', '') OR starts_with(clean, regexp_replace(root, '/[^/]*$', '') || '/') GROUP BY 1)
+SELECT path, CASE WHEN up IS NULL THEN split_part(clean, '/', -1) WHEN clean = up THEN '.' ELSE clean[length(up) + 2:] END AS relative FROM d LEFT JOIN above USING (clean)""",
+    "folder_tree": f"""WITH {_PATHS}, m AS (SELECT DISTINCT root, pos, clean AS path, string_split(clean[length(root) + 2:], '/') AS names, clean = root AS top FROM d JOIN t ON clean = root OR starts_with(clean, root || '/')),
+v AS (SELECT *, CASE WHEN top THEN [] ELSE names END AS rest FROM m WHERE NOT list_bool_or(list_transform(names, lambda p: starts_with(p, '.'))))
+SELECT root, path, CAST(len(rest) AS INTEGER) AS depth, row_number() OVER (PARTITION BY root ORDER BY rest) AS place FROM v""",
     "resolve_folder": f"WITH {_F} SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '/alt/' || lower(n_name) ELSE '/akten/ASIA' END AS folder, CASE WHEN c_custkey % 3 = 0 THEN (SELECT max(path) FROM f WHERE lower(split_part(path, '/', -1)) = lower(n_name)) ELSE '/akten/ASIA' END AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 < 2",
-    "korrespondent_lookup": "WITH n AS (SELECT DISTINCT CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN lower(s_name) || ' GmbH' ELSE 'unbekannt ' || s_suppkey END AS name FROM supplier) SELECT name, coalesce((SELECT min(s_suppkey) FROM supplier WHERE s_name = name), (SELECT min(s_suppkey) FROM supplier WHERE contains(lower(s_name), lower(name)) OR contains(lower(name), lower(s_name)))) AS kid, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_name = name) THEN 'exact' ELSE 'fuzzy' END AS how FROM n WHERE EXISTS (SELECT 1 FROM supplier WHERE contains(lower(s_name), lower(name)) OR contains(lower(name), lower(s_name)))",
+    "korrespondent_lookup": """WITH n AS (SELECT DISTINCT CASE WHEN s_suppkey % 4 = 0 THEN '  ' || s_name || ' ' WHEN s_suppkey % 4 = 1 THEN lower(s_name) || ' GmbH' WHEN s_suppkey % 4 = 2 THEN right(s_name, 3) WHEN s_suppkey % 8 = 3 THEN '  ' ELSE 'unbekannt ' || s_suppkey END AS name FROM supplier),
+m AS (SELECT name, trim(name) = s_name AS same, s_suppkey FROM n, supplier WHERE trim(name) <> '' AND (contains(lower(s_name), lower(trim(name))) OR contains(lower(trim(name)), lower(s_name))))
+SELECT name, s_suppkey AS kid, CASE WHEN same THEN 'exact' ELSE 'fuzzy' END AS how FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY same DESC, s_suppkey) = 1""",
     "tfidf_vocabulary": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_terms('src')} SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM tm GROUP BY 1 ORDER BY total DESC, term LIMIT 5000",
-    "suggest_by_text": f"""WITH src AS (SELECT doc_id AS id, text FROM documents WHERE source IS NOT NULL), {_terms('src')},
-voc AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT id) FROM tm WHERE id % 20 <> 0)) / (1 + count(*))) + 1 AS idf FROM tm WHERE id % 20 <> 0 GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000),
-raw AS (SELECT id, term, tf * idf AS x FROM tm JOIN voc USING (term)), nrm AS (SELECT id, sqrt(sum(x * x)) AS n FROM raw GROUP BY 1), v AS (SELECT id, term, x / n AS w FROM raw JOIN nrm USING (id)),
-cs AS (SELECT q.id AS query, t.id AS id, sum(q.w * t.w) AS c FROM v AS q JOIN v AS t USING (term) WHERE q.id % 20 = 0 AND t.id % 20 <> 0 GROUP BY 1, 2 HAVING c > 0.1),
+    "suggest_by_text": f"""WITH src AS (SELECT doc_id AS id, text FROM documents WHERE source IS NOT NULL), {_terms('src')}, {_VECTORS},
 fs AS (SELECT query, source AS folder, 0.7 * max(c) + 0.3 * avg(c) AS score FROM cs JOIN documents ON doc_id = cs.id GROUP BY 1, 2)
 SELECT query, folder, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, folder) AS rank FROM fs QUALIFY rank <= 5""",
-    "suggest_by_keywords": f"""WITH {_H}, q AS (SELECT DISTINCT id AS query, lower(unnest(keywords)) AS k FROM h WHERE id % 20 = 0), e AS (SELECT id, target_folder AS folder, lower(unnest(keywords)) AS k FROM h WHERE id % 20 <> 0),
-n AS (SELECT query, folder, count(DISTINCT id) AS n FROM q JOIN e USING (k) GROUP BY 1, 2), c AS (SELECT query, folder, least(n / sum(n) OVER (PARTITION BY query) * 0.8, 0.8) AS c FROM n)
-SELECT query, folder, round(c, 6) AS confidence, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, folder) AS rank FROM c QUALIFY rank <= 5""",
-    "suggest_by_frequency": f"WITH {_H}, {_STATS} SELECT path AS folder, least(usage_count / 100.0, 0.3) AS confidence FROM s ORDER BY usage_count DESC, path LIMIT 10",
-    "suggest": f"""WITH {_H}, {_STATS}, q AS (SELECT DISTINCT id AS query, lower(unnest(keywords)) AS k FROM h WHERE id % 20 = 0), e AS (SELECT id, target_folder AS folder, lower(unnest(keywords)) AS k FROM h WHERE id % 20 <> 0),
-n AS (SELECT query, folder, count(DISTINCT id) AS n FROM q JOIN e USING (k) GROUP BY 1, 2), c AS (SELECT query, folder, least(n / sum(n) OVER (PARTITION BY query) * 0.8, 0.8) AS c FROM n),
-k AS (SELECT query, folder, c, 0 AS st FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, folder) <= 3),
-o AS (SELECT path AS folder, least(usage_count / 100.0, 0.3) AS c FROM s ORDER BY usage_count DESC, path LIMIT 10),
-a AS (SELECT * FROM k UNION ALL SELECT query, folder, c, 1 FROM (SELECT DISTINCT query FROM q) AS x, o WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.query = x.query AND k.folder = o.folder))
-SELECT query, folder, round(c, 6) AS confidence, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, st, folder) AS rank FROM a QUALIFY rank <= 5""",
+    "suggest_by_keywords": f"WITH {_KEYWORDS} SELECT query, folder, name, round(c, 6) AS confidence, rank FROM k WHERE rank <= 5",
+    "suggest_by_frequency": f"WITH {_OFTEN} SELECT folder, c AS confidence, reason, place, nth FROM o WHERE place <= 10",
+    "suggest": f"WITH {_SUGGEST.format(k=5)} SELECT query, folder, round(c, 6) AS confidence, reason, rank FROM x",
+    "suggest_with_subfolders": f"""WITH {_SUGGEST.format(k=10)} SELECT query, folder, CASE WHEN folder LIKE '/archiv/%' THEN folder[9:] WHEN folder LIKE '/neu/alt/%' THEN 'alt' || folder[9:] ELSE folder[2:] END AS relative, round(c, 6) AS confidence, rank FROM x WHERE rank <= 5""",
     "merge_hybrid": """SELECT c_custkey AS query, c_mktsegment AS folder, round(CASE WHEN c_custkey % 4 = 0 THEN least(0.6 * (c_custkey % 100) / 100 + 0.36, 0.98) ELSE (c_custkey % 100) / 100.0 END, 6) AS confidence, CASE WHEN c_custkey % 4 = 0 THEN 'hybrid' ELSE 'local' END AS source FROM customer WHERE c_custkey % 3 <> 0
 UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE 'NEU' END, 0.9, 'llm' FROM customer WHERE c_custkey % 2 = 0 AND (c_custkey % 4 <> 0 OR c_custkey % 3 = 0)""",
     "rename_suggestions": f"""WITH {_L}, x AS (SELECT *, upper(left(split_part({_KIND}, ',', 1), 1)) || substr(split_part({_KIND}, ',', 1), 2) AS k, CAST(day AS VARCHAR) AS d FROM l),
@@ -129,9 +164,9 @@ SELECT output, output || '-' || ln AS source, CAST(g AS INTEGER) AS page, row_nu
     "fts_single": _search("documents", "doc_id", ["text"], ["tk LIKE 'licens%'"]),
     "fts_and": _search("pages", "page_id", ["url", "html"], ["tk LIKE 'div%'", "tk LIKE 'th%'"]),
     "fts_phrase_prefix": _search("documents", "doc_id", ["text"], ["tk = 'mit' AND nx LIKE 'li%'"]),
-    "match_folder_answer": """WITH a AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN substr(n_name, 2, 4) ELSE '?' END AS answer FROM customer JOIN nation ON c_nationkey = n_nationkey),
-m AS (SELECT id, answer, n_name, CASE WHEN n_name = answer THEN 0 WHEN lower(n_name) = lower(answer) THEN 1 WHEN contains(lower(n_name), lower(answer)) OR contains(lower(answer), lower(n_name)) THEN 2 END AS k, n_nationkey FROM a, nation)
-SELECT id, answer, CASE WHEN k IS NOT NULL THEN n_name END AS folder, ['exact', 'case', 'part'][k + 1] AS how FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY k NULLS LAST, n_nationkey) = 1""",
+    "match_folder_answer": """WITH a AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN substr(n_name, 2, 4) ELSE CASE c_custkey % 3 WHEN 0 THEN 'Ordner ' || n_name WHEN 1 THEN ' ' ELSE '?' END END AS answer FROM customer JOIN nation ON c_nationkey = n_nationkey),
+m AS (SELECT id, answer, n_name, CASE WHEN n_name = answer THEN 0 WHEN lower(n_name) = lower(answer) THEN 1 WHEN trim(answer) <> '' AND (contains(lower(n_name), lower(answer)) OR contains(lower(answer), lower(n_name))) THEN 2 END AS k, n_nationkey FROM a, nation)
+SELECT id, answer, CASE WHEN k IS NOT NULL THEN n_name END AS folder, ['exact', 'case', 'part'][k + 1] AS how, CASE WHEN k IS NOT NULL THEN '/akten/' || n_name END AS path FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY k NULLS LAST, n_nationkey) = 1""",
     "metadata_precedence": """SELECT c_custkey AS id, CASE WHEN c_custkey % 10 <> 0 THEN c_mktsegment END AS korrespondent,
   CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN '7' WHEN c_custkey % 2 = 0 THEN 'm' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS betrag,
   CASE WHEN c_custkey % 10 = 0 THEN 'PDF' WHEN c_mktsegment = 'BUILDING' THEN 'gelernt' WHEN c_custkey % 2 = 0 THEN 'Modell' END AS subject,

@@ -6,19 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import filing, history, metadata, models, search, search_index, similarity, store, subfolders
+from quillmill.operators import filing, history, metadata, models, roots, search, search_index, similarity, store, subfolders
 from quillmill.sources import tables, versions
 from quillmill.sources.tables import table
 from quillmill.streaming import indexing
 
 QUERIES = {}
-#: Queries over the whole job that have no SQL beside them; tested by brute force.
-WHOLE = {}
-
-
-def whole(f):
-    WHOLE[f.__name__] = f
-    return f
 
 
 def query(f):
@@ -38,9 +31,6 @@ def scan_newest_first(spark, d):
     return history.newest_first(tables.history(spark, d)).select("target_folder", "id", "created_at", "n")
 
 
-WHOLE["scan_newest_first_all"] = scan_newest_first
-
-
 @query
 def entries_for_folder(spark, d):
     return tables.history(spark, d).filter(F.col("target_folder") == "/archiv/click/3").select("id", "original_filename")
@@ -189,28 +179,48 @@ def json_roundtrip(spark, d):
 @query
 def pdfs_per_folder(spark, d):
     f = tables.folders(spark, d)
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     n = c.groupBy(F.concat_ws("/", F.lit("/akten"), "r_name", "n_name").alias("path")).agg(F.count("*").alias("n"))
     return f.join(n, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query
 def folder_depth(spark, d):
-    f = tables.folders(spark, d)
-    return f.select("path", (F.size(F.split("path", "/")) - 3).cast("long").alias("depth"), T.basename(F.col("path")).alias("name"), T.parent(F.col("path")).alias("parent")).filter("depth <= 5 AND name NOT LIKE '.%'")
+    tops = table(spark, d, "region").select(F.col("r_regionkey").alias("pos"), F.concat(F.lit("/akten/"), "r_name").alias("root"))
+    return roots.tree(tables.folders(spark, d), tops, 5).select("path", F.col("depth").cast("long").alias("depth"), "name", "parent")
+
+
+def _documents_of(spark, d):
+    """A path for every customer below a nation, some hidden, some with odd slashes, and roots that overlap."""
+    c, nation, region = table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "region")
+    k = F.col("c_custkey")
+    sub = F.when(k % 9 == 0, F.lit("/.alt/")).when(k % 5 == 0, F.lit("//")).otherwise(F.lit("/"))
+    joined = c.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    paths = joined.select(F.concat(F.when(k % 7 == 0, F.lit("/weg/")).otherwise(F.lit("/akten/")), "r_name", F.lit("/"), "n_name", sub, F.col("c_mktsegment"), F.when(k % 4 == 0, F.lit("/")).otherwise("")).alias("path")).distinct()
+    tops = nation.filter("n_nationkey % 3 = 0").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("pos"), F.concat(F.lit("/akten/"), "r_name", F.lit("/"), "n_name").alias("root"))
+    return paths.unionByName(tables.folders(spark, d)), tops.unionByName(region.select((F.col("r_regionkey") * 6 + 10).alias("pos"), F.concat(F.lit("/akten/"), "r_name", F.lit("/")).alias("root")))
 
 
 @query
 def root_prefix_join(spark, d):
-    f = tables.folders(spark, d)
-    roots = f.filter(F.size(F.split("path", "/")) == 3).select(F.col("path").alias("root"))
-    joined = f.join(F.broadcast(roots), F.col("path").eqNullSafe(F.col("root")) | F.col("path").startswith(F.concat("root", F.lit("/"))))
-    return joined.select("path", F.substring("path", 8, 1 << 20).alias("relative"), "root")
+    return roots.with_relative(*_documents_of(spark, d)).select("path", "relative", "root")
+
+
+@query
+def relative_to_root_parent(spark, d):
+    return roots.with_relative_to_parent(*_documents_of(spark, d)).select("path", "relative")
+
+
+@query
+def folder_tree(spark, d):
+    """The tree in pre-order; `place` is a row's number within its root."""
+    rows = roots.tree(*_documents_of(spark, d))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("sort_key"))).select("root", "path", "depth", "place")
 
 
 @query
 def resolve_folder(spark, d):
-    learned = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("/alt/"), F.lower("n_name"))).when(F.col("c_custkey") % 3 == 1, F.lit("/akten/ASIA")).otherwise("/weg").alias("folder"))
+    learned = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("/alt/"), F.lower("n_name"))).when(F.col("c_custkey") % 3 == 1, F.lit("/akten/ASIA")).otherwise("/weg").alias("folder"))
     return filing.resolve_folders(learned, tables.folders(spark, d))
 
 
@@ -218,79 +228,61 @@ def resolve_folder(spark, d):
 def korrespondent_lookup(spark, d):
     known = table(spark, d, "supplier").select(F.col("s_suppkey").alias("kid"), F.col("s_name").alias("korrespondent"))
     s = F.col("s_suppkey")
-    names = table(spark, d, "supplier").select(F.when(s % 3 == 0, F.col("s_name")).when(s % 3 == 1, F.concat(F.lower("s_name"), F.lit(" GmbH"))).otherwise(F.concat(F.lit("unbekannt "), s.cast("string"))).alias("name")).distinct()
+    names = table(spark, d, "supplier").select(F.when(s % 4 == 0, F.concat(F.lit("  "), "s_name", F.lit(" "))).when(s % 4 == 1, F.concat(F.lower("s_name"), F.lit(" GmbH"))).when(s % 4 == 2, F.substring("s_name", -3, 3)).when(s % 8 == 3, F.lit("  ")).otherwise(F.concat(F.lit("unbekannt "), s.cast("string"))).alias("name")).distinct()
     return filing.lookup_correspondent(names, known)
 
 
-def _model(spark, d):
-    docs = table(spark, d, "documents").filter("source IS NOT NULL").select("doc_id", "text", F.col("source").alias("folder"))
-    training = docs.filter(F.col("doc_id") % 20 != 0)
-    counted = similarity.terms(training)
-    model = similarity.fit(counted)
-    return docs, training, counted, model
-
-
 @query
 def tfidf_vocabulary(spark, d):
     return similarity.vocabulary(similarity.terms(table(spark, d, "documents")))
 
 
-WHOLE["tfidf_vocabulary_documents"] = tfidf_vocabulary
+def _log(spark, d):
+    """The log as suggestions read it, and who asks: every id divisible by 20, each against all other rows."""
+    h = tables.history(spark, d).select("id", F.col("target_folder_name").alias("folder"), F.col("target_folder").alias("path"), F.col("extracted_text").alias("text"), "keywords")
+    return h, h.filter("id % 20 = 0").select(F.col("id").alias("query"))
 
 
 @query
 def suggest_by_text(spark, d):
-    docs, training, counted, model = _model(spark, d)
-    trained = similarity.weights(counted, model)
-    asked = similarity.weights(similarity.terms(docs.filter(F.col("doc_id") % 20 == 0)), model)
-    found = similarity.by_text(similarity.cosine(asked, trained), training.select(F.col("doc_id").alias("id"), "folder"))
-    return found.select("query", "folder", F.round("score", 6).alias("score"), "rank")
+    docs = table(spark, d, "documents").filter("source IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("source").alias("folder"), "text")
+    found = similarity.by_text(docs, docs.filter("id % 20 = 0").select(F.col("id").alias("query")))
+    return similarity.ranked(found, 5, "score").select("query", "folder", F.round("score", 6).alias("score"), "rank")
 
 
-@query
-def suggest_by_keywords(spark, d):
-    h = tables.history(spark, d)
-    q = h.filter("id % 20 = 0").select(F.col("id").alias("query"), "keywords")
-    return similarity.by_keywords(q, h.filter("id % 20 != 0")).select("query", "folder", F.round("confidence", 6).alias("confidence"), "rank")
+def _by_keywords(spark, d, k):
+    h, q = _log(spark, d)
+    return similarity.resolved(similarity.by_keywords(h, q), h, tables.archive(spark, d), similarity.keyword_reason(), k)
 
 
 @query
-def suggest_by_frequency(spark, d):
-    return similarity.by_frequency(history.folder_stats(tables.history(spark, d)), 10)
+def suggest_by_keywords(spark, d):
+    return _by_keywords(spark, d, 5).select("query", "folder", "name", F.round("confidence", 6).alias("confidence"), "rank")
 
 
 @query
-def suggest(spark, d):
-    h = tables.history(spark, d)
-    q = h.filter("id % 20 = 0").select(F.col("id").alias("query"), "keywords")
-    often = similarity.by_frequency(history.folder_stats(h), 10)
-    found = similarity.combined([similarity.by_keywords(q, h.filter("id % 20 != 0"), 3), q.select("query").crossJoin(F.broadcast(often))])
-    return found.select("query", "folder", F.round("confidence", 6).alias("confidence"), "rank")
+def suggest_by_frequency(spark, d):
+    found = similarity.frequent(history.named_stats(tables.history(spark, d)), tables.archive(spark, d))
+    return found.select("folder", "confidence", "reason", "place", "nth")
 
 
-@whole
-def suggest_by_text_all(spark, d):
-    docs = table(spark, d, "documents").filter("source IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("source").alias("folder"), "text")
-    found = similarity.by_text_of_others(docs, docs.filter("id % 20 = 0").select(F.col("id").alias("query")))
-    return found.select("query", "folder", F.round("score", 6).alias("score"), "rank")
+def _suggest(spark, d, k):
+    h, q = _log(spark, d)
+    text = similarity.resolved(similarity.by_text(h, q), h, tables.archive(spark, d), similarity.text_reason(), k)
+    often = similarity.frequent(history.named_stats(tables.history(spark, d)), tables.archive(spark, d), k)
+    return similarity.suggested(q, text, _by_keywords(spark, d, k), often, k)
 
 
-@whole
-def suggest_by_keywords_all(spark, d):
-    h = tables.history(spark, d)
-    found = similarity.by_keywords_of_others(h, h.filter("id % 20 = 0").select(F.col("id").alias("query")))
-    return found.select("query", "folder", F.round("confidence", 6).alias("confidence"), "rank")
+@query
+def suggest(spark, d):
+    return _suggest(spark, d, 5).select("query", "folder", F.round("confidence", 6).alias("confidence"), "reason", "rank")
 
 
-@whole
-def suggest_all(spark, d):
-    h = tables.history(spark, d)
-    q = h.filter("id % 20 = 0").select(F.col("id").alias("query"))
-    text = similarity.by_text_of_others(h.select("id", F.col("target_folder").alias("folder"), F.col("extracted_text").alias("text")), q)
-    stats = history.folder_stats(h).orderBy(F.desc("usage_count"), "path").limit(5)
-    often = stats.select(F.col("path").alias("folder"), F.least(F.col("usage_count") / 100, F.lit(0.3)).alias("confidence"), F.row_number().over(Window.orderBy(F.desc("usage_count"), "path")).alias("place"))
-    found = similarity.suggested(q, text, similarity.by_keywords_of_others(h, q), often)
-    return found.select("query", "folder", F.round("confidence", 6).alias("confidence"), "rank")
+@query
+def suggest_with_subfolders(spark, d):
+    kinds = table(spark, d, "events").select("event_type").distinct()
+    tops = kinds.select(F.ascii("event_type").alias("pos"), F.concat(F.lit("/archiv/"), "event_type").alias("root")).unionByName(spark.range(1).select(F.lit(0).alias("pos"), F.lit("/neu/alt").alias("root"))).unionByName(spark.range(1).select(F.lit(500).alias("pos"), F.lit("/neu").alias("root")))
+    return similarity.with_relative_paths(_suggest(spark, d, 10), tops).select("query", "folder", "relative", F.round("confidence", 6).alias("confidence"), "rank")
 
 
 @query
@@ -407,9 +399,9 @@ def index_count(spark, d):
 def match_folder_answer(spark, d):
     nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"))
     k = F.col("c_custkey")
-    customer = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("pos"))
-    answer = F.when(k % 4 == 0, F.col("name")).when(k % 4 == 1, F.lower("name")).when(k % 4 == 2, F.substring("name", 2, 4)).otherwise(F.lit("?"))
-    return filing.match_answers(customer.select(k.alias("id"), answer.alias("answer")), nation)
+    customer = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("pos"))
+    answer = F.when(k % 4 == 0, F.col("name")).when(k % 4 == 1, F.lower("name")).when(k % 4 == 2, F.substring("name", 2, 4)).when(k % 3 == 0, F.concat(F.lit("Ordner "), "name")).when(k % 3 == 1, F.lit(" ")).otherwise(F.lit("?"))
+    return filing.match_answers(customer.select(k.alias("id"), answer.alias("answer")), nation.withColumn("path", F.concat(F.lit("/akten/"), "name")))
 
 
 @query
@@ -533,7 +525,7 @@ def merge_errors(spark, d):
 
 @query
 def suggest_subfolder_for_parent(spark, d):
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     stats = c.filter("n_nationkey % 3 = 0").groupBy(F.concat_ws("/", F.lit("/akten"), "r_name", "n_name").alias("path")).agg(F.count("*").alias("usage_count"))
     parents = table(spark, d, "region").select(F.concat(F.lit("/akten/"), "r_name").alias("parent"))
     return subfolders.for_parents(parents, stats, tables.folders(spark, d)).select("parent", "folder", F.round("confidence", 6).alias("confidence"), "reason", "place")

@@ -50,6 +50,15 @@ def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, name, parent, root: regions, their nations and market segments as a tree."""
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     top = region.select(F.concat(F.lit("/akten/"), F.col("r_name")).alias("path"))
-    joined = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     mid = joined.select(F.concat(F.lit("/akten/"), F.col("r_name"), F.lit("/"), F.col("n_name")).alias("path"))
     return top.unionByName(mid)
+
+
+def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path: the folders that exist now of those in the log: numbers 5 and 6 moved (5 twice, 6 of one kind only), the others stayed."""
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 7).alias("n")).distinct()
+    kind, n = F.col("event_type"), F.col("n").cast("string")
+    moved = F.array(F.concat(F.lit("/neu/"), kind, F.lit("_5")), F.concat(F.lit("/neu/alt/"), kind, F.lit("_5")))
+    there = F.when(F.col("n") < 5, F.array(F.concat(F.lit("/archiv/"), kind, F.lit("/"), n))).when(F.col("n") == 5, moved).when(kind == "click", F.array(F.lit("/neu/Click_6")))
+    return e.select(F.explode(there).alias("path"))

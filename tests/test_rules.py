@@ -51,11 +51,13 @@ def test_tfidf_scores(spark):
     counted = similarity.terms(training)
     model = similarity.fit(counted)
     assert model.count() == 18
-    asked = similarity.weights(similarity.terms(spark.createDataFrame([(9, "konto bank strom")], "doc_id long, text string")), model)
-    similar = similarity.cosine(asked, similarity.weights(counted, model))
+    asked = similarity.vectors(similarity.terms(spark.createDataFrame([(9, "konto bank strom")], "doc_id long, text string")), model)
+    similar = similarity.cosine(asked, similarity.vectors(counted, model))
     assert {r["id"]: round(r["similarity"], 6) for r in similar.collect()} == {1: 0.526405, 2: 0.220977, 3: 0.332726, 4: 0.441953}
-    found = similarity.by_text(similar, training.select(F.col("doc_id").alias("id"), "folder")).orderBy("rank").collect()
-    assert [(r["folder"], round(r["score"], 6)) for r in found] == [("Bank", 0.480591), ("Strom", 0.425569)]
+    rows = similarity.vectors(counted, model).join(training.select(F.col("doc_id").alias("id"), "folder"), "id")
+    rows = rows.select("id", F.col("id").cast("string").alias("text"), "folder", F.lit(1).cast("long").alias("n"), F.col("id").alias("first"), F.lit((1 << 63) - 1).alias("second"), "nos", "ws")
+    found = similarity.folder_scores(asked.select("id", F.lit("9").alias("text"), F.lit("neu").alias("own"), "nos", "ws"), rows)
+    assert [(r["folder"], round(r["score"], 6), r["first"]) for r in found.orderBy("folder").collect()] == [("Bank", 0.480591, 1), ("Strom", 0.425569, 3)]
 
 
 ROWS = [(1, "/x/Müller-Rechnung.pdf", "Rechnung Strom", "Die Rechnung der Stadtwerke München 2024"), (2, "/x/b.pdf", "Vertrag", "Rechnungsnummer 12 und Rechnung 13 foo-bar baz"), (3, "/x/c.pdf", "Bank", "Kontoauszug muller"), (4, "/x/d.pdf", "x", "straße Strasse nichts"), (5, "/x/e.pdf", "y", "leer")]
