@@ -72,7 +72,7 @@ def capitalised(word: Column) -> Column:
 
 
 def stem(name: Column) -> Column:
-    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
 
 
 def suggested_name(text: Column, filename: Column, first_category: Column | None = None, newest: Column | None = None) -> Column:
@@ -115,11 +115,13 @@ def basename(path: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
-    return F.regexp_replace(path, "/[^/]*$", "")
+    """All before the last slash; `/` for a path directly below it."""
+    return F.when(path.rlike("^/[^/]*$"), "/").otherwise(F.regexp_replace(path, "/[^/]*$", ""))
 
 
 def suffix(path: Column) -> Column:
-    return F.regexp_extract(basename(path), r".(\.[^.]*)$", 1)
+    """The last dot of the name and what follows it; none where the dot leads or ends the name."""
+    return F.regexp_extract(basename(path), r".(\.[^.]+)$", 1)
 
 
 def year_in(text: Column) -> Column:
@@ -146,6 +148,22 @@ def short_path(path: Column) -> Column:
     return F.when(F.length(path) > 50, F.concat(F.lit("..."), F.substring(path, -47, 47))).otherwise(path)
 
 
+def short_name(name: Column) -> Column:
+    """A name for a narrow place: at most 25 characters."""
+    return F.when(F.length(name) > 25, F.concat(F.substring(name, 1, 22), F.lit("..."))).otherwise(name)
+
+
+def cached_list(json: Column) -> Column:
+    """A list of strings as a cache holds it; empty where it is missing or no such list."""
+    return F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))
+
+
+def cached_suggestions(json: Column) -> Column:
+    """Suggestions as a cache holds them, without those that aren't whole; empty where it is missing or broken."""
+    read = F.from_json(json, "array<struct<folder_path: string, folder_name: string, confidence: double, reason: string>>")
+    return F.coalesce(F.filter(read, lambda x: x["folder_path"].isNotNull() & x["confidence"].isNotNull()), F.filter(F.from_json(F.lit("[]"), "array<struct<folder_path: string, folder_name: string, confidence: double, reason: string>>"), lambda x: F.lit(True)))
+
+
 def percent(confidence: Column) -> Column:
     """Whole percent, cut off."""
     return F.floor(confidence.cast("double") * 100).cast("int")
@@ -172,7 +190,7 @@ def answer_metadata(answer: Column) -> Column:
 
 
 def classification_prompt(text: Column, folders: Column, limit: int = 1500) -> Column:
-    return F.concat(F.lit("Ordner:\n"), F.concat_ws("\n", F.transform(folders, lambda f: F.concat(F.lit("- "), f))), F.lit("\n\nText:\n"), truncated(text, limit))
+    return F.concat(F.lit("Ordner:\n"), F.concat_ws("\n", F.transform(folders, lambda f: F.concat(F.lit("- "), f))), F.lit("\n\nText:\n"), truncated(F.coalesce(text, F.lit("")), limit))
 
 
 def without_invalid(name: Column) -> Column:

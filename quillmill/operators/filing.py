@@ -125,12 +125,19 @@ def hybrid_names(docs: DataFrame, model: DataFrame) -> DataFrame:
     return both.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("no"))).drop("no")
 
 
-def batch_renames(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """What a batch does to docs(doc_id, filename): the first model name above 0.5 that differs, else the document is skipped."""
-    first = names.filter("source = 'llm' AND confidence > 0.5").groupBy("doc_id").agg(F.min_by("name", "place").alias("new_name"))
-    joined = docs.join(first, "doc_id", "left")
-    renamed = F.col("new_name").isNotNull() & (F.col("new_name") != F.col("filename"))
-    return joined.select("doc_id", F.when(renamed, F.col("new_name")).alias("new_name"), F.when(renamed, "renamed").otherwise("skipped").alias("status"))
+def batch_renames(docs: DataFrame, names: DataFrame, existing: DataFrame) -> DataFrame:
+    """doc_id, new_name, status of what a batch does to docs(doc_id, folder, filename): the first model name above 0.5, with `.pdf` and made unique in its folder.
+
+    Skipped is what has no such name, or has it already; an error is a file that isn't among existing(path), and a name with a slash.
+    """
+    first = names.filter("source = 'llm' AND confidence > 0.5").groupBy("doc_id").agg(F.min_by("name", "place").alias("said"))
+    here = existing.select(F.col("path").alias("at")).distinct().withColumn("there", F.lit(True))
+    joined = docs.join(first, "doc_id", "left").withColumn("at", F.concat("folder", F.lit("/"), "filename")).join(here, "at", "left")
+    status = F.when(F.col("said").isNull() | (F.col("said") == F.col("filename")), "skipped").when(F.col("there").isNull() | F.contains("said", F.lit("/")), "error").otherwise("renamed")
+    told = joined.withColumn("status", status)
+    moves = told.filter("status = 'renamed'").select(F.col("doc_id").alias("source"), F.concat("folder", F.lit("/"), T.with_pdf(F.col("said"))).alias("target"))
+    placed = unique_paths(moves, existing).select(F.col("source").alias("doc_id"), T.basename(F.col("target")).alias("new_name"))
+    return told.join(placed, "doc_id", "left").select("doc_id", "new_name", "status")
 
 
 def merge_plan(lists: DataFrame, pages: DataFrame) -> DataFrame:
@@ -151,13 +158,13 @@ def merge_checked(lists: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def rename_candidates(docs: DataFrame, most: int = 6, learned: DataFrame | None = None) -> DataFrame:
-    """docs(doc_id, filename, text) with ranked names: by rule 0.6, category and number 0.4, date and category 0.5, date 0.3.
+    """docs(doc_id, filename, text) with ranked names: by rule 0.6 (unless it is the present name), category and number 0.4, date and category 0.5, date 0.3.
 
     Of learned(doc_id, name, place) the first three of each document join them at 0.7; of equal names the rule's stays.
     """
     # Columns of their own, so each rule runs once a document.
     read = docs.select("doc_id", "text", "filename", F.get(T.categories(F.col("text")), F.lit(0)).alias("kind"), F.get(T.dates(F.col("text")), F.lit(0)).alias("newest"))
-    read = read.select("doc_id", T.capitalised(F.col("kind")).alias("kind"), F.date_format("newest", "yyyy-MM-dd").alias("day"), T.number_in_stem(F.col("filename")).alias("number"), T.with_pdf(T.suggested_name(F.col("text"), F.col("filename"), F.col("kind"), F.col("newest"))).alias("rule"))
+    read = read.select("doc_id", T.capitalised(F.col("kind")).alias("kind"), F.date_format("newest", "yyyy-MM-dd").alias("day"), T.number_in_stem(F.col("filename")).alias("number"), F.nullif(T.with_pdf(T.suggested_name(F.col("text"), F.col("filename"), F.col("kind"), F.col("newest"))), F.col("filename")).alias("rule"))
     option = lambda no, name, c: F.struct(F.lit(no).alias("no"), name.alias("name"), F.lit(c).alias("confidence"))
     options = F.array(
         option(0, F.col("rule"), 0.6), option(1, F.concat("day", F.lit(".pdf")), 0.3),

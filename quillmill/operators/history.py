@@ -5,9 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions import text as T
 from quillmill.sources import versions
 
 
+def of_folder(log: DataFrame, folder: str) -> DataFrame:
+    """Entries filed in a folder."""
+    return log.filter(F.col("target_folder") == folder)
+
+
+def with_text(log: DataFrame) -> DataFrame:
+    return log.filter(F.coalesce(F.col("extracted_text"), F.lit("")) != "")
+
+
+def newest(log: DataFrame, limit: int) -> DataFrame:
+    """The last entries, newest first."""
+    return log.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def of_relative_path(log: DataFrame, relative_path: str, limit: int = 10) -> DataFrame:
+    return newest(log.filter(F.col("target_relative_path") == relative_path), limit)
+
+
+def children_by_usage(stats: DataFrame, parent: str) -> DataFrame:
+    """Folders directly below another one, the most used first."""
+    return stats.filter(T.parent(F.col("path")) == parent).orderBy(F.desc("usage_count"), "path")
+
+
+def counts(log: DataFrame) -> DataFrame:
+    """entries, folders, with_text of a log."""
+    return log.agg(F.count("*").alias("entries"), F.countDistinct("target_folder").alias("folders"), F.count_if(F.col("extracted_text").isNotNull()).alias("with_text"))
+
+
+def token_usage(log: DataFrame, tokens: Column, by: str = "target_folder_name") -> DataFrame:
+    return log.groupBy(by).agg(F.sum(tokens).alias("tokens"))
+
+
+def in_task_order(tasks: DataFrame, priority: Column, since: str, key: str) -> DataFrame:
+    """Tasks as a worker takes them: the smallest priority number first, then the oldest."""
+    return tasks.withColumn("priority", priority).orderBy("priority", since, key)
+
+
 def with_overlap(log: DataFrame, keywords: list[str]) -> DataFrame:
     """Entries that share a keyword, whatever its case."""
     return log.filter(F.arrays_overlap(F.transform("keywords", lambda k: F.lower(F.trim(k))), F.array(*[F.lit(k.lower()) for k in keywords])))

@@ -67,3 +67,22 @@ def tree(folders: DataFrame, roots: DataFrame, most: int | None = None) -> DataF
     key = F.struct("pos", F.col("above").alias("root"), F.col("rest").alias("names"))
     up = joined(F.slice(parts(F.col("path")), F.lit(1), F.greatest(F.size(parts(F.col("path"))) - 1, F.lit(0))))
     return rows.select(F.col("above").alias("root"), "path", name(F.col("path")).alias("name"), up.alias("parent"), "depth", key.alias("sort_key"))
+
+
+def subfolders(folders: DataFrame, parent: str) -> DataFrame:
+    """path, name of the visible folders directly below another one, by name."""
+    up = joined(F.slice(parts(F.col("path")), F.lit(1), F.greatest(F.size(parts(F.col("path"))) - 1, F.lit(0))))
+    rows = folders.select("path", name(F.col("path")).alias("name")).filter((up == "/" + parent.strip("/")) & ~F.startswith("name", F.lit(".")) & (F.col("name") != ""))
+    return rows.orderBy("name")
+
+
+def existing(listed: DataFrame, folders: DataFrame) -> DataFrame:
+    """Of a list of folders those that are there."""
+    return listed.join(folders.select("path").distinct(), "path", "left_semi")
+
+
+def file_counts(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """path, n: PDF files directly in each folder, of files(path); 0 where there are none."""
+    pdf = files.filter(F.endswith(F.lower("path"), F.lit(".pdf")))
+    n = pdf.select(joined(F.slice(parts(F.col("path")), F.lit(1), F.size(parts(F.col("path"))) - 1)).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+    return folders.join(n, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"))

@@ -101,16 +101,16 @@ SELECT korrespondent, arg_max(a, (ts, event_id)) FILTER (a IS NOT NULL) AS kateg
     "extract_dates": f"WITH {_L} SELECT doc_id, CAST(day AS VARCHAR) AS dates FROM l",
     "extract_keywords": f"WITH {_L} SELECT doc_id, {_KIND} AS keywords FROM l",
     "extract_company": f"WITH {_L} SELECT doc_id, {_COMPANY} AS company FROM l",
-    "suggest_filename_rule": f"WITH {_L} SELECT doc_id, concat_ws(' ', nullif(upper(left(split_part({_KIND}, ',', 1), 1)) || substr(split_part({_KIND}, ',', 1), 2), ''), {_COMPANY}, strftime(day, '%Y-%m')) AS name FROM l",
+    "suggest_filename_rule": f"WITH {_L} SELECT doc_id, concat_ws(' ', nullif(upper(left(split_part({_KIND}, ',', 1), 1)) || substr(split_part({_KIND}, ',', 1), 2), ''), {_COMPANY}, strftime(day, '%Y-%m')) || '.pdf' AS name FROM l",
     "sanitize_filename": f"""WITH {_L}, x AS (SELECT doc_id, 'Groesse__Mueller_' || repeat('x', CAST(doc_id % 90 AS INTEGER)) || replace(filename, ' ', '_') AS n FROM l)
 SELECT doc_id, CASE WHEN length(n) > 84 THEN left(n, 80) || '.pdf' ELSE n END AS name FROM x""",
     "truncate_text": f"WITH {_L} SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE left(text, 60) || chr(10) || '[... Text gekürzt ...]' END AS text FROM l",
-    "classification_prompt": f"WITH {_L} SELECT doc_id, 'Ordner:' || chr(10) || '- Bank' || chr(10) || '- Strom' || chr(10) || chr(10) || 'Text:' || chr(10) || CASE WHEN length(text) <= 50 THEN text ELSE left(text, 50) || chr(10) || '[... Text gekürzt ...]' END AS prompt FROM l",
+    "classification_prompt": f"WITH {_L} SELECT doc_id, 'Ordner:' || chr(10) || '- Bank' || chr(10) || '- Strom' || chr(10) || chr(10) || 'Text:' || chr(10) || text AS prompt FROM l",
     "stem_number": f"WITH {_L} SELECT doc_id, left(filename, length(filename) - 4) AS stem, CASE WHEN doc_id % 5 = 0 THEN '2024' WHEN doc_id >= 100 THEN CAST(doc_id AS VARCHAR) END AS number FROM l",
     "year_from_string": f"WITH {_L} SELECT doc_id, nullif(regexp_extract(filename, '20[0-9][0-9]'), '') AS year FROM l",
     "title_from_name": f"WITH {_L} SELECT doc_id, replace(replace(left(filename, length(filename) - 4), '_', ' '), '-', ' ') AS title FROM l",
     "pdf_suffix": f"WITH {_L} SELECT doc_id, filename AS name FROM l",
-    "tax_year": f"WITH {_L} SELECT doc_id, CASE WHEN regexp_matches(substr(text, 18, 4), '^[0-9]{{4}}$') THEN substr(text, 18, 4) END AS year FROM l",
+    "tax_year": f"WITH {_L} SELECT doc_id, CAST(year(day) AS VARCHAR) AS year FROM l",
     "extract_dates_documents": r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}') || regexp_extract_all(text, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}')) AS s FROM documents),
 m AS (SELECT doc_id, CAST(regexp_extract(s, '^([0-9]+)', 1) AS INT) AS d, CAST(regexp_extract(s, '[./]([0-9]+)[./]', 1) AS INT) AS m, CAST(regexp_extract(s, '([0-9]+)$', 1) AS INT) AS y FROM n
   UNION ALL SELECT doc_id, CAST(substr(s, 9) AS INT), CAST(substr(s, 6, 2) AS INT), CAST(substr(s, 1, 4) AS INT) FROM (SELECT doc_id, printf('%s-%02d-%02d', split_part(s, '-', 1), CAST(split_part(s, '-', 2) AS INT), CAST(split_part(s, '-', 3) AS INT)) AS s FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}')) AS s FROM documents) AS a) AS b),
@@ -126,7 +126,7 @@ SELECT o_orderkey, printf('%.1f', round_even(b / pow(1024, e), 1)) || ' ' || ['B
     "path_parts": f"WITH {_H} SELECT id, original_filename AS name, 'scan_' || id AS stem, '.pdf' AS suffix, target_folder AS parent FROM h",
     "display_name": f"WITH {_H}, x AS (SELECT id, target_folder || '/a/very/long/way/to/the/file/' || original_filename AS p, value FROM h) SELECT id, CASE WHEN length(p) > 50 THEN '...' || right(p, 47) ELSE p END AS shown, CAST(floor(CAST(value AS DOUBLE) / 1000 * 100) AS INTEGER) AS percent FROM x",
     "json_roundtrip": f"WITH {_H} SELECT id, '{{\"k\":' || CAST(extracted_text->>'$.k' AS BIGINT) || '}}' AS json, CAST(extracted_text->>'$.k' AS BIGINT) AS k FROM h",
-    "pdfs_per_folder": f"WITH {_F} SELECT path, count(c_custkey) AS n FROM f LEFT JOIN (SELECT '/akten/' || r_name || '/' || n_name AS path, c_custkey FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey) AS c USING (path) GROUP BY path",
+    "pdfs_per_folder": f"WITH {_F} SELECT path, count(c_custkey) AS n FROM f LEFT JOIN (SELECT '/akten/' || r_name || '/' || n_name AS path, c_custkey FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND c_custkey % 5 <> 0) AS c USING (path) GROUP BY path",
     "folder_depth": "SELECT '/akten/' || r_name AS path, 0 AS depth, r_name AS name, '/akten' AS parent FROM region UNION ALL SELECT '/akten/' || r_name || '/' || n_name, 1, n_name, '/akten/' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "root_prefix_join": f"""WITH {_PATHS} SELECT path, CASE WHEN root IS NULL THEN split_part(clean, '/', -1) ELSE split_part(root, '/', -1) || clean[length(root) + 1:] END AS relative, root FROM first""",
     "relative_to_root_parent": f"""WITH {_PATHS}, above AS (SELECT clean, arg_min(regexp_replace(root, '/[^/]*$', ''), pos) AS up FROM (SELECT DISTINCT clean FROM d) AS x JOIN t ON clean = regexp_replace(root, '/[^/]*$', '') OR starts_with(clean, regexp_replace(root, '/[^/]*$', '') || '/') GROUP BY 1)
@@ -142,6 +142,11 @@ SELECT name, s_suppkey AS kid, CASE WHEN same THEN 'exact' ELSE 'fuzzy' END AS h
     "suggest_by_text": f"""WITH src AS (SELECT doc_id AS id, text FROM documents WHERE source IS NOT NULL), {_terms('src')}, {_VECTORS},
 fs AS (SELECT query, source AS folder, 0.7 * max(c) + 0.3 * avg(c) AS score FROM cs JOIN documents ON doc_id = cs.id GROUP BY 1, 2)
 SELECT query, folder, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, folder) AS rank FROM fs QUALIFY rank <= 5""",
+    "suggest_with_stored_model": f"""WITH src AS (SELECT doc_id AS id, text FROM documents WHERE source IS NOT NULL), {_terms('src')}, {_VECTORS},
+fs AS (SELECT query, source AS folder, 0.7 * max(c) + 0.3 * avg(c) AS score FROM cs JOIN documents ON doc_id = cs.id GROUP BY 1, 2)
+SELECT query, folder, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, folder) AS rank FROM fs QUALIFY rank <= 5""",
+    "model_learned": f"""WITH src AS (SELECT doc_id AS id, text FROM documents WHERE source IS NOT NULL), {_terms('src')}
+SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df, round(ln((1.0 + (SELECT count(DISTINCT id) FROM tm)) / (1 + count(*))) + 1, 9) AS idf FROM tm GROUP BY 1 ORDER BY total DESC, term LIMIT 5000""",
     "suggest_by_keywords": f"WITH {_KEYWORDS} SELECT query, folder, name, round(c, 6) AS confidence, rank FROM k WHERE rank <= 5",
     "suggest_by_frequency": f"WITH {_OFTEN} SELECT folder, c AS confidence, reason, place, nth FROM o WHERE place <= 10",
     "suggest": f"WITH {_SUGGEST.format(k=5)} SELECT query, folder, round(c, 6) AS confidence, reason, rank FROM x",
@@ -150,12 +155,14 @@ SELECT query, folder, round(score, 6) AS score, row_number() OVER (PARTITION BY
 UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE 'NEU' END, 0.9, 'llm' FROM customer WHERE c_custkey % 2 = 0 AND (c_custkey % 4 <> 0 OR c_custkey % 3 = 0)""",
     "rename_suggestions": f"""WITH {_L}, x AS (SELECT *, upper(left(split_part({_KIND}, ',', 1), 1)) || substr(split_part({_KIND}, ',', 1), 2) AS k, CAST(day AS VARCHAR) AS d FROM l),
 o AS (SELECT doc_id, 0 AS no, concat_ws(' ', nullif(k, ''), {_COMPANY}, strftime(day, '%Y-%m')) || '.pdf' AS name, 0.6 AS confidence FROM x UNION ALL SELECT doc_id, 1, d || '.pdf', 0.3 FROM x
-  UNION ALL SELECT doc_id, 2, d || ' ' || k || '.pdf', 0.5 FROM x WHERE k <> '' UNION ALL SELECT doc_id, 3, k || ' Nr' || CASE WHEN doc_id % 5 = 0 THEN '2024' ELSE CAST(doc_id AS VARCHAR) END || '.pdf', 0.4 FROM x WHERE k <> '' AND (doc_id % 5 = 0 OR doc_id >= 100))
+  UNION ALL SELECT doc_id, 2, d || ' ' || k || '.pdf', 0.5 FROM x WHERE k <> '' UNION ALL SELECT doc_id, 3, k || ' Nr' || CASE WHEN doc_id % 5 = 0 THEN '2024' ELSE CAST(doc_id AS VARCHAR) END || '.pdf', 0.4 FROM x WHERE k <> '' AND (doc_id % 5 = 0 OR doc_id >= 100)
+  UNION ALL SELECT doc_id, 4, 'Gelernt.pdf', 0.7 FROM x WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 5, 'Akte ' || doc_id || '.pdf', 0.7 FROM x WHERE doc_id % 4 = 0)
 SELECT doc_id, name, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, no) AS rank FROM o""",
-    "unique_path": """WITH m AS (SELECT p_partkey AS source, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 + CASE WHEN p_brand LIKE '%1' THEN 1 ELSE 0 END AS n FROM part)
+    "unique_path": """WITH k AS (SELECT p_partkey AS source, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part),
+m AS (SELECT source, p_brand, CASE WHEN p_brand LIKE '%1' THEN k + 1 WHEN p_brand LIKE '%2' AND k = 1 THEN 2 WHEN p_brand LIKE '%2' AND k > 1 THEN k + 2 ELSE k END AS n FROM k)
 SELECT source, '/ziel/' || p_brand || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.pdf' AS target FROM m""",
     "split_plan": "SELECT p_name || '_Seite_' || i || '.pdf' AS output, CAST(i AS INTEGER) AS page FROM part, unnest(range(1, p_size % 5 + 2)) AS r(i)",
-    "merge_plan": """WITH p AS (SELECT DISTINCT l_orderkey AS output, l_linenumber AS ln FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber IN (1, 2))
+    "merge_plan": """WITH p AS (SELECT DISTINCT l_orderkey AS output, l_linenumber AS ln FROM lineitem)
 SELECT output, output || '-' || ln AS source, CAST(g AS INTEGER) AS page, row_number() OVER (PARTITION BY output ORDER BY ln DESC, g) AS new_page FROM p, unnest([1, 2]) AS r(g)""",
     "cache_validity": "SELECT o_orderkey AS path FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0",
     "precache_todo": "SELECT o_orderkey AS path FROM orders WHERE o_orderkey % 3 <> 0",
@@ -180,13 +187,15 @@ _HYBRID = f"""{_L}, k AS (SELECT doc_id, filename, nullif(split_part({_KIND}, ',
   replace(replace(filename, '.pdf', ''), '.PDF', '') AS base FROM l),
 o AS (SELECT doc_id, 1 AS no, day || '_' || base || '.pdf' AS name, 0.7 AS confidence, 'local' AS source FROM k UNION ALL SELECT doc_id, 2, day || '_' || kind || '.pdf', 0.75, 'local' FROM k
   UNION ALL SELECT doc_id, 3, kind || '_' || base || '.pdf', 0.6, 'local' FROM k WHERE day IS NULL
-  UNION ALL SELECT doc_id, CASE WHEN doc_id % 100 > 70 THEN 0 ELSE 4 END, CASE WHEN doc_id % 9 = 0 THEN filename ELSE 'modell_' || doc_id || '.pdf' END, doc_id % 100 / 100.0, 'llm' FROM k WHERE doc_id % 3 = 0),
+  UNION ALL SELECT doc_id, CASE WHEN doc_id % 100 > 70 THEN 0 ELSE 4 END, CASE WHEN doc_id % 9 = 0 THEN filename WHEN doc_id % 13 = 0 THEN 'ab/' || doc_id // 40 ELSE 'modell_' || doc_id // 40 || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '' END END, doc_id % 100 / 100.0, 'llm' FROM k WHERE doc_id % 3 = 0),
 y AS (SELECT doc_id, name, confidence, source, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS place FROM o WHERE name IS NOT NULL),
-b AS (SELECT k.doc_id, CASE WHEN new_name <> filename THEN new_name END AS new_name, CASE WHEN new_name <> filename THEN 'renamed' ELSE 'skipped' END AS status
-  FROM k LEFT JOIN (SELECT doc_id, arg_min(name, place) AS new_name FROM y WHERE source = 'llm' AND confidence > 0.5 GROUP BY 1) AS z USING (doc_id))"""
+g AS (SELECT k.doc_id, doc_id // 40 AS g, CASE WHEN said IS NULL OR said = filename THEN 'skipped' WHEN doc_id % 11 = 0 OR contains(said, '/') THEN 'error' ELSE 'renamed' END AS status
+  FROM k LEFT JOIN (SELECT doc_id, arg_min(name, place) AS said FROM y WHERE source = 'llm' AND confidence > 0.5 GROUP BY 1) AS z USING (doc_id)),
+b AS (SELECT doc_id, 'modell_' || g || CASE WHEN n > 0 THEN ' (' || n || ')' ELSE '' END || '.pdf' AS new_name, status FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 + CASE WHEN g % 4 = 0 THEN 1 ELSE 0 END AS n FROM g WHERE status = 'renamed') AS r
+  UNION ALL SELECT doc_id, NULL, status FROM g WHERE status <> 'renamed')"""
 _MARKS = "".join(f" || chr(10) || '{m} ...'" for m in ANSWER_FIELDS)
 _PROMPT = f"""{_L}, p AS (SELECT doc_id, 'Schlage einen Dateinamen für das Dokument vor.' || chr(10) || 'Besitzer der Dokumente, nie der Korrespondent: "Ada Muster", "A. Muster", "Muster GmbH"' || chr(10) || 'Datei: ' || filename || chr(10) || 'Text:' || chr(10)
-  || CASE WHEN length(text) <= 50 THEN text ELSE left(text, 50) || chr(10) || '[... Text gekürzt ...]' END || chr(10) || CASE WHEN {_KIND} = '' THEN '' ELSE 'Schlüsselwörter: ' || replace({_KIND}, ',', ', ') || chr(10) END
+  || text || chr(10) || CASE WHEN {_KIND} = '' THEN '' ELSE 'Schlüsselwörter: ' || replace({_KIND}, ',', ', ') || chr(10) END
   || CASE WHEN doc_id % 2 = 0 THEN 'Datum im Dokument: ' || day || chr(10) ELSE '' END || 'Zielordner: /akten' || chr(10) || 'Antworte so:' || chr(10) || 'DATEINAME: ...' || chr(10) || 'KONFIDENZ: 0-100'{_MARKS} AS prompt FROM l)"""
 #: What an index holds after the changes of `_indexed`.
 _LIVE = """live AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'Lizenz alt ' || coalesce(text, '') END AS text, coalesce(lang, '') || ' ' || coalesce(source, '') AS about
@@ -215,7 +224,7 @@ UNION ALL SELECT parent, folder, 0.2, 'Existierender Unterordner', CAST(coalesce
     "cache_get": f"WITH {_O} SELECT path, answer FROM o WHERE path % 7 = 0 OR path % 5 <> 0",
     "cache_stats": f"WITH {_O} SELECT count(*) FILTER (analysed) AS cached, count(*) FILTER (NOT analysed) AS pending, count(*) FILTER (analysed AND answer LIKE '1%') AS with_model FROM o",
     "cache_with_model_answers": f"WITH {_O} SELECT path, answer FROM o WHERE analysed AND answer LIKE '1%'",
-    "cache_replace": f"""WITH {_O}, r AS (SELECT l_orderkey AS path, arg_max(l_returnflag, l_linenumber) AS answer, CAST(max(l_linenumber) AS BIGINT) AS seq FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
+    "cache_replace": f"""WITH {_O}, r AS (SELECT l_orderkey AS path, arg_max(l_returnflag, l_linenumber) AS answer, CAST(max(l_linenumber) AS BIGINT) AS seq FROM lineitem GROUP BY 1)
 SELECT path, answer, seq FROM r UNION ALL SELECT path, answer, 0 FROM o WHERE path NOT IN (SELECT path FROM r)""",
     "cache_clear_entries": f"WITH {_O} SELECT path FROM o WHERE answer NOT LIKE '5%'",
     "cache_move": f"""WITH {_O} SELECT path + 1 AS path, mtime + 60 AS mtime, answer FROM o WHERE path % 4 = 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import filing, history, metadata, models, roots, search, search_index, similarity, store, subfolders
+from quillmill.operators import filing, history, metadata, model_store, models, roots, search, search_index, similarity, store, subfolders
 from quillmill.sources import tables, versions
 from quillmill.sources.tables import table
 from quillmill.streaming import indexing
@@ -33,12 +33,12 @@ def scan_newest_first(spark, d):
 
 @query
 def entries_for_folder(spark, d):
-    return tables.history(spark, d).filter(F.col("target_folder") == "/archiv/click/3").select("id", "original_filename")
+    return history.of_folder(tables.history(spark, d), "/archiv/click/3").select("id", "original_filename")
 
 
 @query
 def entries_with_text(spark, d):
-    return tables.history(spark, d).filter(F.col("extracted_text").isNotNull() & (F.col("extracted_text") != "")).select("id", "extracted_text")
+    return history.with_text(tables.history(spark, d)).select("id", "extracted_text")
 
 
 @query
@@ -48,12 +48,12 @@ def keyword_overlap(spark, d):
 
 @query
 def rename_by_keywords(spark, d):
-    return history.with_overlap(tables.history(spark, d), ["error"]).orderBy(F.desc("created_at"), F.desc("id")).limit(5).select("id", "created_at")
+    return history.newest(history.with_overlap(tables.history(spark, d), ["error"]), 5).select("id", "created_at")
 
 
 @query
 def history_by_relative_path(spark, d):
-    return tables.history(spark, d).filter(F.col("target_relative_path") == "Archiv/view").orderBy(F.desc("created_at"), F.desc("id")).limit(10).select("id", "created_at")
+    return history.of_relative_path(tables.history(spark, d), "Archiv/view").select("id", "created_at")
 
 
 @query
@@ -88,8 +88,7 @@ def folder_keywords(spark, d):
 
 @query
 def table_counts(spark, d):
-    h = tables.history(spark, d)
-    return h.agg(F.count("*").alias("entries"), F.countDistinct("target_folder").alias("folders"), F.count_if(F.col("extracted_text").isNotNull()).alias("with_text"))
+    return history.counts(tables.history(spark, d))
 
 
 @query
@@ -99,8 +98,7 @@ def last_used(spark, d):
 
 @query
 def token_usage(spark, d):
-    j = F.get_json_object("extracted_text", "$.k").cast("long")
-    return tables.history(spark, d).groupBy("target_folder_name").agg(F.sum(j).alias("tokens"))
+    return history.token_usage(tables.history(spark, d), F.get_json_object("extracted_text", "$.k").cast("long"))
 
 
 @query
@@ -122,15 +120,15 @@ QUERIES |= {
     "extract_dates": _each_letter(dates=lambda: F.array_join(F.transform(T.dates(F.col("text")), lambda x: x.cast("string")), ",")),
     "extract_keywords": _each_letter(keywords=lambda: F.array_join(T.categories(F.col("text")), ",")),
     "extract_company": _each_letter(company=lambda: T.company(F.col("text"))),
-    "suggest_filename_rule": _each_letter(name=lambda: T.suggested_name(F.col("text"), F.col("filename"))),
+    "suggest_filename_rule": _each_letter(name=lambda: T.with_pdf(T.suggested_name(F.col("text"), F.col("filename")))),
     "sanitize_filename": _each_letter(name=lambda: T.sanitised(F.concat(F.lit("Größe: Müller/"), F.repeat(F.lit("x"), (F.col("doc_id") % 90).cast("int")), F.col("filename")))),
     "truncate_text": _each_letter(text=lambda: T.truncated(F.col("text"), 60)),
-    "classification_prompt": _each_letter(prompt=lambda: T.classification_prompt(F.col("text"), F.array(F.lit("Bank"), F.lit("Strom")), 50)),
+    "classification_prompt": _each_letter(prompt=lambda: T.classification_prompt(F.col("text"), F.array(F.lit("Bank"), F.lit("Strom")))),
     "stem_number": _each_letter(stem=lambda: T.stem(F.col("filename")), number=lambda: T.number_in_stem(F.col("filename"))),
     "year_from_string": _each_letter(year=lambda: T.year_in(F.col("filename"))),
     "title_from_name": _each_letter(title=lambda: T.title_of(F.col("filename"))),
     "pdf_suffix": _each_letter(name=lambda: T.with_pdf(F.col("filename"))),
-    "tax_year": _each_letter(year=lambda: T.tax_year(F.substring("text", 18, 10))),
+    "tax_year": _each_letter(year=lambda: T.tax_year(F.get(T.dates(F.col("text")), F.lit(0)).cast("string"))),
 }
 
 
@@ -180,8 +178,7 @@ def json_roundtrip(spark, d):
 def pdfs_per_folder(spark, d):
     f = tables.folders(spark, d)
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    n = c.groupBy(F.concat_ws("/", F.lit("/akten"), "r_name", "n_name").alias("path")).agg(F.count("*").alias("n"))
-    return f.join(n, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"))
+    return roots.file_counts(f, c.select(F.concat_ws("/", F.lit("/akten"), "r_name", "n_name", F.concat("c_custkey", F.when(F.col("c_custkey") % 5 == 0, ".txt").when(F.col("c_custkey") % 2 == 0, ".PDF").otherwise(".pdf"))).alias("path")))
 
 
 @query
@@ -285,6 +282,30 @@ def suggest_with_subfolders(spark, d):
     return similarity.with_relative_paths(_suggest(spark, d, 10), tops).select("query", "folder", "relative", F.round("confidence", 6).alias("confidence"), "rank")
 
 
+@query
+def model_learned(spark, d):
+    """A stored model after three batches and a compaction: that of one fit over all documents."""
+    return model_store.load(spark, _learned(spark, d))[0].select("term", "total", "df", F.round("idf", 9).alias("idf"))
+
+
+@query
+def suggest_with_stored_model(spark, d):
+    docs = table(spark, d, "documents").filter("source IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("source").alias("folder"))
+    model, learned = model_store.load(spark, _learned(spark, d))
+    found = similarity.by_stored_text(docs, docs.filter("id % 20 = 0").select(F.col("id").alias("query")), model, learned)
+    return similarity.ranked(found, 5, "score").select("query", "folder", F.round("score", 6).alias("score"), "rank")
+
+
+def _learned(spark, d):
+    root = versions.shared_folder(spark, "model")
+    docs = table(spark, d, "documents").filter("source IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    for k in range(3):
+        model_store.learn(spark, root, docs.filter(F.pmod("id", F.lit(3)) == k))
+        if k == 1:
+            model_store.compact(spark, root)
+    return root
+
+
 @query
 def merge_hybrid(spark, d):
     c = table(spark, d, "customer")
@@ -295,14 +316,17 @@ def merge_hybrid(spark, d):
 
 @query
 def rename_suggestions(spark, d):
-    return filing.rename_candidates(tables.letters(spark, d))
+    letters = tables.letters(spark, d)
+    learned = letters.filter("doc_id % 4 = 0").select("doc_id", F.posexplode(F.array(F.lit("Gelernt.pdf"), F.concat(F.lit("Akte "), F.col("doc_id").cast("string"), F.lit(".pdf")))).alias("place", "name"))
+    return filing.rename_candidates(letters, 6, learned)
 
 
 @query
 def unique_path(spark, d):
     p = table(spark, d, "part")
     moves = p.select(F.col("p_partkey").alias("source"), F.concat(F.lit("/ziel/"), F.col("p_brand"), F.lit(".pdf")).alias("target"))
-    existing = p.filter("p_brand LIKE '%1'").select(F.concat(F.lit("/ziel/"), F.col("p_brand"), F.lit(".pdf")).alias("path")).distinct()
+    name = lambda more: F.concat(F.lit("/ziel/"), "p_brand", F.lit(more))
+    existing = p.filter("p_brand LIKE '%1' OR p_brand LIKE '%2'").select(F.explode(F.when(F.col("p_brand").endswith("1"), F.array(name(".pdf"))).otherwise(F.array(name(" (1).pdf"), name(" (3).pdf")))).alias("path")).distinct()
     return filing.unique_paths(moves, existing)
 
 
@@ -314,8 +338,8 @@ def split_plan(spark, d):
 @query
 def merge_plan(spark, d):
     li = table(spark, d, "lineitem")
-    lists = table(spark, d, "orders").select(F.col("o_orderkey").alias("output"), F.array(F.lit(2), F.lit(1)).alias("sources"))
-    lists = lists.select("output", F.transform("sources", lambda s: F.concat_ws("-", F.col("output").cast("string"), s.cast("string"))).alias("sources"))
+    source = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    lists = li.groupBy(F.col("l_orderkey").alias("output")).agg(F.transform(F.sort_array(F.collect_set(F.struct("l_linenumber", source.alias("s"))), asc=False), lambda x: x["s"]).alias("sources"))
     pages = li.groupBy(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("source")).agg(F.lit(2).alias("n")).select("source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("page"))
     return filing.merge_plan(lists, pages).select("output", "source", "page", "new_page")
 
@@ -429,13 +453,12 @@ def _orders(spark, d):
 
 @query
 def children_by_usage(spark, d):
-    stats = history.folder_stats(tables.history(spark, d)).withColumn("parent", T.parent(F.col("path")))
-    return stats.filter("parent = '/archiv/click'").orderBy(F.desc("usage_count"), "path").select("path", "usage_count")
+    return history.children_by_usage(history.folder_stats(tables.history(spark, d)), "/archiv/click").select("path", "usage_count")
 
 
 @query
 def rename_history_by_folder(spark, d):
-    return tables.history(spark, d).filter("target_folder = '/archiv/view/2'").orderBy(F.desc("created_at"), F.desc("id")).limit(5).select("id", "original_filename", "created_at")
+    return history.newest(history.of_folder(tables.history(spark, d), "/archiv/view/2"), 5).select("id", "original_filename", "created_at")
 
 
 @query
@@ -446,19 +469,18 @@ def correspondents_by_usage(spark, d):
 
 @query
 def task_order(spark, d):
-    return table(spark, d, "events").select("event_id", F.length("event_type").alias("priority"), "ts").orderBy("priority", "ts", "event_id")
+    return history.in_task_order(table(spark, d, "events").select("event_id", "event_type", "ts"), F.length("event_type"), "ts", "event_id").select("event_id", "priority", "ts")
 
 
 @query
 def subfolders_by_name(spark, d):
-    f = tables.folders(spark, d).withColumn("parent", T.parent(F.col("path")))
-    return f.filter("parent = '/akten/ASIA'").select("path", T.basename(F.col("path")).alias("name")).orderBy("name")
+    return roots.subfolders(tables.folders(spark, d), "/akten/ASIA")
 
 
 @query
 def existing_roots(spark, d):
     named = table(spark, d, "nation").select(F.concat(F.lit("/akten/"), F.col("n_name")).alias("path")).unionByName(table(spark, d, "region").select(F.concat(F.lit("/akten/"), F.col("r_name")).alias("path")))
-    return named.join(tables.folders(spark, d), "path", "left_semi")
+    return roots.existing(named, tables.folders(spark, d))
 
 
 @query
@@ -481,7 +503,7 @@ def cache_with_model_answers(spark, d):
 @query
 def cache_replace(spark, d):
     cache = _orders(spark, d).select("path", "answer", F.lit(0).cast("long").alias("seq"))
-    rows = table(spark, d, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("answer"), F.col("l_linenumber").cast("long").alias("seq"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("answer"), F.col("l_linenumber").cast("long").alias("seq"))
     return store.replaced(cache, rows, "path")
 
 
@@ -533,7 +555,7 @@ def suggest_subfolder_for_parent(spark, d):
 
 def _prompted(spark, d):
     day = F.when(F.col("doc_id") % 2 == 0, F.date_format(F.get(T.dates(F.col("text")), F.lit(0)), "yyyy-MM-dd"))
-    prompt = models.filename_prompt(F.col("text"), F.col("filename"), T.categories(F.col("text")), day, F.lit("/akten"), None, models.owner_section("Ada Muster", "A. Muster, ", "Muster GmbH"), 50)
+    prompt = models.filename_prompt(F.col("text"), F.col("filename"), T.categories(F.col("text")), day, F.lit("/akten"), None, models.owner_section("Ada Muster", "A. Muster, ", "Muster GmbH"))
     return tables.letters(spark, d).select("doc_id", prompt.alias("prompt"))
 
 
@@ -560,7 +582,8 @@ def copy_names(spark, d):
 
 def _hybrid(spark, d):
     docs = tables.letters(spark, d).select("doc_id", "filename", F.get(T.categories(F.col("text")), F.lit(0)).alias("kind"), F.when(F.col("doc_id") % 2 == 0, F.date_format(F.get(T.dates(F.col("text")), F.lit(0)), "yyyy-MM-dd")).alias("day"))
-    name = F.when(F.col("doc_id") % 9 == 0, F.col("filename")).otherwise(F.concat(F.lit("modell_"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    key = F.floor(F.col("doc_id") / 40).cast("string")
+    name = F.when(F.col("doc_id") % 9 == 0, F.col("filename")).when(F.col("doc_id") % 13 == 0, F.concat(F.lit("ab/"), key)).otherwise(F.concat(F.lit("modell_"), key, F.when(F.col("doc_id") % 2 == 0, ".pdf").otherwise("")))
     model = docs.filter("doc_id % 3 = 0").select("doc_id", name.alias("name"), (F.col("doc_id") % 100 / 100).alias("confidence"))
     return docs, filing.hybrid_names(docs, model)
 
@@ -570,21 +593,29 @@ def hybrid_filenames(spark, d):
     return _hybrid(spark, d)[1]
 
 
+def _batch(spark, d):
+    docs, names = _hybrid(spark, d)
+    docs = docs.withColumn("folder", F.lit("/ein"))
+    files = docs.filter("doc_id % 11 != 0").select(F.concat(F.lit("/ein/"), "filename").alias("path"))
+    taken = docs.select(F.floor(F.col("doc_id") / 40).alias("k")).filter("k % 4 = 0").select(F.concat(F.lit("/ein/modell_"), F.col("k").cast("string"), F.lit(".pdf")).alias("path")).distinct()
+    return filing.batch_renames(docs, names, files.unionByName(taken))
+
+
 @query
 def batch_rename(spark, d):
-    return filing.batch_renames(*_hybrid(spark, d))
+    return _batch(spark, d)
 
 
 @query
 def batch_outcome(spark, d):
-    return filing.batch_renames(*_hybrid(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+    return _batch(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query
 def model_gate(spark, d):
     best = table(spark, d, "customer").filter("c_custkey % 3 != 0").groupBy((F.col("c_custkey") % 40).alias("query")).agg(F.max(F.col("c_custkey") % 100 / 100).alias("top"))
     asked = table(spark, d, "customer").select((F.col("c_custkey") % 60).alias("query")).distinct()
-    return asked.join(best, "query", "left").select("query", (F.col("top").isNull() | (F.col("top") < 0.6)).alias("needs_model"))
+    return models.needs_model(best, asked)
 
 
 QUERIES |= {
