@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -37,3 +38,18 @@ def undo_plan(actions: DataFrame, existing: DataFrame, most: int = 20) -> DataFr
     """The last actions(seq, source, target), newest first, as moves back; `missing` where the file is no longer there."""
     last = actions.orderBy(F.desc("seq")).limit(most).select("seq", F.col("target").alias("path"), F.col("source").alias("back_to"))
     return last.join(existing.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").select("seq", "path", "back_to", F.col("there").isNull().alias("missing"))
+
+
+def read_generations(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """A log whose parts were written under older schemas, in the schema declared now: absent columns are null, narrower types are widened, unknown columns left out.
+
+    A value that can't be read in the present type is null.
+    """
+    now = StructType.fromDDL(schema)
+    found = None
+    for path in paths:
+        part = spark.read.parquet(path)
+        have = {c.lower(): c for c in part.columns}
+        cast = [(F.col(have[f.name.lower()]).try_cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in now]
+        found = part.select(*cast) if found is None else found.unionByName(part.select(*cast))
+    return found if found is not None else spark.createDataFrame([], now)

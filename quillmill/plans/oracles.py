@@ -207,6 +207,14 @@ ORACLES |= {
     "index_count": f"WITH {_LIVE[:-1]} SELECT count(*) AS n FROM live",
     "filename_prompt": f"WITH {_PROMPT} SELECT doc_id, prompt FROM p",
     "model_filenames": f"WITH {_PROMPT} SELECT doc_id, 'dokument_' || left(sha256(prompt), 8) || '.pdf' AS name, CAST(0.75 AS DOUBLE) AS confidence FROM p",
+    "suggest_folders_gated": """WITH f AS (SELECT list(r_name ORDER BY r_regionkey) AS f, string_agg('- ' || r_name, chr(10) ORDER BY r_regionkey) AS s FROM region),
+d AS (SELECT c_custkey AS query, c_custkey % 3 AS m, '/akten/' || r_name AS own, length('Ordner:' || chr(10) || s || chr(10) || chr(10) || 'Text:' || chr(10) || c_mktsegment || CASE WHEN c_custkey % 4 = 0 THEN chr(10) || 'Schlüsselwörter: bank, gas' ELSE '' END
+  || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'Datum im Dokument: 2024-05-06' ELSE '' END || chr(10) || chr(10) || 'Antworte so:' || chr(10) || 'ORDNER: ein Name aus der Liste' || chr(10) || 'BEGRÜNDUNG: kurz' || chr(10) || 'KONFIDENZ: 0-100') AS n, f
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, f),
+a AS (SELECT query, m, own, '/akten/' || f[n % len(f) + 1] AS said, (n % 100) / 100.0 AS c FROM d),
+x AS (SELECT query, own AS folder, CASE WHEN m = 1 THEN 0.9 WHEN said = own THEN least(0.6 * 0.4 + 0.4 * c, 0.98) ELSE 0.4 END AS c, CASE WHEN m = 2 AND said = own THEN 'Ähnliche Schlüsselwörter + LLM bestätigt' ELSE 'Ähnliche Schlüsselwörter' END AS reason, CASE WHEN m = 2 AND said = own THEN 'hybrid' ELSE 'local' END AS source FROM a WHERE m <> 0
+  UNION ALL SELECT query, said, c, 'passt', 'llm' FROM a WHERE m = 0 OR m = 2 AND said <> own)
+SELECT query, folder, round(c, 6) AS confidence, reason, source, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, source = 'llm', folder) AS rank FROM x""",
     "merge_errors": """WITH p AS (SELECT p_partkey AS k FROM part), g AS (SELECT k, s, pos FROM p, (VALUES (0), (1)) AS v(pos), LATERAL (SELECT CASE WHEN pos = 0 THEN 'q' || k ELSE 'q1' END AS s) AS w WHERE k % 3 = 2)
 SELECT k AS output, s AS source, CAST(i AS INTEGER) AS page, CAST(2 * pos + i AS INTEGER) AS new_page, CAST(NULL AS VARCHAR) AS error FROM g, unnest([1, 2]) AS u(i)
 UNION ALL SELECT k, NULL, NULL, NULL, CASE WHEN k % 3 = 0 THEN 'Es müssen mindestens zwei PDF-Quelldateien angegeben werden.' ELSE 'Quelldatei nicht gefunden: weg' END FROM p WHERE k % 3 <> 2""",
