@@ -24,6 +24,7 @@ import hashlib
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -205,13 +206,20 @@ def streams(coded: list[np.ndarray], columns: int, steps: int, end: int) -> Iter
         yield np.where(starts[now], end, flat[now - 1]), flat[now], (~starts[now]).astype(np.float32), t == 0
 
 
-def train(net: Network, coded: list[np.ndarray], end: int, steps: int, columns: int = 256, rate: float = 0.02) -> int:
+class Moments:
+    """What Adam remembers from step to step, for as long as a task trains."""
+
+    def __init__(self, net: Network):
+        self.m, self.v = ({k: np.zeros(s, np.float32) for k, s in net.shapes.items()} for _ in range(2))
+        self.turn = 0
+
+
+def train(net: Network, coded: list[np.ndarray], end: int, steps: int, columns: int = 1024, rate: float = 0.02, moments: Moments | None = None) -> int:
     """One pass of Adam over the documents; the number of tokens."""
     if not coded:
         return 0
-    m = {k: np.zeros(s, np.float32) for k, s in net.shapes.items()}
-    v = {k: np.zeros(s, np.float32) for k, s in net.shapes.items()}
-    turn, state = 0, None
+    moments, state = moments or Moments(net), None
+    m, v, turn = moments.m, moments.v, moments.turn
     for inputs, targets, going_on, first in streams(coded, columns, steps, end):
         state = np.zeros((inputs.shape[1], net.hidden), np.float32) if first else state
         g, state = net.gradient(inputs, targets, going_on, state)
@@ -221,6 +229,7 @@ def train(net: Network, coded: list[np.ndarray], end: int, steps: int, columns:
             m[k] += 0.1 * (x - m[k])
             v[k] += 0.01 * (x * x - v[k])
             net.p[k] -= (rate / (1 + turn / 2000) / (1 - 0.9**turn)) * m[k] / (np.sqrt(v[k] * (1 / (1 - 0.99**turn))) + 1e-6)
+    moments.turn = turn
     return sum(map(len, coded))
 
 
@@ -296,15 +305,16 @@ def log_likelihood(
 
     def coded(text: bytes) -> tuple[list[bytes], np.ndarray]:
         words, index = tokens(text), shared.value[0]
-        return words, np.fromiter((index.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        return words, np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(net.flat())
 
         def fit(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             mine, n = Network(n_classes, class_size, hidden).load(now.value), 0
+            moments = Moments(mine)
             for frame in slices(frames):
-                n += train(mine, [np.append(shared.value[1][coded(x)[1]], end) for x in frame["text"]], end, window)
+                n += train(mine, [np.append(shared.value[1][coded(x)[1]], end) for x in frame["text"]], end, window, moments=moments)
             if n:
                 data = np.append(mine.flat().astype(np.float64) * n, n)
                 parts = [data[a : a + 65_536].tobytes() for a in range(0, len(data), 65_536)]

@@ -89,10 +89,10 @@ def test_language_model_learns_from_every_training_document(spark, tmp_path, mon
     rows = [(i, f"w{i} " * 5) for i in range(40)]
     seen, inner = str(tmp_path / "seen"), lm.train
 
-    def train(net, coded, end, steps):
+    def train(net, coded, end, steps, **more):
         with open(seen, "a") as out:
             out.write("".join(f"{len(x)}\n" for x in coded))
-        return inner(net, coded, end, steps)
+        return inner(net, coded, end, steps, **more)
 
     monkeypatch.setattr(lm, "train", train)
     lm.log_likelihood(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1)
@@ -207,4 +207,4 @@ def test_pipeline(spark):
 
 
 def test_queries_are_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
