@@ -30,7 +30,8 @@ from quillmill.llm.common import add_columns
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_RUN = 32
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, and of signs like ², ½ and Ⅷ, which are word characters but no letters.
+WORDS = re.compile(r"[^\W\d_]+")
 #: Texts are scored in blocks of about so many characters.
 BLOCK_CHARS = 4_000_000
 #: Words that go through the lattice at once.
@@ -134,7 +135,10 @@ def fit(words: list[str], counts: np.ndarray, pieces: list[str], rounds: int = 4
 
 def split_words(text: str) -> list[str]:
     out = []
-    for w in LETTERS.findall(text.lower()):
+    for w in WORDS.findall(text.lower()):
+        if not w.isalpha():
+            out += split_words("".join(c if c.isalpha() else " " for c in w))
+            continue
         w = "▁" + w
         out += [w] if len(w) <= PIECE_RUN else [w[i : i + PIECE_RUN] for i in range(0, len(w), PIECE_RUN)]
     return out

@@ -270,3 +270,12 @@ def test_training_set_is_by_crc(spark):
     rows = [(i, f"w{i}") for i in range(30)]
     got = {r["doc_id"]: r["held_out"] for r in lm.log_likelihood(docs_of(spark, rows)).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+
+
+def test_signs_are_no_letters(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("der Hund läuft weit über das Feld", "de"), ("the dog runs far over the field", "en")] * 20)]
+    odd = [(100, "² ½ Ⅷ ³", None), (101, "12 34 _ !", None), (102, "", None), (103, None, None), (104, "²Hund½ läuft", None), (105, "der Hund läuft über das Feld " * 40_000, None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (100, 101, 102, 103))
+    assert got[104][0] == got[105][0] == "de"
+    assert langid.split_words("² ½ Ⅷ x²y ab½ _z_") == ["▁x", "▁y", "▁ab", "▁z"]
