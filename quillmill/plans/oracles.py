@@ -202,7 +202,7 @@ _LIVE = """live AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'Lize
   FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 4 = 0),"""
 ORACLES |= {
     "index_search": _search("live", "doc_id", ["text", "about"], ["tk LIKE 'licens%'"], _LIVE),
-    "index_search_terms": _search("live", "doc_id", ["text", "about"], ["tk LIKE 'lizenz%'", "tk LIKE 'web%'"], _LIVE),
+    "index_search_terms": _search("live", "doc_id", ["text", "about"], ["tk LIKE 'lizenz%'", "tk LIKE 'de%'"], _LIVE),
     "index_phrase": _search("live", "doc_id", ["text", "about"], ["tk = 'lizenz' AND nx LIKE 'al%'"], _LIVE),
     "index_count": f"WITH {_LIVE[:-1]} SELECT count(*) AS n FROM live",
     "filename_prompt": f"WITH {_PROMPT} SELECT doc_id, prompt FROM p",

@@ -406,7 +406,7 @@ def index_search(spark, d):
 
 @query
 def index_search_terms(spark, d):
-    return search_index.find(spark, _indexed(spark, d), "lizenz web").select("id", F.round("rank", 6).alias("rank"))
+    return search_index.find(spark, _indexed(spark, d), "lizenz de").select("id", F.round("rank", 6).alias("rank"))
 
 
 @query
