@@ -33,7 +33,7 @@ def parse(query: str, least: int = 1) -> list[list[str]] | None:
 def snippet(text: Column, query: str, words: int = 30) -> Column:
     """The window of words with most different terms of the query (then most hits, then the first), hits as >>>word<<<, what is cut as `...`.
 
-    A hit starts with a term's first token. Windows begin at a hit; the shown one is moved back by up to half its length where few words follow.
+    A hit starts with a term's first token. Windows begin at a hit; the shown one is moved back by half its length, as far as all its hits stay in it.
     Without a hit it is the first words. Words are runs without white space and are joined by one space.
     """
     starts = [phrase[0] for phrase in parse(query) or []]
@@ -43,9 +43,11 @@ def snippet(text: Column, query: str, words: int = 30) -> Column:
     hits = F.filter(F.transform(marked, lambda x, i: F.struct((i + 1).alias("at"), x["terms"].alias("terms"))), lambda x: F.size(x["terms"]) > 0)
     # Each hit with the hits of the window that it begins.
     inside = lambda h: F.filter(hits, lambda o: (o["at"] >= h["at"]) & (o["at"] < h["at"] + words))
-    rated = F.transform(hits, lambda h: F.struct(F.size(F.array_distinct(F.flatten(F.transform(inside(h), lambda o: o["terms"])))).alias("terms"), F.size(inside(h)).alias("hits"), (-h["at"]).alias("at")))
-    first = F.coalesce(-F.array_max(rated)["at"], F.lit(1))
-    begin = F.greatest(F.lit(1), F.least(first, F.greatest(first - words // 2, F.size(said) - (words - 1)))).cast("int")
+    last = lambda h: F.array_max(F.transform(inside(h), lambda o: o["at"]))
+    rated = F.transform(hits, lambda h: F.struct(F.size(F.array_distinct(F.flatten(F.transform(inside(h), lambda o: o["terms"])))).alias("terms"), F.size(inside(h)).alias("hits"), (-h["at"]).alias("at"), last(h).alias("last")))
+    best = F.array_max(rated)
+    before = F.least(F.lit(words // 2), words - 1 - (best["last"] + best["at"]))  # so many words before the first hit leave room for the last
+    begin = F.greatest(F.lit(1), F.coalesce(-best["at"] - before, F.lit(1))).cast("int")
     shown = F.array_join(F.transform(F.slice(marked, begin, F.lit(words)), lambda x: F.when(F.size(x["terms"]) > 0, F.concat(F.lit(">>>"), x["w"], F.lit("<<<"))).otherwise(x["w"])), " ")
     return F.concat(F.when(begin > 1, "...").otherwise(""), shown, F.when(F.size(said) >= begin + words, "...").otherwise(""))
 

@@ -97,6 +97,6 @@ def test_empty_and_torn(spark, root):
 def test_snippet_takes_the_best_window(spark):
     said = "konto " + "a " * 40 + "konto bank " + "b " * 40
     show = lambda text, q, n=6: spark.createDataFrame([(text,)], "t string").select(search.snippet(F.col("t"), q, n)).first()[0]
-    assert show(said, "bank konto") == "...>>>konto<<< >>>bank<<< b b b b..."
+    assert show(said, "bank konto") == "...a a a >>>konto<<< >>>bank<<< b..."
     assert show(said, "konto") == ">>>konto<<< a a a a a..."
     assert show("eins zwei", "drei") == "eins zwei" and show(None, "x") == "" and show("a b c d e f g h konto", "konto") == "...d e f g h >>>konto<<<".replace("d e f g h", "f g h")
