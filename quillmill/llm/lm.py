@@ -41,6 +41,8 @@ END = b"\n"
 #: Longer words are listed by a prefix and their digest, which bounds the table that tasks hold.
 LISTED_BYTES = 64
 LOG10 = float(np.log(10))
+#: A task's first steps of training take a quarter of the streams: small steps early, wide ones once the parameters have settled.
+WARM = 200
 #: The columns of a scored part of a text.
 ROW = ["doc_id", "tx", "held_out", "word", "times", "rows", "tokens", "known", "base", "score"]
 
@@ -81,22 +83,31 @@ class Network:
 
     def states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None, going_on: np.ndarray | None = None) -> np.ndarray:
         """Hidden states (steps x columns x hidden) after each of the inputs (steps x columns); where going_on is 0 the state starts anew."""
+        # Units are the first axis within, so every operation runs along a whole row of columns.
         n, p = self.hidden, self.p
-        table = p["embed"] @ p["in"] + p["bias"]
-        x = table[inputs]
-        out = np.empty((*inputs.shape, n), np.float32)
+        x = np.take(np.ascontiguousarray((p["embed"] @ p["in"] + p["bias"]).T), inputs, axis=1)
+        rec, h = np.ascontiguousarray(p["rec"].T), np.ascontiguousarray(h.T)
+        out = np.empty((n, *inputs.shape), np.float32)
         for t in range(len(inputs)):
             if going_on is not None:
-                h = h * going_on[t, :, None]
-            u = h @ p["rec"]
-            gates = 1 / (1 + np.exp(-(x[t, :, : 2 * n] + u[:, : 2 * n])))
-            z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(x[t, :, 2 * n :] + r * u[:, 2 * n :])
+                h = h * going_on[t]
+            u = rec @ h
+            gates = x[: 2 * n, t] + u[: 2 * n]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r = gates[:n], gates[n:]
+            new = r * u[2 * n :]
+            new += x[2 * n :, t]
+            np.tanh(new, out=new)
             if keep is not None:
-                keep.append((h, z, r, new, u[:, 2 * n :]))
-            h = new + z * (h - new)
-            out[t] = h
-        return out
+                keep.append((h, z, r, new, u[2 * n :]))
+            h = h - new
+            h *= z
+            h += new
+            out[:, t] = h
+        return np.ascontiguousarray(out.transpose(1, 2, 0))
 
     def log_p(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target after each state."""
@@ -144,22 +155,28 @@ class Network:
             d = soft(h[at] @ p["word"][c] + p["word_bias"][c], y[at] % self.size)
             g["word"][c], g["word_bias"][c] = h[at].T @ d, d.sum(axis=0)
             dh[at] += d @ p["word"][c].T
-        d_states = dh.reshape(states.shape)
-        d_x, d_u, carry = np.empty((*inputs.shape, 3 * n), np.float32), np.empty((*inputs.shape, 3 * n), np.float32), np.zeros_like(h0)
-        rec = np.ascontiguousarray(p["rec"].T)
+        d_states = np.ascontiguousarray(dh.T).reshape(n, *inputs.shape)
+        d_x, d_u, prevs = (np.empty((m, *inputs.shape), np.float32) for m in (3 * n, 3 * n, n))
+        carry, rec = np.zeros((n, inputs.shape[1]), np.float32), np.ascontiguousarray(p["rec"])
         for t in range(len(inputs) - 1, -1, -1):
             prev, z, r, new, un = kept[t]
-            dh = d_states[t] + carry
+            prevs[:, t] = prev
+            dh = d_states[:, t] + carry
             held = 1 - z
-            d_new = dh * held * (1 - new * new)
-            np.multiply(dh * (prev - new), z * held, out=d_x[t, :, :n])
-            np.multiply(d_new * un, r * (1 - r), out=d_x[t, :, n : 2 * n])
-            d_x[t, :, 2 * n :] = d_new
-            d_u[t, :, : 2 * n] = d_x[t, :, : 2 * n]
-            np.multiply(d_new, r, out=d_u[t, :, 2 * n :])
-            carry = (dh * z + d_u[t] @ rec) * going_on[t, :, None]
-        g["rec"] = np.concatenate([x[0] for x in kept]).T @ d_u.reshape(-1, 3 * n)
-        flat, at = d_x.reshape(-1, 3 * n), inputs.ravel()
+            d_new = dh * held
+            d_new *= 1 - new * new
+            held *= z
+            held *= dh
+            np.multiply(held, prev - new, out=d_x[:n, t])
+            np.multiply(d_new * un, r * (1 - r), out=d_x[n : 2 * n, t])
+            d_x[2 * n :, t] = d_new
+            d_u[: 2 * n, t] = d_x[: 2 * n, t]
+            np.multiply(d_new, r, out=d_u[2 * n :, t])
+            dh *= z
+            dh += rec @ d_u[:, t]
+            carry = dh * going_on[t]
+        g["rec"] = prevs.reshape(n, -1) @ d_u.reshape(3 * n, -1).T
+        flat, at = d_x.reshape(3 * n, -1).T, inputs.ravel()
         g["bias"], g["in"] = flat.sum(axis=0), p["embed"][at].T @ flat
         order = np.argsort(at, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(at[order])) + 1])
@@ -220,6 +237,7 @@ def train(net: Network, coded: list[np.ndarray], end: int, steps: int, columns:
         return 0
     moments, state = moments or Moments(net), None
     m, v, turn = moments.m, moments.v, moments.turn
+    columns = columns if turn >= WARM else columns // 4
     for inputs, targets, going_on, first in streams(coded, columns, steps, end):
         state = np.zeros((inputs.shape[1], net.hidden), np.float32) if first else state
         g, state = net.gradient(inputs, targets, going_on, state)
@@ -262,7 +280,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def log_likelihood(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10, n_classes: int = 32, class_size: int = 32,
-    hidden: int = 16, window: int = 16, rounds: int = 1, listed: int = 100_000,
+    hidden: int = 16, window: int = 16, rounds: int = 1, listed: int = 250_000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
