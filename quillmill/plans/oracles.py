@@ -250,4 +250,13 @@ UNION ALL SELECT stem, 'Ungültige Seitenzahlen: [' || array_to_string(bad, ', '
 SELECT query, top IS NULL OR top < 0.6 AS needs_model FROM (SELECT DISTINCT c_custkey % 60 AS query FROM customer) AS a LEFT JOIN b USING (query)""",
     "remove_invalid": f"WITH {_L} SELECT doc_id, 'abc' || filename || 'd' AS name FROM l",
     "mtime_day": "SELECT o_orderkey, strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y-%m-%d') AS day FROM orders",
+    "batch_index_job": f"""WITH {_L}, x AS (SELECT *, doc_id % 7 <> 0 AS full_text, ['Muster Bau GmbH', 'Firma: Nordlicht', 'Stadtwerke'][doc_id % 3 + 1] AS who FROM l WHERE doc_id % 11 <> 0)
+SELECT '/ein/' || (doc_id % 10) || '/' || filename AS file_path, filename, CASE WHEN full_text THEN text ELSE '' END AS extracted_text, CASE WHEN full_text THEN replace({_KIND}, ',', ', ') ELSE '' END AS keywords,
+  CASE WHEN full_text THEN who ELSE '' END AS korrespondent, CASE WHEN NOT full_text THEN '' WHEN doc_id % 3 = 1 THEN 'energie' ELSE kind END AS kategorie, '' AS steuerjahr,
+  CASE WHEN full_text THEN split_part(split_part(text, 'Betrag ', 2), ' ', 1) ELSE '' END AS betrag, CASE WHEN full_text THEN 'Nr ' || doc_id ELSE '' END AS zusammenfassung, '/ein/' || (doc_id % 10) AS target_folder FROM x""",
+    "xmp_packets": """WITH x AS (SELECT *, o_orderkey % 7 <> 0 AS w, o_orderkey % 7 = 0 AND o_orderkey % 3 = 0 AS old, o_orderkey % 5 = 0 AS info FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN w THEN 'Auftrag <' || o_orderkey || '> & Ö😀' WHEN old THEN 'alt' END AS title, CASE WHEN w THEN o_orderpriority END AS subject,
+  CASE WHEN w AND o_orderkey % 2 = 0 THEN o_orderstatus || chr(10) || '"€"' END AS description, CASE WHEN w THEN 'a, b' END AS keywords, CASE WHEN info THEN 'Ä-' || o_orderkey END AS korrespondent,
+  CAST(NULL AS VARCHAR) AS buchungsdatum, CASE WHEN w THEN CAST(year(o_orderdate) AS VARCHAR) END AS steuerjahr, CASE WHEN info THEN '0.01' WHEN w THEN CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) END AS betrag,
+  CASE WHEN old THEN 'USD' END AS waehrung, CAST(NULL AS VARCHAR) AS mwst_satz, CAST(NULL AS VARCHAR) AS steuerlich_absetzbar FROM x""",
 }

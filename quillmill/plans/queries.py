@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
+from quillmill.operators import batch_index as batch
 from quillmill.operators import filing, gated, history, metadata, model_store, models, roots, search, search_index, similarity, store, subfolders
-from quillmill.sources import tables, versions
+from quillmill.sources import tables, versions, xmp
 from quillmill.sources.tables import table
 from quillmill.streaming import indexing
 
@@ -593,6 +594,49 @@ def suggest_folders_gated(spark, d):
     return found.select("query", "folder", F.round("confidence", 6).alias("confidence"), "reason", "source", "rank")
 
 
+class _Clerk:
+    """Tells category, correspondent, amount and year from the lines of a letter, by rule, as `models.Stub` does."""
+
+    def is_available(self):
+        return True
+
+    def answers(self, prompts):
+        out = []
+        for prompt in prompts:
+            letter = prompt.split("Text:\n")[1].split("\n")
+            words = letter[0].split(" ")
+            out.append(f"DATEINAME: x.pdf\nKATEGORIE: {words[0]}\nKORRESPONDENT: {letter[1]}\nBETRAG: {letter[2].split(' ')[1]}\nSTEUERJAHR: KEINE\nZUSAMMENFASSUNG: Nr {words[2]}\nKONFIDENZ: 90")
+        return out
+
+
+@query
+def batch_index_job(spark, d):
+    """All letters, of which each 11th can't be read and each 7th is empty, indexed in one job; returns what the index holds."""
+    k = F.col("doc_id")
+    path = F.concat(F.lit("/ein/"), (k % 10).cast("string"), F.lit("/"), "filename")
+    text = F.when(k % 11 != 0, F.when(k % 7 == 0, "").otherwise(F.col("text")))
+    files = tables.letters(spark, d).select(path.alias("path"), (k * 1000).cast("double").alias("mtime"), text.alias("text"))
+    known = spark.createDataFrame([(1, "Nordlicht", "energie"), (2, "Muster Bau", ""), (3, "Muster", "bau")], "kid int, korrespondent string, kategorie string")
+    root = versions.shared_folder(spark, "index")
+    batch.index_files(spark, root, files, _Clerk(), known)
+    return search_index.documents(spark, root).drop("id")
+
+
+@query
+def xmp_packets(spark, d):
+    """Every order as a file that holds its metadata: each 3rd with an older packet before the one that counts, each 5th with a dictionary, each 7th cut within its packet."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    o = table(spark, d, "orders")
+    amount, year = F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.date_format(day, "yyyy")
+    title = F.concat(F.lit("Auftrag <"), k.cast("string"), F.lit("> & Ö\U0001f600"))
+    new = xmp.packet(title=title, subject=F.col("o_orderpriority"), description=F.when(k % 2 == 0, F.concat("o_orderstatus", F.lit("\n\"€\""))), keywords=F.lit("a, b"), betrag=amount, steuerjahr=year)
+    old = F.when(k % 3 == 0, xmp.packet(title=F.lit("alt"), waehrung=F.lit("USD"))).otherwise("")
+    entries = F.when(k % 5 == 0, xmp.dictionary(korrespondent=F.concat(F.lit("Ä-"), k.cast("string")), betrag=F.lit("0.01"))).otherwise("")
+    content = F.concat(F.lit("%PDF-1.7\n"), old, F.lit("\n"), F.when(k % 7 == 0, F.substring(new, 1, 500)).otherwise(new), F.lit("\n"), entries, F.lit("\n%%EOF"))
+    files = o.select(k.cast("string").alias("path"), F.encode(content, "UTF-8").alias("content"))
+    return xmp.read(files)
+
+
 @query
 def copy_names(spark, d):
     p = table(spark, d, "part")

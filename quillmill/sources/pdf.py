@@ -21,29 +21,34 @@ INFO_FIELDS = ("title", "author", "subject", "creator", "creation_date", "modifi
 
 
 def texts(files: DataFrame, pages: Callable[[bytes], list[str]], ocr: Callable[[bytes, int], str] | None = None) -> DataFrame:
-    """path, text, by_ocr of files(path, content): the non-blank pages by line; ocr(content, OCR_PAGES) where they are blank.
+    """path, text, by_ocr, failed of files(path, content): the non-blank pages by line; ocr(content, OCR_PAGES) where they are blank.
 
-    A file that a reader can't read has an empty text.
+    A file that a reader can't read has an empty text; it has failed if nothing else could read it.
     """
 
-    def read(content: bytes) -> tuple[str, bool]:
+    def read(content: bytes | None) -> tuple[str, bool, bool]:
+        if content is None:
+            return "", False, True
+        text, failed = "", False
         try:
             text = "\n".join(p for p in pages(content) if p and p.strip())
         except Exception:
-            text = ""
+            failed = True
         if text.strip() or ocr is None:
-            return text, False
+            return text, False, failed
         try:
-            return ocr(content, OCR_PAGES) or "", True
+            return ocr(content, OCR_PAGES) or "", True, False
         except Exception:
-            return "", True
+            return "", True, failed
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            said = [read(bytes(c)) if c is not None else ("", False) for c in frame["content"]]
-            yield pd.DataFrame({"path": frame["path"], "text": [t for t, _ in said], "by_ocr": [o for _, o in said]})
+            said = [read(None if c is None else bytes(c)) for c in frame["content"]]
+            out = pd.DataFrame(said, columns=["text", "by_ocr", "failed"])
+            out.insert(0, "path", frame["path"])
+            yield out
 
-    return files.select("path", "content").mapInPandas(each, "path string, text string, by_ocr boolean")
+    return files.select("path", "content").mapInPandas(each, "path string, text string, by_ocr boolean, failed boolean")
 
 
 def information(files: DataFrame, info: Callable[[bytes], dict]) -> DataFrame:
