@@ -10,7 +10,8 @@ rounding smaller documents of the last fold to the other side, the largest that
 differ from its target by less than the smallest document that could be turned; for the few documents of this last
 step, rounded without a draw, the expectation isn't kept.
 
-Draws are hashes of the documents, so reruns agree.
+Draws are hashes of the documents, so reruns agree. Rows with one id, source and size can't be told apart; they are counted first and then numbered, and
+the numbers spread them over the chunks like other documents, however many they are.
 
 Defined cases: null text and texts without words have size 0 and take 0; a null source is a source of its
 own, ordered last; a null doc_id is an ordinary value, ids may be of any type; rows that repeat are separate documents, and
@@ -29,6 +30,8 @@ from quillmill.llm.common import cut, join_dimension
 
 #: Words are maximal runs without these characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Equal rows that one row of the counts stands for at most when they are laid out again.
+BLOCK = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_copies: int = 3) -> DataFrame:
@@ -91,6 +94,15 @@ def _closed(f: str) -> Column:
     return F.aggregate(ordered, start, step)["all"]
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with a number `nth` within equal rows. What repeats often is laid out in blocks, which many tasks share."""
+    counted = cut(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "counted")
+    few = counted.filter(F.col("n") <= BLOCK).select("doc_id", "source", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth"))
+    many = counted.filter(F.col("n") > BLOCK).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))).alias("block"))
+    last = F.least(F.col("n"), (F.col("block") + 1) * BLOCK) - 1
+    return few.unionByName(many.repartition("doc_id", "size", "block").select("doc_id", "source", "size", F.explode(F.sequence(F.col("block") * BLOCK, last)).alias("nth")))
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = (5, 2, 1), max_copies: int = 3, fanin: int = 256, seed: str = "mix",
@@ -101,16 +113,16 @@ def mix(
         "sizes",
     )
     targets = cut(source_targets(sizes, weights, max_copies), "targets")
-    rated = join_dimension(sizes, targets, "source")
+    rated = join_dimension(_numbered(sizes), targets, "source")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))).otherwise(F.lit(0.0))
     rated = rated.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio")).withColumn("part", F.col("ratio") - F.col("whole"))
     same = ["source", "source_size", "target", "whole"]
     fractional = (F.col("part") > 1e-12) & (F.col("size") > 0)
     out = rated.filter(~fractional).select(*same, "doc_id", "size", F.lit(0).alias("x"))
 
-    document = F.struct((-F.col("size")).alias("less"), F.xxhash64(F.lit(seed), "doc_id", "size").alias("h"), "doc_id", "size", (F.col("part") * F.col("size")).alias("mass"))
+    document = F.struct((-F.col("size")).alias("less"), F.xxhash64(F.lit(seed), "doc_id", "size", "nth").alias("h"), "doc_id", "size", (F.col("part") * F.col("size")).alias("mass"))
     chunks = F.greatest(F.ceil(F.col("n_docs") / fanin), F.lit(1))
-    level = rated.filter(fractional).select(*same, document.alias("d"), F.pmod(F.xxhash64(F.lit(f"{seed} chunk"), "doc_id", "size"), chunks).alias("chunk"))
+    level = rated.filter(fractional).select(*same, document.alias("d"), F.pmod(F.xxhash64(F.lit(f"{seed} chunk"), "doc_id", "size", "nth"), chunks).alias("chunk"))
     most = targets.agg(F.max("n_docs")).first()[0] or 0
     n = max(1, math.ceil(most / fanin))
     # The last step needs ordinary documents besides what chunks leave over: each source's first chunk waits for it.

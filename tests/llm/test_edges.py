@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("quillmill.llm")
 
-from quillmill.llm import ann, chat, decontaminate, langid, licenses, lm, mixing, neardup, repeats, secrets, suffixes  # noqa: E402
+from quillmill.llm import ann, chat, common, decontaminate, langid, licenses, lm, mixing, neardup, repeats, secrets, suffixes  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 BIG = 9007199254740993
@@ -197,6 +198,32 @@ def test_mixing_of_string_ids_nulls_and_repeats(spark):
     assert sorted((str(r["doc_id"]), r["size"]) for r in got) == [("None", 0), ("None", 40_000), ("a", 2), ("a", 2), ("b", 0)]
 
 
+def test_mixing_of_one_document_many_times(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 700)
+    many = spark.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("eins zwei drei").alias("text"), F.lit("a").alias("source"))
+    docs = many.unionByName(spark.range(900).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 9).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 3 == 1, "c").alias("source")))
+    laid = mixing._numbered(many.select("doc_id", "source", F.lit(3).cast("long").alias("size"))).groupBy("nth").count()
+    assert laid.count() == 5_000 and laid.filter("count > 1 OR nth NOT BETWEEN 0 AND 4999").count() == 0
+    rows = mixing.mix(docs, fanin=32).collect()
+    assert len(rows) == 5_900 and sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(7), fanin=32).collect()))
+    for source in ("a", "b", "c", None):
+        here = [r for r in rows if r["source"] == source]
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in here)
+        assert not here or abs(sum(r["taken"] for r in here) - here[0]["target"]) <= 8
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_secrets_of_copies_by_either_join(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    rows = [(i, None if i % 3 == 0 else "" if i % 3 == 1 else "token=abcdefgh" if i % 2 else "nichts") for i in range(600)]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(docs_of(spark, rows), str(tmp_path / "ledger")).collect()}
+    assert len(got) == 600
+    for i, text in rows:
+        found = secret_spans(text or "")
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"], len(got[i]["spans"])) == (len(found), 0, 0, len(found))
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()
+
+
 def test_records_that_cannot_be_read(spark):
     records = ["{", None, '{"conv_id":NaN,"turn":Infinity,"role":"user","text":"a"}', '{"conv_id":%d,"turn":0,"role":"user","text":"b"}' % BIG, '{"id":1,"prompt":"\\ud800","response":"' + "r" * 200_000 + '"}', "[" * 100_000]
     df = spark.createDataFrame([(r,) for r in records], "record string")
