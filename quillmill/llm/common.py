@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 #: A dimension table of at most this many (narrow) rows is broadcast; a larger one is joined by salted keys.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 #: How many ways a key is split where a large dimension table meets rows whose keys may be skewed.
 SALTS = 16
 
@@ -50,11 +51,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def join_dimension(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join rows with a table that has one row a key (nulls match). A dimension above BROADCAST_ROWS is spread over salts."""
+def join_dimension(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", dim_bytes: int | None = None) -> DataFrame:
+    """Join rows with a table that has one row a key (nulls match). A dimension above BROADCAST_ROWS, or BROADCAST_BYTES where its size was measured, is spread over salts."""
+    small = dim.count() <= BROADCAST_ROWS if dim_bytes is None else dim_bytes <= BROADCAST_BYTES
     dim = dim.withColumnRenamed(key, "_dim_key")
     match = rows[key].eqNullSafe(dim["_dim_key"])
-    if dim.count() <= BROADCAST_ROWS:
+    if small:
         return rows.join(F.broadcast(dim), match, how).drop("_dim_key")
     rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     dim = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
