@@ -6,8 +6,8 @@ A document is scanned once; only words that are some window's prefix token give
 must leave room for the window before and after (position and length bounds) and is then compared word for word.
 
 The benchmark is taken in blocks of at most BLOCK_WORDS words, each a bounded table on the executors. A document goes
-through the blocks one after another where it was read, so no text is shuffled; only the counts of document frequency
-read the documents once more for each block.
+through the blocks one after another where it was read, so no text is shuffled. Between two blocks the documents are written with what
+was found so far, so a task holds one block's table however many there are; document frequencies are counted for FREQUENCY_BLOCKS blocks in one pass.
 
 Defined cases: a null or wordless text has no words, no hits and the digest of the empty string; very long texts are
 scanned whole; null, empty and wordless items have no window; repeated documents are separate rows, repeated items
@@ -29,6 +29,8 @@ from quillmill.llm.common import add_columns, cut
 
 #: At most so many item words are broadcast at once (items are whole: one of more words has a block of its own).
 BLOCK_WORDS = 200_000
+#: Blocks whose words' frequencies are counted together.
+FREQUENCY_BLOCKS = 16
 #: Bytes of words as they are, capitals in lower case, all others as a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -99,9 +101,14 @@ def indexes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int
     total, most = sized.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     n_blocks = -(-total // max(1, block_words - most)) if block_words > most else sized.count()
     block_of = F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks))
-    for block in range(n_blocks):
-        items = [(r["item"], bytes(r["words"]).split()) for r in sized.filter(block_of == block).toLocalIterator()]
-        yield Index(items, document_frequency(docs, {w for _, ws in items for w in ws}), window)
+    items_of = lambda chosen: [(r["item"], bytes(r["words"]).split()) for r in sized.filter(chosen).toLocalIterator()]
+    for first in range(0, n_blocks, FREQUENCY_BLOCKS):
+        vocabulary: set[bytes] = set()
+        for block in range(first, min(first + FREQUENCY_BLOCKS, n_blocks)):
+            vocabulary.update(w for _, ws in items_of(block_of == block) for w in ws)
+        frequency = document_frequency(docs, vocabulary)
+        for block in range(first, min(first + FREQUENCY_BLOCKS, n_blocks)):
+            yield Index(items_of(block_of == block), frequency, window)
 
 
 def _spans(found: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -111,9 +118,12 @@ def _spans(found: list[tuple[int, int]]) -> list[dict[str, int]]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs(doc_id, text) against benchmark(item_id, text)."""
     docs = docs.select("doc_id", "text")
-    found = None
+    found = before_this = None
     for index in indexes(docs, benchmark, window, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        if found is not None:
+            found = cut(found, "hits")
+            before_this.unpersist()
+        shared = before_this = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batch: dict[str, list], shared=shared) -> dict[str, list]:
             """Hits of this block, after those of the blocks before."""
@@ -142,12 +152,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs(text, ...), with all their columns, that hold no window of benchmark(item_id, text)."""
+    kept, before_this = docs, None
     for index in indexes(docs.select("text"), benchmark, window, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        if before_this is not None:
+            kept = cut(kept, "clean")
+            before_this.unpersist()
+        shared = before_this = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not shared.value.find(words(x))[0] for x in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        kept = kept.mapInArrow(keep, docs.schema)
+    return kept
