@@ -12,9 +12,9 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def replaced(cache: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The cache with rows in place of the entries that have their key; of rows with one key the last (by `seq`) counts."""
-    last = rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq")))).filter("n = 1").drop("n")
+def replaced(cache: DataFrame, rows: DataFrame, key: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The cache with rows in place of the entries that have their key; of rows with one key the last (by `seq`) counts, of several the first by `ties`, columns that go."""
+    last = rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq"), *ties))).filter("n = 1").drop("n", *ties)
     return cache.join(last.select(key), key, "left_anti").unionByName(last)
 
 
