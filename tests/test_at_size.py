@@ -3,8 +3,11 @@
 import datetime
 import os
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+
+from quillmill.operators import similarity
 from quillmill.plans.queries import QUERIES
 
 
@@ -18,3 +21,30 @@ def test_of_equal_numbers_the_first_in_the_table_stays(spark, tmp_path):
         pq.write_table(pa.Table.from_pylist(rows), tmp_path / f"lineitem.parquet/part-{i}.parquet")
     got = {r["path"]: (r["answer"], r["seq"]) for r in QUERIES["cache_replace"](spark, str(tmp_path)).filter("path < 10").collect()}
     assert got == {1: ("N", 2), 2: ("A", 1), 3: ("c", 0)}
+
+
+def planned(spark, df):
+    return df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_terms_are_counted_within_their_row(spark):
+    docs = spark.createDataFrame([(1, "konto bank konto bank"), (2, ""), (3, None), (4, "strom")], "doc_id long, text string")
+    counted = similarity.terms(docs)
+    assert "Exchange" not in planned(spark, counted)
+    assert sorted(map(tuple, counted.collect())) == [(1, "bank", 2), (1, "bank konto", 1), (1, "konto", 2), (1, "konto bank", 2), (4, "strom", 1)]
+    twice = similarity.terms(docs.union(spark.createDataFrame([(1, "bank gas")], docs.schema)))
+    assert sorted(map(tuple, twice.filter("id = 1").collect())) == [(1, "bank", 3), (1, "bank gas", 1), (1, "bank konto", 1), (1, "gas", 1), (1, "konto", 2), (1, "konto bank", 2)]
+
+
+def test_a_vector_is_joined_once_for_each_set_of_queries(spark, monkeypatch):
+    """Below the threshold where candidates pay, many blocks of queries meet a vector that was shuffled once."""
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    monkeypatch.setattr(similarity, "CHUNK", 20)
+    monkeypatch.setattr(similarity, "candidates", lambda *_: 1 / 0)
+    rng = np.random.default_rng(3)
+    rows = [(i, sorted(rng.choice(30, 6, replace=False).tolist()), rng.random(6).tolist()) for i in range(70)] + [(70, [], [])]
+    v = spark.createDataFrame(rows, "id long, nos array<int>, ws array<double>")
+    got = {(r["query"], r["id"]): r["similarity"] for r in similarity.cosine(v.filter("id % 5 = 0"), v, 0.1).collect()}
+    of = [dict(zip(nos, ws)) for _, nos, ws in rows]
+    want = {(i, j): s for i in range(0, 71, 5) for j in range(71) if (s := sum(w * of[j].get(t, 0) for t, w in of[i].items())) > 0.1}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
