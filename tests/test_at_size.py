@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from quillmill.operators import similarity
+from quillmill.operators import model_store, similarity
 from quillmill.plans.queries import QUERIES
 
 
@@ -48,3 +48,18 @@ def test_a_vector_is_joined_once_for_each_set_of_queries(spark, monkeypatch):
     of = [dict(zip(nos, ws)) for _, nos, ws in rows]
     want = {(i, j): s for i in range(0, 71, 5) for j in range(71) if (s := sum(w * of[j].get(t, 0) for t, w in of[i].items())) > 0.1}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
+def test_only_terms_that_can_be_common_are_added_up(spark, tmp_path, monkeypatch):
+    """The sum over batches, not the order within one, decides; and few terms leave their task when a model is read."""
+    root = f"file://{tmp_path}/model"
+    for k in range(2):  # `immer` leads no batch
+        said = " ".join(["immer"] * 6 + [f"mal{k}"] * 9 + [f"selten{k}{i}" for i in range(40)])
+        model_store.learn(spark, root, spark.createDataFrame([(k, said)], "id long, text string"))
+    joined = []
+    monkeypatch.setattr(model_store.F, "broadcast", lambda df: joined.append(df.count()) or df)
+    some = {r["term"]: r["total"] for r in model_store.load(spark, root, 3)[0].collect()}
+    monkeypatch.undo()
+    assert some == {"immer": 12, "immer immer": 10, "mal0": 9} and joined and joined[0] < 10
+    monkeypatch.setattr(model_store, "FEW", 0)
+    assert some == {r["term"]: r["total"] for r in model_store.load(spark, root, 3)[0].collect()}
