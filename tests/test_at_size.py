@@ -6,8 +6,10 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from quillmill.operators import model_store, similarity
+from quillmill.functions import text as T
+from quillmill.operators import model_store, search_index, similarity
 from quillmill.plans.queries import QUERIES
 
 
@@ -63,3 +65,18 @@ def test_only_terms_that_can_be_common_are_added_up(spark, tmp_path, monkeypatch
     assert some == {"immer": 12, "immer immer": 10, "mal0": 9} and joined and joined[0] < 10
     monkeypatch.setattr(model_store, "FEW", 0)
     assert some == {r["term"]: r["total"] for r in model_store.load(spark, root, 3)[0].collect()}
+
+
+def test_postings_are_grouped_within_their_row(spark):
+    words = spark.createDataFrame([(1, 4, ["b", "a", "b"], ["b"]), (2, 0, [], [])], "id long, length long, t0 array<string>, t1 array<string>")
+    grouped = search_index._positions(words, ["text", "about"])
+    assert "Exchange" not in planned(spark, grouped)
+    got = {r["id"]: [(x["token"], x["col"], x["positions"]) for x in r["runs"] or []] for r in grouped.collect()}
+    assert got == {1: [("a", "text", [1]), ("b", "about", [0]), ("b", "text", [0, 2])], 2: []}
+
+
+def test_a_name_is_made_once(spark):
+    letters = spark.createDataFrame([("Rechnung von Muster Bau GmbH am 1.2.2024", "a.pdf"), (None, "2024-05-06_x.pdf")], "text string, filename string")
+    named = letters.select(T.with_pdf(T.suggested_name(F.col("text"), F.col("filename"))).alias("name"))
+    assert planned(spark, named).split("== Physical Plan ==")[-1].count("|OHG|") == 1
+    assert [r["name"] for r in named.collect()] == ["Rechnung Muster Bau 2024-02.pdf", "2024-05-06 Dokument.pdf"]
