@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import text as T
 from quillmill.operators import model_store, search_index, similarity
 from quillmill.plans.queries import QUERIES
+from quillmill.sources import versions
 
 
 def test_of_equal_numbers_the_first_in_the_table_stays(spark, tmp_path):
@@ -80,3 +81,21 @@ def test_a_name_is_made_once(spark):
     named = letters.select(T.with_pdf(T.suggested_name(F.col("text"), F.col("filename"))).alias("name"))
     assert planned(spark, named).split("== Physical Plan ==")[-1].count("|OHG|") == 1
     assert [r["name"] for r in named.collect()] == ["Rechnung Muster Bau 2024-02.pdf", "2024-05-06 Dokument.pdf"]
+
+
+def test_postings_of_a_larger_change_take_more_tasks(spark, tmp_path, monkeypatch):
+    """The tasks on both sides of the postings' shuffle grow in number with the words, so that what one holds doesn't."""
+    root, before = f"file://{tmp_path}/index", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    docs = spark.createDataFrame([(i, f"immer nr {i} wort{i % 7}", "") for i in range(400)], "id long, text string, about string")
+    monkeypatch.setattr(search_index, "WORDS", 300)
+    search_index.upsert(spark, root, docs.filter("id < 300"), "id", ["text", "about"])
+    search_index.upsert(spark, root, docs.filter("id >= 200"), "id", ["text", "about"])
+    for merged in (False, True):
+        if merged:
+            search_index.merge(spark, root, everything=True)
+        for s in versions.latest(spark, root)[1]["segments"]:
+            files = spark.read.parquet(f"{s['path']}/postings").groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)-", 1).alias("task")).count().collect()
+            assert len(files) >= s["length"] / 300 / 2 and max(r["count"] for r in files) < 600
+        assert len(search_index.find(spark, root, "immer", limit=1000).collect()) == 400
+        assert {r["id"] for r in search_index.find(spark, root, "wort3 250").collect()} == ({250} if 250 % 7 == 3 else set())
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
