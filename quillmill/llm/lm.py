@@ -55,6 +55,11 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
+def _rows(n: int, columns: int) -> np.ndarray:
+    """An array of n rows that don't lie a power of two apart, where they would push each other out of a cache when they are transposed."""
+    return np.empty((n, columns + 16), np.float32)[:, :columns]
+
+
 class Network:
     """A GRU of `hidden` units with a class-factored softmax over `n_classes` * `size` words."""
 
@@ -83,55 +88,58 @@ class Network:
 
     def states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None, going_on: np.ndarray | None = None) -> np.ndarray:
         """Hidden states (steps x columns x hidden) after each of the inputs (steps x columns); where going_on is 0 the state starts anew."""
-        # Units are the first axis within, so every operation runs along a whole row of columns.
+        # Units are the first axis within a step, so every operation runs along a whole row of columns, and a step's arrays are small enough for the caches.
         n, p = self.hidden, self.p
-        x = np.take(np.ascontiguousarray((p["embed"] @ p["in"] + p["bias"]).T), inputs, axis=1)
+        table = p["embed"] @ p["in"] + p["bias"]
         rec, h = np.ascontiguousarray(p["rec"].T), np.ascontiguousarray(h.T)
-        out = np.empty((n, *inputs.shape), np.float32)
+        out = np.empty((*inputs.shape, n), np.float32)
         for t in range(len(inputs)):
             if going_on is not None:
                 h = h * going_on[t]
-            u = rec @ h
-            gates = x[: 2 * n, t] + u[: 2 * n]
+            x, u = np.ascontiguousarray(table.take(inputs[t], axis=0).T), rec @ h
+            gates, new = x[: 2 * n], x[2 * n :]
+            gates += u[: 2 * n]
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             z, r = gates[:n], gates[n:]
-            new = r * u[2 * n :]
-            new += x[2 * n :, t]
+            new += r * u[2 * n :]
             np.tanh(new, out=new)
             if keep is not None:
                 keep.append((h, z, r, new, u[2 * n :]))
-            h = h - new
+            h = np.subtract(h, new, out=_rows(n, h.shape[1]))
             h *= z
             h += new
-            out[:, t] = h
-        return np.ascontiguousarray(out.transpose(1, 2, 0))
+            out[t] = h.T
+        return out
 
     def log_p(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target after each state."""
         p, of = self.p, targets // self.size
         out = self._log_softmax_at(h @ p["class"] + p["class_bias"], of)
-        for c, at in self._by_class(of):
-            out[at] += self._log_softmax_at(h[at] @ p["word"][c] + p["word_bias"][c], targets[at] % self.size)
+        order, parts = self._by_class(of)
+        h, within, found = h.take(order, axis=0), (targets % self.size).take(order), np.empty(len(of))
+        for c, a, b in parts:
+            found[a:b] = self._log_softmax_at(h[a:b] @ p["word"][c] + p["word_bias"][c], within[a:b])
+        out[order] += found
         return out
 
     @staticmethod
     def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-        mine = scores[np.arange(len(at)), at]
+        mine = scores.ravel().take(np.arange(len(at)) * scores.shape[1] + at)
         if len(scores) and scores.max() > 80:  # else the exponentials can't overflow
             top = scores.max(axis=1)
             scores, mine = scores - top[:, None], mine - top
         return (mine - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))).astype(np.float64)
 
     @staticmethod
-    def _by_class(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _by_class(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by class, and each class with its place there."""
         order = np.argsort(of.astype(np.uint16), kind="stable")
-        cuts = np.flatnonzero(np.diff(of[order])) + 1
-        for part in np.split(order, cuts):
-            if len(part):
-                yield int(of[part[0]]), part
+        of = of.take(order)
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        return order, [(int(of[a]), a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, going_on: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradient of the mean loss over one window (backpropagation stops at its start and where a document starts), and the last state."""
@@ -146,41 +154,53 @@ class Network:
                 scores = scores - scores.max(axis=1, keepdims=True)
             e = np.exp(scores, out=scores)
             e *= scale / (e @ np.ones(e.shape[1], np.float32))[:, None]
-            e[np.arange(len(at)), at] -= scale
+            e.ravel()[np.arange(len(at)) * e.shape[1] + at] -= scale
             return e
 
         d = soft(h @ p["class"] + p["class_bias"], of)
-        g["class"], g["class_bias"], dh = h.T @ d, d.sum(axis=0), d @ p["class"].T
-        for c, at in self._by_class(of):
-            d = soft(h[at] @ p["word"][c] + p["word_bias"][c], y[at] % self.size)
-            g["word"][c], g["word_bias"][c] = h[at].T @ d, d.sum(axis=0)
-            dh[at] += d @ p["word"][c].T
-        d_states = np.ascontiguousarray(dh.T).reshape(n, *inputs.shape)
-        d_x, d_u, prevs = (np.empty((m, *inputs.shape), np.float32) for m in (3 * n, 3 * n, n))
+        ones = np.ones(len(y), np.float32)
+        g["class"], g["class_bias"], dh = h.T @ d, ones @ d, d @ p["class"].T
+        order, parts = self._by_class(of)
+        h, within, d_words = h.take(order, axis=0), (y % self.size).take(order), np.empty((len(y), n), np.float32)
+        for c, a, b in parts:
+            d = soft(h[a:b] @ p["word"][c] + p["word_bias"][c], within[a:b])
+            g["word"][c], g["word_bias"][c] = h[a:b].T @ d, ones[a:b] @ d
+            d_words[a:b] = d @ p["word"][c].T
+        back = np.empty(len(y), np.int64)
+        back[order] = np.arange(len(y))
+        dh += d_words.take(back, axis=0)
+        d_states = np.ascontiguousarray(dh.reshape(*inputs.shape, n).transpose(0, 2, 1))
+        flat, d_x, d_u = np.empty((*inputs.shape, 3 * n), np.float32), *(_rows(3 * n, inputs.shape[1]) for _ in range(2))
         carry, rec = np.zeros((n, inputs.shape[1]), np.float32), np.ascontiguousarray(p["rec"])
         for t in range(len(inputs) - 1, -1, -1):
             prev, z, r, new, un = kept[t]
-            prevs[:, t] = prev
-            dh = d_states[:, t] + carry
+            dh = d_states[t]
+            dh += carry
             held = 1 - z
-            d_new = dh * held
-            d_new *= 1 - new * new
+            d_new = d_x[2 * n :]
+            np.multiply(dh, held, out=d_new)
             held *= z
             held *= dh
-            np.multiply(held, prev - new, out=d_x[:n, t])
-            np.multiply(d_new * un, r * (1 - r), out=d_x[n : 2 * n, t])
-            d_x[2 * n :, t] = d_new
-            d_u[: 2 * n, t] = d_x[: 2 * n, t]
-            np.multiply(d_new, r, out=d_u[2 * n :, t])
             dh *= z
-            dh += rec @ d_u[:, t]
+            np.multiply(held, prev - new, out=d_x[:n])
+            new *= new
+            np.subtract(1, new, out=new)
+            d_new *= new
+            np.multiply(d_new, r, out=d_u[2 * n :])
+            un *= d_u[2 * n :]
+            np.subtract(1, r, out=r)
+            np.multiply(un, r, out=d_x[n : 2 * n])
+            d_u[: 2 * n] = d_x[: 2 * n]
+            g["rec"] += prev @ d_u.T
+            dh += rec @ d_u
             carry = dh * going_on[t]
-        g["rec"] = prevs.reshape(n, -1) @ d_u.reshape(3 * n, -1).T
-        flat, at = d_x.reshape(3 * n, -1).T, inputs.ravel()
-        g["bias"], g["in"] = flat.sum(axis=0), p["embed"][at].T @ flat
-        order = np.argsort(at, kind="stable")
+            flat[t] = d_x.T
+        # Inputs that are the same word share their sum, from which all that stands before the recurrence follows.
+        at, flat = inputs.ravel(), flat.reshape(-1, 3 * n)
+        order = np.argsort(at.astype(np.uint16) if len(p["embed"]) <= 1 << 16 else at, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(at[order])) + 1])
-        g["embed"][at[order][cuts]] = np.add.reduceat((flat @ p["in"].T)[order], cuts, axis=0)
+        words, sums = at[order][cuts], np.add.reduceat(flat.take(order, axis=0), cuts, axis=0)
+        g["bias"], g["in"], g["embed"][words] = sums.sum(axis=0), p["embed"][words].T @ sums, sums @ p["in"].T
         return g, states[-1]
 
 

@@ -113,6 +113,20 @@ def test_gradient_and_normalisation():
     assert np.exp([net.log_p(h, np.full(7, w)) for w in range(12)]).sum(axis=0) == pytest.approx(np.ones(7), abs=1e-5)
 
 
+def test_words_of_a_class_lie_together_and_rows_apart():
+    """Each class is one slice of a single sorted copy (no gather a class), and rows of step buffers don't lie a power of two apart."""
+    order, parts = lm.Network._by_class(np.array([2, 0, 2, 1, 0]))
+    assert order.tolist() == [1, 4, 3, 0, 2] and parts == [(0, 0, 2), (1, 2, 3), (2, 3, 5)]
+    assert lm.Network._by_class(np.array([], np.int64))[1] == []
+    assert lm._rows(48, 1024).shape == (48, 1024) and lm._rows(48, 1024).strides[0] % 4096
+    net = lm.Network(4, 4, 6)
+    h, targets = np.random.default_rng(1).normal(size=(50, 6)).astype(np.float32), np.arange(50) * 7 % 16
+    of_class, of_word = h @ net.p["class"] + net.p["class_bias"], np.einsum("th,chs->tcs", h, net.p["word"]) + net.p["word_bias"]
+    soft = lambda x: x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    want = (soft(of_class)[:, :, None] + soft(of_word)).reshape(50, 16)[np.arange(50), targets]
+    assert net.log_p(h, targets) == pytest.approx(want, rel=1e-5)
+
+
 def test_scores_do_not_depend_on_what_runs_beside():
     rng = np.random.default_rng(1)
     net = lm.Network(4, 4, 6)
