@@ -140,9 +140,11 @@ def batch_renames(docs: DataFrame, names: DataFrame, existing: DataFrame) -> Dat
     return told.join(placed, "doc_id", "left").select("doc_id", "new_name", "status")
 
 
-def merge_plan(lists: DataFrame, pages: DataFrame) -> DataFrame:
-    """lists(output, sources) and pages(source, page): the page numbers of each output, sources in their order."""
-    each = lists.select("output", F.posexplode("sources").alias("pos", "source")).join(pages, "source")
+def merge_plan(lists: DataFrame, pages: DataFrame, parts: int | None = None) -> DataFrame:
+    """lists(output, sources) and pages(source, page): the page numbers of each output, sources in their order; in so many parts, so that one doesn't grow with the tables."""
+    dealt = lambda df, key: df if parts is None else df.repartition(parts, key)
+    wanted = lists.select("output", F.posexplode("sources").alias("pos", "source"))
+    each = dealt(dealt(wanted, "source").join(dealt(pages, "source"), "source"), "output")
     return each.select("output", "source", "page", F.row_number().over(Window.partitionBy("output").orderBy("pos", "page")).alias("new_page"))
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -99,3 +100,13 @@ def test_postings_of_a_larger_change_take_more_tasks(spark, tmp_path, monkeypatc
         assert len(search_index.find(spark, root, "immer", limit=1000).collect()) == 400
         assert {r["id"] for r in search_index.find(spark, root, "wort3 250").collect()} == ({250} if 250 % 7 == 3 else set())
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_a_merge_plan_is_made_in_parts_of_bounded_rows(spark, tmp_path, monkeypatch):
+    rows = [{"l_orderkey": k, "l_linenumber": n} for k in range(100) for n in range(1, k % 4 + 2)]
+    pq.write_table(pa.Table.from_pylist(rows + rows[:30]), tmp_path / "lineitem.parquet")
+    monkeypatch.setattr("quillmill.plans.queries.MERGED", 20)
+    plan = QUERIES["merge_plan"](spark, str(tmp_path))
+    assert set(re.findall(r"hashpartitioning\([^,]+, (\d+)\)", planned(spark, plan))) == {str(-(-(len(rows) + 30) // 20))}
+    want = {(k, f"{k}-{n}", page, 2 * (k % 4 + 1 - n) + page) for k in range(100) for n in range(1, k % 4 + 2) for page in (1, 2)}
+    assert sorted(map(tuple, plan.collect())) == sorted(want)
