@@ -12,9 +12,19 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def replaced(cache: DataFrame, rows: DataFrame, key: str, ties: tuple[str, ...] = ()) -> DataFrame:
-    """The cache with rows in place of the entries that have their key; of rows with one key the last (by `seq`) counts, of several the first by `ties`, columns that go."""
-    last = rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq"), *ties))).filter("n = 1").drop("n", *ties)
+def replaced(cache: DataFrame, rows: DataFrame, key: str, ties: tuple[str, ...] = (), value: str | None = None) -> DataFrame:
+    """The cache with rows in place of the entries that have their key; of rows with one key the last (by `seq`) counts, of several the first by `ties`, columns that go.
+
+    With `value`, a row without it (or without `seq`) takes none away: the last row that has both gives it, the highest `seq` of the key stays.
+    """
+    of, order = Window.partitionBy(key), [F.desc("seq"), *ties]
+    if value is not None:
+        told = F.col(value).isNotNull() & F.col("seq").isNotNull()
+        rows = rows.withColumn("told", told).withColumn("highest", F.max("seq").over(of))
+        order = [F.desc("told"), *order]
+    last = rows.withColumn("n", F.row_number().over(of.orderBy(*order))).filter("n = 1").drop("n", *ties)
+    if value is not None:
+        last = last.withColumn(value, F.when(F.col("told"), F.col(value))).withColumn("seq", F.col("highest")).drop("told", "highest")
     return cache.join(last.select(key), key, "left_anti").unionByName(last)
 
 

@@ -4,6 +4,7 @@ import datetime
 import os
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 from quillmill.operators import model_store, search_index, similarity
+from quillmill.plans.oracles import ORACLES
 from quillmill.plans.queries import QUERIES
 from quillmill.sources import versions
 
@@ -27,6 +29,22 @@ def test_of_equal_numbers_the_first_in_the_table_stays(spark, tmp_path):
     assert got == {1: ("N", 2), 2: ("A", 1), 3: ("c", 0)}
 
 
+def test_a_row_without_answer_takes_none_away(spark, tmp_path):
+    """SQL's arg_max passes over rows that lack either value, its max doesn't."""
+    day = datetime.datetime(2024, 5, 6)
+    pq.write_table(pa.table({"o_orderkey": [1, 2, 3, 4, 5], "o_orderdate": [day] * 5, "o_orderpriority": list("abcde")}), tmp_path / "orders.parquet")
+    rows = [(1, 1, "N"), (1, 2, None), (2, 1, None), (3, None, "A"), (3, None, "R"), (4, 5, "A"), (4, None, "R"), (4, 5, "N")]
+    lines = {"l_orderkey": [r[0] for r in rows], "l_linenumber": pa.array([r[1] for r in rows], pa.int32()), "l_returnflag": [r[2] for r in rows]}
+    pq.write_table(pa.table(lines), tmp_path / "lineitem.parquet")
+    got = {r["path"]: (r["answer"], r["seq"]) for r in QUERIES["cache_replace"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute("SET threads = 1")
+        for name in ("orders", "lineitem"):
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+        want = {path: (answer, seq) for path, answer, seq in db.execute(ORACLES["cache_replace"]).fetchall()}
+    assert got == want == {1: ("N", 2), 2: (None, 1), 3: (None, None), 4: ("A", 5), 5: ("e", 0)}
+
+
 def planned(spark, df):
     return df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
 
