@@ -8,7 +8,8 @@ text. Of identical texts only the one with the smallest id takes part; the other
 1. Anchors of all documents, packed as arrays by hash range, show which occur in two documents or more.
 2. Pieces under such anchors are cut from the texts, equal ones merged where they are cut, and packed by shard.
 3. Each shard of distinct pieces gets a suffix array by induced sorting, to the depth of a window, and its permuted common prefixes;
-   neighbours that agree on `width` bytes are one string, whose owner is the smallest id among them.
+   neighbours that agree on `width` bytes are one string, whose owner is the smallest id among them. Pieces none of whose
+   windows has the hash of another window of the shard stay out of it: each of their windows is in them alone.
 4. Owners go back to the places where pieces were cut; what a smaller id owns is removed.
 
 Anchors with more than `hot` pieces in many contexts (a short common phrase) are dealt out window by window, so
@@ -260,6 +261,42 @@ def owners_of(pieces: list[bytes], least: np.ndarray, width: int) -> list[np.nda
 RUN = np.dtype([("piece", "<u4"), ("a", "u1"), ("b", "u1"), ("owner", "<i8")])
 
 
+def alone(pieces: list[bytes], width: int) -> np.ndarray:
+    """True where no window of a piece has the hash of another window, so that none can be in another piece."""
+    windows = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) - width + 1
+    first = np.cumsum(windows) - windows
+    of = np.repeat(np.arange(len(pieces)), windows)
+    hashes = rolling(np.frombuffer(b"".join(pieces), dtype=np.uint8), width)[np.arange(len(of)) + of * (width - 1)]
+    ordered = np.sort(hashes)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(again):
+        return np.ones(len(pieces), dtype=bool)
+    twice = again[np.minimum(np.searchsorted(again, hashes), len(again) - 1)] == hashes
+    return ~np.logical_or.reduceat(twice, first)
+
+
+def runs_of(pieces: list[bytes], least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows with one owner, by piece, and where each piece's begin. Only pieces that can share a window go into the suffix array."""
+    some = np.flatnonzero(~alone(pieces, width))
+    owners = owners_of([pieces[i] for i in some], least[some], width) if len(some) else []
+    windows = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) - width + 1
+    n = np.ones(len(pieces), dtype=np.int64)
+    n[some] = windows[some]
+    # One entry for a piece that stands alone, one for each window of the others.
+    of = np.repeat(np.arange(len(pieces)), n)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    owner, end = least[of], windows[of]
+    among = np.zeros(len(pieces), dtype=bool)
+    among[some] = True
+    if len(some):
+        owner[among[of]], end[among[of]] = np.concatenate(owners), at[among[of]] + 1
+    new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (owner[1:] != owner[:-1])))
+    runs = np.empty(len(new), RUN)
+    runs["piece"], runs["a"], runs["owner"] = of[new], at[new], owner[new]
+    runs["b"] = end[np.append(new[1:], len(of)) - 1]
+    return runs, np.searchsorted(of[new], np.arange(len(pieces) + 1))
+
+
 def find_owners(packed: DataFrame, width: int) -> DataFrame:
     """uid, shard, runs: windows a to b of pieces that a smaller id than the largest of their places owns."""
 
@@ -277,16 +314,14 @@ def find_owners(packed: DataFrame, width: int) -> DataFrame:
         least = np.full(len(known), np.iinfo(np.int64).max)
         for of, low, _ in parts:
             np.minimum.at(least, of, low)
-        owners = owners_of(list(known), least, width)
-        lowest = np.array([x.min() for x in owners])
+        runs, begin = runs_of(list(known), least, width)
         replies = []
         for of, _, most in parts:
-            runs = []
-            for i in np.flatnonzero(lowest[of] < most):
-                owner = owners[of[i]]
-                cuts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
-                runs += zip([i] * len(cuts), cuts.tolist(), [*cuts[1:].tolist(), len(owner)], owner[cuts].tolist())
-            replies.append(_pressed(np.array(runs, RUN).tobytes()))
+            n = begin[of + 1] - begin[of]
+            which = np.repeat(np.arange(len(of)), n)
+            reply = runs[np.arange(len(which)) + np.repeat(begin[of] - np.cumsum(n) + n, n)]
+            reply["piece"] = which
+            replies.append(_pressed(reply[reply["owner"] < most[which]].tobytes()))
         return pd.DataFrame({"uid": frame["uid"], "shard": frame["shard"], "runs": replies})
 
     return packed.select("uid", "shard", "pieces").groupBy("shard").applyInPandas(shard, "uid string, shard long, runs binary")

@@ -63,6 +63,25 @@ def test_repeats(spark, hot, monkeypatch):
     assert sorted(map(tuple, got), key=str) == removed(rows)
 
 
+def test_pieces_that_stand_alone_stay_out_of_the_suffix_array(monkeypatch):
+    rng, width = np.random.default_rng(4), 50
+    said = bytes(rng.integers(0, 256, 60, dtype=np.uint8))
+    pieces = [bytes(rng.integers(0, 256, int(n), dtype=np.uint8)) for n in rng.integers(width, width + 64, 200)]
+    pieces += [b"x" + said, said + b"y", said[5:], said[:50], b"\0" * 70, b"\0" * 50, b"ab" * 40]
+    least = rng.permutation(len(pieces)).astype(np.int64)
+    given, whole = [], repeats.owners_of
+    monkeypatch.setattr(repeats, "owners_of", lambda some, *rest: given.append(some) or whole(some, *rest))
+    runs, begin = repeats.runs_of(pieces, least, width)
+    assert given == [pieces[200:]]
+    for i, want in enumerate(whole(pieces, least, width)):
+        own = runs[begin[i] : begin[i + 1]]
+        assert (own["piece"] == i).all() and own["a"][0] == 0 and (own["a"][1:] == own["b"][:-1]).all()
+        assert np.repeat(own["owner"], own["b"] - own["a"]).tolist() == want.tolist()
+    given.clear()
+    repeats.runs_of(pieces[:200], least[:200], width)
+    assert not given
+
+
 def test_near_duplicates(spark):
     base = " ".join(f"w{i * i % 997}" for i in range(300))
     words = base.split()
