@@ -72,6 +72,39 @@ def test_a_vector_is_joined_once_for_each_set_of_queries(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
 
 
+def test_vectors_meet_without_a_shuffle(spark, monkeypatch):
+    """Neither queries nor vectors are shuffled once for each pack that they meet, whether the packs are joined as a product or by a broadcast."""
+    monkeypatch.setattr(similarity, "CHUNK", 20)
+    monkeypatch.setattr(similarity, "SET", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, sorted(rng.choice(30, 6, replace=False).tolist()), rng.random(6).tolist()) for i in range(70)]
+    v = spark.createDataFrame(rows, "id long, nos array<int>, ws array<double>")
+    of = [dict(zip(nos, ws)) for _, nos, ws in rows]
+    want = {(i, j): s for i in range(0, 70, 5) for j in range(70) if (s := sum(w * of[j].get(t, 0) for t, w in of[i].items())) > 0.1}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for most, kind in ((before, "NestedLoop"), ("-1", "CartesianProduct")):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            met = similarity.cosine(v.filter("id % 5 = 0"), v, 0.1)
+            assert "hashpartitioning" not in planned(spark, met) and kind in planned(spark, met)
+            got = {(r["query"], r["id"]): r["similarity"] for r in met.collect()}
+            assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_vector_is_made_within_its_row(spark):
+    docs = spark.createDataFrame([(1, "konto bank konto bank"), (2, ""), (3, None), (4, "strom"), (5, "konto bank konto bank"), (6, "gas nichts")], "id long, text string")
+    listed, counted = similarity.tokens(docs, "id"), similarity.terms(docs, "id")
+    model = similarity.fit(counted.filter("term != 'gas' AND term != 'nichts' AND term != 'gas nichts'"))
+    made = similarity.row_vectors(listed, model)
+    assert "Exchange" not in planned(spark, made)
+    got, want = ({r["id"]: (r["nos"], [round(w, 12) for w in r["ws"]]) for r in df.collect()} for df in (made, similarity.vectors(counted, model)))
+    assert got == want and got.keys() == {1, 4, 5}
+    tids = {r["id"]: r["tid"] for r in made.collect()}
+    assert tids[1] == tids[5] != tids[4]
+
+
 def test_only_terms_that_can_be_common_are_added_up(spark, tmp_path, monkeypatch):
     """The sum over batches, not the order within one, decides; and few terms leave their task when a model is read."""
     root = f"file://{tmp_path}/model"
