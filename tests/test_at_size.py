@@ -161,3 +161,22 @@ def test_a_merge_plan_is_made_in_parts_of_bounded_rows(spark, tmp_path, monkeypa
     assert set(re.findall(r"hashpartitioning\([^,]+, (\d+)\)", planned(spark, plan))) == {str(-(-(len(rows) + 30) // 20))}
     want = {(k, f"{k}-{n}", page, 2 * (k % 4 + 1 - n) + page) for k in range(100) for n in range(1, k % 4 + 2) for page in (1, 2)}
     assert sorted(map(tuple, plan.collect())) == sorted(want)
+
+
+def test_a_date_is_split_once(spark):
+    texts = spark.createDataFrame([("am 1.2.2024, 03/04/51, 2023-12-31, 31.2.2020 und 1.1.1950",), ("",), (None,)], "text string")
+    found = texts.select(T.numeric_dates(F.col("text")).alias("days"))
+    assert planned(spark, found).split("== Physical Plan ==")[-1].count("[./-]") == 1
+    assert [[str(d) for d in r["days"]] for r in found.collect()] == [["2024-02-01", "2023-12-31"], [], []]
+
+
+def test_rows_of_unique_ids_are_indexed_without_grouping(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"Größe {i}", None) for i in range(30)], "id long, text string, about string")
+    given, change = [], search_index._change
+    monkeypatch.setattr(search_index, "_change", lambda s, root, docs, *rest: given.append(planned(s, docs)) or change(s, root, docs, *rest))
+    for unique in (True, False):
+        search_index.upsert(spark, f"file://{tmp_path}/{unique}", docs, "id", ["text", "about"], unique=unique)
+    assert "Exchange" not in given[0] and "Exchange" in given[1]
+    one, two = (sorted(map(tuple, search_index.documents(spark, f"file://{tmp_path}/{u}").collect())) for u in (True, False))
+    assert one == two and one[3] == (3, "Größe 3", "")
+    assert search_index.find(spark, f"file://{tmp_path}/True", "grosse 7").count() == search_index.find(spark, f"file://{tmp_path}/False", "grosse 7").count()
